@@ -32,9 +32,25 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets and linked credentials of every document."""
+    from docengine.llm import secrets
+
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from docengine.llm import pages
+
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
+    "op10_main_text": op10_main_text,
 }
 
 #: SQL for the queries that SQL can express.
