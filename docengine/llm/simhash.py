@@ -176,7 +176,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     the table of labels is written to the shared folder, so no round runs twice and none holds all links.
     """
     spark = edges.sparkSession
-    both = edges.unionByName(edges.select(F.col("near").alias("node"), F.col("node").alias("near"))).distinct()
+    ways = F.array(F.struct("node", "near"), F.struct(F.col("near").alias("node"), F.col("node").alias("near")))
+    both = edges.select(F.explode(ways).alias("way")).select("way.node", "way.near").distinct()
     both, kept = stored(both, "edges")
     labels, path = stored(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("component")), "labels")
     for _ in range(rounds):
