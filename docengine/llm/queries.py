@@ -24,6 +24,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that are not held out."""
+    from docengine.llm import toxicity
+    from docengine.llm.common import held_out
+
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    found = toxicity.score(documents, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from the documents that are not held out."""
+    from docengine.llm import language
+    from docengine.llm.common import held_out
+
+    documents = table(spark, sf_dir, "documents")
+    found = language.predict(documents, language.train(documents))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     from docengine.llm import simhash
@@ -48,6 +69,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
     "op10_main_text": op10_main_text,

@@ -28,8 +28,8 @@ from docengine.llm.common import held_out, map_slices
 
 BITS = 20
 #: Labelled rows that the model is fit on, at most (as expected; the draw is by hash).
-SAMPLE = 12_000
-ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 1.5, 0.5, 3
+SAMPLE = 10_000
+ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 3.0, 0.1, 5
 MEMO_ENTRIES = 300_000
 
 _words = re.compile(r"\w+").findall
@@ -100,7 +100,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, passes: in
 
     for _ in range(passes):
         for r in order.tolist():
-            at = np.append(rows[r], 1 << bits)
+            at = np.append(rows[r], np.uint32(1 << bits)).astype(np.int64)
             w = weights(at)
             g = sigmoid(w.sum()) - labels[r]
             grown = n[at] + g * g
@@ -140,7 +140,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
         return apply
 
     found = map_slices(rows, make, "key string, label int, features binary", "body").toArrow().sort_by("key")
-    return fit([np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in found.column("features")], found.column("label").to_numpy().astype(np.float64), bits)
+    return fit([np.frombuffer(x.as_py(), "<u4") for x in found.column("features")], found.column("label").to_numpy().astype(np.float64), bits)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", bits: int = BITS) -> DataFrame:
