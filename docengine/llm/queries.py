@@ -35,6 +35,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for each vector whose id 20 divides."""
+    from docengine.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents that are not held out."""
     from docengine.llm import language
@@ -70,6 +77,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op4_nearest": op4_nearest,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
