@@ -42,6 +42,13 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents: each item found in each document, at its best window."""
+    from docengine.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from the documents that are not held out."""
     from docengine.llm import language
@@ -78,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op4_nearest": op4_nearest,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
