@@ -74,6 +74,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that stand earlier."""
+    from docengine.llm import lines
+
+    left = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "lang", "source", "n_chars", "text")
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     from docengine.llm import pages
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_secrets": op8_secrets,
+    "op9_line_dedup": op9_line_dedup,
     "op10_main_text": op10_main_text,
 }
 
