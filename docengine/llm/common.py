@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows and bytes that a Python operator holds at a time, whatever the Arrow batch size is.
 SLICE_ROWS = 2048
@@ -37,7 +38,7 @@ def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None) -> Itera
             at = end
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, sized: str | None = None) -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, sized: str | None = None) -> DataFrame:
     """mapInArrow with `make()` called once a task; the function it returns gets one bounded slice at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

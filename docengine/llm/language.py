@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from docengine.llm.common import held_out, map_slices
 
@@ -199,3 +200,22 @@ def predict(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id",
 
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
     return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double, proportions map<string,double>", "body").withColumnRenamed("key", id)
+
+
+def annotate(df: DataFrame, model: Model, text: str = "text", bits: int = BITS) -> DataFrame:
+    """df with lang_pred and score added (columns of these names are replaced); all rows and other columns stay."""
+    held = df.sparkSession.sparkContext.broadcast(model)
+    rows = df.drop("lang_pred", "score")
+    at = rows.columns.index(text)
+
+    def make() -> Callable:
+        words = Words(held.value, bits)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lang, score, _ = predict_texts(batch.column(at).to_pylist(), words)
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+
+        return apply
+
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return map_slices(rows, make, schema, text)

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import discard, map_slices, stored
@@ -208,3 +208,16 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", width
     found = components(edges.unionByName(shared).where("node != near"))
     mapped = distinct.join(found, "node", "left").select(F.col("bits").alias("mark"), F.coalesce("component", "node").alias("component_id"))
     return marks.join(mapped, marks.bits == mapped.mark, "left").select(id, "bits", F.when(F.col(id).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
+    """The rows of df without near-duplicates: of each component the row with the least id (and least text, should the id repeat).
+
+    Rows with a null id belong to no component and stay. All columns stay.
+    """
+    names = df.columns
+    found = near_duplicates(df, text, id, **options)
+    kept = found.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("__kept")).distinct()
+    first = F.row_number().over(Window.partitionBy(id).orderBy(text))
+    rows = df.where(F.col(id).isNotNull()).join(kept, F.col(id) == F.col("__kept"), "left_semi")
+    return rows.withColumn("__n", first).where("__n = 1").select(*names).unionByName(df.where(F.col(id).isNull()))
