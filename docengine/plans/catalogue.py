@@ -1,6 +1,6 @@
-"""The registered queries over the reference's own operators."""
+"""All registered queries over the reference's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from docengine.plans import q_control, q_json, q_relational, q_search, q_sources, q_text  # noqa: F401  (they register their queries)
+from docengine.plans.registry import ORACLES, QUERIES  # noqa: F401
