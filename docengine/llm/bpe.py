@@ -266,6 +266,12 @@ def _loaded(content: bytes, pattern: str) -> tuple[Encoder, list[bytes | None]]:
     return _LOADED[key]
 
 
+def _forget() -> None:
+    """Let the remembered pre-tokens go; the tables of the vocabulary stay."""
+    for encoder, _ in _LOADED.values():
+        encoder.memo.clear()
+
+
 def _vocabulary(df: DataFrame, path: str):
     """The rank file (its size is fixed by the vocabulary), read on the driver and broadcast."""
     with open(path, "rb") as f:
@@ -286,7 +292,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id:
         return apply
 
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
-    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary", "body").withColumnRenamed("key", id)
+    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary", "body", 4 << 20, _forget).withColumnRenamed("key", id)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows and bytes that a Python operator holds at a time, whatever the Arrow batch size is.
-SLICE_ROWS = 2048
-SLICE_BYTES = 8 << 20
+SLICE_ROWS = 1024
+SLICE_BYTES = 2 << 20
 
 
-def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches to at most SLICE_ROWS rows and about SLICE_BYTES of column `sized` (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches to at most SLICE_ROWS rows and about `most` bytes of column `sized` (one row at least)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -31,22 +31,28 @@ def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None) -> Itera
         lengths = [x or 0 for x in pc.binary_length(batch.column(batch.schema.get_field_index(sized))).to_pylist()]
         while at < n:
             end, held = at, 0
-            while end < n and end - at < SLICE_ROWS and (end == at or held + lengths[end] <= SLICE_BYTES):
+            while end < n and end - at < SLICE_ROWS and (end == at or held + lengths[end] <= most):
                 held += lengths[end]
                 end += 1
             yield batch.slice(at, end - at)
             at = end
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, sized: str | None = None) -> DataFrame:
-    """mapInArrow with `make()` called once a task; the function it returns gets one bounded slice at a time."""
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, sized: str | None = None, most: int = SLICE_BYTES, finish: Callable[[], object] | None = None) -> DataFrame:
+    """mapInArrow with `make()` called once a task; the function it returns gets one bounded slice at a time.
+
+    `finish` runs when the task ends: workers live on between tasks, so what they remember is let go there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
-        for piece in slices(batches, sized):
-            out = apply(piece)
-            if out is not None and out.num_rows:
-                yield out
+        try:
+            for piece in slices(batches, sized, most):
+                out = apply(piece)
+                if out is not None and out.num_rows:
+                    yield out
+        finally:
+            if finish:
+                finish()
 
     return df.mapInArrow(run, schema)
 

@@ -49,6 +49,11 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def forget() -> None:
+    """Let the remembered word hashes go."""
+    _HASHES.clear()
+
+
 def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Feature indices of the texts one after another, and the text that each belongs to; repeats included."""
     words = [_words(t.lower()) if t else [] for t in texts]
@@ -139,7 +144,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
         return apply
 
-    found = map_slices(rows, make, "key string, label int, features binary", "body").toArrow().sort_by("key")
+    found = map_slices(rows, make, "key string, label int, features binary", "body", finish=forget).toArrow().sort_by("key")
     return fit([np.frombuffer(x.as_py(), "<u4") for x in found.column("features")], found.column("label").to_numpy().astype(np.float64), bits)
 
 
@@ -156,4 +161,4 @@ def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", b
         return apply
 
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
-    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, score double", "body").withColumnRenamed("key", id)
+    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, score double", "body", finish=forget).withColumnRenamed("key", id)
