@@ -1 +1,439 @@
-"""Queries."""
+"""Queries: outlines, tables and HTML; chart JSON and the functions around it."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
+
+from docengine.functions import markdown as M
+from docengine.functions import sequential as S
+from docengine.functions import text as T
+from docengine.operators import charts as C
+from docengine.operators import chunking, hybrid
+from docengine.operators.cleaning import _INT, map_text
+from docengine.plans.registry import query, table
+
+#: One outline line for each part, in three forms.
+OUTLINE_SQL = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '        - 1.' || p_size || ' ' || p_name WHEN 1 THEN '#### ' || p_name WHEN 2 THEN '2.' || p_size || '.1 ' || p_name ELSE 'plain ' || p_name END AS line, p_size, p_name FROM part"
+
+
+def outline_lines(spark, sf_dir):
+    k, n, size = F.col("p_size") % 4, F.col("p_name"), F.col("p_size").cast("string")
+    line = F.when(k == 0, F.concat(F.lit("        - 1."), size, F.lit(" "), n)).when(k == 1, F.concat(F.lit("#### "), n)).when(k == 2, F.concat(F.lit("2."), size, F.lit(".1 "), n)).otherwise(F.concat(F.lit("plain "), n))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", line.alias("line"))
+
+
+@query(
+    "str2_outline_items",
+    """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '1.' || p_size WHEN 2 THEN '2.' || p_size || '.1' END AS number, p_name AS title, CASE p_size % 4 WHEN 0 THEN 3 ELSE 2 END AS depth FROM part WHERE p_size % 4 <> 3""",
+)
+def str2(spark, sf_dir):
+    return outline_lines(spark, sf_dir).select("p_partkey", M.outline_item(F.col("line")).alias("i")).where("i IS NOT NULL").select("p_partkey", "i.number", "i.title", "i.depth")
+
+
+@query(
+    "str3_skeleton",
+    """WITH i AS (SELECT p_brand, p_partkey, CASE p_size % 4 WHEN 0 THEN '1.' || p_size || ' ' WHEN 2 THEN '2.' || p_size || '.1 ' ELSE '' END || p_name AS shown, CASE p_size % 4 WHEN 0 THEN 2 ELSE 1 END AS lv FROM part WHERE p_size % 4 <> 3)
+    SELECT p_brand, md5(rtrim(string_agg(repeat('    ', lv) || '- ' || shown || chr(10) || repeat('    ', lv) || '    ', chr(10) ORDER BY p_partkey), ' ' || chr(10))) AS skeleton FROM i GROUP BY p_brand""",
+)
+def str3(spark, sf_dir):
+    rows = outline_lines(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
+    text = rows.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("t"))
+    return text.select("p_brand", F.md5(M.skeleton(M.outline_items(F.col("t")))).alias("skeleton"))
+
+
+@query("str1_sections", "SELECT item_id, 'Title ' || item_id AS title, length(text) AS chars FROM benchmark UNION ALL SELECT item_id, 'Next', 3 FROM benchmark")
+def str1(spark, sf_dir):
+    md = F.concat(F.lit("before\n## Title "), F.col("item_id").cast("string"), F.lit("\n"), "text", F.lit("\n## Next\nend\n"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(M.sections(md)).alias("s")).select("item_id", "s.title", F.length("s.body").alias("chars"))
+
+
+@query("str4_outline_query", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Appendix A' ELSE p_brand || ' up ' || p_type || ' ' || p_name END AS query FROM part")
+def str4(spark, sf_dir):
+    section = F.when(F.col("p_size") % 5 == 0, "Appendix A").otherwise(F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", M.outline_query(section, F.array(F.lit("up"), F.col("p_type")), F.col("p_name")).alias("query"))
+
+
+@query("str6_blocks", "SELECT doc_id, md5('【来源】' || source || chr(10) || CASE WHEN length(trim(text, ' ' || chr(10))) > 900 THEN substr(trim(text, ' ' || chr(10)), 1, 900) || '…' ELSE trim(text, ' ' || chr(10)) END) AS block, repeat('#', 3 + CAST(doc_id % 3 AS INT)) || ' ' || source AS heading FROM documents")
+def str6(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(M.source_block(F.col("source"), F.col("text"), 900)).alias("block"), M.item_heading(F.col("source"), (F.col("doc_id") % 3 + 1).cast("int")).alias("heading"))
+
+
+@query("str5_table_csv", "SELECT n_nationkey, n_name || ',key' || chr(13) || chr(10) || n_nationkey || ',\"a,b\"' || chr(13) || chr(10) || 'x,' AS csv FROM nation")
+def str5(spark, sf_dir):
+    md = F.concat(F.lit("| "), "n_name", F.lit(" | key |\n| --- | ---: |\n| "), F.col("n_nationkey").cast("string"), F.lit(" | a,b |\n| x |"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", md.alias("csv"))
+    return map_text(rows, "csv", lambda r: [(S.table_to_csv(r["csv"]),)], [])
+
+
+@query("str5_table_context")
+def str5_context(spark, sf_dir):
+    md = F.concat(F.lit("| "), "n_name", F.lit(" | key |\n| --- | ---: |\n| "), F.col("n_nationkey").cast("string"), F.lit(" | v |"))
+    return map_text(table(spark, sf_dir, "nation").select("n_nationkey", md.alias("t")), "t", lambda r: [(S.table_context(r["t"]),)], [])
+
+
+@query("str7_anchor_placement", "SELECT doc_id, 1 AS placed, true AS behind_first FROM documents")
+def str7(spark, sf_dir):
+    """One anchor for each document: it is there once, and not in the first paragraph."""
+    md = F.concat(F.lit("Intro words\n\n"), "text", F.lit("\n\nlast words"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
+    out = map_text(rows, "md", lambda r: [(S.place_anchors(r["md"], ["c1"]),)], [])
+    return out.select("doc_id", F.size(M.anchor_ids(F.col("md"))).alias("placed"), (F.locate("[Chart: c1]", F.col("md")) > 12).alias("behind_first"))
+
+
+@query("str7_tail_spread")
+def str7_tail(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("alpha beta\n\n"), "text", F.lit("\n\n[Chart: a]\n[Chart: b]")).alias("md"))
+    return map_text(rows, "md", lambda r: [(S.spread_tail(r["md"], ["a", "b"], {"a": "alpha beta"}),)], [])
+
+
+@query("str8_markdown_html")
+def str8(spark, sf_dir):
+    md = F.concat(F.lit("## "), "source", F.lit("\n\n**bold** & *it*\n- one\n- two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n"), F.substring("text", 1, 300))
+    return map_text(table(spark, sf_dir, "documents").select("doc_id", md.alias("html")), "html", lambda r: [(S.markdown_to_html(r["html"]),)], [])
+
+
+@query("str9_chart_injection", "SELECT doc_id, 1 AS charts, 1 AS left_over FROM documents")
+def str9(spark, sf_dir):
+    page = F.concat(F.lit("<p>"), "source", F.lit(" [Chart: c1]</p><p>[Chart: c1]</p><p>[Chart: missing]</p>"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", page.alias("html"))
+    out = map_text(rows, "html", lambda r: [(S.inject_charts(r["html"], {"c1": "<div class='chart-container' id='c1'></div>"}),)], [])
+    return out.select("doc_id", F.size(F.regexp_extract_all("html", F.lit("chart-container"), F.lit(0))).alias("charts"), F.size(F.regexp_extract_all("html", F.lit(r"\[Chart: missing"), F.lit(0))).alias("left_over"))
+
+
+@query("str10_document_html", "SELECT lang, count(*) AS n, md5('<ol>' || string_agg('<li>' || doc_id || '</li>', '' ORDER BY doc_id) || '</ol>') AS listed FROM documents GROUP BY lang")
+def str10(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    items = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<li>"), i.cast("string"), F.lit("</li>"))), "")
+    return d.select("lang", "n", F.md5(F.concat(F.lit("<ol>"), items, F.lit("</ol>"))).alias("listed"))
+
+
+@query(
+    "str11_visible_text",
+    r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))) AS text FROM pages""",
+)
+def str11(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(M.strip_tags(F.col("html"))).alias("text"))
+
+
+@query(
+    "agg14_html_quality",
+    r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<article\b')) AS sections, len(regexp_extract_all(html, '(?i)<p\b')) AS paragraphs, len(regexp_extract_all(html, '(?i)<div\b[^>]*class="ad"')) AS containers, len(regexp_extract_all(html, '\[Chart:\s*([^\]]+?)\s*\]')) AS anchors,
+    strpos(html, 'class="ad"') < strpos(html, '<p>') AS chart_before_text FROM pages""",
+)
+def agg14(spark, sf_dir):
+    h = F.col("html")
+    count = lambda p: F.size(F.regexp_extract_all(h, F.lit(p), F.lit(0)))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", count(r"(?i)<article\b").alias("sections"), count(r"(?i)<p\b").alias("paragraphs"), count(r'(?i)<div\b[^>]*class="ad"').alias("containers"), count(M.ANCHOR).alias("anchors"), (F.locate('class="ad"', h) < F.locate("<p>", h)).alias("chart_before_text")
+    )
+
+
+@query("prj4_page_title", r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), ''), url) AS title FROM pages""")
+def prj4(spark, sf_dir):
+    h = F.col("html")
+    part = lambda p: F.nullif(F.trim(F.regexp_extract(h, p, 1)), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(part("<title>([^<]*)</title>"), part("<h1>([^<]*)</h1>"), "url").alias("title"))
+
+
+@query("str14_templates", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' ELSE 'passed' END AS status, CASE WHEN p_size % 3 = 0 THEN 0 ELSE 1 END AS placeholders FROM part")
+def str14(spark, sf_dir):
+    k, n = F.col("p_size") % 3, F.col("p_name")
+    content = F.when(k == 0, F.concat(F.lit("# a {{ "), n)).when(k == 1, F.concat(F.lit("no head {{x}} "), n)).otherwise(F.concat(F.lit("# head\n{{ y }} "), n))
+    return table(spark, sf_dir, "part").select("p_partkey", M.template_check(content).alias("c")).select("p_partkey", "c.status", "c.placeholders")
+
+
+@query("str15_prompt_diff")
+def str15(spark, sf_dir):
+    """Unified diff of each turn and the one before it."""
+    from pyspark.sql import Window
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
+    return map_text(rows, "text", lambda r: [(S.unified_diff(r["before"], r["text"]),)], [], ["before"]).select("conv_id", "turn", "text")
+
+
+@query("str16_polish_check", "SELECT p_partkey, p_size % 3 <> 1 AS ok FROM part")
+def str16(spark, sf_dir):
+    k, n = F.col("p_size") % 3, F.col("p_name")
+    before = F.concat(F.lit("# T\n- "), n, F.lit("\ntext"))
+    after = F.when(k == 1, F.concat(F.lit("# T\n- other "), n)).otherwise(F.concat(F.lit("# T\n- "), n, F.lit("\nbetter text")))
+    return table(spark, sf_dir, "part").select("p_partkey", M.polish_ok(before, after).alias("ok"))
+
+
+@query("str18_chart_candidates", "SELECT p_brand, p_partkey AS chart FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_size % 2 = 0) WHERE n <= 3")
+def str18(spark, sf_dir):
+    from pyspark.sql import Window
+
+    text = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("\n[Chart: "), F.col("p_partkey").cast("string"), F.lit("]\r\nbody"))).otherwise("no chart")
+    rows = table(spark, sf_dir, "part").select("p_brand", M.chart_id_of(text).cast("long").alias("chart")).where("chart IS NOT NULL")
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("chart"))).where("n <= 3").drop("n")
+
+
+@query("str19_glossary", "SELECT doc_id, md5(text || chr(10) || 'end') AS text FROM documents")
+def str19(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(M.drop_glossary_placeholders(F.concat("text", F.lit("\n（术语表 待补充）\nend")))).alias("text"))
+
+
+@query("str20_missing_items", "SELECT item_id, md5(trim(text) || chr(10) || '- here' || chr(10) || '- gone') AS text FROM benchmark")
+def str20(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.trim("text"), F.lit("\n- here")).alias("text"))
+    return map_text(rows, "text", lambda r: [(S.add_missing_items(r["text"], "- here\n- gone"),)], []).select("item_id", F.md5("text").alias("text"))
+
+
+# --- chunks -----------------------------------------------------------------------------------------
+
+
+@query("chk10_fixed_windows", "SELECT doc_id, i AS chunk_index, md5(substr(text, i * 800 + 1, 1000)) AS content FROM documents, LATERAL (SELECT unnest(generate_series(0, CASE WHEN length(text) <= 1000 THEN 0 ELSE CAST(ceil((length(text) - 1000) / 800.0) AS BIGINT) END)) AS i) WHERE length(text) > 0")
+def chk10(spark, sf_dir):
+    return chunking.fixed_windows(table(spark, sf_dir, "documents"), 1000, 800).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("content").alias("content"))
+
+
+def _chunks(strategy: str):
+    def run(spark, sf_dir):
+        return chunking.chunk(table(spark, sf_dir, "documents"), strategy).select("doc_id", "chunk_index", "chunk_type", F.md5("content").alias("content"), "start_char", "end_char")
+
+    run.__doc__ = f"Chunks by the strategy {strategy}."
+    return run
+
+
+for _name, _strategy in (("chk1_chk7_structure_chunks", "structure_aware"), ("chk8_semantic_chunks", "semantic"), ("chk9_sentence_chunks", "sentence"), ("chk10_length_chunks", "length")):
+    query(_name)(_chunks(_strategy))
+
+
+@query("chk12_chunk_ids", "SELECT doc_id, substr(md5(doc_id || '_0'), 1, 16) AS chunk_id FROM documents WHERE length(trim(text, ' ' || chr(10))) > 0")
+def chk12(spark, sf_dir):
+    return chunking.chunk(table(spark, sf_dir, "documents"), "length").where("chunk_index = 0").select("doc_id", "chunk_id")
+
+
+@query("chk14_parents")
+def chk14(spark, sf_dir):
+    _, parents = chunking.parents(chunking.dedup_in_document(chunking.chunk(table(spark, sf_dir, "documents"))))
+    return parents.select("parent", "doc_id", "n_chunks", F.md5("content").alias("content"))
+
+
+@query("chk11_sentence_merge")
+def chk11(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("piece"))
+    return map_text(rows, "piece", lambda r: [(p, i) for i, p in enumerate(S.pack_sentences(S.sentences(r["piece"] or ""), 500))], [StructField("part", _INT)]).select("doc_id", "part", F.length("piece").alias("chars"))
+
+
+@query("chk15_chk16_chart_texts", "SELECT p_partkey, md5('[Chart: ' || p_partkey || ']' || chr(10) || 'name: ' || p_name || chr(10) || 'type: ' || p_type || chr(10) || 'description: ' || p_brand || chr(10) || 'data: ' || substr(repeat(p_name, 90), 1, 800)) AS chunk, '[图表] ' || p_name || chr(10) || 'type: ' || p_type || chr(10) || 'description: ' || p_brand || chr(10) || 'legend: a, b' AS snippet FROM part")
+def chk15(spark, sf_dir):
+    n, t, b = F.col("p_name"), F.col("p_type"), F.col("p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", F.md5(chunking.chart_chunk(F.col("p_partkey").cast("string"), n, t, b, F.repeat(n, 90))).alias("chunk"), chunking.chart_snippet(n, t, b, F.array(F.lit("a"), F.lit("b"))).alias("snippet"))
+
+
+@query("agg11_chunk_statistics")
+def agg11(spark, sf_dir):
+    return chunking.statistics(chunking.chunk(table(spark, sf_dir, "documents"))).select("total_chunks", "total_chars", F.round("avg_chunk_size", 4).alias("avg_chunk_size"), F.to_json("chunk_type_distribution").alias("types"))
+
+
+@query("ded6_semantic_dedup")
+def ded6(spark, sf_dir):
+    """Blocks of a document without repeats; blocks compare by counts of their words (a stand-in for a model)."""
+
+    def embed(block: str) -> list[float]:
+        out = [0.0] * 64
+        for w in block.lower().split():
+            out[sum(w.encode()) % 64] += 1.0
+        return out
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+
+    def apply(r: dict) -> list[tuple]:
+        text, within, _ = S.semantic_dedup(r["text"] or "", embed, limit=0.98)
+        return [(text, within)]
+
+    return map_text(rows, "text", apply, [StructField("removed", _INT)]).select("doc_id", "removed", F.md5("text").alias("text"))
+
+
+@query("ded6_semantic_pairs", """WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_aggregate(list_transform(generate_series(1, 64), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE), 'sum') AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT a, b, round(s, 5) AS similarity FROM p WHERE round(s, 5) >= 0.3""")
+def ded6_pairs(spark, sf_dir):
+    """The batch form: close vectors of one label."""
+    from docengine.operators import vectors
+
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
+    return a.join(b, "label").where("a < b").select("a", "b", F.round(vectors.dot(F.col("x"), F.col("y")), 5).alias("similarity")).where("similarity >= 0.3")
+
+
+# --- chart JSON -------------------------------------------------------------------------------------
+
+
+def grid_charts(spark, sf_dir, kind: str, axis: str = "categories"):
+    """A chart for each region: its nations, their keys as values with a thousands comma in one series."""
+    n = table(spark, sf_dir, "nation")
+    rows = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    keys = F.transform("l", lambda x: x["n_nationkey"].cast("string"))
+    more = F.transform("l", lambda x: F.concat(F.lit("1,00"), x["n_nationkey"].cast("string"), F.lit(" %")))
+    series = F.array(F.struct(F.lit("key").alias("name"), keys.alias("values")), F.struct(F.lit("").alias("name"), F.slice(more, 1, 2).alias("values")))
+    data = F.struct(F.transform("l", lambda x: x["n_name"]).alias(axis), series.alias("series"))
+    return rows.select(F.col("n_regionkey").alias("chart_id"), F.to_json(F.struct(F.lit(True).alias("is_chart"), F.lit(kind).alias("chart_type"), F.lit(" d ").alias("description"), data.alias("chart_data"))).alias("json"))
+
+
+GRID = """WITH o AS (SELECT n_regionkey AS chart_id, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation),
+p AS (SELECT chart_id, 'key' AS series, n_name AS x, n_nationkey::DOUBLE AS y FROM o UNION ALL SELECT chart_id, '系列', n_name, CASE WHEN i <= 2 THEN ('100' || n_nationkey)::DOUBLE END FROM o)"""
+
+
+@query("jsn6_bar_points", GRID + " SELECT * FROM p")
+def jsn6_bar(spark, sf_dir):
+    return C.series_points(grid_charts(spark, sf_dir, "column_chart")).select("chart_id", "series", "x", "y")
+
+
+@query("jsn6_line_points", GRID + " SELECT * FROM p")
+def jsn6_line(spark, sf_dir):
+    return C.series_points(grid_charts(spark, sf_dir, "line", "x_axis")).select("chart_id", "series", "x", "y")
+
+
+@query("jsn6_table_points", GRID + " SELECT * FROM p")
+def jsn6_table(spark, sf_dir):
+    return C.series_points(grid_charts(spark, sf_dir, "comparison_table")).select("chart_id", "series", "x", "y")
+
+
+@query("jsn8_area_records", GRID + " SELECT chart_id, x, series, y FROM p WHERE y IS NOT NULL")
+def jsn8_area(spark, sf_dir):
+    return C.flat_records(grid_charts(spark, sf_dir, "area", "x"))
+
+
+@query("jsn6_pie_list", "SELECT n_regionkey AS chart_id, '占比' AS series, n_name AS x, n_nationkey::DOUBLE AS y FROM nation")
+def jsn6_pie(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    items = F.array_append(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("label"), F.col("n_nationkey").cast("string").alias("value"), F.lit(None).cast("string").alias("_chart_separator")))), F.struct(F.lit("x").alias("label"), F.lit("1").alias("value"), F.lit("---").alias("_chart_separator")))
+    rows = n.groupBy("n_regionkey").agg(items.alias("chart_data"))
+    json = F.to_json(F.struct(F.lit("yes").alias("is_chart"), F.lit("Donut").alias("chart_type"), F.col("chart_data")))
+    return C.series_points(rows.select(F.col("n_regionkey").alias("chart_id"), json.alias("json"))).select("chart_id", "series", "x", "y")
+
+
+@query("jsn6_line_list", "WITH t AS (SELECT DISTINCT n_regionkey AS chart_id, 't' || n_nationkey % 3 AS x FROM nation), s AS (SELECT n_regionkey AS chart_id, n_name AS series, 't' || n_nationkey % 3 AS x, n_nationkey::DOUBLE AS y FROM nation) SELECT t.chart_id, n.n_name AS series, t.x, s.y FROM t JOIN nation n ON n.n_regionkey = t.chart_id LEFT JOIN s ON s.chart_id = t.chart_id AND s.series = n.n_name AND s.x = t.x")
+def jsn6_line_list(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    points = F.array(F.struct(F.concat(F.lit("t"), (F.col("n_nationkey") % 3).cast("string")).alias("time"), F.col("n_nationkey").alias("value")))
+    rows = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("series"), points.alias("data_points")))).alias("chart_data"))
+    json = F.to_json(F.struct(F.lit(True).alias("is_chart"), F.lit("line_chart").alias("chart_type"), F.col("chart_data")))
+    return C.series_points(rows.select(F.col("n_regionkey").alias("chart_id"), json.alias("json"))).select("chart_id", "series", "x", "y")
+
+
+def flow_charts(spark, sf_dir):
+    """Nations flow to their region; regions of even number flow back to their first nation."""
+    r = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    link = F.struct(F.col("n_name").alias("source"), F.col("r_name").alias("target"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey").cast("string")).alias("value"))
+    rows = r.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(link)).alias("l"), F.min("n_name").alias("first"), F.first("r_name").alias("r"))
+    back = F.array(F.struct(F.col("r").alias("source"), F.col("first").alias("target"), F.lit("x").alias("value")))
+    links = F.when(F.col("n_regionkey") % 2 == 0, F.concat("l", back)).otherwise(F.col("l"))
+    json = F.to_json(F.struct(F.lit(True).alias("is_chart"), F.lit("process_flow").alias("chart_type"), F.struct(links.alias("links")).alias("chart_data")))
+    return rows.select(F.col("n_regionkey").alias("chart_id"), json.alias("json"))
+
+
+@query("jsn8_sankey_links", "SELECT n_regionkey AS chart_id, n_name AS source, r_name AS target, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey::DOUBLE ELSE 1.0 END AS value FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_regionkey, r_name, min(n_name), 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey % 2 = 0 GROUP BY n_regionkey, r_name")
+def jsn8_links(spark, sf_dir):
+    return C.links(flow_charts(spark, sf_dir)).select("chart_id", "source", "target", "value")
+
+
+@query("jsn7_sankey_cycles", "SELECT n_regionkey AS chart_id, CASE WHEN n_regionkey % 2 = 0 THEN 'graph' ELSE 'sankey' END AS render_type, count(*) + CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE 0 END AS links_count, count(*) + 1 AS nodes_count FROM nation GROUP BY n_regionkey")
+def jsn7(spark, sf_dir):
+    return C.cycles(flow_charts(spark, sf_dir)).select("chart_id", "render_type", "links_count", "nodes_count")
+
+
+@query("jsn3_chart_types", "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'bar' WHEN 1 THEN 'pie' WHEN 2 THEN 'unknown' WHEN 3 THEN 'sankey' ELSE 'unknown' END AS kind FROM part")
+def jsn3(spark, sf_dir):
+    k = F.col("p_size") % 5
+    raw = F.when(k == 0, " Histogram ").when(k == 1, F.lit(None).cast("string")).when(k == 2, "weird").when(k == 3, "flow_diagram").otherwise("")
+    return table(spark, sf_dir, "part").select("p_partkey", C.canonical_type(raw, F.when(k == 1, "donut")).alias("kind"))
+
+
+@query("jsn4_normalized", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_chart, CASE p_size % 3 WHEN 0 THEN 'bar' WHEN 1 THEN 'none' ELSE 'bar_chart' END AS chart_type, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' ELSE NULL END AS description, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS chart_count FROM part")
+def jsn4(spark, sf_dir):
+    k = F.col("p_size") % 3
+    flag = F.when(k == 0, "yes").when(k == 1, "0").otherwise("maybe")
+    json = F.to_json(F.struct(flag.alias("is_chart"), F.lit("bar_chart").alias("chart_type"), F.when(k == 0, F.concat(F.lit(" "), "p_name")).alias("title")))
+    return table(spark, sf_dir, "part").select("p_partkey", C.normalized(json).alias("c")).select("p_partkey", "c.is_chart", "c.chart_type", "c.description", "c.chart_count")
+
+
+@query("jsn2_booleans", "SELECT v, b FROM (VALUES ('TRUE', true), (' 1', true), ('y', true), ('No', false), ('0', false), ('maybe', NULL)) t(v, b)")
+def jsn2(spark, sf_dir):
+    return spark.createDataFrame([("TRUE",), (" 1",), ("y",), ("No",), ("0",), ("maybe",)], "v string").select("v", C.to_bool(F.col("v")).alias("b"))
+
+
+@query("num1_numbers", "SELECT v, n FROM (VALUES ('1,234.5', 1234.5), ('12%', 12.0), ('about -3.5 t', -3.5), ('n/a', NULL), ('', NULL), ('1e3', 1000.0)) t(v, n)")
+def num1(spark, sf_dir):
+    return spark.createDataFrame([("1,234.5",), ("12%",), ("about -3.5 t",), ("n/a",), ("",), ("1e3",)], "v string").select("v", C.to_number(F.col("v")).alias("n"))
+
+
+@query("jsn5_image_types", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'bar' WHEN p_size % 3 = 0 THEN 'radar' ELSE 'other' END AS kind FROM part")
+def jsn5(spark, sf_dir):
+    path = F.when(F.col("p_size") % 2 == 0, "img/Bar_1.png").when(F.col("p_size") % 3 == 0, "img/radar.png").otherwise("img/x.png")
+    return table(spark, sf_dir, "part").select("p_partkey", C.type_of_image(F.lit(None).cast("string"), path).alias("kind"))
+
+
+@query("jsn9_chart_ids", "SELECT p_partkey, 'a,b' || CASE WHEN p_size % 2 = 0 THEN ',' || p_size ELSE '' END AS ids FROM part")
+def jsn9(spark, sf_dir):
+    size = F.col("p_size").cast("string")
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('["a", "b", "a", "", "'), size, F.lit('"]'))).otherwise(F.lit(" a ,b,, a"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(hybrid.parse_ids(raw), ",").alias("ids"))
+
+
+@query("jsn1_model_json", "SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE role END AS role, turn % 3 = 2 AS failed FROM conversations")
+def jsn1(spark, sf_dir):
+    import json
+
+    k = F.col("turn") % 3
+    body = F.concat(F.lit('{"role": "'), "role", F.lit('"}'))
+    answer = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, body).otherwise("sorry")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", answer.alias("a"))
+    found = map_text(rows, "a", lambda r: [(json.dumps(S.model_json(r["a"])),)], [])
+    return found.select("conv_id", "turn", F.get_json_object("a", "$.role").alias("role"), F.get_json_object("a", "$.error").isNotNull().alias("failed"))
+
+
+@query("jsn12_hash_ids", "SELECT doc_id, substr(sha1(source || '/' || doc_id), 1, 12) AS id, sha256(text) AS content FROM documents")
+def jsn12(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))), 1, 12).alias("id"), F.sha2("text", 256).alias("content"))
+
+
+@query("jsn13_unchanged_skip", "SELECT doc_id FROM documents WHERE NOT (doc_id % 2 = 0 AND n_chars % 5 <> 0)")
+def jsn13(spark, sf_dir):
+    """Rows without an entry of the same hash and version."""
+    d = table(spark, sf_dir, "documents")
+    done = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("n_chars") % 5 != 0, F.sha2("text", 256)).otherwise("old").alias("h"), F.lit(1).alias("version"))
+    return d.withColumns({"h": F.sha2("text", 256), "version": F.lit(1)}).join(done, ["doc_id", "h", "version"], "left_anti").select("doc_id")
+
+
+@query("jsn14_auto_charts", "WITH c AS (SELECT doc_id, min(CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END) AS priority FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY doc_id) SELECT doc_id, priority FROM c ORDER BY priority, doc_id LIMIT 100")
+def jsn14(spark, sf_dir):
+    """Charts by the first rule that finds them, up to a cap."""
+    from functools import reduce
+
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    rules = [d.where(F.col("doc_id") % k == 0).withColumn("priority", F.lit(p)) for p, k in enumerate((2, 3, 5))]
+    found = reduce(lambda a, b: a.unionByName(b), rules).groupBy("doc_id").agg(F.min("priority").alias("priority"))
+    return found.orderBy("priority", "doc_id").limit(100)
+
+
+@query("jsn19_role_check", "SELECT conv_id, bool_and(role IN ('system', 'user', 'assistant') AND trim(text) <> '') AS ok FROM conversations GROUP BY conv_id")
+def jsn19(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", "text")).alias("m"))
+    return c.select("conv_id", F.forall("m", lambda x: x["role"].isin("system", "user", "assistant") & (T.strip(x["text"]) != "")).alias("ok"))
+
+
+@query("prj1_flatten_metadata", "SELECT event_id, json_extract_string(props, '$.' || k) AS v, k FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+def prj1(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "v"))
+
+
+@query("prj5_progress", "SELECT event_id, coalesce(json_extract_string(props, '$.page'), 'none') AS page, CASE WHEN value > 50 THEN 'slow; big' ELSE '' END AS errors FROM events")
+def prj5(spark, sf_dir):
+    errors = F.array_join(F.filter(F.array(F.when(F.col("value") > 50, "slow"), F.when(F.col("value") > 50, "big")), lambda x: x.isNotNull()), "; ")
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("none")).alias("page"), errors.alias("errors"))
+
+
+@query("map1_merge", "SELECT p_partkey, p_brand || ',' || p_type AS merged FROM part")
+def map1(spark, sf_dir):
+    """Maps merged, the later value wins."""
+    later = F.map_filter(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.col("p_type")), lambda k, _: k != "a")
+    return table(spark, sf_dir, "part").select("p_partkey", F.map_concat(F.create_map(F.lit("a"), F.col("p_brand")), later).alias("m")).select("p_partkey", F.concat_ws(",", F.col("m")["a"], F.col("m")["b"]).alias("merged"))
+
+
+@query("flt12_audit_rows", "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey % 2 = 0 GROUP BY n_regionkey")
+def flt12(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "auto_chart").otherwise("other").alias("type"), "n_name")).alias("audit"))
+    return rows.select("n_regionkey", F.size(F.filter("audit", lambda x: x["type"] == "auto_chart")).cast("long").alias("n")).where("n > 0")
