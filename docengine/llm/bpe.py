@@ -30,7 +30,7 @@ from docengine.llm.common import map_slices
 #: Bits of one word of the lower bitmap level.
 WORD = 256
 #: Encoded pre-tokens that a Python worker remembers, and the longest that it does.
-MEMO_ENTRIES, MEMO_CHARS = 250_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 150_000, 48
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -312,3 +312,23 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` binary"
     return map_slices(rows, make, schema, ids)
+
+
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """`encode` and then `decode` in one pass: id, n_tokens long, ids binary, decoded binary."""
+    content = _vocabulary(df, vocabulary)
+
+    def make() -> Callable:
+        encoder, tokens = _loaded(content.value, pattern)
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = encoder.packed([t or "" for t in batch.column(1).to_pylist()])
+            back = [decode_ids(np.frombuffer(x, "<u4").tolist(), tokens) for x in ids]
+            columns = [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids", "decoded"])
+
+        return apply
+
+    rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
+    return map_slices(rows, make, schema, "body", 4 << 20, _forget).withColumnRenamed("key", id)

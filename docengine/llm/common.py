@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +17,9 @@ from pyspark.sql.types import StructType
 #: Rows and bytes that a Python operator holds at a time, whatever the Arrow batch size is.
 SLICE_ROWS = 1024
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,10 +43,25 @@ def slices(batches: Iterator[pa.RecordBatch], sized: str | None = None, most: in
             at = end
 
 
+def trim() -> None:
+    """Give free memory of this worker back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, sized: str | None = None, most: int = SLICE_BYTES, finish: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with `make()` called once a task; the function it returns gets one bounded slice at a time.
 
-    `finish` runs when the task ends: workers live on between tasks, so what they remember is let go there."""
+    `finish` runs when the task ends: workers live on between tasks, so what they remember is let go there, and
+    free memory goes back to the system. Arrow batches hold BATCH_ROWS rows, unless the session says otherwise.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":  # Spark's default, too many for long texts
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()
@@ -53,6 +73,8 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
         finally:
             if finish:
                 finish()
+            del apply
+            trim()
 
     return df.mapInArrow(run, schema)
 

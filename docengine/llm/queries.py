@@ -19,8 +19,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docengine.llm import bpe
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    back = bpe.decode(ids, vocabulary)
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -56,4 +56,6 @@ def test_frames(spark):
         texts = {1: b"", 2: b"", 3: b"hello  world", None: "é".encode(), 4: long.encode()}
         assert bytes(r["decoded"]) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) // 4
         assert hashlib.sha256(r["ids"]).digest() == hashlib.sha256(np.array(THEIRS.encode_ordinary(texts[r["doc_id"]].decode()), "<u4").tobytes()).digest()
+    both = bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect()
+    assert sorted(both, key=str) == sorted(found, key=str)
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
