@@ -41,8 +41,7 @@ def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each document, and the digest of the bytes that they decode to."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN)
-    return bpe.decode(ids, vocabulary).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
