@@ -342,17 +342,17 @@ def jsn3(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.canonical_type(raw, F.when(k == 1, "donut")).alias("kind"))
 
 
-@query("jsn4_normalized", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false END AS is_chart, CASE p_size % 3 WHEN 0 THEN 'bar' WHEN 1 THEN 'none' ELSE 'bar_chart' END AS chart_type, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' ELSE NULL END AS description, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS chart_count FROM part")
+@query("jsn4_normalized", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS is_chart, CASE p_size % 3 WHEN 0 THEN 'bar' WHEN 1 THEN 'none' ELSE 'bar_chart' END AS chart_type, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN '' ELSE NULL END AS description, CASE p_size % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS chart_count FROM part")
 def jsn4(spark, sf_dir):
     k = F.col("p_size") % 3
     flag = F.when(k == 0, "yes").when(k == 1, "0").otherwise("maybe")
     json = F.to_json(F.struct(flag.alias("is_chart"), F.lit("bar_chart").alias("chart_type"), F.when(k == 0, F.concat(F.lit(" "), "p_name")).alias("title")))
-    return table(spark, sf_dir, "part").select("p_partkey", C.normalized(json).alias("c")).select("p_partkey", "c.is_chart", "c.chart_type", "c.description", "c.chart_count")
+    return table(spark, sf_dir, "part").select("p_partkey", C.normalized(json).alias("c")).select("p_partkey", F.col("c.is_chart").cast("string").alias("is_chart"), "c.chart_type", "c.description", "c.chart_count")
 
 
-@query("jsn2_booleans", "SELECT v, b FROM (VALUES ('TRUE', true), (' 1', true), ('y', true), ('No', false), ('0', false), ('maybe', NULL)) t(v, b)")
+@query("jsn2_booleans", "SELECT v, b FROM (VALUES ('TRUE', 'true'), (' 1', 'true'), ('y', 'true'), ('No', 'false'), ('0', 'false'), ('maybe', NULL)) t(v, b)")
 def jsn2(spark, sf_dir):
-    return spark.createDataFrame([("TRUE",), (" 1",), ("y",), ("No",), ("0",), ("maybe",)], "v string").select("v", C.to_bool(F.col("v")).alias("b"))
+    return spark.createDataFrame([("TRUE",), (" 1",), ("y",), ("No",), ("0",), ("maybe",)], "v string").select("v", C.to_bool(F.col("v")).cast("string").alias("b"))
 
 
 @query("num1_numbers", "SELECT v, n FROM (VALUES ('1,234.5', 1234.5), ('12%', 12.0), ('about -3.5 t', -3.5), ('n/a', NULL), ('', NULL), ('1e3', 1000.0)) t(v, n)")
