@@ -34,6 +34,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence texts and notices in every document."""
+    from docengine.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for each vector whose id 20 divides."""
     from docengine.llm import ann
@@ -91,6 +98,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_nearest": op4_nearest,
     "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
