@@ -98,6 +98,32 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.split(s, "\n", -1), lambda x: F.trim(x))
 
 
+def canonical_sql(text: str) -> str:
+    """The canonical text (line feeds kept) as a SQL expression of DuckDB."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    s = f"lower({text})"
+    for pattern, put in [(COPYRIGHT, ""), (QUOTES, ""), (PUNCTUATION, " "), *((p, r.replace("$", "\\")) for p, r in SPELLINGS)]:
+        s = f"regexp_replace({s}, {quoted(pattern)}, {quoted(put)}, 'g')"
+    return s
+
+
+def scan_sql(table: str = "documents") -> str:
+    """`scan` of the default texts as SQL (ids must be unique)."""
+    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in known_texts())
+    lines = "list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"""WITH raw(license, body) AS (VALUES {values}),
+    known AS (SELECT c, min(license) AS license FROM (SELECT license, array_to_string({lines.format(canonical_sql("body"))}, ' ') AS c FROM raw) WHERE c <> '' GROUP BY c),
+    d AS (SELECT doc_id, list_transform(string_split({canonical_sql("text")}, chr(10)), lambda x: trim(x)) AS l FROM {table} WHERE text IS NOT NULL),
+    f AS (SELECT * FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d) WHERE x <> ''),
+    b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+    whole AS (SELECT doc_id, min(i) AS a, max(i) - min(i) + 1 AS n, string_agg(x, ' ' ORDER BY i) AS body, count(DISTINCT run) AS runs FROM b GROUP BY doc_id),
+    runs AS (SELECT doc_id, min(i) AS a, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS body FROM b GROUP BY doc_id, run),
+    u AS (SELECT doc_id, 'document' AS scope, a, n, body FROM whole
+      UNION ALL SELECT r.doc_id, 'block', r.a, r.n, r.body FROM runs r JOIN whole w USING (doc_id) WHERE w.runs > 1 AND r.n > 1
+      UNION ALL SELECT b.doc_id, 'line', b.i, 1, b.x FROM b JOIN whole w USING (doc_id) WHERE w.runs > 1 OR w.n > 1)
+    SELECT doc_id, license, scope, CAST(a AS INTEGER) AS first_line, CAST(n AS INTEGER) AS n_lines FROM u JOIN known ON c = body"""
+
+
 def joined(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 

@@ -108,5 +108,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-#: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+def _oracles() -> dict[str, str]:
+    """SQL for the queries that SQL can express."""
+    from docengine.llm import licenses
+
+    return {"op3_licenses": licenses.scan_sql()}
+
+
+ORACLES: dict[str, str] = _oracles()
