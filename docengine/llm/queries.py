@@ -110,9 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    from docengine.llm import licenses
+    from docengine.llm import licenses, secrets
 
-    return {"op3_licenses": licenses.scan_sql()}
+    return {"op3_licenses": licenses.scan_sql(), "op8_secrets": secrets.report_sql()}
 
 
 ORACLES: dict[str, str] = _oracles()

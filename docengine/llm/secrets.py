@@ -108,3 +108,30 @@ def report(found: DataFrame, id: str = "doc_id") -> DataFrame:
 
     counts = [count(k, name) for k, (name, *_) in enumerate(BASE)]
     return found.select(id, *counts, F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.concat("base", "linked")).alias("spans"))
+
+
+def report_sql(table: str = "documents", scope: int = SCOPE) -> str:
+    """`report(find_secrets(...))` as DuckDB SQL (ids must be unique). A bare token is a run of its characters of that length."""
+    forms = [(k, p, g, n, "true") for k, p, g, n in BASE + WEAK]
+    forms[len(BASE) + 1] = ("token", "[A-Za-z0-9+/=]+", 0, 40, "length(part) = 40 AND NOT contains(part, '=')")
+    kinds = []
+    for n, (_, pattern, group, least, more) in enumerate(forms):
+        quoted = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"""SELECT doc_id, {n} AS kind, pos AS start, pos + length(whole) AS stop FROM (
+          SELECT *, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY i) - length(whole) AS pos FROM (
+            SELECT doc_id, i, g[i] AS gap, w[i] AS whole, p[i] AS part FROM (SELECT doc_id, string_split_regex(t, {quoted}) AS g, regexp_extract_all(t, {quoted}, 0) AS w, regexp_extract_all(t, {quoted}, {group}) AS p FROM d) m, LATERAL (SELECT unnest(generate_series(1, len(w))) AS i)))
+        WHERE length(part) >= {least} AND {more}""")
+    near = lambda part: f"EXISTS (SELECT 1 FROM {part} o WHERE o.doc_id = w.doc_id AND ((o.start >= w.stop AND o.start - w.stop <= {scope}) OR (w.start >= o.stop AND w.start - o.stop <= {scope})))"
+    names = "['" + "', '".join(KINDS) + "']"
+    text = f"string_agg({names}[kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, kind, stop)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM {table}),
+    s AS ({" UNION ALL ".join(kinds)}),
+    base AS (SELECT * FROM s WHERE kind < {len(BASE)}),
+    weak AS (SELECT * FROM s w WHERE kind >= {len(BASE)} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND w.start < b.stop)),
+    ids AS (SELECT * FROM base WHERE kind = 1 UNION ALL SELECT * FROM weak WHERE kind = 3),
+    keys AS (SELECT * FROM base WHERE kind = 0 UNION ALL SELECT * FROM weak WHERE kind = 4),
+    linked AS (SELECT * FROM weak w WHERE (kind = 3 AND {near("keys")}) OR (kind = 4 AND {near("ids")}) OR (kind = 5 AND {near("ids")} AND {near("keys")})),
+    b AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h, {text} AS body FROM base GROUP BY doc_id),
+    e AS (SELECT doc_id, {text} AS body FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b.body, '')) AS base_sha256, coalesce(e.body, '') AS spans
+    FROM d LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)"""
