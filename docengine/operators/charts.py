@@ -6,7 +6,8 @@ null. Everything is built in, but the search for cycles, which walks one chart's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json as _json
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -185,3 +186,52 @@ def cycles(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame
             )
 
     return rows.mapInArrow(run, f"`{id}` {rows.schema[id].dataType.simpleString()}, render_type string, links_count long, nodes_count long, cycle string")
+
+
+def layout_captions(df: DataFrame, layout: str) -> DataFrame:
+    """page and caption of the image blocks of nested layouts {"pages": [{"page", "blocks": [{"type", "caption"}]}]}; other columns stay."""
+    schema = "struct<pages:array<struct<page:int,blocks:array<struct<type:string,caption:string>>>>>"
+    others = [c for c in df.columns if c != layout]
+    pages = df.select(*others, F.inline(F.from_json(layout, schema)["pages"]))
+    return pages.select(*others, "page", F.inline("blocks")).where("type = 'image'").drop("type")
+
+
+def chart_name(layout: Column, described: Column, alt: Column, heading: Column, kind: Column) -> Column:
+    """The first name that is not blank: layout, description, alternative text, heading, type."""
+    return F.coalesce(*[F.nullif(strip(x), F.lit("")) for x in (layout, described, alt, heading, kind)])
+
+
+def extract(df: DataFrame, model: Callable[[str], dict | None], image: str) -> DataFrame:
+    """df with status (chart, non_chart, error), json and error of a model hook for each image; failures are rows."""
+    names = df.columns
+    at = names.index(image)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            status, answers, errors = [], [], []
+            for value in b.column(at).to_pylist():
+                try:
+                    found = model(value)
+                    status.append("chart" if found and found.get("is_chart") is True else "non_chart")
+                    answers.append(_json.dumps(found) if found else None)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  (the row carries it)
+                    status.append("error")
+                    answers.append(None)
+                    errors.append(str(e)[:400])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(status), pa.array(answers, pa.string()), pa.array(errors, pa.string())], [*names, "status", "json", "error"])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{head}, status string, json string, error string")
+
+
+def options(points: DataFrame, id: str = "chart_id") -> DataFrame:
+    """option (JSON: title, labels, series) and block (an HTML container with it) of each chart."""
+    one = points.groupBy(id, "chart_type", "title", "s", "series").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
+    data = F.struct("s", F.col("series").alias("name"), F.transform("p", lambda q: q["x"]).alias("labels"), F.transform("p", lambda q: q["y"]).alias("data"))
+    by = one.groupBy(id, "chart_type", "title").agg(F.array_sort(F.collect_list(data)).alias("all"))
+    shown = F.transform("all", lambda x: F.struct(x["name"].alias("name"), F.col("chart_type").alias("type"), x["data"].alias("data")))
+    option = F.to_json(F.struct(F.struct(F.col("title").alias("text")).alias("title"), F.struct(F.col("all")[0]["labels"].alias("data")).alias("xAxis"), shown.alias("series")))
+    rows = by.select(id, option.alias("option"))
+    safe = F.replace(F.col("option"), F.lit("</"), F.lit("<\\/"))
+    return rows.withColumn("block", F.concat(F.lit("<div class='chart-container' id='"), F.col(id).cast("string"), F.lit("'><script type='application/json'>"), safe, F.lit("</script></div>")))

@@ -155,3 +155,19 @@ def resolve_reference(base: Column, reference: Column) -> Column:
     bad = reference.rlike(r"(?i)^\s*(?:https?:|data:)") | F.contains(reference, F.lit("\0"))
     return F.when(~bad & (ref != ""), F.when(ref.startswith("/"), ref).otherwise(F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), ref)))
 
+
+
+def remove_images(df: DataFrame, deleted: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Without the Markdown images whose reference is among `deleted` (ref): id, text.
+
+    References join the deleted ones as rows; a text only gathers its own."""
+    refs = df.select(id, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)))).alias("ref"))
+    gone = refs.join(deleted.select("ref"), "ref", "left_semi").groupBy(id).agg(F.collect_set("ref").alias("__gone"))
+    rows = df.select(id, text).join(gone, id, "left")
+    parts = F.split(F.col(text), r"(?=!\[[^\]]*\]\([^)]+\))", -1)
+
+    def part(p: Column) -> Column:
+        ref = F.regexp_extract(p, r"^!\[[^\]]*\]\(([^)]+)\)", 1)
+        return F.when(F.array_contains("__gone", ref), F.regexp_replace(p, r"^!\[[^\]]*\]\([^)]+\)", "")).otherwise(p)
+
+    return rows.select(id, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, part), "")).alias(text))

@@ -15,10 +15,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: an outer expression inside a lambda would run for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -17,7 +17,7 @@ from docengine.sources.tables import kept
 def hashed_embedding(text: Column, dim: int = 32) -> Column:
     """Stand-in for an embedding model: counts of hashed tokens, normalized. Native and deterministic."""
     slots = F.transform(T.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counts = vectors.let(slots, lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(held, lambda s: s == i)).cast("double")))
     return vectors.normalize(counts)
 
 
