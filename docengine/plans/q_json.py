@@ -12,6 +12,7 @@ from docengine.operators import charts as C
 from docengine.operators import chunking, hybrid
 from docengine.operators.cleaning import _INT, map_text
 from docengine.plans.registry import query, table
+from docengine.sources.tables import kept
 
 #: One outline line for each part, in three forms.
 OUTLINE_SQL = "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '        - 1.' || p_size || ' ' || p_name WHEN 1 THEN '#### ' || p_name WHEN 2 THEN '2.' || p_size || '.1 ' || p_name ELSE 'plain ' || p_name END AS line, p_size, p_name FROM part"
@@ -208,7 +209,7 @@ def chk12(spark, sf_dir):
 
 @query("chk14_parents")
 def chk14(spark, sf_dir):
-    _, parents = chunking.parents(chunking.dedup_in_document(chunking.chunk(table(spark, sf_dir, "documents"))))
+    _, parents = chunking.parents(kept(chunking.dedup_in_document(chunking.chunk(table(spark, sf_dir, "documents"))), "chunks"))
     return parents.select("parent", "doc_id", "n_chunks", F.md5("content").alias("content"))
 
 
