@@ -34,6 +34,8 @@ from docengine.llm.common import map_slices, stored
 
 #: Words of the shortest run that counts as repeated.
 MIN_WORDS = 50
+#: Parts that the rows of one block are dealt into before they meet its first occurrence.
+SALTS = 16
 _LAST = (1 << 63) - 1
 
 
@@ -142,7 +144,10 @@ def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     first = blocks.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").select("block", "origin")
     # In the same text the earlier occurrence must end before the later one begins.
     earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.last") < F.col("first"))
-    later = blocks.join(first, "block").where(earlier).select("pos", "k1", F.struct("first", "last").alias("run"))
+    # Salted: the rows of one frequent block meet its origin in SALTS tasks.
+    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("pos", "k1", "first"), F.lit(SALTS)))
+    origins = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    later = salted.join(origins, ["block", "salt"]).where(earlier).select("pos", "k1", F.struct("first", "last").alias("run"))
     return later.groupBy("pos", "k1").agg(F.array_sort(F.collect_set("run")).alias("runs"))
 
 
