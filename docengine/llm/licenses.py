@@ -6,9 +6,8 @@ spellings as one, white space collapsed. The digests of three kinds of entire te
 units as long as some known text are hashed, which loses nothing.
 
 Known notices are made by rule from licence names and notice forms; full texts are fixed values; `known` can
-bring others (license string, body string). The join is left to Spark: a small table of digests is broadcast
-under its own threshold, a large one is shuffled, and a unit is reported where it stands, so hot notices need
-no gathering.
+bring others (license string, body string). Up to MOST_BROADCAST digests (counted first) are broadcast, more are
+shuffled; a unit is reported where it stands, so hot notices need no gathering.
 
 A null or empty text has no licence. Null ids are kept; repeated rows are reported as often as they come. A
 document whose whole text is one line is reported at its widest scope only. Other columns are not carried over.
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 
 from docengine.operators.vectors import let
 
+#: Digests (about 100 bytes each) that are broadcast.
+MOST_BROADCAST = 100_000
+
 # Names of licences by identifier, forms of notices ({} is the name), equivalent spellings, full texts.
 NAMES = {
     "MIT": ["MIT License", "MIT"],
@@ -140,11 +142,14 @@ def digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
 def scan(df: DataFrame, text: str = "text", id: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
     """id, license, scope (document, block, line), first_line, n_lines (counted from 0) of each known text found."""
     table = digests(df.sparkSession, known)
-    low, high = table.agg(F.min("size"), F.max("size")).first()
+    low, high, n = table.agg(F.min("size"), F.max("size"), F.count("*")).first()
+    hashed = table.select("digest", "license")
+    if n <= MOST_BROADCAST:
+        hashed = F.broadcast(hashed)
     found = let(canonical_lines(F.col(text)), lambda lines: let(_blocks(lines), lambda spans: _units(lines, spans, low or 0, high or 0)))
     # explode_outer: explode would have the optimizer put the whole expression into a filter too.
     units = df.where(F.col(text).isNotNull()).select(F.col(id).alias("key"), F.explode_outer(found).alias("u")).select("key", "u.*")
-    return units.join(table.select("digest", "license"), "digest").select(F.col("key").alias(id), "license", "scope", "first_line", "n_lines")
+    return units.join(hashed, "digest").select(F.col("key").alias(id), "license", "scope", "first_line", "n_lines")
 
 
 def _blocks(lines: Column) -> Column:
