@@ -6,7 +6,7 @@ anchors at lines, (?d) so that only line feeds end a line.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +39,11 @@ TOKEN = "[a-z0-9_]+|[、-〿㐀-䶿一-鿿]"
 QR_WORDS = ["二维码", "扫码", "扫一扫", "公众号", "微信", "qrcode"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; written out, it would run wherever the body names it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space (Unicode) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -121,14 +126,13 @@ def normalize_for_fingerprint(text: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """First 16 hex digits of the MD5 of the normalized text; empty for an empty one."""
-    norm = normalize_for_fingerprint(text)
-    return F.when(norm == "", F.lit("")).otherwise(F.substring(F.md5(F.encode(norm, "UTF-8")), 1, 16))
+    return let(normalize_for_fingerprint(text), lambda norm: F.when(norm == "", F.lit("")).otherwise(F.substring(F.md5(F.encode(norm, "UTF-8")), 1, 16)))
 
 
 def dedup_group_id(text: Column, chunk_type: Column, chart_id: Column | None = None) -> Column:
     """chart:<id>, <type>:<fingerprint> or <fingerprint>; empty without content."""
-    kind, mark = F.lower(strip(F.coalesce(chunk_type, F.lit("")))), fingerprint(text)
-    plain = F.when(mark == "", F.lit("")).when(kind == "", mark).otherwise(F.concat(kind, F.lit(":"), mark))
+    kind = F.lower(strip(F.coalesce(chunk_type, F.lit(""))))
+    plain = let(fingerprint(text), lambda mark: F.when(mark == "", F.lit("")).when(kind == "", mark).otherwise(F.concat(kind, F.lit(":"), mark)))
     if chart_id is None:
         return plain
     cid = strip(F.coalesce(chart_id, F.lit("")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions.text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -15,11 +17,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once: an outer expression inside a lambda would run for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))))
