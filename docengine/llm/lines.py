@@ -1,19 +1,17 @@
-"""Line de-duplication by winnowing (operator 9).
+"""Line de-duplication by line fingerprints (operator 9).
 
 Texts are sequences of lines in the order of their ids. A line's hash is XXH64 of its words joined by one
-space; lines without words are passed over and always stay. A run of consecutive lines with MIN_WORDS words
-or more that already stands in an earlier text, or earlier in the same text without overlap, is deleted; its
-first occurrence stays.
-
-1. Blocks: from each line on, and back from each line, the fewest lines that reach MIN_WORDS words. Every
-   run of MIN_WORDS words is a union of such blocks.
-2. Winnowing: of each block the line with the least hash is selected (the last of equal ones). A repeated
-   block selects the same line wherever it stands, so repeated runs share a fingerprint for certain.
-3. Fingerprints are counted (partial sums first); positions join those that occur more than once, and only
-   blocks around such a position go on.
-4. Each block joins its first occurrence (a partial minimum, so frequent passages are no burden). Blocks
-   with an earlier occurrence that touch or overlap grow into one run, both ways from the fingerprint.
-5. The runs' lines are deleted from the texts by built-in expressions.
+space; lines without words are passed over. A line is deleted if it lies whole in a run of MIN_WORDS words
+or more that already stands in an earlier text, or earlier in the same text without overlap; the run may begin
+and end inside lines, whose words stay. Of lines without words those inside a run go. The first occurrence stays.
+
+1. Fingerprints: the hashes of single lines, counted (partial sums first). A line that stands once in all texts
+   cannot be deleted; texts with lines that stand more often go on.
+2. Windows: the runs of exactly MIN_WORDS words that hold such a line whole, wherever they begin and end; of a
+   line of MIN_WORDS words or more, runs that cover it and one that leads on to the next line.
+3. Each window joins its first occurrence (a partial minimum; the few very frequent ones are broadcast, so
+   frequent passages are no burden). A run of any length is a union of its windows.
+4. Lines that lie in windows with an earlier occurrence are deleted by built-in expressions.
 
 A null text stays null and an empty one empty. Null ids come last in the order; rows with the same id come
 in the order of a hash of their texts; rows that repeat id and text are one text and are all treated alike.
@@ -34,8 +32,8 @@ from docengine.llm.common import map_slices, stored
 
 #: Words of the shortest run that counts as repeated.
 MIN_WORDS = 50
-#: Parts that the rows of one block are dealt into before they meet its first occurrence.
-SALTS = 16
+#: A fingerprint or window with more than this part of all rows is broadcast: there are fewer than 1 / FREQUENT.
+FREQUENT = 0.001
 _LAST = (1 << 63) - 1
 
 
@@ -50,81 +48,118 @@ def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
     return at, hashes, counts
 
 
-def blocks_of(counts: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest blocks of `least` words from each line on and back from each line."""
+def window_starts(counts: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Positions of the first words of the windows around the lines that `shared` marks."""
     total = np.concatenate([[0], np.cumsum(counts)])
-    n = len(counts)
-    ends = np.searchsorted(total, total[:-1] + least)  # total[end] - total[first] >= least
-    starts = np.searchsorted(total, total[1:] - least, side="right") - 1
-    found = {(i, e - 1) for i, e in enumerate(ends.tolist()) if e <= n}
-    return sorted(found | {(s, j) for j, s in enumerate(starts.tolist()) if s >= 0})
-
-
-def selected(hashes: list[int], blocks: list[tuple[int, int]]) -> list[int]:
-    """For each block the position of its least hash, the last one of equals."""
-    out = []
-    for a, b in blocks:
-        part = hashes[a : b + 1]
-        low = min(part)
-        out.append(b - part[::-1].index(low))
+    wanted = np.zeros(max(0, int(total[-1]) - least + 1), bool)
+    for i in np.flatnonzero(shared).tolist():
+        s, e = int(total[i]), int(total[i + 1])
+        if e - s < least:
+            wanted[max(0, e - least) : s + 1] = True
+        else:
+            wanted[s : e - least + 1 : least] = True
+            wanted[e - least : e - least + 2] = True
+    return np.flatnonzero(wanted)
+
+
+def runs_of(at: np.ndarray, counts: np.ndarray, starts: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, last) line numbers of the lines that lie whole in the windows, and of those that one window joins."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    s, e = total[:-1], total[1:]
+    starts = np.sort(starts)
+    among = lambda low, high: np.searchsorted(starts, high, "right") > np.searchsorted(starts, low, "left")
+    gone = (e - s < least) & among(e - least, s)
+    have = set(starts.tolist())
+    for i in np.flatnonzero(e - s >= least).tolist():
+        gone[i] = have.issuperset(range(s[i], e[i] - least + 1, least)) and int(e[i]) - least in have
+    bound = among(e - least + 1, e - 1)
+    out, i, n = [], 0, len(at)
+    while i < n:
+        j = i
+        if gone[i]:
+            while j + 1 < n and gone[j + 1] and bound[j]:
+                j += 1
+            out.append((int(at[i]), int(at[j])))
+        i = j + 1
     return out
 
 
 def _sequences(rows: DataFrame) -> DataFrame:
-    """pos, k1, lines, hashes, counts (packed) and prints (selected hashes) of each text that has a block."""
+    """pos, k1, lines, counts (packed) and prints (line hashes, twice if they repeat) of each text of MIN_WORDS words or more."""
 
     def make() -> Callable:
         least = MIN_WORDS
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept, lines, hashes, counts, prints = [], [], [], [], []
+            kept, lines, counts, prints = [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 at, h, c = line_hashes(text or "")
                 if sum(c) >= least:
-                    blocks = blocks_of(np.array(c), least)
                     kept.append(i)
                     lines.append(np.array(at, "<i4").tobytes())
-                    hashes.append(np.array(h, "<u8").tobytes())
                     counts.append(np.array(c, "<i4").tobytes())
-                    prints.append(np.unique(np.array(h, np.uint64)[selected(h, blocks)]).view(np.int64))
+                    values, n = np.unique(np.array(h, np.uint64), return_counts=True)
+                    prints.append(np.concatenate([values, values[n > 1]]).view(np.int64))
             taken = batch.take(pa.array(kept, pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(lines, pa.binary()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
-                ["pos", "k1", "lines", "hashes", "counts", "prints"],
+                [taken.column(0), taken.column(1), pa.array(lines, pa.binary()), pa.array(counts, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                ["pos", "k1", "lines", "counts", "prints"],
             )
 
         return apply
 
-    return map_slices(rows, make, "pos long, k1 long, lines binary, hashes binary, counts binary, prints array<long>", "body")
+    return map_slices(rows, make, "pos long, k1 long, lines binary, counts binary, prints array<long>", "body")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """pos, k1, first, last (line numbers), block (hash) of the blocks whose fingerprint is among `shared`."""
+def _windows(rows: DataFrame) -> DataFrame:
+    """pos, k1, start (number of the first word), block (hash) of the windows around lines whose hash is among `shared`."""
 
     def make() -> Callable:
         least = MIN_WORDS
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            owner, first, last, block = [], [], [], []
+            owner, start, block = [], [], []
             for i in range(batch.num_rows):
-                at, h = np.frombuffer(batch.column(2)[i].as_py(), "<i4").tolist(), np.frombuffer(batch.column(3)[i].as_py(), "<u8")
-                blocks = blocks_of(np.frombuffer(batch.column(4)[i].as_py(), "<i4"), least)
-                shared = set(np.array(batch.column(5)[i].as_py(), np.int64).view(np.uint64).tolist())
-                values, packed = h.tolist(), h.tobytes()
-                for (a, b), p in zip(blocks, selected(values, blocks)):
-                    if values[p] in shared:
-                        owner.append(i)
-                        first.append(at[a])
-                        last.append(at[b])
-                        block.append(xxhash.xxh64_intdigest(packed[8 * a : 8 * b + 8]))
-            taken = batch.take(pa.array(owner, pa.int64()))
+                text = batch.column(2)[i].as_py()
+                _, h, c = line_hashes(text)
+                starts = window_starts(np.array(c), np.isin(np.array(h, np.uint64).view(np.int64), np.array(batch.column(3)[i].as_py(), np.int64)), least)
+                words = [w for line in text.split("\n") for w in line.split()]
+                packed = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).tobytes()
+                owner += [i] * len(starts)
+                start.append(starts)
+                block += [xxhash.xxh64_intdigest(packed[8 * a : 8 * (a + least)]) for a in starts.tolist()]
+            taken = batch.select(["pos", "k1"]).take(pa.array(owner, pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(np.array(block, np.uint64).view(np.int64))], ["pos", "k1", "first", "last", "block"]
+                [taken.column(0), taken.column(1), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.array(block, np.uint64).view(np.int64))], ["pos", "k1", "start", "block"]
             )
 
         return apply
 
-    return map_slices(rows, make, "pos long, k1 long, first int, last int, block long")
+    return map_slices(rows, make, "pos long, k1 long, start int, block long", "body")
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """pos, k1, runs from pos, k1, lines, counts and the starts of the windows with an earlier occurrence."""
+
+    def make() -> Callable:
+        least = MIN_WORDS
+
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            unpacked = lambda column, i: np.frombuffer(batch.column(column)[i].as_py(), "<i4").astype(np.int64)
+            runs = [[{"first": a, "last": b} for a, b in runs_of(unpacked(2, i), unpacked(3, i), np.array(batch.column(4)[i].as_py(), np.int64), least)] for i in range(batch.num_rows)]
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, kind)], ["pos", "k1", "runs"])
+
+        return apply
+
+    return map_slices(rows, make, "pos long, k1 long, runs array<struct<first:int,last:int>>", "lines")
+
+
+def _meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows joined by `key` to `found` (its column n counts the rows of each key): frequent keys by broadcast, others dealt by key."""
+    least = max(100, int(found.agg(F.sum("n")).first()[0] or 0) * FREQUENT)
+    frequent = F.broadcast(found.where(F.col("n") > least).drop("n"))
+    return rows.join(frequent, key).unionByName(rows.join(frequent.select(key), key, "left_anti").join(found.where(F.col("n") <= least).drop("n"), key))
 
 
 def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -133,41 +168,15 @@ def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     texts, _ = stored(_sequences(rows), "lines")
     texts = texts.dropDuplicates(["pos", "k1"])
     prints = texts.select("pos", "k1", F.explode("prints").alias("print"))
-    # A fingerprint that one text alone holds can still repeat inside it: its lines tell.
-    several = prints.groupBy("print").count().where("count > 1").select("print")
-    joined = prints.join(several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared"))
-    own = _own_repeats(texts)
-    shared = texts.join(joined, ["pos", "k1"], "left").join(own, ["pos", "k1"], "left")
-    shared = shared.select("pos", "k1", "lines", "hashes", "counts", F.array_union(F.coalesce("shared", F.array().cast("array<long>")), F.coalesce("own", F.array().cast("array<long>"))).alias("shared"))
-    blocks, _ = stored(_blocks(shared.where(F.size("shared") > 0)), "blocks")
-    here = F.struct("pos", "k1", "first", "last")
-    first = blocks.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").select("block", "origin")
+    several, _ = stored(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "prints")
+    shared, _ = stored(_meet(prints, several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared")), "shared")
+    windows, _ = stored(_windows(rows.join(shared, ["pos", "k1"])), "windows")
+    here = F.struct("pos", "k1", "start")
+    first, _ = stored(windows.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
     # In the same text the earlier occurrence must end before the later one begins.
-    earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.last") < F.col("first"))
-    # Salted: the rows of one frequent block meet its origin in SALTS tasks.
-    salted = blocks.withColumn("salt", F.pmod(F.xxhash64("pos", "k1", "first"), F.lit(SALTS)))
-    origins = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    later = salted.join(origins, ["block", "salt"]).where(earlier).select("pos", "k1", F.struct("first", "last").alias("run"))
-    return later.groupBy("pos", "k1").agg(F.array_sort(F.collect_set("run")).alias("runs"))
-
-
-def _own_repeats(texts: DataFrame) -> DataFrame:
-    """pos, k1, own array<long>: hashes that stand more than once in the text itself."""
-
-    def make() -> Callable:
-        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept, own = [], []
-            for i in range(batch.num_rows):
-                h, n = np.unique(np.frombuffer(batch.column(2)[i].as_py(), "<i8"), return_counts=True)
-                if (n > 1).any():
-                    kept.append(i)
-                    own.append(h[n > 1])
-            taken = batch.take(pa.array(kept, pa.int64()))
-            return pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(own, pa.list_(pa.int64()))], ["pos", "k1", "own"])
-
-        return apply
-
-    return map_slices(texts.select("pos", "k1", "hashes"), make, "pos long, k1 long, own array<long>")
+    earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.start") + MIN_WORDS <= F.col("start"))
+    later = _meet(windows, first, "block").where(earlier).groupBy("pos", "k1").agg(F.collect_set("start").alias("starts"))
+    return _runs(texts.select("pos", "k1", "lines", "counts").join(later, ["pos", "k1"])).where(F.size("runs") > 0)
 
 
 def _place(text: str, id: str) -> list:

@@ -66,3 +66,23 @@ def test_edges_of_input(spark):
     got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
     assert got == sorted([(1, None), (2, ""), (None, ""), (3, long), (3, long), (4, "a")], key=str)
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_passage_that_begins_and_ends_inside_lines(spark):
+    words = [f"p{i}" for i in range(59)]
+    copied = lambda before, after: f"{before} {' '.join(words[:15])}\n{' '.join(words[15:30])}\n\n{' '.join(words[30:44])}\n{' '.join(words[44:])} {after}"
+    short = lambda before, after: f"{before} {' '.join(words[:10])}\n{' '.join(words[10:40])}\n{' '.join(words[40:49])} {after}"
+    docs = [(1, copied("one", "two")), (2, copied("three four", "five")), (3, short("six", "seven")), (4, "own words\n" + short("eight", "nine"))]
+    docs += [(5, " ".join(f"q{i}" for i in range(50)) + " own\nlast"), (6, " ".join(f"q{i}" for i in range(50)) + " other\nlast")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == docs[0][1]
+    assert got[2] == f"three four {' '.join(words[:15])}\n{' '.join(words[44:])} five"
+    # 49 words in common are too few; so are lines of which only a part is repeated.
+    assert [got[i] for i in (3, 4, 5, 6)] == [t for _, t in docs[2:]]
+
+
+def test_long_lines_and_frequent_windows(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(i, f"own{i}\n{line('a', 120)}\n\n{line('b', 50)}\n{line('c', 7)}\nend{i}") for i in range(1200)]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1] and all(got[i] == f"own{i}\nend{i}" for i in range(1, 1200))
