@@ -5,7 +5,7 @@ number of tags in it, and where it stands. Lines in menus, headers and footers o
 adverts, forms, comments and hidden elements count as no text. The text-to-tag ratios are smoothed by a
 Gaussian and lines above a threshold (the deviation of the smoothed ratios) form clusters. The clusters choose
 the content region: the article or main element that holds most of their text or, in a page without such an
-element, the elements that are parents of their lines. All lines of that region stay, short ones too.
+element, the lowest element that holds all of their lines. All lines of that region stay, short ones too.
 
 A null or empty page gives an empty text; broken markup is read as far as it goes; urls may be null; rows
 repeat as they come. Memory is bounded by one slice of pages and one page's lines.
@@ -13,6 +13,7 @@ repeat as they come. Memory is bounded by one slice of pages and one page's line
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -32,6 +33,7 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+BOXES = set("body center div section td".split())
 DROPPED = set("aside audio button canvas dialog footer form head iframe input menu nav noscript object option script search select style svg template textarea title video".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 WORDS = set(
@@ -45,22 +47,22 @@ _TOKENS = re.compile("[a-z]+")
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, parent element, region or -1, dropped)."""
+    """Collects lines: (text, tags, numbers of the elements around it, region or -1, dropped)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = [("", False, -1, 0)]  # tag, dropped, region, number
         self.parts: list[str] = []
         self.tags = self.count = 0
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int, bool]] = []
         self.outer: dict[int, int] = {}  # region -> the region around it
+        self.boxes = {0}  # elements that can be the content region of a page without article or main
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             at = next((x for x in reversed(self.open) if x[0] in BLOCKS or not x[0]), self.open[0])
-            above = next((x for x in reversed(self.open) if (x[0] in BLOCKS or not x[0]) and x[0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")), self.open[0])
-            self.lines.append((text, self.tags, above[3], at[2], self.open[-1][1]))
+            self.lines.append((text, self.tags, tuple(x[3] for x in self.open), at[2], self.open[-1][1]))
             self.tags = 0
         self.parts = []
 
@@ -102,6 +104,8 @@ class Lines(HTMLParser):
             return
         _, gone, region, _ = self.open[-1]
         self.count += 1
+        if tag in BOXES:
+            self.boxes.add(self.count)
         if tag in ("article", "main") and not gone:
             self.outer[self.count] = region
             gone = self.dropped(tag, attrs, region)
@@ -124,7 +128,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
+    def finish(self) -> list[tuple[str, int, tuple[int, ...], int, bool]]:
         self.close()
         self.line()
         return self.lines
@@ -169,8 +173,10 @@ def main_text(html: str | None) -> str:
                 within.add(region)
         kept = [x[0] for x in lines if x[3] in within and not x[4]]
     else:
-        parents = {lines[i][2] for i in np.flatnonzero(content).tolist()}
-        kept = [x[0] for x in lines if x[2] in parents and not x[4]]
+        around = [[e for e in lines[i][2] if e in parser.boxes] for i in np.flatnonzero(content).tolist()]
+        # The elements around all of them: one inside the next, so the longest common start.
+        best = (os.path.commonprefix(around) or [0])[-1]
+        kept = [x[0] for x in lines if best in x[2] and not x[4]]
     return "\n".join(kept)
 
 

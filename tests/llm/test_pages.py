@@ -38,3 +38,12 @@ def test_frames(spark):
     out = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got.collect()), key=str)
     assert out == sorted([(1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (None, None, "", 0), (2, "v", "", 0), (3, "w", "\n".join(["some words of text"] * 5000), 18 * 5000 + 4999)], key=str)
     assert pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+
+
+def test_everything_in_the_region_without_article():
+    long = "A paragraph with plenty of words in it to be content, and then some more words so that it is long."
+    parts = [f"<p>{long}</p>", "<ul><li>one</li><li><b>two</b></li></ul>", "<table><tr><td>a</td><td>b</td></tr></table>", "<blockquote>quoted</blockquote>", "<section><h2>Part</h2><div>inner</div></section>", f"<p>{long}</p>"]
+    html = f"<body><div class=menu><a href=x>One</a></div><div>{''.join(parts)}</div><footer>foot</footer></body>"
+    assert pages.main_text(html) == "\n".join([long, "one", "two", "a", "b", "quoted", "Part", "inner", long])
+    assert pages.main_text(f"<body><div>{parts[1]}{parts[0]}</div><div class=ad>Buy this</div></body>") == f"one\ntwo\n{long}"
+    assert pages.main_text(f"<div>{parts[4]}<blockquote>{long} {long}</blockquote><p>end</p></div>") == f"Part\ninner\n{long} {long}\nend"
