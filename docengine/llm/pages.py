@@ -2,7 +2,11 @@
 
 Events of the standard library's streaming parser become lines, one for each block element: its text, the
 number of tags in it, and where it stands. Lines in menus, headers and footers of the page, sidebars, notices,
-adverts, forms, comments and hidden elements count as no text. The text-to-tag ratios are smoothed by a
+adverts, forms, comments and hidden elements count as no text. Classes and ids name such a part if a whole name
+does (`related-posts`, not `has-related`); headings are never one, nor is, in a page without another article or main
+element, what encloses one or holds nearly all text. Were all text dropped by names, names do not count.
+
+The text-to-tag ratios are smoothed by a
 Gaussian and lines above a threshold (the deviation of the smoothed ratios) form clusters. The clusters choose
 the content region: the article or main element that holds most of their text or, in a page without such an
 element, the lowest element that holds all of their lines. All lines of that region stay, short ones too.
@@ -41,11 +45,21 @@ WORDS = set(
     "footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond "
     "share sharing social related recommended newsletter subscribe subscription signup login widget widgets toolbar pagination pager search skip".split()
 )
+#: Neutral words that stand beside them in names of one part of a page.
+BESIDE = set("box block area container wrap wrapper list item items link links section bar post posts article articles story stories content button buttons form header title text top bottom left right main site page primary secondary side inner outer slot unit module panel js".split())
+#: Part of the page's text from which on an element is the page and no part of it.
+WHOLE = 0.8
 CLOSES_P = BLOCKS - {"option"}
 REPEATS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _TOKENS = re.compile("[a-z]+")
 
 
+def named(value: str) -> bool:
+    """Whether one of the names in a class or id names a part that is no main text."""
+    names = (_TOKENS.findall(x) for x in value.split())
+    return any(not WORDS.isdisjoint(x) and (WORDS | BESIDE).issuperset(x) for x in names)
+
+
 class Lines(HTMLParser):
     """Collects lines: (text, tags, numbers of the elements around it, region or -1, dropped)."""
 
@@ -57,6 +71,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, tuple[int, ...], int, bool]] = []
         self.outer: dict[int, int] = {}  # region -> the region around it
         self.boxes = {0}  # elements that can be the content region of a page without article or main
+        self.named: set[int] = set()  # elements whose class or id names no main text
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -77,8 +92,6 @@ class Lines(HTMLParser):
                 return True
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "main") and not WORDS.isdisjoint(_TOKENS.findall(value)):
-                return True
         return False
 
     def pop_to(self, tag: str, within: set[str]) -> None:
@@ -106,6 +119,8 @@ class Lines(HTMLParser):
         self.count += 1
         if tag in BOXES:
             self.boxes.add(self.count)
+        if tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") and any(n in ("class", "id") and named((v or "").lower()) for n, v in attrs):
+            self.named.add(self.count)
         if tag in ("article", "main") and not gone:
             self.outer[self.count] = region
             gone = self.dropped(tag, attrs, region)
@@ -141,6 +156,25 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid")
 
 
+def by_names(parser: Lines, lines: list) -> np.ndarray:
+    """The lines that are dropped for the names of the elements around them."""
+    inside = [[e for e in x[2] if e in parser.named] if not x[4] else [] for x in lines]
+    left = [i for i, x in enumerate(lines) if not x[4]]
+    if not any(lines[i][3] >= 0 and not inside[i] for i in left):
+        held: dict[int, int] = {}
+        whole = set()
+        for i in left:
+            for e in inside[i]:
+                held[e] = held.get(e, 0) + len(lines[i][0])
+                if lines[i][3] > e and lines[i][3] not in parser.named:
+                    whole.add(e)
+        most = WHOLE * sum(len(lines[i][0]) for i in left)
+        whole |= {e for e, size in held.items() if size > most}
+        inside = [[e for e in x if e not in whole] for x in inside]
+    gone = np.array([bool(x) for x in inside])
+    return gone if any(not gone[i] for i in left) else np.zeros(len(lines), bool)
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page: its lines joined by line feeds."""
     if not html:
@@ -150,7 +184,7 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    gone = np.array([x[4] for x in lines])
+    gone = np.array([x[4] for x in lines]) | by_names(parser, lines)
     sizes = np.array([len(x[0]) for x in lines])
     ratios = np.where(gone, 0.0, sizes / np.array([max(1, x[1]) for x in lines]))
     curve = smoothed(ratios)
@@ -171,12 +205,12 @@ def main_text(html: str | None) -> str:
         for region in sorted(parser.outer):
             if parser.outer[region] in within:
                 within.add(region)
-        kept = [x[0] for x in lines if x[3] in within and not x[4]]
+        kept = [x[0] for x, out in zip(lines, gone.tolist()) if x[3] in within and not out]
     else:
         around = [[e for e in lines[i][2] if e in parser.boxes] for i in np.flatnonzero(content).tolist()]
         # The elements around all of them: one inside the next, so the longest common start.
         best = (os.path.commonprefix(around) or [0])[-1]
-        kept = [x[0] for x in lines if best in x[2] and not x[4]]
+        kept = [x[0] for x, out in zip(lines, gone.tolist()) if best in x[2] and not out]
     return "\n".join(kept)
 
 

@@ -47,3 +47,20 @@ def test_everything_in_the_region_without_article():
     assert pages.main_text(html) == "\n".join([long, "one", "two", "a", "b", "quoted", "Part", "inner", long])
     assert pages.main_text(f"<body><div>{parts[1]}{parts[0]}</div><div class=ad>Buy this</div></body>") == f"one\ntwo\n{long}"
     assert pages.main_text(f"<div>{parts[4]}<blockquote>{long} {long}</blockquote><p>end</p></div>") == f"Part\ninner\n{long} {long}\nend"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><div id=page class='has-sidebar'>{ARTICLE}</div></body>", f"<body><div class='search'><div>{ARTICLE}</div></div><div class=ad>Buy this</div></body>",
+        ARTICLE.replace("<article>", "<article class='post no-comments'>"), ARTICLE.replace("<h1>", "<h1 id='related'>"), ARTICLE.replace("<p>Short.", "<section id='search-results'><p>Short.</section>"),
+        f"<div class='widget'>{ARTICLE.replace('article>', 'div>')}</div><div class='comments'>No.</div>", ARTICLE.replace("article>", "div>").replace("<div>", "<div class='notice'>"),
+    ],
+)
+def test_names_that_drop_nothing(html):
+    assert pages.main_text(html) == TEXT
+
+
+def test_names_that_still_drop():
+    more = "".join(f"<div class='{x}'><p>Something else that is here too, words.</p></div>" for x in ("related-posts", "ad ad-1", "x comments-list", "social_share_box"))
+    assert pages.main_text(ARTICLE.replace("</article>", f"{more}</article>")) == TEXT
