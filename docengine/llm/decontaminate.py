@@ -6,8 +6,8 @@ text, if that is shorter). An item is found in a text where some window's weight
 
     sum of w(s) * min(count in window, count in item) / sum of w(s) * max(...)
 
-is at least 0.8. w(s) is 1 over the number of items that hold s, so phrases that many items share weigh less;
-shingles of no item weigh 1.
+is at least 0.8. w(s) is 1 over the number of different item texts that hold s, counted over the whole benchmark, so
+phrases that many items share weigh less; shingles that the item does not hold weigh as its own do on average.
 
 Fingerprints are taken where they can matter: a window without any shingle of an item has similarity zero, so
 only windows around known shingles are fingerprinted (this loses nothing). The 128-bit SimHash of a window
@@ -27,6 +27,7 @@ as they come. Of equally similar windows the first is reported. Other columns ar
 from __future__ import annotations
 
 import re
+import hashlib
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import map_slices
+from docengine.llm.common import map_slices, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BLOCKS, RADIUS = 8, 36
@@ -100,13 +101,21 @@ def window_prints(shingles: np.ndarray, weights: np.ndarray, per_window: int) ->
 class Items:
     """Benchmark items by length, their shingles, weights and fingerprints with the multi-index over blocks."""
 
-    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, width: int = SHINGLE, radius: int = RADIUS):
+    def __init__(self, ids: list, texts: list[str], similarity: float = SIMILARITY, width: int = SHINGLE, radius: int = RADIUS, spread: tuple[list, list, float] | None = None):
+        """`spread`: hashes and counts of shingles that several texts of the whole benchmark hold, and the mean weight of its shingles; if these are all its items, None."""
         self.similarity, self.width, self.radius = similarity, width, radius
         kept = [(i, w) for i, w in ((i, tuple(_words((t or "").lower()))) for i, t in zip(ids, texts)) if w]
         self.ids, self.words = [i for i, _ in kept], [w for _, w in kept]
-        spread: Counter = Counter(s for w in self.words for s in set(self.shingles(w)))
-        self.weight = {s: 1.0 / n for s, n in spread.items()}
+        # Repeated items hold their shingles once. What no item holds weighs as much as a known shingle does on average.
+        if spread is None:
+            held = Counter(s for w in set(self.words) for s in set(self.shingles(w)))
+            self.weight = {s: 1.0 / n for s, n in held.items()}
+            self.unknown = sum(self.weight.values()) / max(1, len(self.weight))
+        else:
+            several, self.unknown = dict(zip(spread[0], spread[1])), spread[2]
+            self.weight = {s: 1.0 / several.get(x, 1) for w in set(self.words) for s, x in zip(self.shingles(w), self.shingle_values(w).tolist())}
         self.counts = [Counter(self.shingles(w)) for w in self.words]
+        self.other = [sum(self.weight[s] * n for s, n in c.items()) / sum(c.values()) for c in self.counts]
         hashes, values = [], []
         self.by_length: dict[int, list[int]] = defaultdict(list)
         for n, w in enumerate(self.words):
@@ -131,14 +140,18 @@ class Items:
         k = min(self.width, len(words))
         return [words[i : i + k] for i in range(len(words) - k + 1)]
 
+    def shingle_values(self, words) -> np.ndarray:
+        """Hashes of `shingles`, as signed numbers."""
+        return shingle_hashes(self.hash_words(words), min(self.width, len(words))).view(np.int64)
+
     def hash_words(self, words) -> np.ndarray:
         return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
     def weights_of(self, shingles: np.ndarray) -> np.ndarray:
         if not len(self.known):
-            return np.ones(len(shingles))
+            return np.ones(len(shingles))  # there is no item
         at = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        return np.where(self.known[at] == shingles, self.known_weight[at], 1.0)
+        return np.where(self.known[at] == shingles, self.known_weight[at], self.unknown)
 
     def print_of(self, words: tuple[str, ...]) -> np.ndarray:
         s = shingle_hashes(self.hash_words(words), min(self.width, len(words)))
@@ -166,11 +179,12 @@ class Items:
         return out
 
     def verified(self, words: tuple[str, ...], item: int) -> float:
-        """Exact weighted-shingle similarity of a window and an item."""
+        """Exact weighted-shingle similarity of a window and an item; shingles that the item has not weigh as its own do on average."""
         mine, other = Counter(self.shingles(words)), self.counts[item]
         low = high = 0.0
         for s in mine.keys() | other.keys():
-            w, a, b = self.weight.get(s, 1.0), mine.get(s, 0), other.get(s, 0)
+            a, b = mine.get(s, 0), other.get(s, 0)
+            w = self.weight[s] if b else self.other[item]
             low, high = low + w * min(a, b), high + w * max(a, b)
         return low / high if high else 0.0
 
@@ -231,12 +245,38 @@ def scan_batch(items: Items, texts: list[str | None]) -> list[dict[int, tuple[fl
     return [items.scan(words[i], h[ends[i] - count[i] : ends[i]], hits[i]) if i in hits else {} for i in range(len(texts))]
 
 
-def parts_of(benchmark: DataFrame, text: str, id: str) -> list[DataFrame]:
-    """The benchmark in parts whose size is checked."""
+def _held_shingles(rows: DataFrame) -> DataFrame:
+    """text (hash of the item's words), shingle (hash): each shingle of each item's text."""
+
+    def make() -> Callable:
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            items = Items(list(range(batch.num_rows)), batch.column(0).to_pylist(), spread=([], [], 1.0))
+            values = [np.unique(items.shingle_values(w)) for w in items.words]
+            names = [hashlib.sha256(" ".join(w).encode("utf-8", "surrogatepass")).digest() for w in items.words]
+            owner = np.repeat(np.arange(len(values)), [len(x) for x in values])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(owner)), pa.array(np.concatenate(values) if values else [], pa.int64())], ["text", "shingle"])
+
+        return apply
+
+    return map_slices(rows.select("words"), make, "text binary, shingle long", "words", finish=forget)
+
+
+def parts_of(benchmark: DataFrame, text: str, id: str) -> list[tuple[pa.Table, tuple | None]]:
+    """The benchmark in parts whose size is checked: items in order, and what `Items` takes as `spread` if there are several parts."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(id).alias("item"), F.col(text).alias("words"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
     parts = max(1, -(-n // PART_ITEMS), -(-size // PART_BYTES))
-    return [rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == p) for p in range(parts)] if parts > 1 else [rows]
+    in_order = lambda part: part.toArrow().sort_by([("item", "ascending"), ("words", "ascending")])
+    if parts == 1:
+        return [(in_order(rows), None)]
+    counts, _ = stored(_held_shingles(rows).distinct().groupBy("shingle").agg(F.count("*").alias("n")), "shingles")
+    mean = counts.agg(F.avg(1 / F.col("n"))).first()[0] or 1.0
+    out = []
+    for p in range(parts):
+        part = rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == p)
+        several = counts.where("n > 1").join(_held_shingles(part).select("shingle").distinct(), "shingle").toArrow()
+        out.append((in_order(part), (several.column("shingle").to_pylist(), several.column("n").to_pylist(), mean)))
+    return out
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -245,12 +285,11 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", id: st
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
     key, item = rows.schema["key"].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     out = None
-    for part in parts_of(benchmark, item_text, item_id):
-        found = part.toArrow().sort_by([("item", "ascending"), ("words", "ascending")])
-        held = spark.sparkContext.broadcast((found.column("item").to_pylist(), found.column("words").to_pylist()))
+    for found, spread in parts_of(benchmark, item_text, item_id):
+        held = spark.sparkContext.broadcast((found.column("item").to_pylist(), found.column("words").to_pylist(), spread))
 
         def make(held=held, item_type=found.schema.field("item").type) -> Callable:
-            items = Items(*held.value, similarity)
+            items = Items(*held.value[:2], similarity, spread=held.value[2])
 
             def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
                 at, ids, values, first, size = [], [], [], [], []
@@ -275,13 +314,12 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "do
     """The rows of df in whose text no item is found; all columns stay."""
     spark = df.sparkSession
     rows = df
-    for part in parts_of(benchmark, options.get("item_text", "text"), options.get("item_id", "item_id")):
-        found = part.toArrow().sort_by([("item", "ascending"), ("words", "ascending")])
-        held = spark.sparkContext.broadcast((found.column("item").to_pylist(), found.column("words").to_pylist()))
+    for found, spread in parts_of(benchmark, options.get("item_text", "text"), options.get("item_id", "item_id")):
+        held = spark.sparkContext.broadcast((found.column("item").to_pylist(), found.column("words").to_pylist(), spread))
         at = rows.columns.index(text)
 
         def make(held=held, at=at) -> Callable:
-            items = Items(*held.value, options.get("similarity", SIMILARITY))
+            items = Items(*held.value[:2], options.get("similarity", SIMILARITY), spread=held.value[2])
 
             def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
                 return batch.filter(pa.array([not best for best in scan_batch(items, batch.column(at).to_pylist())], pa.bool_()))

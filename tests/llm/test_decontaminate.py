@@ -68,3 +68,26 @@ def test_edges_of_input(spark):
     kept = D.clean(d, b)
     assert kept.columns == d.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 5]
     assert D.contaminated(d.limit(0), b).count() == 0 and D.contaminated(d, b.limit(0)).count() == 0
+
+
+def test_repeated_items_weigh_as_one():
+    words = [f"word{i}" for i in range(100)]
+    items = D.Items(list(range(5)), [" ".join(words)] * 5)
+    found = D.scan_batch(items, [" ".join("changed" if i == 50 else w for i, w in enumerate(words))])[0]
+    assert {n: round(v[0], 6) for n, v in found.items()} == {n: round(91 / 101, 6) for n in range(5)}
+    # A word changed in what most items have in common does not outweigh the rest.
+    common = words[:50]
+    items = D.Items(list(range(20)), [" ".join(common + [f"own{n}x{i}" for i in range(5)]) for n in range(20)])
+    copy = ["changed" if i == 20 else w for i, w in enumerate(items.words[3])]
+    assert items.verified(tuple(copy), 3) > 0.8
+
+
+def test_parts_change_nothing(spark, monkeypatch):
+    items, docs = corpus()
+    items = items[:12] + items[:3] + [(100 + n, f"{items[9][1]} {items[10][1]} tail{n}") for n in range(3)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(map(tuple, D.contaminated(d, b).collect()))
+    monkeypatch.setattr(D, "PART_ITEMS", 6)
+    assert [x[:2] + (round(x[2], 9),) + x[3:] for x in map(tuple, one)] == [x[:2] + (round(x[2], 9),) + x[3:] for x in sorted(map(tuple, D.contaminated(d, b).collect()))]
+    assert len(one) > 10
