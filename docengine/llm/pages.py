@@ -2,17 +2,19 @@
 
 Events of the standard library's streaming parser become lines, one for each block element: its text, the
 number of tags in it, and where it stands. Lines in menus, headers and footers of the page, sidebars, notices,
-adverts, forms, comments and hidden elements count as no text. Classes and ids name such a part if a whole name
-does (`related-posts`, not `has-related`); headings are never one, nor is, in a page without another article or main
-element, what encloses one or holds nearly all text. Were all text dropped by names, names do not count.
-
-The text-to-tag ratios are smoothed by a
-Gaussian and lines above a threshold (the deviation of the smoothed ratios) form clusters. The clusters choose
-the content region: the article or main element that holds most of their text or, in a page without such an
-element, the lowest element that holds all of their lines. All lines of that region stay, short ones too.
-
-A null or empty page gives an empty text; broken markup is read as far as it goes; urls may be null; rows
-repeat as they come. Memory is bounded by one slice of pages and one page's lines.
+adverts, forms, comments and hidden elements count as no text. Forms and names in classes and ids mark such a part
+if a whole name does (`related-posts`, not `has-related`); headings are never one, nor is what holds nearly all
+text or, in a page without another article or main element, an article that holds most of it and what encloses
+one. Were all text dropped by marks, marks do not count.
+
+The text-to-tag ratios are smoothed by a Gaussian and lines above a threshold (the deviation of the smoothed ratios)
+form clusters. The clusters choose the content regions: the outermost article and main elements that hold lines of
+clusters or, in a page without such an element, the lowest element that holds all of those lines. All lines of
+these regions stay, short ones too, in page order.
+
+A null or empty page gives an empty text and an empty table an empty one; broken markup is read as far as it goes;
+urls may be null; rows repeat as they come. Columns other than the id and `keep` are not carried over, whatever
+their names. Memory is bounded by one slice of pages and one page's lines.
 """
 
 from __future__ import annotations
@@ -38,8 +40,8 @@ BLOCKS = set(
     "hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 BOXES = set("body center div section td".split())
-DROPPED = set("aside audio button canvas dialog footer form head iframe input menu nav noscript object option script search select style svg template textarea title video".split())
-ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
+DROPPED = set("aside audio button canvas dialog footer head iframe input menu nav noscript object option script search select style svg template textarea title video".split())
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 WORDS = set(
     "ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promos promotion promoted banner sidebar menu menus nav navbar navigation breadcrumb breadcrumbs "
     "footer foot masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist disqus reply replies respond "
@@ -47,8 +49,8 @@ WORDS = set(
 )
 #: Neutral words that stand beside them in names of one part of a page.
 BESIDE = set("box block area container wrap wrapper list item items link links section bar post posts article articles story stories content button buttons form header title text top bottom left right main site page primary secondary side inner outer slot unit module panel js".split())
-#: Part of the page's text from which on an element is the page and no part of it.
-WHOLE = 0.8
+#: Part of the page's text from which on an element, or an article, is the page and no part of it.
+WHOLE, WHOLE_ARTICLE = 0.8, 0.5
 CLOSES_P = BLOCKS - {"option"}
 REPEATS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _TOKENS = re.compile("[a-z]+")
@@ -65,19 +67,19 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = [("", False, -1, 0)]  # tag, dropped, region, number
+        self.open: list[tuple[str, int, int, int]] = [("", 0, -1, 0)]  # tag, dropped (2: with its text, inside a line), region, number
         self.parts: list[str] = []
         self.tags = self.count = 0
         self.lines: list[tuple[str, int, tuple[int, ...], int, bool]] = []
         self.outer: dict[int, int] = {}  # region -> the region around it
         self.boxes = {0}  # elements that can be the content region of a page without article or main
-        self.named: set[int] = set()  # elements whose class or id names no main text
+        self.named: set[int] = set()  # elements that their name, class or id marks as no main text
 
     def line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             at = next((x for x in reversed(self.open) if x[0] in BLOCKS or not x[0]), self.open[0])
-            self.lines.append((text, self.tags, tuple(x[3] for x in self.open), at[2], self.open[-1][1]))
+            self.lines.append((text, self.tags, tuple(x[3] for x in self.open), at[2], bool(self.open[-1][1])))
             self.tags = 0
         self.parts = []
 
@@ -119,16 +121,17 @@ class Lines(HTMLParser):
         self.count += 1
         if tag in BOXES:
             self.boxes.add(self.count)
-        if tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") and any(n in ("class", "id") and named((v or "").lower()) for n, v in attrs):
+        by_name = tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") and any(n in ("class", "id") and named((v or "").lower()) for n, v in attrs)
+        if tag == "form" or by_name:
             self.named.add(self.count)
         if tag in ("article", "main") and not gone:
             self.outer[self.count] = region
-            gone = self.dropped(tag, attrs, region)
+            gone = int(self.dropped(tag, attrs, region))
             self.open.append((tag, gone, self.count, self.count))
         else:
-            if not gone and tag == "body":
-                gone = False
-            self.open.append((tag, gone or self.dropped(tag, attrs, region), region, self.count))
+            if not gone and self.dropped(tag, attrs, region):
+                gone = 1 if tag in BLOCKS else 2
+            self.open.append((tag, gone, region, self.count))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -141,7 +144,8 @@ class Lines(HTMLParser):
         self.pop_to(tag, {"article", "main", "body"} - {tag} if tag in ("p", "b", "i", "em", "strong", "a", "span") else set())
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        if self.open[-1][1] < 2:
+            self.parts.append(data)
 
     def finish(self) -> list[tuple[str, int, tuple[int, ...], int, bool]]:
         self.close()
@@ -168,8 +172,8 @@ def by_names(parser: Lines, lines: list) -> np.ndarray:
                 held[e] = held.get(e, 0) + len(lines[i][0])
                 if lines[i][3] > e and lines[i][3] not in parser.named:
                     whole.add(e)
-        most = WHOLE * sum(len(lines[i][0]) for i in left)
-        whole |= {e for e, size in held.items() if size > most}
+        total = sum(len(lines[i][0]) for i in left)
+        whole |= {e for e, size in held.items() if size > total * (WHOLE_ARTICLE if e in parser.outer else WHOLE)}
         inside = [[e for e in x if e not in whole] for x in inside]
     gone = np.array([bool(x) for x in inside])
     return gone if any(not gone[i] for i in left) else np.zeros(len(lines), bool)
@@ -185,27 +189,24 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     gone = np.array([x[4] for x in lines]) | by_names(parser, lines)
-    sizes = np.array([len(x[0]) for x in lines])
-    ratios = np.where(gone, 0.0, sizes / np.array([max(1, x[1]) for x in lines]))
+    ratios = np.where(gone, 0.0, np.array([len(x[0]) / max(1, x[1]) for x in lines]))
     curve = smoothed(ratios)
     content = ~gone & (curve >= curve.std())
     if not content.any():
         content = ~gone
-    # The text of the clusters by region; a region's text counts for the regions around it too.
-    mass: dict[int, int] = {}
+    # Regions that hold lines of clusters count as wholes: the outermost ones and all inside them.
+    chosen: set[int] = set()
     for i in np.flatnonzero(content).tolist():
         region = lines[i][3]
-        while region >= 0:
-            mass[region] = mass.get(region, 0) + int(sizes[i])
-            region = parser.outer.get(region, -1)
-    if mass:
-        best = max(mass, key=lambda r: (mass[r], -r))
-        # Of nested regions with the same text the outer one comes first: it has the lower number.
-        within = {best}
+        while region >= 0 and parser.outer[region] >= 0:
+            region = parser.outer[region]
+        chosen.add(region)
+    chosen.discard(-1)
+    if chosen:
         for region in sorted(parser.outer):
-            if parser.outer[region] in within:
-                within.add(region)
-        kept = [x[0] for x, out in zip(lines, gone.tolist()) if x[3] in within and not out]
+            if parser.outer[region] in chosen:
+                chosen.add(region)
+        kept = [x[0] for x, out in zip(lines, gone.tolist()) if x[3] in chosen and not out]
     else:
         around = [[e for e in lines[i][2] if e in parser.boxes] for i in np.flatnonzero(content).tolist()]
         # The elements around all of them: one inside the next, so the longest common start.

@@ -64,3 +64,44 @@ def test_names_that_drop_nothing(html):
 def test_names_that_still_drop():
     more = "".join(f"<div class='{x}'><p>Something else that is here too, words.</p></div>" for x in ("related-posts", "ad ad-1", "x comments-list", "social_share_box"))
     assert pages.main_text(ARTICLE.replace("</article>", f"{more}</article>")) == TEXT
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><form id='aspnetForm' action='/'><nav><a href=/>Home</a></nav>{ARTICLE}<input></form></body>", f"<body class='search'><div class='site has-sidebar'>{ARTICLE}<div class='sidebar'>More</div></div></body>",
+        ARTICLE.replace("<article>", "<article class='post sponsored'>") + "<p>A line below the article that is no small part of all the text of this page.</p>",
+        f"<body>{ARTICLE}<form class='newsletter'><p>Please give us your address so that we can write to you every day.</p><label>Mail</label></form></body>",
+    ],
+)
+def test_forms_and_wrappers(html):
+    assert pages.main_text(html) == TEXT
+
+
+def test_all_articles_with_clusters():
+    second = ARTICLE.replace("First", "Other").replace("Title", "Second")
+    assert pages.main_text(f"<body>{ARTICLE}<div class=ad>Buy this very fine thing now.</div>{second}</body>") == f"{TEXT}\n" + TEXT.replace("First", "Other").replace("Title", "Second")
+    assert pages.main_text(ARTICLE.replace("<p>Short.", "<section id='search-engines'><p>Short.</section>")) == TEXT
+
+
+def test_pages_built_from_known_text():
+    """Random pages: what their articles hold, blocks of every kind, and nothing else."""
+    import random
+
+    r = random.Random(6)
+    words = lambda n: " ".join(f"word{r.randrange(500)}" for _ in range(n))
+    junk = [lambda: f"<nav><ul>{''.join(f'<li><a href=/{i}>{words(2)}</a></li>' for i in range(4))}</ul></nav>", lambda: f"<aside><p>{words(30)}</p></aside>", lambda: f"<div class='ad-box'><p>{words(20)}</p></div>", lambda: f"<script>var x = '{words(9)}';</script><style>p {{}}</style>", lambda: f"<footer><p>{words(12)}</p></footer>", lambda: f"<section class='comments'><article><p>{words(40)}</p></article></section>", lambda: f"<form><label>{words(2)}</label><input></form>"]
+    for _ in range(60):
+        blocks, expected = [], []
+        for _ in range(r.randrange(2, 9)):
+            kind, texts = r.choice(["p", "ul", "table", "blockquote", "h2", "div"]), [words(r.choice([1, 5, 40])) for _ in range(r.randrange(1, 4))]
+            inner = {"ul": "<ul>{}</ul>", "table": "<table><tr>{}</tr></table>"}.get(kind, "{}")
+            tag = {"ul": "li", "table": "td"}.get(kind, kind)
+            blocks.append(inner.format("".join(f"<{tag}>{t.replace(' ', ' <i>', 1) + '</i>' if ' ' in t else t}</{tag}>\n" for t in texts)))
+            expected += texts
+        expected.append(words(50))
+        blocks.append(f"<p>{expected[-1]}")
+        around = [x() for x in r.sample(junk, 4)]
+        inside = r.choice(junk[2:6])()
+        html = f"<!doctype html><html><head><title>{words(3)}</title></head><body>{around[0]}{around[1]}<article>{blocks[0]}{inside}{''.join(blocks[1:])}</article>{around[2]}{around[3]}</body></html>"
+        assert pages.main_text(html) == "\n".join(expected), html
