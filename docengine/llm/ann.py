@@ -2,20 +2,23 @@
 
 Each half of a vector is quantised on its own; a pair of centroids is a cell of the index. For a query the
 cells are visited in order of the summed inner products of its halves with the centroids: a heap over the two
-sorted lists yields the next pair (multi-sequence). The visit ends when the cells hold the wanted share of all
-rows; their entries are ranked by the exact inner product in double precision.
+sorted lists yields the next pair (multi-sequence). The visit ends when the cells hold the wanted number of
+rows. Only the entries of visited cells are scored, by the exact inner product in double precision.
 
-The codebooks and the share are fit on a bounded sample (`sample` vectors, chosen by a hash of the id): the
-share is the least at which `target` of the sample's true neighbours are found. Every row is indexed.
+The codebooks are fit on one half of a bounded sample (`sample` vectors, chosen by a hash of the id). The wanted
+number is calibrated on the other half, which the codebooks have not seen: the least at which `target` of its
+true neighbours are found, where a neighbour's rank is scaled from the table to the sample. Every row is indexed.
+
+How much that prunes depends on the vectors: clustered ones need a few per cent of the rows, isotropic ones (no
+structure at all) a third at 50 000 rows and 64 components, less as rows grow.
 
 Cells are packed into bins of about equal size; a cell larger than a bin is split by a hash of the id, so no
-task holds more than a bin of entries and QUERY_ROWS queries whatever one cell holds. The driver holds only the
-codebooks, the sample and a count for each cell (at most MAX_CENTROIDS squared).
+task holds more than a bin of entries and QUERY_ROWS probes. Entries are copied only for bins with more probes.
+The driver holds only the codebooks, the sample and a count for each cell (at most MAX_CENTROIDS squared) and bin.
 
-Vectors that are null, zero, of another length than the longest usual one (`dim`, by default the greatest
-length present) or that hold null or non-finite components take no part, nor do null ids. Of rows with one
-id the least vector takes part. With fewer candidates than k all of them return. Other columns are not
-carried over.
+Vectors that are null, zero, of another length than the commonest (`dim`; ties: the longer) or that hold null or
+non-finite components take no part, nor do null ids. Of rows with one id the least vector takes part. With fewer
+candidates than k all of them return. Other columns are not carried over.
 """
 
 from __future__ import annotations
@@ -30,11 +33,11 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import stored
 
-SAMPLE, SAMPLE_QUERIES, TARGET = 20_000, 300, 0.96
-#: Rows of a cell on average, and centroids of a half at most.
-OCCUPANCY, MAX_CENTROIDS = 16, 256
-#: Bins at least; entries of a bin and queries of a task at most (about).
-MIN_BINS, BIN_ROWS, QUERY_ROWS = 24, 32_768, 8_192
+SAMPLE, SAMPLE_QUERIES, TARGET = 40_000, 600, 0.95
+#: Rows of a cell on average, centroids of a half at most, and vectors that a centroid is fit on at least.
+OCCUPANCY, MAX_CENTROIDS, FIT_ROWS = 4, 1024, 20
+#: Bins at least; entries of a bin and probes of a task at most (about); scores that wait in a task.
+MIN_BINS, BIN_ROWS, QUERY_ROWS, WAITING = 12, 32_768, 8_192, 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -51,7 +54,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(axis=1)[None] - 2 * x @ c.T, axis=1)
+    size = (c * c).sum(axis=1)[None]
+    return np.concatenate([np.argmin(size - 2 * x[at : at + 8192] @ c.T, axis=1) for at in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
 
 
 class Index:
@@ -59,9 +63,10 @@ class Index:
 
     def __init__(self, sample: np.ndarray, rows: int, k: int, target: float = TARGET):
         self.half = sample.shape[1] // 2
-        size = int(np.clip(np.ceil(np.sqrt(rows / OCCUPANCY)), 2, MAX_CENTROIDS))
-        self.first, self.second = kmeans(sample[:, : self.half], size), kmeans(sample[:, self.half :], size)
-        self.share = self.calibrated(sample, k, target)
+        fit, unseen = (sample[::2], sample[1::2]) if len(sample) > 2 * FIT_ROWS * k else (sample, sample)
+        size = int(np.clip(np.ceil(np.sqrt(rows / OCCUPANCY)), 2, min(MAX_CENTROIDS, max(2, len(fit) // FIT_ROWS))))
+        self.first, self.second = kmeans(fit[:, : self.half], size), kmeans(fit[:, self.half :], size)
+        self.share = self.calibrated(unseen, max(1, round(k * len(unseen) / rows)), target)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return nearest(x[:, : self.half], self.first) * len(self.second) + nearest(x[:, self.half :], self.second)
@@ -107,7 +112,8 @@ def usable(df: DataFrame, vector: str = "embedding", id: str = "vec_id", dim: in
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("vec", lambda x: x != 0))
     if dim is None:
-        dim = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+        lengths = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+        dim = lengths["dim"] if lengths else 0
     return rows.where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
@@ -116,34 +122,61 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def exact_scores(entries: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision; equal rows get equal scores wherever they stand."""
-    return (entries * query).sum(axis=1)
+class Best:
+    """The k best entries of each query so far (ties: smaller id); scores wait until there are enough to sort."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.held, self.waiting = k, [], 0
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, query: np.ndarray, entry: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, entry, score))
+        self.waiting += len(query)
+        if self.waiting > WAITING:
+            self.held = [self.sorted()]
+
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, entry, score = (np.concatenate(x) for x in zip(*self.held)) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((entry, -score, query))
+        query, entry, score = query[order], entry[order], score[order]
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+        last = rank == self.k - 1
+        self.least[query[last]] = score[last]
+        kept = rank < self.k
+        self.waiting = int(kept.sum())
+        return query[kept], entry[kept], score[kept]
 
 
 def top_of_bin(entries: np.ndarray, ids: np.ndarray, cells: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, visited: list[np.ndarray], k: int):
-    """query, entry, score of the k best entries of the bin in each query's visited cells (ties: smaller id)."""
-    known, place = np.unique(cells, return_inverse=True)
-    out_q, out_e, out_s = [], [], []
-    for begin in range(0, len(queries), 256):
-        block = queries[begin : begin + 256]
-        scores = block @ entries.T
-        for r in range(len(block)):
-            allowed = np.isin(known, visited[begin + r], assume_unique=True)[place] & (ids != query_ids[begin + r])
-            at = np.flatnonzero(allowed)
-            if len(at) > k:
-                s = scores[r, at]
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                at = at[s >= least - 1e-9 * max(1.0, abs(least))]
-            if len(at):
-                s = exact_scores(entries[at], block[r])
-                best = np.lexsort((ids[at], -s))[:k]
-                out_q.append(np.full(len(best), query_ids[begin + r]))
-                out_e.append(ids[at][best])
-                out_s.append(s[best])
-    if not out_q:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(out_q), np.concatenate(out_e), np.concatenate(out_s)
+    """query, entry, score of the k best entries of the bin in each query's visited cells (ties: smaller id), and the pairs that were scored."""
+    order = np.argsort(cells, kind="stable")
+    entries, ids, cells = entries[order], ids[order], cells[order]
+    known, begin = np.unique(cells, return_index=True)
+    end = np.append(begin[1:], len(cells))
+    cell, query = np.concatenate(visited), np.repeat(np.arange(len(visited)), [len(v) for v in visited])
+    by_cell = np.argsort(cell, kind="stable")
+    cell, query = cell[by_cell], query[by_cell]
+    low, high = np.searchsorted(cell, known), np.searchsorted(cell, known, "right")
+    best, scored = Best(len(queries), k), 0
+    for a, b, x, y in zip(begin.tolist(), end.tolist(), low.tolist(), high.tolist()):
+        if x == y:
+            continue
+        asking = query[x:y]
+        for at in range(a, b, 1024):
+            these = slice(at, min(b, at + 1024))
+            about = queries[asking] @ entries[these].T
+            scored += about.size
+            # The matrix product may differ in the last bits; what may be among the best is scored alike everywhere.
+            p, q = np.nonzero(about >= (best.least[asking] - 1e-9 * np.maximum(1.0, np.abs(best.least[asking])))[:, None])
+            p = asking[p]
+            other = ids[these][q] != query_ids[p]
+            p, q = p[other], q[other]
+            for part in range(0, len(p), 1 << 16):
+                pp, qq = p[part : part + (1 << 16)], q[part : part + (1 << 16)]
+                best.add(pp, ids[these][qq], (entries[these][qq] * queries[pp]).sum(axis=1))
+    at, e, s = best.sorted()
+    return query_ids[at], e, s, scored
 
 
 def fit(rows: DataFrame, total: int, k: int = 20, sample: int = SAMPLE, target: float = TARGET) -> Index:
@@ -164,7 +197,6 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vector:
     if not total:
         return spark.createDataFrame([], empty)
     asked = rows.where(F.col("id") % every == 0) if queries is None else usable(queries, vector, id)
-    n_asked = asked.count()
     index = fit(rows, total, k, sample, target)
     held = spark.sparkContext.broadcast(index)
 
@@ -191,7 +223,6 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vector:
             held_rows += int(counts[c])
     layout = spark.sparkContext.broadcast((counts, first_bin, bins_of))
     wanted = max(k + 1, int(np.ceil(index.share * total)))
-    chunks = max(1, -(-n_asked // QUERY_ROWS))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first, parts = layout.value
@@ -224,12 +255,15 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vector:
             q, e, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
             visited = [np.frombuffer(x.as_py(), "<i4") for x in right.column("visited")]
-            q, e, s = top_of_bin(_matrix(left.column("vec")), left.column("id").to_numpy(), left.column("cell").to_numpy(), _matrix(right.column("qvec")), right.column("query").to_numpy(), visited, k)
+            q, e, s, _ = top_of_bin(_matrix(left.column("vec")), left.column("id").to_numpy(), left.column("cell").to_numpy(), _matrix(right.column("qvec")), right.column("query").to_numpy(), visited, k)
         return pa.table({"query_id": q, "vec_id": e, "score": s})
 
-    chunk = F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")
-    entries = placed.mapInArrow(enter, "id long, vec array<double>, cell int, bin int").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    probes = asked.mapInArrow(probe, "query long, qvec array<double>, bin int, visited binary").withColumn("chunk", chunk)
+    probes, _ = stored(asked.mapInArrow(probe, "query long, qvec array<double>, bin int, visited binary"), "probes")
+    often = F.broadcast(probes.groupBy("bin").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks")).where("chunks > 1"))  # one row for each bin at most
+    chunks = F.coalesce("chunks", F.lit(1))
+    entries = placed.mapInArrow(enter, "id long, vec array<double>, cell int, bin int").join(often, "bin", "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    probes = probes.join(often, "bin", "left").withColumn("chunk", F.pmod(F.xxhash64("query"), chunks).cast("int")).select("query", "qvec", "bin", "visited", "chunk")
+    entries = entries.select("id", "vec", "cell", "bin", "chunk")
     found = entries.groupBy("bin", "chunk").cogroup(probes.groupBy("bin", "chunk")).applyInArrow(answer, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

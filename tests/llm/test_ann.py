@@ -46,3 +46,43 @@ def test_edges_of_input(spark):
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, k=20).collect())
     assert got == [(0, 1, 6, 1.0), (0, 2, 20, 0.5), (20, 1, 6, 1.0), (20, 2, 0, 0.5)]
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_only_visited_cells_are_scored():
+    """Clustered vectors: high recall at less than a tenth of the pairs; entries of cells not visited never return."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(60, 32))
+    x = centres[r.integers(0, 60, 6000)] + 0.4 * r.normal(size=(6000, 32))
+    index = ann.Index(x, len(x), 10)
+    cell, ids, asked = index.cells(x), np.arange(6000), np.arange(0, 6000, 40)
+    counts = np.bincount(cell, minlength=len(index.first) * len(index.second))
+    wanted = max(11, int(np.ceil(index.share * len(x))))
+    visited = [np.array(list(index.visit(x[q], counts, wanted))) for q in asked]
+    q, e, s, scored = ann.top_of_bin(x, ids, cell, x[asked], asked, visited, 10)
+    assert scored == sum(counts[v].sum() for v in visited) < 0.1 * len(asked) * len(x)
+    hits = 0
+    for a, v in zip(asked, visited):
+        true = x @ x[a]
+        true[a] = -np.inf
+        best = np.lexsort((ids, -true))
+        among = [i for i in best.tolist() if cell[i] in set(v.tolist()) and i != a][:10]
+        assert e[q == a].tolist() == among
+        hits += len(set(best[:10].tolist()) & set(among))
+    assert hits / (10 * len(asked)) >= 0.9
+
+
+def test_stray_lengths_and_hot_bins(spark, monkeypatch):
+    x = vectors(400, 4)
+    x[50:250] = x[50]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0] * 40), (1001, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    expected = sorted(map(tuple, ann.search(df, k=5, every=10, target=1.0).collect()))
+    assert {r[0] for r in expected} == set(range(0, 400, 10))
+    for name, value in (("QUERY_ROWS", 3), ("BIN_ROWS", 40), ("WAITING", 10)):
+        monkeypatch.setattr(ann, name, value)
+    assert sorted(map(tuple, ann.search(df, k=5, every=10, target=1.0).collect())) == expected
+    d = x.astype(float)
+    for q in range(0, 400, 10):
+        s = (d * d[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert [r[2] for r in expected if r[0] == q] == np.lexsort((np.arange(400), -s))[:5].tolist()
