@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import bpe, decontaminate, language, lines, simhash
+from docengine.llm import bpe, decontaminate, language, lines, similar
 from docengine.llm.common import stored
 
 
@@ -29,8 +29,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of near-duplicates: five-word shingles, a verified similarity of 0.8 or more."""
+    return similar.one_of_each_similar(docs)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

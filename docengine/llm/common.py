@@ -80,9 +80,11 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one is set on a single machine, and a cluster is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="docengine-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
@@ -102,6 +104,28 @@ def discard(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like `names` that no column has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key with more than this part of all rows is broadcast: there are fewer than 1 / FREQUENT of them.
+FREQUENT = 0.001
+
+
+def meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows joined by `key` to `found` (its column n counts the rows of each key): frequent keys by broadcast, others dealt by key."""
+    least = max(100, int(found.agg(F.sum("n")).first()[0] or 0) * FREQUENT)
+    frequent = F.broadcast(found.where(F.col("n") > least).drop("n"))
+    return rows.join(frequent, key).unionByName(rows.join(frequent.select(key), key, "left_anti").join(found.where(F.col("n") <= least).drop("n"), key))
+
+
 def held_out(doc_id: Column, remainder: int = 2, of: int = 4) -> Column:
     """True where crc32 of the id as text leaves `remainder`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))

@@ -28,12 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import map_slices, stored
+from docengine.llm.common import map_slices, meet, stored
 
 #: Words of the shortest run that counts as repeated.
 MIN_WORDS = 50
-#: A fingerprint or window with more than this part of all rows is broadcast: there are fewer than 1 / FREQUENT.
-FREQUENT = 0.001
 _LAST = (1 << 63) - 1
 
 
@@ -155,13 +153,6 @@ def _runs(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, "pos long, k1 long, runs array<struct<first:int,last:int>>", "lines")
 
 
-def _meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """rows joined by `key` to `found` (its column n counts the rows of each key): frequent keys by broadcast, others dealt by key."""
-    least = max(100, int(found.agg(F.sum("n")).first()[0] or 0) * FREQUENT)
-    frequent = F.broadcast(found.where(F.col("n") > least).drop("n"))
-    return rows.join(frequent, key).unionByName(rows.join(frequent.select(key), key, "left_anti").join(found.where(F.col("n") <= least).drop("n"), key))
-
-
 def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """pos, k1 (the text's place in the order and hash), runs array<struct<first int, last int>>: the lines to delete."""
     rows = df.where(F.col(text).isNotNull()).select(*_place(text, id), F.col(text).alias("body"))
@@ -169,13 +160,13 @@ def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> Data
     texts = texts.dropDuplicates(["pos", "k1"])
     prints = texts.select("pos", "k1", F.explode("prints").alias("print"))
     several, _ = stored(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "prints")
-    shared, _ = stored(_meet(prints, several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared")), "shared")
+    shared, _ = stored(meet(prints, several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared")), "shared")
     windows, _ = stored(_windows(rows.join(shared, ["pos", "k1"])), "windows")
     here = F.struct("pos", "k1", "start")
     first, _ = stored(windows.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
     # In the same text the earlier occurrence must end before the later one begins.
     earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.start") + MIN_WORDS <= F.col("start"))
-    later = _meet(windows, first, "block").where(earlier).groupBy("pos", "k1").agg(F.collect_set("start").alias("starts"))
+    later = meet(windows, first, "block").where(earlier).groupBy("pos", "k1").agg(F.collect_set("start").alias("starts"))
     return _runs(texts.select("pos", "k1", "lines", "counts").join(later, ["pos", "k1"])).where(F.size("runs") > 0)
 
 

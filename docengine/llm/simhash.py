@@ -4,8 +4,8 @@
    with repeats, XXH64 (seed 42) of each; a bit is set where over half of the hashes have it.
 2. Equal fingerprints collapse to one row with their least doc_id (a partial aggregate, so a third of
    all rows with one fingerprint is no burden).
-3. The distinct fingerprints are dealt into groups; each pair of groups is one task. In it both sides are sorted by
-   the population counts of their four 16-bit parts and cut into tiles. A pair of tiles whose counts differ
+3. The distinct fingerprints are dealt into groups by their population counts; each pair of groups whose counts
+   lie within the radius is one task (no other is shuffled). In it both sides are sorted by the population counts of their four 16-bit parts and cut into tiles. A pair of tiles whose counts differ
    by more than the radius is skipped; for the others numpy takes exclusive-or and bit counts of all pairs.
    This loses no link. Each task returns the least member for each member of its local components
    (at most one row for each fingerprint it read), never its pairs.
@@ -18,6 +18,7 @@ several fingerprints, which joins their components.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, map_slices, stored
+from docengine.llm.common import discard, map_slices, stored, unused
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in one tile, and about as many in one group (there are MIN_GROUPS groups at least).
@@ -147,13 +148,39 @@ def _tile_task(radius: int) -> Callable:
     return task
 
 
+def dealt_by_band(rows: DataFrame, reach: int, key: str, most: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """rows (with a column `band`, an integer of few values) for the tasks (i, j), i <= j: the left and the right side of each.
+
+    Rows are dealt into groups of neighbouring bands, a band of over `most` rows into several by a hash of `key`. A
+    group meets only the groups that hold a band at most `reach` away, so other pairs are never shuffled. The driver
+    holds a count for each band and two numbers for each group.
+    """
+    spark = rows.sparkSession
+    counts = sorted((r["band"], r["count"]) for r in rows.groupBy("band").count().collect())
+    most = max(1, min(most, -(-sum(n for _, n in counts) // MIN_GROUPS)))
+    bands, groups, held = [], [], most  # groups: least and greatest band
+    for band, n in counts:
+        parts = -(-n // most)
+        if parts > 1 or held + n > most:
+            bands.append((band, len(groups), parts))
+            groups += [[band, band]] * parts if parts > 1 else [[band, band]]
+            held = most if parts > 1 else n
+        else:
+            bands.append((band, len(groups) - 1, 1))
+            groups[-1] = [groups[-1][0], band]
+            held += n
+    low, high = [g[0] for g in groups], [g[1] for g in groups]
+    meets = [(g, bisect.bisect_left(high, low[g] - reach), bisect.bisect_right(low, high[g] + reach) - 1) for g in range(len(groups))]
+    placed = rows.join(F.broadcast(spark.createDataFrame(bands, "band int, base int, parts int")), "band").withColumn("g", (F.col("base") + F.pmod(F.xxhash64(key), F.col("parts"))).cast("int"))
+    placed = placed.join(F.broadcast(spark.createDataFrame(meets, "g int, first int, last int")), "g").drop("band", "base", "parts")
+    left = placed.withColumn("h", F.explode(F.sequence("g", "last"))).withColumnsRenamed({"g": "i", "h": "j"}).drop("first", "last")
+    right = placed.where("first < g").withColumn("h", F.explode(F.sequence(F.col("first"), F.col("g") - 1))).withColumnsRenamed({"h": "i", "g": "j"}).drop("first", "last")
+    return left, right.select([F.col(c).alias(c) for c in left.columns])  # columns of its own, for the cogroup
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """node, near: rows that connect exactly what links of `radius` bits connect, from distinct (node long, bits long)."""
-    groups = max(MIN_GROUPS, -(-distinct.count() // GROUP))
-    placed = distinct.withColumn("g", F.pmod(F.xxhash64("bits"), F.lit(groups)).cast("int"))
-    # A pair (i, j), i <= j, lies at the smaller index when that makes the tasks even; each row goes to every pair of its group.
-    left = placed.withColumn("h", F.explode(F.sequence(F.col("g"), F.lit(groups - 1)))).select(F.col("g").alias("i"), F.col("h").alias("j"), "node", "bits")
-    right = placed.where(F.col("g") > 0).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(F.col("h").alias("i"), F.col("g").alias("j"), "node", "bits")
+    left, right = dealt_by_band(distinct.withColumn("band", F.bit_count("bits")), radius, "bits")
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_pair_of_groups(radius), "node long, near long")
 
 
@@ -215,9 +242,9 @@ def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", **options
 
     Rows with a null id belong to no component and stay. All columns stay.
     """
-    names = df.columns
     found = near_duplicates(df, text, id, **options)
-    kept = found.where(F.col(id) == F.col("component_id")).select(F.col(id).alias("__kept")).distinct()
+    k, n = unused(df.columns, "kept", "n")
+    kept = found.where(F.col(id) == F.col("component_id")).select(F.col(id).alias(k)).distinct()
     first = F.row_number().over(Window.partitionBy(id).orderBy(text))
-    rows = df.where(F.col(id).isNotNull()).join(kept, F.col(id) == F.col("__kept"), "left_semi")
-    return rows.withColumn("__n", first).where("__n = 1").select(*names).unionByName(df.where(F.col(id).isNull()))
+    rows = df.where(F.col(id).isNotNull()).join(kept, F.col(id) == F.col(k), "left_semi")
+    return rows.withColumn(n, first).where(F.col(n) == 1).select(*df.columns).unionByName(df.where(F.col(id).isNull()))
