@@ -72,15 +72,16 @@ def test_only_visited_cells_are_scored():
 
 
 def test_stray_lengths_and_hot_bins(spark, monkeypatch):
+    monkeypatch.setattr(ann.Index, "calibrated", lambda *_: 1.0)  # every cell is visited
     x = vectors(400, 4)
     x[50:250] = x[50]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0] * 40), (1001, [1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    expected = sorted(map(tuple, ann.search(df, k=5, every=10, target=1.0).collect()))
+    expected = sorted(map(tuple, ann.search(df, k=5, every=10).collect()))
     assert {r[0] for r in expected} == set(range(0, 400, 10))
     for name, value in (("QUERY_ROWS", 3), ("BIN_ROWS", 40), ("WAITING", 10)):
         monkeypatch.setattr(ann, name, value)
-    assert sorted(map(tuple, ann.search(df, k=5, every=10, target=1.0).collect())) == expected
+    assert sorted(map(tuple, ann.search(df, k=5, every=10).collect())) == expected
     d = x.astype(float)
     for q in range(0, 400, 10):
         s = (d * d[q]).sum(axis=1)
