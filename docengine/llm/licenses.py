@@ -1,13 +1,18 @@
 """Licence scan by canonical digests (operator 3), built-in expressions only.
 
-A text is made canonical: lower case, copyright lines out, quotes out, other punctuation as spaces, equivalent
-spellings as one, white space collapsed. The digests of three kinds of entire texts - the document, its blocks
-(between blank lines) and its lines - are hash-joined to the digests of known licence texts and notices. Only
-units as long as some known text are hashed, which loses nothing.
-
-Known notices are made by rule from licence names and notice forms; full texts are fixed values; `known` can
-bring others (license string, body string). Up to MOST_BROADCAST digests (counted first) are broadcast, more are
-shuffled; a unit is reported where it stands, so hot notices need no gathering.
+A text is made canonical: copyright lines (with a sign, a year, `by` or a name) and title lines (a licence name
+alone) out, lower case, list marks and quotes out, other punctuation (comment marks too) as spaces, equivalent
+spellings as one, white space collapsed. The digests of four kinds of entire texts are hash-joined to the digests
+of known licence texts and notices: the document, runs of several blocks (between lines without content), single
+blocks and lines. Only units as long as some known text are hashed, and a run of blocks only if its first word
+begins a known text; both lose nothing. A run has at most one block for RUN_CHARS characters of the longest known
+text, and one block and the next in any case.
+
+A licence is found in a larger text if it stands between lines without content there (blank lines, comment marks,
+copyright and title lines). Known notices are made by rule from licence names and notice forms; full texts and
+standard headers are fixed values; `known` can bring others (license string, body string). Up to MOST_BROADCAST
+digests (counted first) are broadcast, more are shuffled; a unit is reported where it stands, so hot notices need
+no gathering.
 
 A null or empty text has no licence. Null ids are kept; repeated rows are reported as often as they come. A
 document whose whole text is one line is reported at its widest scope only. Other columns are not carried over.
@@ -22,6 +27,8 @@ from docengine.operators.vectors import let
 
 #: Digests (about 100 bytes each) that are broadcast.
 MOST_BROADCAST = 100_000
+#: Characters of the longest known text for each block that a run of blocks may have.
+RUN_CHARS = 40
 
 # Names of licences by identifier, forms of notices ({} is the name), equivalent spellings, full texts.
 NAMES = {
@@ -59,7 +66,9 @@ SPELLINGS = [
     (r"\b(?:version |v)(\d)", "version $1"),
     (r"\bfavour", "favor"),
     (r"\borganis", "organiz"),
-    (r"\bcopyright (?:owner|holder)", "copyright holder"),
+    (r"\b(?:owner|holder)s?\b", "holder"),
+    (r"\bhttps\b", "http"),
+    (r"\bnon ?(\n?) ?infring", "$1noninfring"),
 ]
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -77,50 +86,104 @@ Permission is granted to anyone to use this software for any purpose, including
 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
+BSD_ITEMS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GNU_HEADER = """This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
+
+This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+GNU_ENDS = [
+    "You should have received a copy of the GNU {name} along with this {work}. If not, see <https://www.gnu.org/licenses/>.",
+    "You should have received a copy of the GNU {name} along with this {work}; if not, see <https://www.gnu.org/licenses>.",
+    "You should have received a copy of the GNU {name} along with this {work}; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "You should have received a copy of the GNU {name} along with this {work}; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+]
+GNU = {"GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3"), "AGPL-3.0": ("program", "Affero General Public License", "3")}
 
 #: Canonical form: SQL regular expressions that read the same in Spark and in other engines; line feeds stay.
-COPYRIGHT = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(?:(?:(?i:copyright|copr)[^\p{L}\p{N}\n]*(?:(?i:c\b|by\b|year\b|yyyy\b)|[0-9]|[A-Z][a-z])|©|\((?i:c)\)|(?i:all rights reserved))[^\n]*|(?i:copyright)[^\p{L}\p{N}\n]*)$"
+MARKS = r"(?m)^[^\p{L}\p{N}\n]*(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+"
+INNER_MARKS = r"([:;.])[ \t]+[0-9]{1,2}[.)][ \t]+"
 QUOTES = r"['\"`´‘’“”]"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 
 
+def titles() -> list[str]:
+    """Canonical lines that only name a licence."""
+    plain = {" ".join("".join(c if c.isalnum() else " " for c in x.lower().replace("'", "")).split()) for names in [*NAMES.values(), ["Boost Software License", "Boost Software License Version 1 0", "zlib libpng License"]] for x in names}
+    plain |= {f"{i.lower()} license" for i in ("MIT", "ISC", "BSD", "Apache", "zlib", "simplified bsd", "new bsd", "modified bsd")} | {"mit license mit", "isc license isc", "bsd 2 clause license", "bsd 3 clause license"}
+    return sorted({y for x in plain for y in (x, f"the {x}", f"{x} license" if not x.endswith("license") else x)} - {"license"})
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(license, text): every form with every name, and the full texts."""
     notices = [(i, form.format(name)) for i, names in NAMES.items() for name in names for form in FORMS]
-    return notices + list(TEXTS.items())
+    gnu = [(i, f"{GNU_HEADER}\n\n{end}".format(work=w, name=name, version=v)) for i, (work, name, v) in GNU.items() for w in dict.fromkeys((work, "program")) for end in GNU_ENDS]
+    bsd = [("BSD-2-Clause", f"{BSD_ITEMS}\n\n{BSD_DISCLAIMER}"), ("BSD-3-Clause", f"{BSD_ITEMS}\n\n{BSD_THIRD}\n\n{BSD_DISCLAIMER}")]
+    return notices + list(TEXTS.items()) + bsd + gnu
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical form of each line, in order; lines without content are empty."""
-    s = F.regexp_replace(F.lower(text), COPYRIGHT, "")
-    s = F.regexp_replace(F.regexp_replace(s, QUOTES, ""), PUNCTUATION, " ")
+    s = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT, "")), MARKS, "")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, INNER_MARKS, "$1 "), QUOTES, ""), PUNCTUATION, " ")
     for pattern, spelling in SPELLINGS:
         s = F.regexp_replace(s, pattern, spelling)
-    return F.transform(F.split(s, "\n", -1), lambda x: F.trim(x))
+    named = titles()
+    return F.transform(F.split(s, "\n", -1), lambda x: let(F.trim(x), lambda t: F.when(t.isin(named), "").otherwise(t)))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
 def canonical_sql(text: str) -> str:
-    """The canonical text (line feeds kept) as a SQL expression of DuckDB."""
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    s = f"lower({text})"
-    for pattern, put in [(COPYRIGHT, ""), (QUOTES, ""), (PUNCTUATION, " "), *((p, r.replace("$", "\\")) for p, r in SPELLINGS)]:
-        s = f"regexp_replace({s}, {quoted(pattern)}, {quoted(put)}, 'g')"
-    return s
+    """The canonical lines as a SQL expression of DuckDB."""
+    s = f"lower(regexp_replace({text}, {_quoted(COPYRIGHT)}, '', 'g'))"
+    for pattern, put in [(MARKS, ""), (INNER_MARKS, "\\1 "), (QUOTES, ""), (PUNCTUATION, " "), *((p, r.replace("$", "\\")) for p, r in SPELLINGS)]:
+        s = f"regexp_replace({s}, {_quoted(pattern)}, {_quoted(put)}, 'g')"
+    return f"list_transform(string_split({s}, chr(10)), lambda x: CASE WHEN trim(x) IN ({', '.join(map(_quoted, titles()))}) THEN '' ELSE trim(x) END)"
 
 
 def scan_sql(table: str = "documents") -> str:
     """`scan` of the default texts as SQL (ids must be unique)."""
-    values = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in known_texts())
-    lines = "list_filter(list_transform(string_split({}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    values = ", ".join("({}, {})".format(*map(_quoted, pair)) for pair in known_texts())
     return f"""WITH raw(license, body) AS (VALUES {values}),
-    known AS (SELECT c, min(license) AS license FROM (SELECT license, array_to_string({lines.format(canonical_sql("body"))}, ' ') AS c FROM raw) WHERE c <> '' GROUP BY c),
-    d AS (SELECT doc_id, list_transform(string_split({canonical_sql("text")}, chr(10)), lambda x: trim(x)) AS l FROM {table} WHERE text IS NOT NULL),
+    known AS (SELECT c, min(license) AS license FROM (SELECT license, array_to_string(list_filter({canonical_sql("body")}, lambda x: x <> ''), ' ') AS c FROM raw) WHERE c <> '' GROUP BY c),
+    d AS (SELECT doc_id, {canonical_sql("text")} AS l FROM {table} WHERE text IS NOT NULL),
     f AS (SELECT * FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d) WHERE x <> ''),
     b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
     whole AS (SELECT doc_id, min(i) AS a, max(i) - min(i) + 1 AS n, string_agg(x, ' ' ORDER BY i) AS body, count(DISTINCT run) AS runs FROM b GROUP BY doc_id),
-    runs AS (SELECT doc_id, min(i) AS a, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS body FROM b GROUP BY doc_id, run),
+    runs AS (SELECT *, row_number() OVER w AS k, sum(length(body) + 1) OVER w AS upto FROM (SELECT doc_id, min(i) AS a, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS body FROM b GROUP BY doc_id, run) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+    pairs AS (SELECT p.doc_id, p.a, q.a + q.n - p.a AS n, p.k AS first, q.k AS last FROM runs p JOIN whole w USING (doc_id) JOIN runs q ON q.doc_id = p.doc_id AND q.k > p.k AND q.k < p.k + (SELECT greatest(2, max(length(c)) // {RUN_CHARS}) FROM known)
+      WHERE q.upto - p.upto + length(p.body) IN (SELECT length(c) FROM known) AND q.k - p.k + 1 < w.runs),
     u AS (SELECT doc_id, 'document' AS scope, a, n, body FROM whole
+      UNION ALL SELECT s.doc_id, 'blocks', s.a, s.n, string_agg(r.body, ' ' ORDER BY r.k) FROM pairs s JOIN runs r ON r.doc_id = s.doc_id AND r.k BETWEEN s.first AND s.last GROUP BY s.doc_id, s.a, s.n, s.first, s.last
       UNION ALL SELECT r.doc_id, 'block', r.a, r.n, r.body FROM runs r JOIN whole w USING (doc_id) WHERE w.runs > 1 AND r.n > 1
       UNION ALL SELECT b.doc_id, 'line', b.i, 1, b.x FROM b JOIN whole w USING (doc_id) WHERE w.runs > 1 OR w.n > 1)
     SELECT doc_id, license, scope, CAST(a AS INTEGER) AS first_line, CAST(n AS INTEGER) AS n_lines FROM u JOIN known ON c = body"""
@@ -131,37 +194,43 @@ def joined(lines: Column) -> Column:
 
 
 def digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
-    """license, digest, size (characters of the canonical text): each digest once."""
+    """license, digest, size (characters of the canonical text), word (its first): each digest once."""
     rows = spark.createDataFrame(known_texts(), "license string, body string")
     if known is not None:
         rows = rows.unionByName(known.select("license", "body"))
     canon = rows.select("license", joined(canonical_lines(F.col("body"))).alias("c")).where("c != ''")
-    return canon.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("size"))
+    return canon.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("size"), F.min(F.substring_index("c", " ", 1)).alias("word"))
 
 
 def scan(df: DataFrame, text: str = "text", id: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
-    """id, license, scope (document, block, line), first_line, n_lines (counted from 0) of each known text found."""
+    """id, license, scope (document, blocks, block, line), first_line, n_lines (counted from 0) of each known text found."""
     table = digests(df.sparkSession, known)
-    low, high, n = table.agg(F.min("size"), F.max("size"), F.count("*")).first()
+    low, high, n, sizes, words = table.agg(F.min("size"), F.max("size"), F.count("*"), F.collect_set("size"), F.collect_set("word")).first()  # a row for each known text at most
     hashed = table.select("digest", "license")
     if n <= MOST_BROADCAST:
         hashed = F.broadcast(hashed)
-    found = let(canonical_lines(F.col(text)), lambda lines: let(_blocks(lines), lambda spans: _units(lines, spans, low or 0, high or 0)))
+    found = let(canonical_lines(F.col(text)), lambda lines: let(_blocks(lines), lambda spans: _units(lines, spans, low or 0, high or 0, sorted(sizes), sorted(words))))
     # explode_outer: explode would have the optimizer put the whole expression into a filter too.
     units = df.where(F.col(text).isNotNull()).select(F.col(id).alias("key"), F.explode_outer(found).alias("u")).select("key", "u.*")
     return units.join(hashed, "digest").select(F.col("key").alias(id), "license", "scope", "first_line", "n_lines")
 
 
 def _blocks(lines: Column) -> Column:
-    """ARRAY<STRUCT<a, n>>: first line and number of lines of the runs of filled lines."""
+    """ARRAY<STRUCT<a, n, size, word>>: first line, number of lines, characters (joined) and first word of the runs of filled lines."""
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"), F.coalesce(F.get(lines, i - 1), F.lit("")).alias("before"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("after")))
     starts = F.filter(numbered, lambda s: (s["x"] != "") & (s["before"] == ""))
     ends = F.filter(numbered, lambda s: (s["x"] != "") & (s["after"] == ""))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a["i"].alias("a"), (b["i"] - a["i"] + 1).alias("n")))
 
+    def block(a: Column, b: Column) -> Column:
+        n = b["i"] - a["i"] + 1
+        size = F.length(F.array_join(F.slice(lines, a["i"] + 1, n), " "))
+        return F.struct(a["i"].alias("a"), n.alias("n"), size.alias("size"), F.substring_index(a["x"], " ", 1).alias("word"))
+
+    return F.zip_with(starts, ends, block)
 
-def _units(lines: Column, spans: Column, low: int, high: int) -> Column:
-    """ARRAY of the document, its blocks of several lines and its lines, with digests; each entire text once."""
+
+def _units(lines: Column, spans: Column, low: int, high: int, sizes: list[int], words: list[str]) -> Column:
+    """ARRAY of the document, runs of blocks, its blocks of several lines and its lines, with digests; each entire text once."""
 
     def unit(scope: str, at: Column, n: Column, body: Column) -> Column:
         return F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("first_line"), n.cast("int").alias("n_lines"), F.sha2(body, 256).alias("digest"))
@@ -171,7 +240,24 @@ def _units(lines: Column, spans: Column, low: int, high: int) -> Column:
     first = F.get(spans, F.lit(0))["a"]
     whole = F.array(unit("document", first, last["a"] + last["n"] - first, joined(lines)))
     blocks = F.transform(F.filter(spans, lambda s: s["n"] > 1), lambda s: unit("block", s["a"], s["n"], joined(F.slice(lines, s["a"] + 1, s["n"]))))
+    # Runs of blocks: from each block whose first word begins a known text, the following ones while they are not too long.
+    most = max(2, high // RUN_CHARS)
+    begins = F.filter(F.transform(spans, lambda s, i: F.struct(s["a"].alias("a"), s["word"].alias("word"), i.alias("i"))), lambda s: s["word"].isin(words))
+
+    def from_start(s: Column) -> Column:
+        reach = F.slice(spans, s["i"] + 1, most)
+        zero = F.struct(F.lit(-1).alias("size"), F.lit(0).alias("k"), F.array().cast("array<int>").alias("ends"))
+
+        def step(acc: Column, x: Column) -> Column:
+            size, k = acc["size"] + x["size"] + 1, acc["k"] + 1
+            hit = (k > 1) & size.isin(sizes) & (k < F.size(spans))
+            return F.struct(size.alias("size"), k.alias("k"), F.when(hit, F.concat(acc["ends"], F.array(x["a"] + x["n"]))).otherwise(acc["ends"]).alias("ends"))
+
+        ends = F.aggregate(reach, zero, step, lambda acc: acc["ends"])
+        return F.transform(ends, lambda e: unit("blocks", s["a"], e - s["a"], joined(F.slice(lines, s["a"] + 1, e - s["a"]))))
+
+    runs = F.flatten(F.transform(begins, from_start))
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: F.length(s["x"]).between(low, high))
     single = F.transform(numbered, lambda s: unit("line", s["i"], F.lit(1), s["x"]))
     several = F.size(spans) > 1
-    return F.when(F.size(spans) == 0, none).otherwise(F.concat(whole, F.when(several, blocks).otherwise(none), F.when(several | (F.get(spans, F.lit(0))["n"] > 1), single).otherwise(none)))
+    return F.when(F.size(spans) == 0, none).otherwise(F.concat(whole, F.when(several, F.concat(runs, blocks)).otherwise(none), F.when(several | (F.get(spans, F.lit(0))["n"] > 1), single).otherwise(none)))
