@@ -10,8 +10,8 @@ only where the parts that complete it lie within SCOPE code points:
 
 Spans are code points, end exclusive. Regex offsets come from the lengths of the matches and of the gaps
 between them, so no shuffle takes place and each row is on its own: one hot source, repeated rows and null
-or repeated ids change nothing. The join compares the weak parts of one text with the identifiers of that
-text. A null text counts as empty: no spans. Other columns are not carried over.
+or repeated ids change nothing. The join looks each weak part up among the sorted starts and ends of the parts that
+complete it (halving), so a text costs n log n of its spans. A null text counts as empty: no spans. Other columns are not carried over.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docengine.functions.text import let
+
 #: Code points that may lie between two parts of one credential.
 SCOPE = 200
 
@@ -44,6 +46,8 @@ GATE = {
 }
 KINDS = [k[0] for k in BASE + WEAK]
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+#: Matches whose offsets are added up in one fold (a fold copies what it has so far).
+_BLOCK = 256
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
@@ -64,19 +68,52 @@ def _spans(found: Column, kind: int, least: int) -> Column:
             F.length(F.get(found["gaps"], i)).cast("bigint").alias("gap"), F.length(x).cast("bigint").alias("size"), F.length(F.get(found["part"], i)).alias("counted")
         ),
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), (begin + x["size"]).alias("end"))
         return F.struct((begin + x["size"]).alias("at"), F.when(x["counted"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.coalesce(F.aggregate(pieces, start, step, lambda acc: acc["out"]), F.array().cast(_SPAN))
+    def block(at: Column, part: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    def placed(all_: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _BLOCK).cast("int")), lambda b: F.slice(all_, b * _BLOCK + 1, _BLOCK))
+        zero = F.array(F.lit(0).cast("bigint"))
+        long = lambda part: F.aggregate(part, F.lit(0).cast("bigint"), lambda acc, x: acc + x["gap"] + x["size"])
+        return let(parts, lambda p: F.flatten(F.zip_with(F.slice(F.aggregate(p, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + long(x)))), 1, F.size(p)), p, block)))
+
+    return F.when(F.size(pieces) > 0, let(pieces, placed)).otherwise(F.array().cast(_SPAN))
+
+
+def _below(keys: Column, bound: Column) -> Column:
+    """How many of the sorted keys are less than bound, by halving."""
+    state = F.struct(F.lit(0).alias("low"), F.size(keys).alias("high"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        return let(F.floor((acc["low"] + acc["high"]) / 2).cast("int"), lambda mid: F.when(acc["low"] >= acc["high"], acc).when(F.get(keys, mid) < bound, F.struct((mid + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), mid.alias("high"))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(F.size(keys) + 1)).cast("int")), state, halve, lambda acc: acc["low"])
 
 
-def _near(part: Column, others: Column, scope: int) -> Column:
-    """True if one of `others` lies within `scope` code points of `part` and doesn't overlap it."""
-    return F.exists(others, lambda o: ((o["start"] >= part["end"]) & (o["start"] - part["end"] <= scope)) | ((part["start"] >= o["end"]) & (part["start"] - o["end"] <= scope)))
+def _near(others: Column, scope: int, parts: Column) -> Column:
+    """The parts that have one of `others` within `scope` code points and not overlapping them."""
+
+    def found(starts: Column, ends: Column) -> Column:
+        after = lambda p: F.coalesce(F.get(starts, _below(starts, p["end"])) - p["end"] <= scope, F.lit(False))
+        before = lambda p: F.coalesce(p["start"] - F.get(ends, _below(ends, p["start"] + 1) - 1) <= scope, F.lit(False))
+        return F.filter(parts, lambda p: after(p) | before(p))
+
+    return let(F.array_sort(F.transform(others, lambda o: o["start"])), lambda starts: let(F.array_sort(F.transform(others, lambda o: o["end"])), lambda ends: found(starts, ends)))
+
+
+def _outside(parts: Column, strong: Column) -> Column:
+    """The parts that overlap none of `strong`, which are of one kind: in order, and they don't overlap each other."""
+
+    def kept(starts: Column) -> Column:
+        return F.filter(parts, lambda p: F.coalesce(F.get(strong, _below(starts, p["end"]) - 1)["end"] <= p["start"], F.lit(True)))
+
+    return F.when((F.size(strong) == 0) | (F.size(parts) == 0), parts).otherwise(let(F.transform(strong, lambda b: b["start"]), kept))
 
 
 def _text(spans: Column) -> Column:
@@ -89,16 +126,13 @@ def find_secrets(df: DataFrame, text: str = "text", id: str = "doc_id", scope: i
     rows = df.select(F.col(id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.select("key", *[_matches(F.col("body"), kind, pattern, group).alias(f"m_{kind}") for kind, pattern, group, _ in BASE + WEAK])
     rows = rows.select("key", *[_spans(F.col(f"m_{kind}"), n, least).alias(kind) for n, (kind, _, _, least) in enumerate(BASE + WEAK)])
-    rows = rows.withColumn("strong", F.concat("assign", "access", "hex"))
-    inside = lambda s: F.exists("strong", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.select("key", "assign", "access", "strong", *[F.when(F.size(k) > 0, F.filter(k, lambda s: ~inside(s))).otherwise(F.col(k)).alias(k) for k, *_ in WEAK])
-    rows = rows.withColumns({"ids": F.concat("access", "ident"), "keys": F.concat("assign", "token")})
-    linked = F.concat(
-        F.filter("ident", lambda s: _near(s, F.col("keys"), scope)),
-        F.filter("token", lambda s: _near(s, F.col("ids"), scope)),
-        F.filter("endpoint", lambda s: _near(s, F.col("ids"), scope) & _near(s, F.col("keys"), scope)),
-    )
-    return rows.select(F.col("key").alias(id), F.col("strong").alias("base"), linked.alias("linked"))
+    for strong, *_ in BASE:
+        rows = rows.withColumns({k: _outside(F.col(k), F.col(strong)) for k, *_ in WEAK})
+    ids, keys = F.concat("access", "ident"), F.concat("assign", "token")
+    linked = F.concat(_near(keys, scope, F.col("ident")), _near(ids, scope, F.col("token")), _near(keys, scope, _near(ids, scope, F.col("endpoint"))))
+    linked = F.when(F.size("ident") + F.size("token") + F.size("endpoint") > 0, linked).otherwise(F.array().cast(_SPAN))
+    rows = rows.select("key", F.concat("assign", "access", "hex").alias("strong"), linked.alias("linked"))
+    return rows.select(F.col("key").alias(id), F.col("strong").alias("base"), "linked")
 
 
 def report(found: DataFrame, id: str = "doc_id") -> DataFrame:

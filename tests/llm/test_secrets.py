@@ -53,3 +53,36 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = secrets.report(secrets.find_secrets(df))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def plain_links(text):
+    """All pairs: weak parts that overlap no base span and have what completes them within reach."""
+    base = [(m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(KINDS) for m in p.finditer(text or "") if len(m[g]) >= least]
+    weak = [(m.start(), 3 + n, m.end()) for n, (_, p, g, least) in enumerate(secrets.WEAK) for m in re.finditer(p, text or "", re.A) if len(m[g]) >= least]
+    weak = [s for s in weak if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+    near = lambda s, kinds: any(o[1] in kinds and (0 <= o[0] - s[2] <= secrets.SCOPE or 0 <= s[0] - o[2] <= secrets.SCOPE) for o in base + weak)
+    linked = [s for s in weak if s[1] == 3 and near(s, {0, 4}) or s[1] == 4 and near(s, {1, 3}) or s[1] == 5 and near(s, {1, 3}) and near(s, {0, 4})]
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + linked))
+
+
+def test_links_by_brute_force(spark):
+    r = random.Random(4)
+    parts = ["client_id=abc4", "login: someone", "AKIA" + "Q7" * 8, "secret=" + "z" * 9, "x" * 40, "x" * 41, "https://a.b.c:99", "s3://bucket", "deadbeef" * 4, " ", "\n", "word " * 20, "é " * 50, ";"]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(r.randrange(1, 60)))) for i in range(120)]
+    rows.append((1000, " ".join(r.choice(parts) for _ in range(3000))))  # several folds
+    got = {x["doc_id"]: x["spans"] for x in secrets.report(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {i: plain_links(t) for i, t in rows}
+
+
+def test_long_texts_stay_cheap(spark):
+    """Twice the pairs take about twice the time, not four times."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, ("client_id=abc42 " + "k" * 40 + " ") * n)], "doc_id long, text string")
+        begin = time.monotonic()
+        assert secrets.report(secrets.find_secrets(df)).first()["spans"].count(",") == 2 * n - 1
+        return time.monotonic() - begin
+
+    seconds(500)
+    assert seconds(40_000) < 15
