@@ -2,7 +2,7 @@
 
 Each half of a vector is quantised on its own; a pair of centroids is a cell of the index. For a query the
 cells are visited in order of the summed inner products of its halves with the centroids: a heap over the two
-sorted lists yields the next pair (multi-sequence). The visit ends when the cells hold the wanted number of
+sorted lists yields the next pairs, a block at a time (multi-sequence). The visit ends when the cells hold the wanted number of
 rows. Only the entries of visited cells are scored, by the exact inner product in double precision.
 
 The codebooks are fit on one half of a bounded sample (`sample` vectors, chosen by a hash of the id). The wanted
@@ -36,8 +36,8 @@ from docengine.llm.common import stored
 SAMPLE, SAMPLE_QUERIES, TARGET = 40_000, 600, 0.95
 #: Rows of a cell on average, centroids of a half at most, and vectors that a centroid is fit on at least.
 OCCUPANCY, MAX_CENTROIDS, FIT_ROWS = 4, 1024, 20
-#: Bins at least; entries of a bin and probes of a task at most (about); scores that wait in a task.
-MIN_BINS, BIN_ROWS, QUERY_ROWS, WAITING = 12, 32_768, 8_192, 1 << 20
+#: Centroids of a half that the heap takes at a time; bins at least; entries of a bin and probes of a task at most (about); scores that wait in a task.
+STEP, MIN_BINS, BIN_ROWS, QUERY_ROWS, WAITING = 16, 12, 32_768, 8_192, 1 << 20
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -84,26 +84,40 @@ class Index:
             needed += [(order > order[t]).mean() for t in top.tolist()]
         return float(np.quantile(needed, target)) if needed else 1.0
 
-    def visit(self, q: np.ndarray, counts: np.ndarray, wanted: int) -> Iterator[int]:
-        """Cells that hold rows, nearest first, until they hold `wanted` rows."""
+    def visit(self, q: np.ndarray, counts: np.ndarray, wanted: int) -> np.ndarray:
+        """Cells that hold rows, nearest first, until they hold `wanted` rows.
+
+        The heap holds blocks of STEP by STEP pairs of the two sorted lists by their best sum; cells count once no
+        block left can hold a better one.
+        """
         u, v = self.first @ q[: self.half], self.second @ q[self.half :]
-        iu, iv = np.argsort(-u, kind="stable").tolist(), np.argsort(-v, kind="stable").tolist()
-        su, sv, width = u[iu].tolist(), v[iv].tolist(), len(self.second)
-        heap, reach = [(-(su[0] + sv[0]), 0, 0)], [0] * len(su)  # reach: cells of a row of the list that were pushed
+        iu, iv = np.argsort(-u, kind="stable"), np.argsort(-v, kind="stable")
+        su, sv, width = u[iu], v[iv], len(self.second)
+        rows, columns = -(-len(su) // STEP), -(-len(sv) // STEP)
+        heap, reach = [(-(su[0] + sv[0]), 0, 0)], [0] * rows  # reach: blocks of a row that were pushed
         reach[0] = 1
-        seen = 0
-        while heap and seen < wanted:
+        sums, cells, held = [], [], 0
+        while heap:
             _, a, b = heapq.heappop(heap)
-            cell = iu[a] * width + iv[b]
-            if counts[cell]:
-                seen += counts[cell]
-                yield cell
-            if b + 1 < len(sv) and reach[a] == b + 1 and (a == 0 or reach[a - 1] > b + 1):
+            x, y = slice(a * STEP, (a + 1) * STEP), slice(b * STEP, (b + 1) * STEP)
+            cell = (iu[x, None] * width + iv[None, y]).ravel()
+            filled = counts[cell] > 0
+            cells.append(cell[filled])
+            sums.append((su[x, None] + sv[None, y]).ravel()[filled])
+            held += int(counts[cell].sum())
+            if b + 1 < columns and reach[a] == b + 1 and (a == 0 or reach[a - 1] > b + 1):
                 reach[a] = b + 2
-                heapq.heappush(heap, (-(su[a] + sv[b + 1]), a, b + 1))
-            if a + 1 < len(su) and reach[a + 1] == b and (b == 0 or reach[a + 1] >= b):
+                heapq.heappush(heap, (-(su[a * STEP] + sv[(b + 1) * STEP]), a, b + 1))
+            if a + 1 < rows and reach[a + 1] == b and (b == 0 or reach[a + 1] >= b):
                 reach[a + 1] = b + 1
-                heapq.heappush(heap, (-(su[a + 1] + sv[b]), a + 1, b))
+                heapq.heappush(heap, (-(su[(a + 1) * STEP] + sv[b * STEP]), a + 1, b))
+            if held >= wanted and heap:
+                cells, sums = [np.concatenate(cells)], [np.concatenate(sums)]
+                if counts[cells[0][sums[0] >= -heap[0][0]]].sum() >= wanted:
+                    break
+        cell, total = np.concatenate(cells), np.concatenate(sums)
+        cell = cell[np.argsort(-total, kind="stable")]
+        return cell[: np.searchsorted(np.cumsum(counts[cell]), wanted) + 1]
 
 
 def usable(df: DataFrame, vector: str = "embedding", id: str = "vec_id", dim: int | None = None) -> DataFrame:
@@ -238,14 +252,14 @@ def search(df: DataFrame, queries: DataFrame | None = None, k: int = 20, vector:
                 batch = whole.slice(begin, 64)
                 picked, bins, lists = [], [], []
                 for r, q in enumerate(_matrix(batch.column(1))):
-                    of: dict[int, list[int]] = {}
-                    for cell in held.value.visit(q, sizes, wanted):
-                        for b in range(first[cell], first[cell] + parts[cell]):
-                            of.setdefault(b, []).append(cell)
-                    for b, cells in of.items():
-                        picked.append(r)
-                        bins.append(b)
-                        lists.append(np.array(cells, "<i4").tobytes())
+                    cell = held.value.visit(q, sizes, wanted)
+                    n = parts[cell]
+                    cell, bin = np.repeat(cell, n), np.repeat(first[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    order = np.argsort(bin, kind="stable")
+                    of, starts = np.unique(bin[order], return_index=True)
+                    picked += [r] * len(of)
+                    bins += of.tolist()
+                    lists += [x.astype("<i4").tobytes() for x in np.split(cell[order], starts[1:])]
                 if picked:
                     taken = batch.take(pa.array(picked))
                     yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(bins, pa.int32()), pa.array(lists, pa.binary())], ["query", "qvec", "bin", "visited"])

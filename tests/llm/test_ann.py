@@ -14,7 +14,7 @@ def test_cells_come_in_order():
     index = ann.Index(x, len(x), 5)
     counts = np.ones(len(index.first) * len(index.second), np.int64)
     for q in x[:20]:
-        seen = list(index.visit(q, counts, 10**9))
+        seen = index.visit(q, counts, 10**9).tolist()
         score = (index.first @ q[: index.half])[:, None] + (index.second @ q[index.half :])[None]
         assert sorted(seen) == list(range(len(counts)))
         assert (np.diff(score.ravel()[seen]) <= 1e-9).all()
