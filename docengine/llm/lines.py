@@ -1,21 +1,27 @@
-"""Line de-duplication by line fingerprints (operator 9).
-
-Texts are sequences of lines in the order of their ids. A line's hash is XXH64 of its words joined by one
-space; lines without words are passed over. A line is deleted if it lies whole in a run of MIN_WORDS words
-or more that already stands in an earlier text, or earlier in the same text without overlap; the run may begin
-and end inside lines, whose words stay. Of lines without words those inside a run go. The first occurrence stays.
-
-1. Fingerprints: the hashes of single lines, counted (partial sums first). A line that stands once in all texts
-   cannot be deleted; texts with lines that stand more often go on.
-2. Windows: the runs of exactly MIN_WORDS words that hold such a line whole, wherever they begin and end; of a
-   line of MIN_WORDS words or more, runs that cover it and one that leads on to the next line.
-3. Each window joins its first occurrence (a partial minimum; the few very frequent ones are broadcast, so
-   frequent passages are no burden). A run of any length is a union of its windows.
-4. Lines that lie in windows with an earlier occurrence are deleted by built-in expressions.
+"""Line de-duplication by winnowing (operator 9).
+
+Texts are sequences of lines in the order of their ids; words are split at white space, lines without words are
+passed over. A line is deleted if it lies whole in a run of `least` words or more (MIN_WORDS by default) that already
+stands in an earlier text, or earlier in the same text without overlap; the run may begin and end inside lines, whose
+words stay. Of lines without words those inside a run go. The first occurrence stays.
+
+1. Texts whose lines are all equal are one: of `least` words or more, all but the first are runs as a whole.
+2. Fingerprints: of each two neighbouring lines the one with the lesser hash is selected (the minimum of a winnowing
+   window), and a line that with its neighbours has `least` words, so could be the only whole line of a run. Every
+   run whose inner line breaks are the same in both texts holds a selected line.
+3. A run that holds a selected line reaches, to its left or its right, half of the words that the line lacks of
+   `least`. So each selected line has two fingerprints, itself with so many words before it and after it. They are
+   counted (partial sums first); those that stand once go no further, nor do common lines in different surroundings.
+4. From the others matches are extended both ways, word by word, through all windows of `least` words around them. A
+   window joins its first occurrence (a partial minimum; the few very frequent ones are broadcast, so frequent
+   passages are no burden); a run of any length is a union of its windows.
+5. Lines that lie in windows with an earlier occurrence are deleted by built-in expressions.
+
+Windows and texts are compared by 128-bit digests of their words, fingerprints (which only select) by 64 bits.
 
 A null text stays null and an empty one empty. Null ids come last in the order; rows with the same id come
 in the order of a hash of their texts; rows that repeat id and text are one text and are all treated alike.
-All columns stay; `n_chars`, if there is one, is counted again.
+All columns stay, whatever their names; `n_chars`, if there is one, is counted again.
 """
 
 from __future__ import annotations
@@ -28,35 +34,87 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import map_slices, meet, stored
+from docengine.llm.common import map_slices, meet, stored, unused
+from docengine.llm.decontaminate import _HASHES, forget, mixed
 
 #: Words of the shortest run that counts as repeated.
 MIN_WORDS = 50
 _LAST = (1 << 63) - 1
+_BASES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+class Sequence:
+    """Lines with words of a text: their numbers and word counts, and digests of any words in a row."""
+
+    def __init__(self, text: str):
+        self.at, counts, words = [], [], []
+        for i, line in enumerate(text.split("\n")):
+            if found := line.split():
+                self.at.append(i)
+                counts.append(len(found))
+                words += found
+        self.counts = np.array(counts, np.int64)
+        self.total = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
+        self.hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+        self.sums: dict[int, np.ndarray] = {}
+
+    def digest(self, start: np.ndarray, end: np.ndarray, half: int = 0) -> np.ndarray:
+        """64-bit digests (two different ones) of the words start to end: a polynomial of their mixed hashes, from prefix sums."""
+        base = _BASES[half]
+        if half not in self.sums:
+            power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(self.hashes), base))])
+            self.sums[half] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes + np.uint64(half)) * power[:-1])])
+        # Divided by the power of the first word's place, equal words agree wherever they stand.
+        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+        return mixed((self.sums[half][end] - self.sums[half][start]) * _powers(inverse, start) ^ mixed((end - start).astype(np.uint64)))
+
+    def lines(self) -> np.ndarray:
+        return self.digest(self.total[:-1], self.total[1:])
+
+
+def _powers(base: np.uint64, of: np.ndarray) -> np.ndarray:
+    """base ** of, modulo 2 ** 64."""
+    out, square, left = np.ones(len(of), np.uint64), np.array([base]), of.astype(np.uint64)
+    while left.any():
+        out = np.where(left & np.uint64(1), out * square, out)
+        square, left = square * square, left >> np.uint64(1)
+    return out
 
 
-def line_hashes(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Numbers, hashes and word counts of the lines of a text that have words."""
-    at, hashes, counts = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        if words := line.split():
-            at.append(i)
-            hashes.append(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")))
-            counts.append(len(words))
-    return at, hashes, counts
+def selected(lines: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the lines that winnowing selects: minima of two neighbours, and lines that can be alone in a run."""
+    padded = np.concatenate([[0], counts, [0]])
+    chosen = padded[:-2] + counts + padded[2:] >= least
+    if len(lines) > 1:
+        earlier = lines[:-1] < lines[1:]  # equal neighbours: the later one
+        chosen[:-1] |= earlier
+        chosen[1:] |= ~earlier
+    return np.flatnonzero(chosen)
 
 
-def window_starts(counts: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
-    """Positions of the first words of the windows around the lines that `shared` marks."""
-    total = np.concatenate([[0], np.cumsum(counts)])
+def fingerprints(text: Sequence, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of selected lines and their fingerprints: each line with the words before it, and after it, where there are so many."""
+    at = selected(text.lines(), text.counts, least)
+    s, e, n = text.total[at], text.total[at + 1], int(text.total[-1])
+    half = np.maximum(0, -(-(least - (e - s)) // 2))
+    left, right = s >= half, e + half <= n
+    whole = half == 0
+    before = text.digest((s - half)[left], e[left])
+    after = text.digest(s[right & ~whole], (e + half)[right & ~whole])
+    return np.concatenate([at[left], at[right & ~whole]]), np.concatenate([before, after ^ np.uint64(1)])
+
+
+def window_starts(total: np.ndarray, live: np.ndarray, least: int) -> np.ndarray:
+    """First words of the windows that extend matches from the lines `live`: all that reach them or the `least` words around."""
     wanted = np.zeros(max(0, int(total[-1]) - least + 1), bool)
-    for i in np.flatnonzero(shared).tolist():
+    for i in live.tolist():
         s, e = int(total[i]), int(total[i + 1])
         if e - s < least:
-            wanted[max(0, e - least) : s + 1] = True
+            wanted[max(0, e - 2 * least) : s + least + 1] = True
         else:
             wanted[s : e - least + 1 : least] = True
-            wanted[e - least : e - least + 2] = True
+            wanted[max(0, s - least) : s + 1] = True
+            wanted[e - least : e + 1] = True
     return np.flatnonzero(wanted)
 
 
@@ -82,66 +140,61 @@ def runs_of(at: np.ndarray, counts: np.ndarray, starts: np.ndarray, least: int)
     return out
 
 
-def _sequences(rows: DataFrame) -> DataFrame:
-    """pos, k1, lines, counts (packed) and prints (line hashes, twice if they repeat) of each text of MIN_WORDS words or more."""
+def _sequences(rows: DataFrame, least: int) -> DataFrame:
+    """pos, k1, lines, counts (packed), digest (of all lines) and prints (fingerprints, twice if they repeat) of each text of `least` words or more."""
 
     def make() -> Callable:
-        least = MIN_WORDS
-
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept, lines, counts, prints = [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                at, h, c = line_hashes(text or "")
-                if sum(c) >= least:
+            kept, lines, counts, digests, prints = [], [], [], [], []
+            for i, body in enumerate(batch.column(2).to_pylist()):
+                text = Sequence(body or "")
+                if text.total[-1] >= least:
                     kept.append(i)
-                    lines.append(np.array(at, "<i4").tobytes())
-                    counts.append(np.array(c, "<i4").tobytes())
-                    values, n = np.unique(np.array(h, np.uint64), return_counts=True)
+                    lines.append(np.array(text.at, "<i4").tobytes())
+                    counts.append(text.counts.astype("<i4").tobytes())
+                    s, e = text.total[:-1], text.total[1:]
+                    digests.append(xxhash.xxh3_128_digest(np.concatenate([text.digest(s, e), text.digest(s, e, 1)]).tobytes()))
+                    values, n = np.unique(fingerprints(text, least)[1], return_counts=True)
                     prints.append(np.concatenate([values, values[n > 1]]).view(np.int64))
             taken = batch.take(pa.array(kept, pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(lines, pa.binary()), pa.array(counts, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
-                ["pos", "k1", "lines", "counts", "prints"],
+                [taken.column(0), taken.column(1), pa.array(lines, pa.binary()), pa.array(counts, pa.binary()), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                ["pos", "k1", "lines", "counts", "digest", "prints"],
             )
 
         return apply
 
-    return map_slices(rows, make, "pos long, k1 long, lines binary, counts binary, prints array<long>", "body")
+    return map_slices(rows, make, "pos long, k1 long, lines binary, counts binary, digest binary, prints array<long>", "body", finish=forget)
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """pos, k1, start (number of the first word), block (hash) of the windows around lines whose hash is among `shared`."""
+def _windows(rows: DataFrame, least: int) -> DataFrame:
+    """pos, k1, start (number of the first word), block (digest) of the windows around lines with a fingerprint among `shared`."""
 
     def make() -> Callable:
-        least = MIN_WORDS
-
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             owner, start, block = [], [], []
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py()
-                _, h, c = line_hashes(text)
-                starts = window_starts(np.array(c), np.isin(np.array(h, np.uint64).view(np.int64), np.array(batch.column(3)[i].as_py(), np.int64)), least)
-                words = [w for line in text.split("\n") for w in line.split()]
-                packed = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).tobytes()
+                text = Sequence(batch.column(2)[i].as_py())
+                at, prints = fingerprints(text, least)
+                live = np.unique(at[np.isin(prints.view(np.int64), np.array(batch.column(3)[i].as_py(), np.int64))])
+                starts = window_starts(text.total, live, least)
+                digests = np.stack([text.digest(starts, starts + least), text.digest(starts, starts + least, 1)], axis=1)
                 owner += [i] * len(starts)
                 start.append(starts)
-                block += [xxhash.xxh64_intdigest(packed[8 * a : 8 * (a + least)]) for a in starts.tolist()]
+                packed = digests.tobytes()
+                block += [packed[x : x + 16] for x in range(0, len(packed), 16)]
             taken = batch.select(["pos", "k1"]).take(pa.array(owner, pa.int64()))
-            return pa.RecordBatch.from_arrays(
-                [taken.column(0), taken.column(1), pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.array(block, np.uint64).view(np.int64))], ["pos", "k1", "start", "block"]
-            )
+            return pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(np.concatenate(start).astype(np.int32)), pa.array(block, pa.binary())], ["pos", "k1", "start", "block"])
 
         return apply
 
-    return map_slices(rows, make, "pos long, k1 long, start int, block long", "body")
+    return map_slices(rows, make, "pos long, k1 long, start int, block binary", "body", most=1 << 19, finish=forget)
 
 
-def _runs(rows: DataFrame) -> DataFrame:
+def _runs(rows: DataFrame, least: int) -> DataFrame:
     """pos, k1, runs from pos, k1, lines, counts and the starts of the windows with an earlier occurrence."""
 
     def make() -> Callable:
-        least = MIN_WORDS
-
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             unpacked = lambda column, i: np.frombuffer(batch.column(column)[i].as_py(), "<i4").astype(np.int64)
             runs = [[{"first": a, "last": b} for a, b in runs_of(unpacked(2, i), unpacked(3, i), np.array(batch.column(4)[i].as_py(), np.int64), least)] for i in range(batch.num_rows)]
@@ -153,36 +206,54 @@ def _runs(rows: DataFrame) -> DataFrame:
     return map_slices(rows, make, "pos long, k1 long, runs array<struct<first:int,last:int>>", "lines")
 
 
-def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id", least: int = MIN_WORDS) -> DataFrame:
     """pos, k1 (the text's place in the order and hash), runs array<struct<first int, last int>>: the lines to delete."""
     rows = df.where(F.col(text).isNotNull()).select(*_place(text, id), F.col(text).alias("body"))
-    texts, _ = stored(_sequences(rows), "lines")
-    texts = texts.dropDuplicates(["pos", "k1"])
+    every, _ = stored(_sequences(rows, least), "lines")
+    first, _ = stored(every.groupBy("digest").agg(F.min(F.struct("pos", "k1")).alias("first"), F.count("*").alias("n")).where("n > 1"), "equal")
+    placed = meet(every.select("pos", "k1", "lines", "digest"), first, "digest")
+    copies, _ = stored(placed.where((F.col("first.pos") != F.col("pos")) | (F.col("first.k1") != F.col("k1"))).select("pos", "k1", "lines").distinct(), "copies")
+    texts = every.join(copies.select("pos", "k1"), ["pos", "k1"], "left_anti").dropDuplicates(["pos", "k1"])
     prints = texts.select("pos", "k1", F.explode("prints").alias("print"))
     several, _ = stored(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "prints")
     shared, _ = stored(meet(prints, several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared")), "shared")
-    windows, _ = stored(_windows(rows.join(shared, ["pos", "k1"])), "windows")
+    windows, _ = stored(_windows(rows.join(shared, ["pos", "k1"]).select("pos", "k1", "body", "shared"), least), "windows")
     here = F.struct("pos", "k1", "start")
-    first, _ = stored(windows.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
+    origin, _ = stored(windows.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
     # In the same text the earlier occurrence must end before the later one begins.
-    earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.start") + MIN_WORDS <= F.col("start"))
-    later = meet(windows, first, "block").where(earlier).groupBy("pos", "k1").agg(F.collect_set("start").alias("starts"))
-    return _runs(texts.select("pos", "k1", "lines", "counts").join(later, ["pos", "k1"])).where(F.size("runs") > 0)
+    earlier = (F.col("origin.pos") != F.col("pos")) | (F.col("origin.k1") != F.col("k1")) | (F.col("origin.start") + least <= F.col("start"))
+    later = meet(windows, origin, "block").where(earlier).groupBy("pos", "k1").agg(F.collect_set("start").alias("starts"))
+    parts = _runs(texts.select("pos", "k1", "lines", "counts").join(later, ["pos", "k1"]), least).where(F.size("runs") > 0)
+    return parts.unionByName(_whole(copies))
+
+
+def _whole(copies: DataFrame) -> DataFrame:
+    """pos, k1, runs: one run from the first line with words to the last."""
+
+    def make() -> Callable:
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lines = [np.frombuffer(x, "<i4") for x in batch.column(2).to_pylist()]
+            runs = [[{"first": int(x[0]), "last": int(x[-1])}] for x in lines]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["pos", "k1", "runs"])
+
+        return apply
+
+    return map_slices(copies, make, "pos long, k1 long, runs array<struct<first:int,last:int>>", "lines")
 
 
 def _place(text: str, id: str) -> list:
     return [F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("pos"), F.xxhash64(F.col(id), F.col(text)).alias("k1")]
 
 
-def dedup_lines(df: DataFrame, text: str = "text", id: str = "doc_id", chars: str = "n_chars") -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", id: str = "doc_id", chars: str = "n_chars", least: int = MIN_WORDS) -> DataFrame:
     """df with repeated runs deleted from `text` (and `chars` counted again); rows and columns stay."""
-    names = df.columns
-    place = [x.alias(n) for x, n in zip(_place(text, id), ("__pos", "__k1"))]
-    runs = repeated_runs(df, text, id).select(F.col("pos").alias("__pos"), F.col("k1").alias("__k1"), F.col("runs").alias("__runs"))
-    rows = df.select("*", *place).join(runs, ["__pos", "__k1"], "left")
-    gone = lambda i: F.exists("__runs", lambda r: (r["first"] <= i) & (i <= r["last"]))
+    pos, k1, runs = unused(df.columns, "pos", "k1", "runs")
+    place = [x.alias(n) for x, n in zip(_place(text, id), (pos, k1))]
+    found = repeated_runs(df, text, id, least).select(F.col("pos").alias(pos), F.col("k1").alias(k1), F.col("runs").alias(runs))
+    rows = df.select("*", *place).join(found, [pos, k1], "left")
+    gone = lambda i: F.exists(runs, lambda r: (r["first"] <= i) & (i <= r["last"]))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~gone(i)), "\n")
-    rows = rows.withColumn(text, F.when(F.col("__runs").isNull(), F.col(text)).otherwise(kept))
-    if chars in names:
-        rows = rows.withColumn(chars, F.when(F.col("__runs").isNull(), F.col(chars)).otherwise(F.length(text).cast(df.schema[chars].dataType)))
-    return rows.select(*names)
+    rows = rows.withColumn(text, F.when(F.col(runs).isNull(), F.col(text)).otherwise(kept))
+    if chars in df.columns:
+        rows = rows.withColumn(chars, F.when(F.col(runs).isNull(), F.col(chars)).otherwise(F.length(text).cast(df.schema[chars].dataType)))
+    return rows.select(*df.columns)

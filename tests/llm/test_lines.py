@@ -5,7 +5,10 @@ from docengine.llm import lines
 
 def brute(rows, least=lines.MIN_WORDS):
     """Line numbers to delete by text: every run of `least` words whose first occurrence is earlier and does not overlap."""
-    seqs = [lines.line_hashes(t or "") for _, t in rows]
+    seqs = []
+    for _, t in rows:
+        filled = [(i, tuple(x.split())) for i, x in enumerate((t or "").split("\n")) if x.split()]
+        seqs.append(([i for i, _ in filled], [w for _, w in filled], [len(w) for _, w in filled]))
     seen = {}
     for r, (_, h, c) in enumerate(seqs):
         for a in range(len(h)):
@@ -86,3 +89,58 @@ def test_long_lines_and_frequent_windows(spark):
     docs = [(i, f"own{i}\n{line('a', 120)}\n\n{line('b', 50)}\n{line('c', 7)}\nend{i}") for i in range(1200)]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[0] == docs[0][1] and all(got[i] == f"own{i}\nend{i}" for i in range(1, 1200))
+
+
+def test_digests_of_words():
+    text = lines.Sequence("a b c d\n\n a b c d e\nb c d e")
+    assert text.at == [0, 2, 3] and text.counts.tolist() == [4, 5, 4]
+    import numpy as np
+
+    spans = [(a, b) for a in range(13) for b in range(a + 1, 14)]
+    words = "a b c d a b c d e b c d e".split()
+    for half in (0, 1):
+        found = text.digest(np.array([a for a, _ in spans]), np.array([b for _, b in spans]), half).tolist()
+        by_words = {}
+        for (a, b), x in zip(spans, found):
+            if b <= 13:
+                assert by_words.setdefault(tuple(words[a:b]), x) == x
+        assert len(set(by_words.values())) == len(by_words)
+
+
+def test_passages_that_begin_and_end_inside_lines(spark):
+    """Runs of 50 to 90 words out of long documents, their edges inside lines of other words: whole lines of the run go."""
+    r = random.Random(12)
+    docs, expected = [], {}
+    for i in range(40):
+        own = [[f"d{i}w{r.randrange(10**9)}" for _ in range(r.randrange(2, 33))] for _ in range(14)]
+        docs.append((i, "\n".join(map(" ".join, own))))
+        flat = [(n, w) for n, line in enumerate(own) for w in line]
+        size = r.randrange(50, 91)
+        at = r.randrange(len(flat) - size)
+        run = flat[at : at + size]
+        later, kept = [], []
+        for n in dict.fromkeys(n for n, _ in run):
+            part = [w for m, w in run if m == n]
+            first, last = n == run[0][0], n == run[-1][0]
+            line = ([f"x{r.random()}"] if first else []) + part + ([f"y{r.random()}"] if last else [])
+            later.append(" ".join(line))
+            if first or last:
+                kept.append(" ".join(line))
+        docs.append((100 + i, "\n".join(["own words " + str(r.random()), *later, "the end " + str(i)])))
+        inner = len(set(n for n, _ in run)) > 2
+        expected[100 + i] = "\n".join([docs[-1][1].split("\n")[0], *kept, "the end " + str(i)]) if inner else docs[-1][1]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: expected.get(i, t) for i, t in docs}
+
+
+def test_common_lines_alone_are_no_run(spark):
+    common = [f"a common line of some words number {i}" for i in range(5)]
+    docs = [(i, "\n".join(f"own {i} {j} " + " ".join(f"u{i}x{j}y{k}" for k in range(12)) + "\n" + common[(i + j) % 5] for j in range(6))) for i in range(30)]
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs)
+
+
+def test_names_of_columns_and_least(spark):
+    df = spark.createDataFrame([(1, "one two three\nfour", "a", 1, 2), (2, "x\none two three\ny", "b", 3, 4)], "doc_id long, text string, pos string, K1 int, runs int")
+    left = lines.dedup_lines(df, least=3)
+    assert left.columns == df.columns and sorted(map(tuple, left.collect())) == [(1, "one two three\nfour", "a", 1, 2), (2, "x\ny", "b", 3, 4)]
