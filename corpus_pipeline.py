@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm import bpe, decontaminate, language, lines, similar
-from docengine.llm.common import stored
+from docengine.llm.common import stored, unused
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is undetermined (no letter); a missing lang takes the predicted one."""
-    found = language.annotate(docs, language.train(docs))
-    kept = found.where(F.col("lang_pred") != language.UNDETERMINED)
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    named, score = unused(docs.columns, "lang_pred", "score")
+    found = language.annotate(docs, language.train(docs), names=(named, score))
+    return found.where(F.col(named) != language.UNDETERMINED).withColumn("lang", F.coalesce("lang", named)).select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,15 +53,20 @@ def trim() -> None:
         pass
 
 
+def smaller_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows where they have Spark's default size, too much for long texts."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "10000":
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, sized: str | None = None, most: int = SLICE_BYTES, finish: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with `make()` called once a task; the function it returns gets one bounded slice at a time.
 
     `finish` runs when the task ends: workers live on between tasks, so what they remember is let go there, and
     free memory goes back to the system. Arrow batches hold BATCH_ROWS rows, unless the session says otherwise.
     """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH) == "10000":  # Spark's default, too many for long texts
-        conf.set(_BATCH, str(BATCH_ROWS))
+    smaller_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = make()

@@ -3,7 +3,7 @@
 A model of hashed character n-grams gives each word a likelihood in every language. A text is a mixture:
 expectation-maximisation over its words estimates the proportion of each language. Which languages it holds
 is chosen by penalised likelihood (BIC): languages enter in order of their proportion while each one's gain
-in log-likelihood exceeds its penalty. The prediction is the language with the largest proportion in the
+in log-likelihood exceeds its penalty: half the logarithm of the number of words (BIC) and MARGIN. The prediction is the language with the largest proportion in the
 chosen set (ties: the alphabetically first), its score that proportion.
 
 The model is fit on a bounded sample: about `per_lang` rows of each language that are not held out, chosen
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from docengine.llm.common import held_out, map_slices
+from docengine.llm.common import held_out, map_slices, slices, smaller_batches
 
 BITS = 15
 #: Rows of each language that the model is fit on, at most (as expected; the draw is by hash).
 PER_LANG = 3000
-SMOOTHING, ROUNDS = 0.5, 12
+SMOOTHING, ROUNDS, MARGIN = 0.5, 12, 1.0
 MEMO_ENTRIES, MEMO_CHARS = 250_000, 40
 UNDETERMINED = "und"
 
@@ -40,7 +40,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(words: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams (1 to 3) of words with a boundary on both sides, and the word of each."""
+    """Hashed character n-grams (2 and 3) of words with a boundary on both sides, and the word of each."""
     joined = " " + " ".join(words) + " "
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     space = c == 32
@@ -126,7 +126,7 @@ def infer(logs: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndar
         begin /= begin.sum(axis=1, keepdims=True)
         c = counts[open_]
         tried, value = mixtures(likelihood[row], np.concatenate([[0], np.cumsum(c)[:-1]]), c, begin, rounds)
-        better = value - gained[open_] > 0.5 * np.log(np.maximum(c, 2)) + 1.0
+        better = value - gained[open_] > 0.5 * np.log(np.maximum(c, 2)) + MARGIN
         took = open_[better]
         best[took] = tried[better]
         gained[took] = value[better]
@@ -168,13 +168,14 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_
     def run(batches):
         total = np.zeros((len(langs), 1 << bits), np.int64)
         place = {x: i for i, x in enumerate(langs)}
-        for batch in batches:
+        for batch in slices(batches, "body"):
             for lang_, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if found := _words(body.lower()):
                     total[place[lang_]] += np.bincount(grams(found, bits)[0], minlength=1 << bits)
         at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(total[at])], ["l", "g", "n"])
 
+    smaller_batches(df)
     summed = drawn.mapInArrow(run, "l int, g int, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << bits, len(langs)))
     counts[summed.column("g").to_numpy(), summed.column("l").to_numpy()] = summed.column("n").to_numpy()
@@ -202,10 +203,10 @@ def predict(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id",
     return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, lang_pred string, score double, proportions map<string,double>", "body").withColumnRenamed("key", id)
 
 
-def annotate(df: DataFrame, model: Model, text: str = "text", bits: int = BITS) -> DataFrame:
-    """df with lang_pred and score added (columns of these names are replaced); all rows and other columns stay."""
+def annotate(df: DataFrame, model: Model, text: str = "text", bits: int = BITS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with the predicted language and its score added under `names` (columns of these names are replaced); all rows and other columns stay."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.drop("lang_pred", "score")
+    rows = df.drop(*names)
     at = rows.columns.index(text)
 
     def make() -> Callable:
@@ -213,9 +214,9 @@ def annotate(df: DataFrame, model: Model, text: str = "text", bits: int = BITS)
 
         def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
             lang, score, _ = predict_texts(batch.column(at).to_pylist(), words)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, *names])
 
         return apply
 
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return map_slices(rows, make, schema, text)

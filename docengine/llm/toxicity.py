@@ -24,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import held_out, map_slices
+from docengine.llm.common import discard, held_out, map_slices, stored
 
 BITS = 20
 #: Labelled rows that the model is fit on, at most (as expected; the draw is by hash).
 SAMPLE = 10_000
+#: Bytes of their features that come to the driver at most (as expected; beyond it a share of the rows, by hash).
+SAMPLE_BYTES = 256 << 20
 ALPHA, BETA, L1, L2, PASSES = 2.0, 1.0, 3.0, 0.1, 5
 MEMO_ENTRIES = 300_000
 
@@ -144,7 +146,12 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
         return apply
 
-    found = map_slices(rows, make, "key string, label int, features binary", "body", finish=forget).toArrow().sort_by("key")
+    drawn, path = stored(map_slices(rows, make, "key string, label int, features binary", "body", finish=forget), "features")
+    size = drawn.agg(F.sum(F.octet_length("features"))).first()[0] or 0
+    if size > SAMPLE_BYTES:
+        drawn = drawn.where((F.xxhash64("key", F.lit(1)) % (1 << 30) + (1 << 30)) % (1 << 30) < int(SAMPLE_BYTES / size * (1 << 30)))
+    found = drawn.toArrow().sort_by([("key", "ascending"), ("features", "ascending")])
+    discard(df.sparkSession, path)
     return fit([np.frombuffer(x.as_py(), "<u4") for x in found.column("features")], found.column("label").to_numpy().astype(np.float64), bits)
 
 

@@ -46,7 +46,8 @@ def test_pipeline_by_brute_force(spark, tmp_path):
 
 def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.createDataFrame([(1, "some text", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, "some text", "en", "s", 9, 0.5, "q", 3, 4)], "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, pos int, `row` int")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         for rows in (docs, docs.limit(0)):
-            assert stage(spark, rows, str(tmp_path)).columns == docs.columns
+            out = stage(spark, rows, str(tmp_path))
+            assert out.columns == docs.columns and out.collect() == rows.collect()

@@ -41,3 +41,44 @@ def test_edges_of_input(spark):
     assert all(r["score"] > 0.99 for r in toxicity.score(odd, one).collect())
     odd_labels = spark.createDataFrame([(1, None), (None, 1), (2, 7)], "doc_id long, toxic int")
     assert toxicity.train(df, odd_labels).index.size == 0
+
+
+def test_fit_by_plain_updates():
+    """FTRL-proximal written out for one coordinate at a time."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [np.array(sorted(r.sample(range(64), r.randrange(1, 9))), np.uint32) for _ in range(80)]
+    labels = np.array([float(3 in x or 5 in x) for x in rows])
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(i):
+        l1 = 0.0 if i == 64 else toxicity.L1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(7).permutation(80).tolist()
+    for _ in range(toxicity.PASSES):
+        for t in order:
+            at = [*rows[t].tolist(), 64]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[t]
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    model = toxicity.fit(rows, labels, 6)
+    dense = model.dense(6)
+    assert np.allclose(dense, [weight(i) for i in range(64)], atol=1e-5) and abs(model.bias - weight(64)) < 1e-9
+    assert 0 < (dense != 0).sum() < 64
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs, labels, df, known = corpus(spark)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *_: seen.append(rows))
+    toxicity.train(df, known)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", sum(x.nbytes for x in seen[0]) // 3)
+    toxicity.train(df, known)
+    assert 0.2 < sum(x.nbytes for x in seen[1]) / sum(x.nbytes for x in seen[0]) < 0.46
