@@ -96,24 +96,19 @@ def normalize_whitespace(text: Column) -> Column:
 def dedup_lines(text: Column, keep_blank: bool = False) -> Column:
     """First occurrence of each line, by its trimmed lower-case form; blank lines go, unless kept.
 
-    Texts of very many lines should take `operators.cleaning.dedup_lines`, whose cost is not quadratic in a text.
-    """
-    keys = F.transform(lines(text), lambda x: F.lower(strip(x)))
-    blank = F.lit(keep_blank)
-    kept = F.filter(F.arrays_zip(lines(text).alias("l"), keys.alias("k")), lambda x: x["k"] != "")
-    if not keep_blank:
-        first = F.aggregate(
-            kept,
-            F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")),
-            lambda acc, x: F.when(F.array_contains(acc["seen"], x["k"]), acc).otherwise(
-                F.struct(F.concat(acc["seen"], F.array(x["k"])).alias("seen"), F.concat(acc["out"], F.array(x["l"])).alias("out"))
-            ),
-            lambda acc: acc["out"],
-        )
-        return F.array_join(first, "\n")
-    zipped = F.arrays_zip(lines(text).alias("l"), keys.alias("k"))
-    out = F.filter(zipped, lambda x, i: (blank & (x["k"] == "")) | (F.array_position(keys, x["k"]) == i + 1))
-    return F.array_join(F.transform(out, lambda x: x["l"]), "\n")
+    The lines are sorted by form and position, so that first ones differ from their neighbour, and back: n log n."""
+    return F.array_join(F.transform(first_lines(text, keep_blank), lambda x: x["line"]), "\n")
+
+
+def first_lines(text: Column, keep_blank: bool = False) -> Column:
+    """ARRAY<STRUCT<pos, line>> of the lines that `dedup_lines` keeps."""
+    every = F.transform(lines(text), lambda x, i: F.struct(F.lower(strip(x)).alias("form"), i.alias("pos"), x.alias("line")))
+    filled = F.array_sort(F.filter(every, lambda x: x["form"] != ""))
+    first = let(filled, lambda f: F.filter(F.transform(f, lambda x, i: F.struct(x["pos"].alias("pos"), x["line"].alias("line"), (F.coalesce(F.get(f, i - 1)["form"], F.lit("")) != x["form"]).alias("first"))), lambda x: x["first"]))
+    bare = lambda rows: F.transform(rows, lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line")))
+    if keep_blank:
+        return F.array_sort(F.concat(bare(first), bare(F.filter(every, lambda x: x["form"] == ""))))
+    return F.array_sort(bare(first))
 
 
 def normalize_for_fingerprint(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -70,15 +70,12 @@ def rule_clean(df: DataFrame, text: str = "text", ads: bool = True, noise: bool
 def dedup_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """First occurrence of each non-blank line of a row, by its trimmed lower-case form; adds n_lines (kept).
 
-    A window over (row, line): linear in the lines of a text, for texts of any length. Rows without a line keep
-    an empty text."""
-    key = "__row"
-    rows = df.withColumn(key, F.struct(*[F.col(c) for c in df.columns if c != text], F.xxhash64(text)))
-    lines = rows.select(key, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).withColumn("k", F.lower(T.strip(F.col("line")))).where("k != ''")
-    first = lines.withColumn("n", F.row_number().over(Window.partitionBy(key, "k").orderBy("pos"))).where("n = 1")
-    joined = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
-    joined = joined.select(key, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias(text), F.size("l").cast("long").alias("n_lines"))
-    return joined.select(*[F.col(f"{key}.{c}").alias(c) if c != text else F.col(text) for c in df.columns], "n_lines")
+    Every row stays, repeated ones too; a null text stays null with no line, one without filled lines becomes empty."""
+    names = df.columns
+    first = T.first_lines(F.col(text))
+    pair = T.let(first, lambda kept: F.struct(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("t"), F.size(kept).cast("long").alias("n")))
+    rows = df.select(*names, F.when(F.col(text).isNotNull(), pair).alias("__kept"))
+    return rows.select(*[F.col("__kept.t").alias(c) if c == text else F.col(c) for c in names], F.coalesce("__kept.n", F.lit(0).cast("long")).alias("n_lines"))
 
 
 def duplicate_paragraphs(df: DataFrame, text: str = "text", top: int = 20) -> DataFrame:

@@ -54,15 +54,28 @@ def ancestors(items: DataFrame, key: str, pos: str, depth: str, deepest: int = 6
     return items.withColumn("parent", F.greatest(*lasts))
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """short, long: pairs of distinct names (each frame has one column `name`) where the first is part of the second.
+
+    An equal join: the long names give their substrings of the lengths that the short ones have."""
+    lengths = F.broadcast(short.select(F.length("name").alias("size")).distinct())  # as many rows as there are lengths of names
+    parts = long.join(lengths, F.col("size") <= F.length("name")).where("size > 0")
+    parts = parts.select(F.col("name").alias("long"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring(F.col("name"), i, F.col("size"))))).alias("short"))
+    return parts.join(short.select(F.col("name").alias("short")), "short")
+
+
 def name_match(left: DataFrame, right: DataFrame, name: str, key: str) -> DataFrame:
     """The right row of each left name: the equal one, else the first (by key) where either name contains the other.
 
-    The equal join goes first; only names without an equal one meet the (checked, broadcast) names by containment."""
-    exact = left.join(right.select(F.col(key).alias("match"), F.col(name).alias("__name")), F.col(name) == F.col("__name"), "left").drop("__name")
-    done = exact.where("match IS NOT NULL")
-    rest = exact.where("match IS NULL").drop("match")
-    near = rest.join(right.select(F.col(key).alias("k"), F.col(name).alias("n")), F.contains(F.col("n"), F.col(name)) | F.contains(F.col(name), F.col("n")), "left")
-    return done.unionByName(near.groupBy(*rest.columns).agg(F.min("k").alias("match")))
+    Adds match (null for none). Names are matched once each, by equal joins; empty names match only their equals."""
+    keys = right.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("k"))
+    asked = left.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
+    rest = asked.join(keys, "name", "left_anti").where("name != ''")
+    names = keys.select("name").where("name != ''")
+    pairs = contained(names, rest).select(F.col("long").alias("name"), F.col("short").alias("other")).unionByName(contained(rest, names).select(F.col("short").alias("name"), F.col("long").alias("other")))
+    near = pairs.join(keys.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.min("k").alias("k"))
+    found = asked.join(keys, "name").unionByName(near).select(F.col("name").alias("__name"), F.col("k").alias("match"))
+    return left.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
 
 
 def resume(found: DataFrame, state: DataFrame, key: str, signature: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructField
 from docengine.functions import markdown as M
 from docengine.functions import sequential as S
 from docengine.functions import text as T
+from docengine.operators import anchors as A
 from docengine.operators import charts as C
 from docengine.operators import chunking, hybrid
 from docengine.operators.cleaning import _INT, map_text
@@ -68,25 +69,38 @@ def str5(spark, sf_dir):
     return map_text(rows, "csv", lambda r: [(S.table_to_csv(r["csv"]),)], [])
 
 
-@query("str5_table_context")
+@query("str5_table_context", "SELECT n_nationkey, '【表格CSV】' || chr(10) || n_name || ',key' || chr(13) || chr(10) || n_nationkey || ',v' || chr(10) || '【表格原始】' || chr(10) || '| ' || n_name || ' | key |' || chr(10) || '| --- | ---: |' || chr(10) || '| ' || n_nationkey || ' | v |' AS t FROM nation")
 def str5_context(spark, sf_dir):
     md = F.concat(F.lit("| "), "n_name", F.lit(" | key |\n| --- | ---: |\n| "), F.col("n_nationkey").cast("string"), F.lit(" | v |"))
     return map_text(table(spark, sf_dir, "nation").select("n_nationkey", md.alias("t")), "t", lambda r: [(S.table_context(r["t"]),)], [])
 
 
-@query("str7_anchor_placement", "SELECT doc_id, 1 AS placed, true AS behind_first FROM documents")
+_STR7 = "chr(10) || chr(10)"
+
+
+@query(
+    "str7_anchor_placement",
+    f"""SELECT doc_id, md5('Intro words' || {_STR7} || t || {_STR7} || 'last words on ' || source || {_STR7} || '[Chart: c2]' || {_STR7} || '[Chart: c1]') AS hinted,
+    md5('Intro words' || {_STR7} || CASE WHEN length(t) > 0 THEN t || {_STR7} || '[Chart: c3]' || {_STR7} || 'last words on ' || source ELSE 'last words on ' || source || {_STR7} || '[Chart: c3]' END) AS plain
+    FROM (SELECT *, trim(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \t]{{2,}}', ' ', 'g'), '\n{{2,}}', chr(10), 'g'), chr(10) || ' ' || chr(9)) AS t FROM documents)""",
+)
 def str7(spark, sf_dir):
-    """One anchor for each document: it is there once, and not in the first paragraph."""
-    md = F.concat(F.lit("Intro words\n\n"), "text", F.lit("\n\nlast words"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", md.alias("md"))
-    out = map_text(rows, "md", lambda r: [(S.place_anchors(r["md"], ["c1"]),)], [])
-    return out.select("doc_id", F.size(M.anchor_ids(F.col("md"))).alias("placed"), (F.locate("[Chart: c1]", F.col("md")) > 12).alias("behind_first"))
+    """Charts whose hints name the last paragraph stand behind it, one without a hint behind the first paragraph after the intro."""
+    one = F.regexp_replace(F.regexp_replace(T.lf(F.col("text")), "[ \t]{2,}", " "), "\n{2,}", "\n")
+    md = F.concat(F.lit("Intro words [Chart: c1]\n\n"), F.regexp_replace(one, "^[\n \t]+|[\n \t]+$", ""), F.lit("\n\nlast words on "), "source")
+    whole = F.concat(F.lit("last words on "), F.col("source"))
+    hinted = A.charts(F.array(F.lit("c2"), F.lit(" c1"), F.lit("")), F.create_map(F.lit("c1"), whole, F.lit("c2"), whole))
+    plain = A.place_anchors(md, A.charts(F.array(F.lit("c3"))))
+    bare = lambda c: F.md5(F.regexp_replace(c, "\n$", ""))
+    return table(spark, sf_dir, "documents").select("doc_id", bare(A.place_anchors(md, hinted)).alias("hinted"), bare(plain).alias("plain"))
 
 
-@query("str7_tail_spread")
+@query("str7_tail_spread", "SELECT item_id, 'alpha beta' || chr(10) || '[Chart: a]' || chr(10) || '[Chart: b]' || chr(10) || chr(10) || trim(regexp_replace(text, '\n{2,}', chr(10), 'g'), ' ' || chr(9) || chr(10)) || chr(10) AS md FROM benchmark")
 def str7_tail(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("alpha beta\n\n"), "text", F.lit("\n\n[Chart: a]\n[Chart: b]")).alias("md"))
-    return map_text(rows, "md", lambda r: [(S.spread_tail(r["md"], ["a", "b"], {"a": "alpha beta"}),)], [])
+    body = T.strip(F.regexp_replace("text", "\n{2,}", "\n"))
+    md = F.concat(F.lit("alpha beta\n\n"), body, F.lit("\n\n[Chart: a]\n[Chart: b]"))
+    wanted = A.charts(F.array(F.lit("a"), F.lit("b")), F.create_map(F.lit("a"), F.lit("alpha beta")))
+    return table(spark, sf_dir, "benchmark").select("item_id", A.spread_tail(md, wanted).alias("md"))
 
 
 @query("str8_markdown_html")
@@ -243,7 +257,7 @@ def ded6(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
     def apply(r: dict) -> list[tuple]:
-        text, within, _ = S.semantic_dedup(r["text"] or "", embed, limit=0.98)
+        text, within, _, _ = S.semantic_dedup(r["text"] or "", embed, limit=0.98)
         return [(text, within)]
 
     return map_text(rows, "text", apply, [StructField("removed", _INT)]).select("doc_id", "removed", F.md5("text").alias("text"))

@@ -134,18 +134,18 @@ def top1(spark, sf_dir):
     return fulltext.search(fulltext.build(table(spark, sf_dir, "documents")), asked, 2 * 3 * 10, digits=6).select("doc_id", "score")
 
 
-@query("top3_vector_topk", "WITH s AS (SELECT a.vec_id, round(list_aggregate(list_transform(generate_series(1, 64), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE), 'sum'), 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 3) SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 10")
+@query("top3_vector_topk", "WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, round(list_aggregate(list_transform(generate_series(1, 64), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE), 'sum'), 5) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0) SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10")
 def top3(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    asked = e.where("vec_id = 3").select(F.lit(1).alias("query_id"), F.col("embedding").alias("query_vec"))
-    return vectors.nearest(e, asked, 10, digits=5).select("vec_id", "score")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return vectors.nearest(e, asked, 10, digits=5).select("query_id", "vec_id", "score")
 
 
 @query("hyb3_rerank_hook")
 def hyb3(spark, sf_dir):
     """The search plan with a reranker stub: shorter parents first."""
     kb = search.knowledge_base(table(spark, sf_dir, "documents"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.search(kb, asked, top_k=3, rerank=lambda rows: rows.withColumn("rerank", -F.length("content").cast("double")))
 
 

@@ -64,23 +64,22 @@ def jn14(spark, sf_dir):
 
 @query(
     "jn7_name_match",
-    """WITH l AS (SELECT p_partkey, lower(substr(p_name, 1, 6)) AS name FROM part WHERE p_partkey % 10 = 0), r AS (SELECT DISTINCT lower(substr(p_name, 1, 8)) AS name FROM part WHERE p_partkey % 7 = 0),
-    k AS (SELECT name, row_number() OVER (ORDER BY name) AS k FROM r)
+    """WITH l AS (SELECT p_partkey, lower(p_name) AS name FROM part UNION ALL SELECT -p_partkey, lower(p_type || ' ' || p_name) FROM part WHERE p_size > 20),
+    k AS (SELECT lower(string_split(p_name, ' ')[2]) AS name, min(p_partkey) AS k FROM part GROUP BY 1 UNION ALL SELECT lower(p_name), min(-p_partkey) FROM part WHERE p_size <= 20 GROUP BY 1)
     SELECT p_partkey, l.name, coalesce(min(CASE WHEN k.name = l.name THEN k END), min(k)) AS match FROM l LEFT JOIN k ON contains(k.name, l.name) OR contains(l.name, k.name) GROUP BY p_partkey, l.name""",
 )
 def jn7(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Whole names of all parts against the last words and the whole names of parts."""
     p = table(spark, sf_dir, "part")
-    left = p.where("p_partkey % 10 = 0").select("p_partkey", F.lower(F.substring("p_name", 1, 6)).alias("name"))
-    names = p.where("p_partkey % 7 = 0").select(F.lower(F.substring("p_name", 1, 8)).alias("name")).distinct()
-    right = names.withColumn("k", F.row_number().over(Window.orderBy("name")).cast("long"))
+    left = p.select("p_partkey", F.lower("p_name").alias("name")).unionByName(p.where("p_size > 20").select(-F.col("p_partkey").alias("p_partkey"), F.lower(F.concat_ws(" ", "p_type", "p_name")).alias("name")).toDF("p_partkey", "name"))
+    words = p.groupBy(F.lower(F.split("p_name", " ")[1]).alias("name")).agg(F.min("p_partkey").alias("k"))
+    right = words.unionByName(p.where("p_size <= 20").groupBy(F.lower("p_name").alias("name")).agg(F.min(-F.col("p_partkey")).alias("k")))
     return R.name_match(left, right, "name", "k")
 
 
 @query(
     "jn8_weak_match",
-    """WITH g AS (SELECT p_partkey, list_distinct(list_transform(generate_series(1, length(p_name) - 1), lambda i: lower(substr(p_name, i, 2)))) AS x, p_size, p_name FROM part WHERE p_partkey <= 200),
+    """WITH g AS (SELECT p_partkey, list_distinct(list_transform(generate_series(1, length(p_name) - 1), lambda i: lower(substr(p_name, i, 2)))) AS x, p_size, p_name FROM part),
     s AS (SELECT a.p_partkey, b.p_partkey AS match, round(len(list_intersect(a.x, b.x)) / len(list_distinct(list_concat(a.x, b.x))), 6) AS jaccard FROM g a JOIN g b ON a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)
     SELECT p_partkey, match, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY jaccard DESC, match) AS n FROM s) WHERE n = 1 AND jaccard >= 0.22""",
 )
@@ -90,7 +89,7 @@ def jn8(spark, sf_dir):
 
     from docengine.functions import text as T
 
-    p = table(spark, sf_dir, "part").where("p_partkey <= 200")
+    p = table(spark, sf_dir, "part")
     g = p.select("p_partkey", "p_size", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.lower(F.substring(F.col("p_name"), i, F.lit(2))))).alias("x"))
     pairs = g.alias("a").join(g.alias("b"), (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
     s = pairs.select(F.col("a.p_partkey").alias("p_partkey"), F.col("b.p_partkey").alias("match"), F.round(T.jaccard(F.col("a.x"), F.col("b.x")), 6).alias("jaccard"))

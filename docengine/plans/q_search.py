@@ -81,23 +81,23 @@ _COS = f"round({_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}), 6)"
 
 @query(
     "vec2_knn_topk",
-    f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 20)
+    f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)
     SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10""",
 )
 def vec2(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
-    asked = base.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     return vectors.nearest(base, asked, 10, digits=6)
 
 
 @query(
     "flt1_knn_filtered",
-    f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id < 5 AND a.label >= 2 AND a.label < 5 AND a.vec_id <> 7)
+    f"""WITH s AS (SELECT b.vec_id AS query_id, a.vec_id, {_COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 AND a.label >= 2 AND a.label < 5 AND a.vec_id <> 7)
     SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM s) WHERE rank < 10""",
 )
 def flt1(spark, sf_dir):
     base = table(spark, sf_dir, "embeddings")
-    asked = base.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    asked = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     where = predicates.compile({"label": {"$gte": 2, "$lt": 5}, "vec_id": {"$ne": 7}})
     return vectors.nearest(base, asked, 10, where=where, digits=6)
 

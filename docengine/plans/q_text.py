@@ -64,8 +64,9 @@ def cln5(spark, sf_dir):
     "cln6_line_dedup",
     f"""WITH lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM ({NOISY_SQL})),
     keyed AS (SELECT doc_id, line, pos, lower(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) AS k FROM lines),
-    first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM keyed WHERE k <> '')
-    SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS cleaned, count(*) AS n_lines FROM first WHERE n = 1 GROUP BY doc_id""",
+    first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY pos) AS n FROM keyed WHERE k <> ''),
+    kept AS (SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS cleaned, count(*) AS n_lines FROM first WHERE n = 1 GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN body IS NOT NULL THEN coalesce(cleaned, md5('')) END AS cleaned, coalesce(n_lines, 0) AS n_lines FROM ({NOISY_SQL}) LEFT JOIN kept USING (doc_id)""",
 )
 def cln6(spark, sf_dir):
     return cleaning.dedup_lines(noisy(spark, sf_dir), "body").select("doc_id", F.md5("body").alias("cleaned"), "n_lines")

@@ -174,3 +174,25 @@ def test_stream_and_batch_agree(spark, tmp_path):
 def test_tables_in_the_shared_folder(spark):
     df = spark.range(5).selectExpr("id", "string(id) s")
     assert sorted(kept(df, "t").collect()) == sorted(df.collect())
+
+
+def test_line_dedup_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, "a\nA\nb"), (1, "a\nA\nb"), (2, None), (3, " \n\n")], "id int, text string")
+    assert sorted(map(tuple, cleaning.dedup_lines(rows).collect()), key=str) == sorted([(1, "a\nb", 2), (1, "a\nb", 2), (2, None, 0), (3, "", 0)], key=str)
+    many = spark.createDataFrame([("\n".join(f"line {i % 20_000}" for i in range(60_000)),)], "text string")
+    assert cleaning.dedup_lines(many).first()["n_lines"] == 20_000
+
+
+def test_name_match_by_all_pairs(spark):
+    import random
+
+    from docengine.operators import relational as R
+
+    r = random.Random(1)
+    name = lambda n: "".join(r.choice("ab ") for _ in range(r.randrange(0, n)))
+    left, right = [(i, name(6)) for i in range(60)] + [(90, None)], [(i, name(5)) for i in range(25)] + [(40, None)]
+    got = {x["id"]: x["match"] for x in R.name_match(spark.createDataFrame(left, "id int, name string"), spark.createDataFrame(right, "k int, name string"), "name", "k").collect()}
+    for i, a in left:
+        equal = [k for k, b in right if a is not None and a == b]
+        part = [k for k, b in right if a and b and (a in b or b in a)]
+        assert got[i] == min(equal or part, default=None), a
