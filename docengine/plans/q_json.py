@@ -10,6 +10,7 @@ from docengine.functions import sequential as S
 from docengine.functions import text as T
 from docengine.operators import anchors as A
 from docengine.operators import charts as C
+from docengine.operators import documents as D
 from docengine.operators import chunking, hybrid
 from docengine.operators.cleaning import _INT, map_text
 from docengine.plans.registry import query, table
@@ -117,11 +118,20 @@ def str9(spark, sf_dir):
     return out.select("doc_id", F.size(F.regexp_extract_all("html", F.lit("chart-container"), F.lit(0))).alias("charts"), F.size(F.regexp_extract_all("html", F.lit(r"\[Chart: missing"), F.lit(0))).alias("left_over"))
 
 
-@query("str10_document_html", "SELECT lang, count(*) AS n, md5('<ol>' || string_agg('<li>' || doc_id || '</li>', '' ORDER BY doc_id) || '</ol>') AS listed FROM documents GROUP BY lang")
+@query(
+    "str10_document_html",
+    """WITH s AS (SELECT conv_id, turn, '<section id=' || chr(39) || turn || chr(39) || ' class=' || chr(39) || 'section' || chr(39) || '>' || chr(10) || '<h2 class=' || chr(39) || 'section-title' || chr(39) || '>' || role || ' &lt;&amp;&gt;</h2>' || chr(10) || '<div class=' || chr(39) || 'section-content' || chr(39) || '><p>' || coalesce(text, '') || '</p></div>' || chr(10)
+      || CASE WHEN turn % 2 = 0 THEN '<div class=' || chr(39) || 'sources' || chr(39) || '>' || chr(10) || '<h4>参考来源</h4>' || chr(10) || '<ol>' || chr(10) || '<li>a</li>' || chr(10) || '<li>' || role || '</li>' || chr(10) || '</ol>' || chr(10) || '</div>' || chr(10) ELSE '' END || '</section>' AS h FROM conversations)
+    SELECT conv_id, CAST(count(*) AS INTEGER) AS n_sections, md5('<!DOCTYPE html>' || chr(10) || '<html lang=' || chr(39) || 'zh-CN' || chr(39) || '>' || chr(10) || '<head>' || chr(10) || '<meta charset=' || chr(39) || 'UTF-8' || chr(39) || '>' || chr(10) || '<meta name=' || chr(39) || 'viewport' || chr(39) || ' content=' || chr(39) || 'width=device-width, initial-scale=1.0' || chr(39) || '>' || chr(10) || '<title>Talk ' || conv_id || '</title>' || chr(10) || '<style>' || chr(10) || chr(10) || '</style>' || chr(10) || '</head>' || chr(10) || '<body>' || chr(10) || '<div class=' || chr(39) || 'container' || chr(39) || '>' || chr(10) || '<h1 class=' || chr(39) || 'document-title' || chr(39) || '>Talk ' || conv_id || '</h1>' || chr(10) || string_agg(h, chr(10) ORDER BY turn, h) || chr(10) || '</div>' || chr(10) || '</body>' || chr(10) || '</html>') AS html FROM s GROUP BY conv_id""",
+)
 def str10(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    items = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<li>"), i.cast("string"), F.lit("</li>"))), "")
-    return d.select("lang", "n", F.md5(F.concat(F.lit("<ol>"), items, F.lit("</ol>"))).alias("listed"))
+    """Each conversation as a document: a section for each turn, sources for every other one."""
+    c = table(spark, sf_dir, "conversations")
+    content = F.concat(F.lit("<p>"), F.coalesce("text", F.lit("")), F.lit("</p>"))
+    sources = F.when(F.col("turn") % 2 == 0, F.array(F.lit("a"), F.col("role")))
+    sections = c.select("conv_id", "turn", F.col("turn").alias("id"), F.concat("role", F.lit(" <&>")).alias("title"), content.alias("content"), sources.alias("sources"))
+    out = D.document_html(sections, "conv_id", "turn", F.concat(F.lit("Talk "), F.col("conv_id").cast("string")))
+    return out.select("conv_id", "n_sections", F.md5("html").alias("html"))
 
 
 @query(
@@ -134,15 +144,31 @@ def str11(spark, sf_dir):
 
 @query(
     "agg14_html_quality",
-    r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<article\b')) AS sections, len(regexp_extract_all(html, '(?i)<p\b')) AS paragraphs, len(regexp_extract_all(html, '(?i)<div\b[^>]*class="ad"')) AS containers, len(regexp_extract_all(html, '\[Chart:\s*([^\]]+?)\s*\]')) AS anchors,
-    strpos(html, 'class="ad"') < strpos(html, '<p>') AS chart_before_text FROM pages""",
+    """SELECT doc_id, 3 AS section_total, CASE WHEN doc_id % 2 = 0 THEN 'Two' ELSE '' END AS empty_sections, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS chart_containers, CASE WHEN doc_id % 5 = 0 THEN 'a,z' ELSE 'z' END AS unresolved_anchors, CASE WHEN doc_id % 3 = 0 THEN 'SECTION_3' ELSE '' END AS chart_before_text FROM documents""",
 )
 def agg14(spark, sf_dir):
-    h = F.col("html")
-    count = lambda p: F.size(F.regexp_extract_all(h, F.lit(p), F.lit(0)))
-    return table(spark, sf_dir, "pages").select(
-        "page_id", count(r"(?i)<article\b").alias("sections"), count(r"(?i)<p\b").alias("paragraphs"), count(r'(?i)<div\b[^>]*class="ad"').alias("containers"), count(M.ANCHOR).alias("anchors"), (F.locate('class="ad"', h) < F.locate("<p>", h)).alias("chart_before_text")
-    )
+    """A page of three sections for each document: text and a chart; text or none; a chart before or without text."""
+    k = F.col("doc_id")
+    box = "<div class='chart-container' id='{}'>"
+    one = F.concat(F.lit("<section id='1'><h2 class='section-title'>One &amp; all</h2><div class='section-content'><p>first "), k.cast("string"), F.lit("</p>" + box.format("c1") + "</div></div></section>"))
+    two = F.concat(F.lit('<section><h2 class="section-title">Two</h2><div class="section-content">'), F.when(k % 2 == 0, "<p> &nbsp; </p>").otherwise("<p>words</p>"), F.lit("</div></section>"))
+    three = F.concat(F.lit("<section><div class='section-content'>"), F.when(k % 3 == 0, "<p></p>" + box.format("c2") + "<p>late [Chart: z]</p></div>").otherwise("<p>[Chart: z] text</p>"), F.when(k % 5 == 0, "<p>[chart:  a ]</p>").otherwise(""), F.lit("</div></section>"))
+    q = D.html_quality(F.concat(one, two, three))
+    lists = [F.array_join(f"q.{n}", ",").alias(n) for n in ("empty_sections", "unresolved_anchors", "chart_before_text")]
+    return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.section_total", "q.chart_containers", *lists)
+
+
+@query(
+    "prj4_document_title",
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Layout title ' || doc_id WHEN doc_id % 4 = 1 THEN 'Heading ' || doc_id WHEN doc_id % 4 = 2 THEN 'Listed ' || doc_id ELSE source END AS title FROM documents""",
+)
+def prj4_title(spark, sf_dir):
+    """The title of each document from one of four sources."""
+    k, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    layout = F.when(k % 4 == 0, F.concat(F.lit('{"pdf_info": [{}, {"preproc_blocks": [{"type": "text"}, {"type": "title", "lines": []}, {"type": "title", "lines": [{"spans": [{"type": "text", "content": " Layout"}, {"type": "image"}, {"type": "text", "content": "title  '), name, F.lit('"}]}]}]}]}'))).when(k % 4 == 1, "no json")
+    md = F.when(k % 4 < 2, F.concat(F.lit("\n\n ## Heading "), name, F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise("plain\n# late")
+    items = F.when(k % 4 < 3, F.concat(F.lit('[{"type": "text", "text": "body"}, {"type": "text", "text_level": 1, "text": " Listed   '), name, F.lit('"}]')))
+    return table(spark, sf_dir, "documents").select("doc_id", D.document_title(layout, md, items, F.col("source")).alias("title"))
 
 
 @query("prj4_page_title", r"""SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), nullif(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), ''), url) AS title FROM pages""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docengine.operators import documents
 from docengine.operators import relational as R
 from docengine.plans.registry import query, table
 
@@ -25,6 +26,19 @@ def flt7(spark, sf_dir):
     return table(spark, sf_dir, "part").where("p_size > 10").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey")
 
 
+@query(
+    "flt7_content_list",
+    """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a.png,' ELSE '' END || 'words' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',b.png' END AS kept FROM documents""",
+)
+def flt7_content_list(spark, sf_dir):
+    """Items of a content list: images in use and not QR codes, texts that are no noise, nothing discarded."""
+    k = F.col("doc_id")
+    items = """[{"type": "image", "img_path": "images/a.png"}, {"type": "text", "text": "words"}, {"type": "text", "text": "第 3 页"}, {"type": "discarded", "text": "gone"}, {"type": "image", "img_path": "images/my_qr.png"}, {"type": "table", "img_path": "t/b.png", "image_caption": ["about", "%s"]}, {"type": "image", "img_path": "x/c.png", "image_caption": ["扫一扫"]}]"""
+    cleaned = F.concat(F.coalesce("text", F.lit("")), F.when(k % 3 == 0, "![x](images/a.png)").otherwise(""), F.when(k % 2 == 0, "").otherwise(" ![](deep/b.png)"), F.lit(" ![](images/my_qr.png) ![](c.png)"))
+    left = F.transform(documents.filter_content_list(F.lit(items), cleaned), lambda x: F.coalesce(F.regexp_extract(x["img_path"], "[^/]*$", 0), x["text"]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(left, ",").alias("kept"))
+
+
 @query("flt11_jn9_unused", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderstatus = 'P')")
 def flt11(spark, sf_dir):
     used = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")

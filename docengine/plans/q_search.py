@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
-from docengine.operators import fulltext, hybrid, predicates, vectors
+from docengine.operators import chart_links, fulltext, hybrid, predicates, vectors
 from docengine.plans import search as S
 from docengine.plans.registry import query, table
 
@@ -299,8 +299,54 @@ def agg6(spark, sf_dir):
 
 @query("hyb4_search")
 def hyb4(spark, sf_dir):
-    """The whole plan over chunks of the documents: each benchmark item asks; vectors and reranking come from hooks."""
-    return S.search(S.knowledge_base(table(spark, sf_dir, "documents")), _asked(spark, sf_dir), top_k=5)
+    """The whole plan over chunks of the documents and their charts: each benchmark item asks; vectors and reranking come from hooks."""
+    docs, charts = with_charts(spark, sf_dir)
+    return S.search(S.knowledge_base(docs.withColumnRenamed("body", "text"), charts=charts), _asked(spark, sf_dir), top_k=5)
+
+
+#: Every document names two charts of its own: one by an image, one by a summary line; charts with numbers 3 of 7 are none.
+CHARTS_SQL = """d AS (SELECT doc_id, source, coalesce(text, '') || chr(10) || '![x](./images/c' || doc_id % 7 || '.png) and ![y](other/c1.png)' || chr(10) || '[图表]  CHART  ' || (doc_id * 3) % 5 || ' ' || chr(10) || 'end' AS body FROM documents),
+    c AS (SELECT doc_id, 'c' || k AS stem, 'Chart ' || k AS name, k FROM documents, generate_series(0, 6) t(k) WHERE k <> 3)"""
+
+
+def with_charts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    number = lambda n: (n).cast("string")
+    lines = F.concat(F.lit("\n![x](./images/c"), number(F.col("doc_id") % 7), F.lit(".png) and ![y](other/c1.png)\n[图表]  CHART  "), number(F.col("doc_id") * 3 % 5), F.lit(" \nend"))
+    docs = d.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), lines).alias("body"))
+    k = F.col("k").cast("string")
+    data = F.concat(F.lit('{"series": [{"name": "s'), k, F.lit('"}]}'))
+    json = F.to_json(F.struct(F.when(F.col("k") == 3, "no").otherwise("yes").alias("is_chart"), F.lit("bar").alias("chart_type"), F.concat(F.lit("Chart "), k).alias("_chart_name"), F.concat(F.lit("about "), k).alias("description"), data.alias("chart_data")))
+    charts = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")).select("doc_id", F.concat(F.lit("c"), k).alias("stem"), json.alias("json"))
+    return docs, charts
+
+
+@query(
+    "jn5_chart_ids",
+    f"""WITH {CHARTS_SQL},
+    r AS (SELECT doc_id, unnest(regexp_extract_all(body, '!\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS ref FROM d),
+    s AS (SELECT doc_id, regexp_replace(regexp_extract(ref, '[^/]*$'), '\\.[^.]*$', '') AS key FROM r WHERE regexp_replace(ref, '^(\\./)+', '') LIKE 'images/%'),
+    n AS (SELECT doc_id, lower(trim(regexp_replace(unnest(regexp_extract_all(body, '(?m)^\\[图表\\]\\s*(.+?)\\s*$', 1)), '\\s+', ' ', 'g'))) AS key FROM d),
+    f AS (SELECT s.doc_id, 'chart_' || stem AS node FROM s JOIN c ON c.doc_id = s.doc_id AND c.stem = s.key UNION SELECT n.doc_id, 'chart_' || stem FROM n JOIN c ON c.doc_id = n.doc_id AND lower(c.name) = n.key)
+    SELECT doc_id, string_agg(node, ',' ORDER BY node) AS chart_ids FROM f GROUP BY doc_id""",
+)
+def jn5(spark, sf_dir):
+    """The charts that each document names, by image and by name."""
+    docs, charts = with_charts(spark, sf_dir)
+    found = chart_links.chart_ids(docs.select(F.col("doc_id").alias("text_id"), "doc_id", "body"), chart_links.usable(charts), "text_id", "body")
+    return found.select(F.col("text_id").alias("doc_id"), F.array_join("chart_ids", ",").alias("chart_ids"))
+
+
+@query(
+    "jn6_chart_summaries",
+    f"""WITH {CHARTS_SQL} SELECT d.doc_id, CASE WHEN c.stem IS NULL THEN 0 ELSE 1 END AS n_injected,
+    md5(CASE WHEN c.stem IS NULL THEN body ELSE replace(replace(body, chr(13) || chr(10), chr(10)), 'c' || d.doc_id % 7 || '.png) and ![y](other/c1.png)', 'c' || d.doc_id % 7 || '.png) and ![y](other/c1.png)' || chr(10) || '[图表] ' || c.name || chr(10) || 'type: bar' || chr(10) || 'description: about ' || c.k || chr(10) || 'legend: s' || c.k) END) AS body
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id AND c.stem = 'c' || d.doc_id % 7""",
+)
+def jn6(spark, sf_dir):
+    """Summaries of charts below their images."""
+    docs, charts = with_charts(spark, sf_dir)
+    return chart_links.inject_summaries(docs, chart_links.usable(charts), "body").select("doc_id", "n_injected", F.md5("body").alias("body"))
 
 
 @query("hyb5_vec5_index_tables")

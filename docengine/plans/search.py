@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
-from docengine.operators import chunking, fulltext, hybrid, vectors
+from docengine.operators import chart_links, chunking, fulltext, hybrid, vectors
 from docengine.sources.tables import kept
 
 
@@ -31,24 +31,42 @@ class KnowledgeBase:
     vectors: DataFrame
 
 
-def knowledge_base(docs: DataFrame, size: int = 1024, embed: Callable[[Column], Column] = hashed_embedding) -> KnowledgeBase:
-    """Chunks without repeats inside their document, their parents, a BM25 index and vectors, each written once."""
+def knowledge_base(docs: DataFrame, size: int = 1024, embed: Callable[[Column], Column] = hashed_embedding, charts: DataFrame | None = None) -> KnowledgeBase:
+    """Chunks without repeats inside their document, their parents, a BM25 index and vectors, each written once.
+
+    charts (doc_id, stem, json): their summaries stand below their images before texts are cut, each chart is a chunk
+    of its own, and parents know the charts that they name."""
+    known = None
+    if charts is not None:
+        known = kept(chart_links.usable(charts), "charts")
+        docs = chart_links.inject_summaries(docs, known).drop("n_injected")
     chunks = kept(chunking.dedup_in_document(chunking.chunk(docs, "structure_aware", size=size)), "chunks")
     chunks, parents = chunking.parents(chunks)
     chunks, parents = kept(chunks, "nodes"), kept(parents, "parents")
     nodes = chunks.select(F.col("chunk_id").alias("node"), F.col("doc_id").alias("doc"), "source", "chunk_type", "parent", "group_id", "content")
-    up = parents.select("parent", "content", F.lit(None).cast("string").alias("chart_ids"), T.dedup_group_id(F.col("content"), F.lit("parent")).alias("group_id"), "source")
+    ids = F.lit(None).cast("string")
+    if known is not None:
+        named = chart_links.chart_ids(parents, known, "parent")
+        parents, ids = parents.join(named, "parent", "left"), F.to_json("chart_ids")
+        sources = docs.groupBy(F.col("doc_id").alias("doc")).agg(F.min("source").alias("source"))
+        content = chunking.chart_chunk(F.col("node"), F.col("name"), F.col("kind"), F.col("description"), F.col("data"))
+        # A stem may stand in several documents: its chunk is the one of the first.
+        rows = known.join(sources, "doc").groupBy("node").agg(F.min(F.struct("doc", "source", content.alias("content"))).alias("c"))
+        nodes = nodes.unionByName(rows.select("node", "c.doc", "c.source", F.lit("chart").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), T.dedup_group_id(F.col("c.content"), F.lit("chart"), F.col("node")).alias("group_id"), "c.content"))
+        nodes = kept(nodes, "all-nodes")
+    up = parents.select("parent", "content", ids.alias("chart_ids"), T.dedup_group_id(F.col("content"), F.lit("parent")).alias("group_id"), "source")
     index = fulltext.build(nodes, "node", "content")
     index = fulltext.Index(*(kept(getattr(index, name), name) for name in ("postings", "lengths", "terms", "stats")))
-    return KnowledgeBase(nodes, up, index, kept(nodes.select("node", embed(F.col("content")).alias("embedding")), "vectors"))
+    return KnowledgeBase(nodes, kept(up, "passages"), index, kept(nodes.select("node", embed(F.col("content")).alias("embedding")), "vectors"))
 
 
 def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | None = None, threshold: float | None = None, where: Column | None = None,
-           embed: Callable[[Column], Column] = hashed_embedding, rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """query_id, node, rank, score, hits, citations, content of the best parents for each query (query_id, query).
+           embed: Callable[[Column], Column] = hashed_embedding, rerank: Callable[[DataFrame], DataFrame] | None = None, charts_per_parent: int = 2) -> DataFrame:
+    """query_id, node, rank, score, hits, citations, chars, is_chart of the best parents for each query (query_id, query).
 
-    Three times top_k candidates of both branches are fused; hits rise to their parents; bonuses, group
-    de-duplication, the optional rerank hook (rows -> rows with `rerank`) and the final cut follow."""
+    Three times top_k candidates of both branches are fused; hits rise to their parents (charts as hits go); bonuses,
+    group de-duplication and the optional rerank hook (rows -> rows with `rerank`) follow. Each row brings the charts
+    that it names, `charts_per_parent` at most; the final cut counts rows that are no charts."""
     wide = 3 * max(1, top_k)
     allowed = kb.chunks if where is None else kb.chunks.where(where)
     asked = queries.select("query_id", embed(F.col("query")).alias("query_vec"))
@@ -62,9 +80,14 @@ def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | N
     rows = hybrid.dedup_groups(hybrid.ranked(rows))
     rows = hybrid.ranked(rows.drop("rank"))
     rows = rerank(rows) if rerank else rows.withColumn("rerank", F.lit(None).cast("double"))
-    rows = hybrid.rerank_merge(rows, pool or wide, top_k)
-    cut = hybrid.final_cut(rows.withColumns({"child": F.lit(0), "is_chart": F.lit(False)}), top_k, threshold)
-    return cut.select("query_id", "node", "rank", F.round("score", 6).alias("score"), "hits", F.array_join("citations", ",").alias("citations"), F.length("content").alias("chars"))
+    rows = kept(hybrid.rerank_merge(rows, pool or wide, wide), "merged")
+    charts = kb.chunks.where("chunk_type = 'chart'").select(F.col("node").alias("chart"))
+    total = min(12, max(3, top_k))
+    placed = hybrid.expand_charts(rows, charts, total, charts_per_parent)
+    known = rows.select("query_id", "node", "group_id", "hits", "citations", F.length("content").alias("chars"))
+    known = known.unionByName(placed.where("is_chart").select("query_id", "node").join(kb.chunks.select("node", "group_id", F.lit(0).cast("long").alias("hits"), F.array().cast("array<string>").alias("citations"), F.length("content").alias("chars")), "node").distinct())
+    cut = hybrid.final_cut(placed.join(known, ["query_id", "node"]), top_k, threshold)
+    return cut.select("query_id", "node", "rank", F.round("score", 6).alias("score"), "hits", F.array_join("citations", ",").alias("citations"), "chars", "is_chart")
 
 
 def pick_unique(rows: DataFrame, source: str, most: int) -> DataFrame:
