@@ -131,6 +131,16 @@ def meet(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.join(frequent, key).unionByName(rows.join(frequent.select(key), key, "left_anti").join(found.where(F.col("n") <= least).drop("n"), key))
 
 
+#: Rows and cells (of 8 to 16 bytes) of a table that `fits` lets be broadcast.
+MOST_ROWS, MOST_CELLS = 200_000, 1_000_000
+
+
+def fits(df: DataFrame, cells: Column | None = None) -> DataFrame:
+    """df (a stored table of narrow rows) for a join: to be broadcast if it is small by count, as it is otherwise."""
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(cells), F.lit(0)) if cells is not None else F.lit(0)).first()
+    return F.broadcast(df) if n <= MOST_ROWS and held <= MOST_CELLS else df
+
+
 def held_out(doc_id: Column, remainder: int = 2, of: int = 4) -> Column:
     """True where crc32 of the id as text leaves `remainder`; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == remainder, F.lit(False))

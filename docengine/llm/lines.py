@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import map_slices, meet, stored, unused
+from docengine.llm.common import fits, map_slices, meet, stored, unused
 from docengine.llm.decontaminate import _HASHES, forget, mixed
 
 #: Words of the shortest run that counts as repeated.
@@ -217,7 +217,7 @@ def repeated_runs(df: DataFrame, text: str = "text", id: str = "doc_id", least:
     prints = texts.select("pos", "k1", F.explode("prints").alias("print"))
     several, _ = stored(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "prints")
     shared, _ = stored(meet(prints, several, "print").groupBy("pos", "k1").agg(F.collect_set("print").alias("shared")), "shared")
-    windows, _ = stored(_windows(rows.join(shared, ["pos", "k1"]).select("pos", "k1", "body", "shared"), least), "windows")
+    windows, _ = stored(_windows(rows.join(fits(shared.select("pos", "k1")), ["pos", "k1"], "left_semi").join(shared, ["pos", "k1"]).select("pos", "k1", "body", "shared"), least), "windows")
     here = F.struct("pos", "k1", "start")
     origin, _ = stored(windows.groupBy("block").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1"), "origins")
     # In the same text the earlier occurrence must end before the later one begins.
@@ -249,8 +249,8 @@ def dedup_lines(df: DataFrame, text: str = "text", id: str = "doc_id", chars: st
     """df with repeated runs deleted from `text` (and `chars` counted again); rows and columns stay."""
     pos, k1, runs = unused(df.columns, "pos", "k1", "runs")
     place = [x.alias(n) for x, n in zip(_place(text, id), (pos, k1))]
-    found = repeated_runs(df, text, id, least).select(F.col("pos").alias(pos), F.col("k1").alias(k1), F.col("runs").alias(runs))
-    rows = df.select("*", *place).join(found, [pos, k1], "left")
+    found, _ = stored(repeated_runs(df, text, id, least).select(F.col("pos").alias(pos), F.col("k1").alias(k1), F.col("runs").alias(runs)), "runs")
+    rows = df.select("*", *place).join(fits(found, F.size(runs)), [pos, k1], "left")
     gone = lambda i: F.exists(runs, lambda r: (r["first"] <= i) & (i <= r["last"]))
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~gone(i)), "\n")
     rows = rows.withColumn(text, F.when(F.col(runs).isNull(), F.col(text)).otherwise(kept))

@@ -148,15 +148,15 @@ def _tile_task(radius: int) -> Callable:
     return task
 
 
-def dealt_by_band(rows: DataFrame, reach: int, key: str, most: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def dealt_by_band(rows: DataFrame, reach: int, key: str, most: int = GROUP, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """rows (with a column `band`, an integer of few values) for the tasks (i, j), i <= j: the left and the right side of each.
 
-    Rows are dealt into groups of neighbouring bands, a band of over `most` rows into several by a hash of `key`. A
+    Rows are dealt into groups of neighbouring bands, a band of over `most` rows (or of that sum of `weight`) into several by a hash of `key`. A
     group meets only the groups that hold a band at most `reach` away, so other pairs are never shuffled. The driver
     holds a count for each band and two numbers for each group.
     """
     spark = rows.sparkSession
-    counts = sorted((r["band"], r["count"]) for r in rows.groupBy("band").count().collect())
+    counts = sorted((r["band"], r["count"]) for r in rows.groupBy("band").agg((F.sum(weight) if weight else F.count("*")).alias("count")).collect())
     most = max(1, min(most, -(-sum(n for _, n in counts) // MIN_GROUPS)))
     bands, groups, held = [], [], most  # groups: least and greatest band
     for band, n in counts:

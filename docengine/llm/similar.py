@@ -10,9 +10,11 @@ what such links connect. Fingerprints only find candidates, every link is verifi
 3. Nodes are dealt out by the number of their shingles: only groups whose numbers can reach the similarity meet.
    Tiles of a pair of groups are compared whole by exclusive-or and bit counts; a pair of tiles is skipped where
    their population counts differ beyond the radius or their numbers of shingles can't reach the similarity.
-4. Each node takes its closest candidate in another class, the pair is verified, the links found join classes.
-   Nodes that still have candidates in other classes go on with the next few, until none is left: every
-   candidate pair is then verified or within one class, and copies of one text never meet as all pairs.
+4. Each node takes its closest candidate, the pair is verified, the links found join classes: near copies are then
+   mostly in one class with their original.
+5. Nodes that still have another candidate in another class meet in tiles again, this time with their shingles: all
+   candidate pairs of a pair of tiles that are not in one class yet are verified by one matrix product. A task
+   returns a forest, one row for each node at most, never its pairs.
 
 Null texts and texts without words count as equal texts. Rows with a null id have no class and stay; rows that
 repeat id and text are one node. Ids are integers. Other columns, whatever their names, stay as they are.
@@ -20,8 +22,7 @@ repeat id and text are one node. Ids are integers. Other columns, whatever their
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, map_slices, meet, stored, unused
+from docengine.llm.common import discard, fits, map_slices, meet, stored, unused
 from docengine.llm.decontaminate import _HASHES, bits_of, forget, shingle_hashes
-from docengine.llm.simhash import TILE, components, dealt_by_band
+from docengine.llm.simhash import TILE, Forest, components, dealt_by_band
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 32
 #: Numbers of shingles fall into classes of this ratio.
 STEP = 1.02
-#: Each round takes so many times the candidates of a node as the one before; candidates that a task lets wait before it keeps the closest.
-GROWTH, MOST_WAITING = 8, 1 << 20
+#: Shingles of one group of a task that verifies in tiles, about, and of one matrix product.
+GROUP_SHINGLES, COLUMNS = 1 << 21, 8192
 #: Candidates of one text that are verified in one task, about.
 SHARE = 500
-#: Rows (16 bytes each) to drop that are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 200_000
 
 
 def shingle_set(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, bytes]:
@@ -86,7 +85,7 @@ def marks(df: DataFrame, text: str = "text", id: str = "doc_id", width: int = WI
 class Side:
     """Nodes of one group in the order of their tiles."""
 
-    def __init__(self, table: pa.Table, most_kept: int):
+    def __init__(self, table: pa.Table):
         get = lambda name: table.column(name).to_numpy()
         low, high = get("low").view(np.uint64), get("high").view(np.uint64)
         weight = (np.bitwise_count(low) + np.bitwise_count(high)).astype(np.int64)
@@ -95,34 +94,26 @@ class Side:
         self.node, self.label, self.size = get("node")[order], get("label")[order], size[order]
         self.low, self.high, weight = low[order], high[order], weight[order]
         self.tested = get("tested").astype(np.int64)[order], get("after")[order]
-        self.most_kept, self.held, self.waiting = most_kept, [], 0
+        self.order, self.best = order, (np.full(len(order), 255), np.zeros(len(order), np.int64))
         at = np.arange(0, len(order), TILE)
         self.least_size, self.most_size = self.size[at], np.maximum.reduceat(self.size, at)
         self.least, self.most = np.minimum.reduceat(weight, at), np.maximum.reduceat(weight, at)
 
     def offer(self, at: np.ndarray, distance: np.ndarray, other: np.ndarray) -> None:
-        """Take candidates (distance, node) of the nodes at `at`, as far as they lie beyond what was tested."""
+        """Keep for each node the closest candidate (distance, node) beyond what was tested."""
         tested, after = self.tested[0][at], self.tested[1][at]
         new = (distance > tested) | (distance == tested) & (other > after)
-        self.held.append((at[new], distance[new], other[new]))
-        self.waiting += int(new.sum())
-        if self.waiting > MOST_WAITING + 2 * self.most_kept * len(self.node):
-            self.held = [self.found()]
-
-    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, distance, other node: the closest `most_kept` of each node."""
-        at, distance, other = (np.concatenate(x) for x in zip(*self.held)) if self.held else [np.zeros(0, np.int64)] * 3
+        at, distance, other = at[new], distance[new], other[new]
         order = np.lexsort((other, distance, at))
         at, distance, other = at[order], distance[order], other[order]
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        rank = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
-        kept = rank < self.most_kept
-        self.waiting = int(kept.sum())
-        return at[kept], distance[kept], other[kept]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        at, distance, other = at[first], distance[first], other[first]
+        closer = (distance < self.best[0][at]) | (distance == self.best[0][at]) & (other < self.best[1][at])
+        self.best[0][at[closer]], self.best[1][at[closer]] = distance[closer], other[closer]
 
 
-def closest(left: Side, right: Side | None, radius: int, least: float) -> None:
-    """Offer every candidate pair of the two groups (of the left one alone) to both its nodes, tile by tile."""
+def candidate_pairs(left: Side, right: Side | None, radius: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places and distances of the candidates of the two groups (of the left one alone) in different classes, tile by tile."""
     other = right or left
     for t in range(len(left.least)):
         apart = np.maximum(other.least - left.most[t], left.least[t] - other.most)
@@ -140,34 +131,102 @@ def closest(left: Side, right: Side | None, radius: int, least: float) -> None:
             p, q = p + t * TILE, q + u * TILE
             small, large = np.minimum(left.size[p], other.size[q]), np.maximum(left.size[p], other.size[q])
             open_ = (left.label[p] != other.label[q]) & (small >= least * large - 1e-9)
-            p, q, d = p[open_], q[open_], d[open_]
-            if len(p):
-                left.offer(p, d, other.node[q])
-                other.offer(q, d, left.node[p])
+            if open_.any():
+                yield p[open_], q[open_], d[open_]
 
 
-def candidates(nodes: DataFrame, radius: int, least: float, most: int) -> DataFrame:
-    """node, distance, near: the `most` closest candidates of other classes that were not tested, of nodes (node, size, low, high, label, tested, after)."""
+def _sides(left: pa.Table, right: pa.Table) -> list[Side]:
+    """Both groups of a task, one for a group with itself, none if there is nothing to compare."""
+    side = left if left.num_rows else right
+    alone = side.column("i")[0].as_py() == side.column("j")[0].as_py()
+    return [Side(x) for x in ([left] if alone else [left, right])] if left.num_rows and (alone or right.num_rows) else []
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
-        side = left if left.num_rows else right
-        alone = side.column("i")[0].as_py() == side.column("j")[0].as_py()
-        sides = [Side(x, most) for x in ([left] if alone else [left, right])] if left.num_rows and (alone or right.num_rows) else []
-        if sides:
-            closest(sides[0], None if alone else sides[1], radius, least)
-        out = [[], [], []]
-        for s in sides:
-            at, distance, other = s.found()
-            for held, x in zip(out, (s.node[at], distance.astype(np.int32), other)):
-                held.append(x)
-        return pa.table({n: np.concatenate(x) if x else np.zeros(0, np.int64) for n, x in zip(("node", "distance", "near"), out)}).cast(pa.schema([("node", pa.int64()), ("distance", pa.int32()), ("near", pa.int64())]))
 
+def _dealt(nodes: DataFrame, least: float, **options):
+    """The nodes dealt by their number of shingles, as co-groups of two sides."""
     band = F.floor(F.log(F.col("size")) / float(np.log(STEP))).cast("int")
-    reach = int(np.ceil(np.log(1 / least) / np.log(STEP))) + 1
-    left, right = dealt_by_band(nodes.withColumn("band", band), reach, "node")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(task, "node long, distance int, near long")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("distance", "near"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    left, right = dealt_by_band(nodes.withColumn("band", band), int(np.ceil(np.log(1 / least) / np.log(STEP))) + 1, "node", **options)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+
+
+def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+    """node, distance, near: the closest candidate of another class beyond the tested one, of nodes (node, size, low, high, label, tested, after)."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = _sides(left, right)
+        for p, q, d in candidate_pairs(sides[0], (sides + [None])[1], radius, least) if sides else ():
+            sides[0].offer(p, d, sides[-1].node[q])
+            sides[-1].offer(q, d, sides[0].node[p])
+        at = [np.flatnonzero(s.best[0] < 255) for s in sides]
+        out = [[s.node[a] for s, a in zip(sides, at)], [s.best[0][a] for s, a in zip(sides, at)], [s.best[1][a] for s, a in zip(sides, at)]]
+        return pa.table({n: pa.array(np.concatenate(x) if x else [], t) for n, x, t in zip(("node", "distance", "near"), out, (pa.int64(), pa.int32(), pa.int64()))})
+
+    found = _dealt(nodes, least).applyInArrow(task, "node long, distance int, near long")
+    return found.groupBy("node").agg(F.min(F.struct("distance", "near")).alias("c")).select("node", "c.distance", "c.near")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each set of a with each of b (sorted arrays)."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    common = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    for begin in range(0, len(common), COLUMNS):
+        part = common[begin : begin + COLUMNS]
+        sides = []
+        for sets in (a, b):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for r, x in enumerate(sets):
+                at = np.searchsorted(part, x)
+                m[r, at[part[np.minimum(at, len(part) - 1)] == x]] = 1.0
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def verified_in_tiles(nodes: DataFrame, radius: int, least: float) -> DataFrame:
+    """node, near: rows that connect what verified pairs and the labels of nodes (node, size, low, high, label, tested, after, shingles) connect."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = _sides(left, right)
+        if not sides:
+            return pa.table({"node": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
+        sets = [t.column("shingles") for t in (left, right)[: len(sides)]]
+        get = lambda side, n, place: np.frombuffer(sets[n][int(side.order[place])].as_py(), "<u8")
+        nodes_ = np.concatenate([s.node for s in sides])
+        order = np.argsort(nodes_, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))  # roots are then least nodes
+        forest = Forest(len(order))
+        _, first, inverse = np.unique(np.concatenate([s.label for s in sides]), return_index=True, return_inverse=True)
+        forest.link(rank, rank[first[inverse]])
+        shift = len(sides[0].node) if len(sides) > 1 else 0
+        for p, q, _ in candidate_pairs(sides[0], (sides + [None])[1], radius, least):
+            apart = forest.roots(rank[p]) != forest.roots(rank[q + shift])
+            p, q = p[apart], q[apart]
+            if not len(p):
+                continue
+            (rows, r), (columns, c) = np.unique(p, return_inverse=True), np.unique(q, return_inverse=True)
+            both = overlaps([get(sides[0], 0, x) for x in rows], [get(sides[-1], len(sides) - 1, x) for x in columns])[r, c]
+            alike = both >= least * (sides[0].size[p] + sides[-1].size[q] - both) - 1e-6
+            forest.link(rank[p[alike]], rank[q[alike] + shift])
+        roots = forest.roots(np.arange(len(order)))
+        moved = np.flatnonzero(roots != np.arange(len(order)))
+        least_first = nodes_[order]
+        return pa.table({"node": least_first[moved], "near": least_first[roots[moved]]})
+
+    return _dealt(nodes, least, most=GROUP_SHINGLES, weight="size").applyInArrow(task, "node long, near long")
+
+
+def with_shingles(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """nodes and their packed shingle sets, from texts (node, body)."""
+
+    def make() -> Callable:
+        def apply(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(x, width)[0].astype("<u8").tobytes() for x in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+        return apply
+
+    return nodes.join(map_slices(texts.select("node", "body"), make, "node long, shingles binary", "body", finish=forget), "node")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -204,23 +263,22 @@ def classes(df: DataFrame, text: str = "text", id: str = "doc_id", width: int =
     first = F.min(F.struct("key", "row"))
     nodes, _ = stored(found.groupBy("digest").agg(first.alias("first"), F.first("size").alias("size"), F.first("low").alias("low"), F.first("high").alias("high")).select("digest", "first.key", F.col("first.row").alias("node"), "size", "low", "high"), "nodes")
     open_ = nodes.where("size > 0").select("node", "size", "low", "high", F.col("node").alias("label"), F.lit(-1).alias("tested"), F.lit(0).cast("long").alias("after"))
-    links = texts = labels = None
-    for most in (GROWTH**n for n in itertools.count()):
-        near, held = stored(candidates(open_, radius, least, most), "candidates")
-        if near.isEmpty():
-            break
-        if texts is None:
-            active = near.select("node").unionByName(near.select(F.col("near").alias("node"))).distinct()
-            place = df.where(F.col(id).isNotNull()).select(F.xxhash64(F.col(id).cast("long"), F.col(text)).alias("node"), F.col(text).alias("body"))
-            texts, _ = stored(place.join(active, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")), "texts")
-        more, _ = stored(verified(near.select("node", "near"), texts, width, least), "links")
-        links = more if links is None else links.unionByName(more)
-        labels = components(links)
-        left = near.groupBy("node").agg(F.max(F.struct("distance", "near")).alias("c")).select("node", F.col("c.distance").alias("tested"), F.col("c.near").alias("after"))
-        open_, _ = stored(nodes.select("node", "size", "low", "high").join(left, "node").join(labels, "node", "left").select("node", "size", "low", "high", F.coalesce("component", "node").alias("label"), "tested", "after"), "open")
-        discard(spark, held)
-    if labels is None:
+    near, held = stored(candidates(open_, radius, least), "candidates")
+    if near.isEmpty():
         return found, nodes.select("digest", "key", "node", F.struct("key", F.col("node").alias("row")).alias("component"))
+    active, _ = stored(near.select("node").unionByName(near.select(F.col("near").alias("node"))).distinct(), "active")
+    place = df.where(F.col(id).isNotNull()).select(F.xxhash64(F.col(id).cast("long"), F.col(text)).alias("node"), F.col(text).alias("body"))
+    texts, _ = stored(place.join(fits(active), "node", "left_semi").groupBy("node").agg(F.min("body").alias("body")), "texts")
+    links, _ = stored(verified(near.select("node", "near"), texts, width, least), "links")
+    labels = components(links)
+    tested = near.select("node", F.col("distance").alias("tested"), F.col("near").alias("after"))
+    open_, _ = stored(nodes.select("node", "size", "low", "high").join(tested, "node").join(labels, "node", "left").select("node", "size", "low", "high", F.coalesce("component", "node").alias("label"), "tested", "after"), "open")
+    more, _ = stored(candidates(open_, radius, least), "candidates")
+    if not more.isEmpty():
+        left = open_.join(more.select("node").unionByName(more.select(F.col("near").alias("node"))).distinct(), "node", "left_semi")
+        rest, _ = stored(verified_in_tiles(with_shingles(left, texts, width), radius, least), "links")
+        labels = components(links.unionByName(rest))
+    discard(spark, held)
     placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("digest", "key", "node", "label")
     heads = placed.groupBy("label").agg(F.min(F.struct("key", F.col("node").alias("row"))).alias("component"), F.count("*").alias("n"))
     out, _ = stored(meet(placed, heads, "label").select("digest", "key", "node", "component"), "classes")
@@ -246,7 +304,7 @@ def one_of_each_similar(df: DataFrame, text: str = "text", id: str = "doc_id", *
     rows = df.withColumns(place)
     drop = gone.select(F.col("key").alias(k), F.col("row").alias(r))
     repeated = gone.where("stays").select(F.col("key").alias(k), F.col("row").alias(r))
-    left = rows.join(F.broadcast(drop) if gone.count() <= MOST_BROADCAST else drop, [k, r], "left_anti").select(*df.columns)
+    left = rows.join(fits(drop), [k, r], "left_anti").select(*df.columns)
     if repeated.isEmpty():
         return left
     first = F.row_number().over(Window.partitionBy(k, r).orderBy(F.lit(0)))

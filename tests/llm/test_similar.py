@@ -56,6 +56,8 @@ def test_small_groups_and_tiles_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(similar, "TILE", 8)
     monkeypatch.setattr(simhash, "MIN_GROUPS", 25)
     monkeypatch.setattr(similar, "SHARE", 3)
+    monkeypatch.setattr(similar, "GROUP_SHINGLES", 3000)
+    monkeypatch.setattr(similar, "COLUMNS", 50)
     got = {r["doc_id"]: r["component_id"] for r in similar.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == plain_classes(docs)
 
@@ -94,3 +96,21 @@ def test_edges_of_input(spark):
     assert similar.one_of_each_similar(df.limit(0)).count() == 0 and similar.similar(df.limit(0)).count() == 0
     found = sorted(((r["doc_id"], r["component_id"]) for r in similar.similar(df).collect()), key=str)
     assert found == sorted([(7, 5), (5, 5), (9, 5), (None, None), (None, None), (3, 3), (3, 3), (3, 3), (8, 8), (4, 3)], key=str)
+
+
+def test_many_texts_below_the_similarity(spark):
+    """A crowd of texts that are candidates of one another without being alike, and pairs among them that are."""
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(150), 6):
+            w[at] = f"x{i}y{at}"
+        docs.append((i, " ".join(w)))
+        if i % 10 == 0:
+            w[r.randrange(150)] = "edited"
+            docs.append((1000 + i, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in similar.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    expected = plain_classes(docs)
+    assert got == expected and 100 < len(set(expected.values())) < 176
