@@ -7,12 +7,13 @@ name. Both keys are equal joins on (doc, kind of key, key); rows of one text onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions import markdown as M
 from docengine.functions import text as T
 from docengine.operators import charts as C
-from docengine.operators import chunking
+from docengine.operators import chunking, hybrid
 
 # Forms of an image reference and of a chart's summary line.
 IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
@@ -73,3 +74,41 @@ def inject_summaries(docs: DataFrame, charts: DataFrame, text: str = "text", id:
     merged = F.array_join(F.transform(F.array_sort(F.concat(own, F.col("__put"))), lambda r: r["line"]), "\n")
     columns = [F.when(F.col("__put").isNull(), F.col(c)).otherwise(merged).alias(c) if c == text else F.col(c) for c in docs.columns]
     return marked.select(*columns, F.when(F.col("__put").isNull(), 0).otherwise(F.size("__put")).alias("n_injected"))
+
+
+#: How a chart is found, in order of trust.
+RULES = ("image", "ids", "anchor", "name", "weak")
+#: Least similarity of a hint and a chart's words for a weak match.
+WEAK = 0.22
+
+
+def resolve(hits: DataFrame, charts: DataFrame, most: int, hints: DataFrame | None = None) -> DataFrame:
+    """query_id, doc, stem, reason, place, n (from 1) of the charts that the hits of each query bring, `most` at most.
+
+    hits: query_id, place, doc_id, content, chart_ids (JSON list or commas); charts: as from `usable`. A chart is found by
+    an image's stem, the hit's chart ids, an anchor or a summary's name; it comes once, with the first hit and rule.
+    hints (query_id, hint), if given, let hits that name charts without finding one take the most similar one of their document.
+    """
+    plain = lambda x: F.regexp_replace(x, "^chart_", "")
+
+    def asked(rule: str, kind: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k, i: F.struct(F.lit(RULES.index(rule)).alias("rule"), i.alias("at"), F.lit(kind).alias("kind"), k.alias("key")))
+
+    text = F.coalesce("content", F.lit(""))
+    images = F.filter(F.transform(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)), stem_of), lambda x: x.isNotNull())
+    names = F.transform(F.regexp_extract_all(text, F.lit(SUMMARY), F.lit(1)), T.norm_compact)
+    ids = hybrid.parse_ids(F.coalesce("chart_ids", F.lit("")))
+    refs = F.concat(asked("image", "stem", images), asked("ids", "stem", F.transform(ids, plain)), asked("anchor", "stem", F.transform(M.anchor_ids(text), plain)), asked("name", "name", names))
+    keyed = lookup(charts).join(charts.select("doc", "stem", "node"), ["doc", "node"])
+    found = hits.select("query_id", "place", F.col("doc_id").alias("doc"), F.explode(refs).alias("r")).select("query_id", "place", "doc", "r.*").join(keyed, ["doc", "kind", "key"]).select("query_id", "doc", "stem", "place", "rule", "at")
+    if hints is not None:
+        open_ = hits.where(text.rlike(IMAGE) | text.rlike(SUMMARY)).select("query_id", "place", F.col("doc_id").alias("doc")).join(found.select("query_id", "place").distinct(), ["query_id", "place"], "left_anti")
+        first = open_.groupBy("query_id", "doc").agg(F.min("place").alias("place")).join(hints, "query_id")
+        words = charts.select("doc", "stem", T.bigrams(F.concat_ws(" ", "name", "description")).alias("y"))
+        near = first.join(words, "doc").withColumn("s", T.jaccard(T.bigrams(F.col("hint")), F.col("y"))).where(F.col("s") >= WEAK)
+        best = near.groupBy("query_id", "doc", "place").agg(F.min(F.struct(-F.col("s"), F.col("stem"))).alias("b"))
+        found = found.unionByName(best.select("query_id", "doc", F.col("b.stem").alias("stem"), "place", F.lit(RULES.index("weak")).alias("rule"), F.lit(0).alias("at")))
+    once = found.groupBy("query_id", "doc", "stem").agg(F.min(F.struct("place", "rule", "at")).alias("f"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("f", "doc", "stem"))).where(F.col("n") <= most)
+    reason = F.get(F.array(*[F.lit(r) for r in RULES]), F.col("f.rule"))
+    return ranked.select("query_id", "doc", "stem", reason.alias("reason"), F.col("f.place").alias("place"), "n")

@@ -135,8 +135,16 @@ def _timelines(items: Column) -> Column:
     return F.flatten(F.transform(F.slice(F.filter(items, lambda s: s["data_points"].isNotNull()), 1, 8), one)).cast(_POINT)
 
 
+def _cells(matrix: Column, across: Column, down: Column) -> Column:
+    """Points of a heatmap's cells (column, row, value): x and series are the labels of column and row, else their numbers."""
+    number = lambda v: to_number(v).cast("int")
+    name = lambda labels, v: F.coalesce(F.nullif(strip(F.get(labels, number(v))), F.lit("")), number(v).cast("string"))
+    whole = F.filter(matrix, lambda c: (F.size(c) >= 3) & to_number(c[0]).isNotNull() & to_number(c[1]).isNotNull())
+    return F.transform(whole, lambda c: F.struct(name(down, c[1]).alias("series"), name(across, c[0]).alias("x"), to_number(c[2]).alias("y"), number(c[1]).alias("s"), number(c[0]).alias("i"))).cast(_POINT)
+
+
 def series_points(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame:
-    """id, chart_type, title, series, x, y (null where it is missing), s, i of bar, line, pie, area, scatter, radar and table charts."""
+    """id, chart_type, title, series, x, y (null where it is missing), s, i of bar, line, pie, area, scatter, heatmap, radar and table charts."""
     rows = parsed(df, json, id)
     o, l, t = F.col("obj"), F.col("list"), F.col("chart_type")
     axis = F.coalesce(o["x"], o["x_axis"], o["categories"])
@@ -149,10 +157,11 @@ def series_points(df: DataFrame, json: str = "json", id: str = "chart_id") -> Da
         .when(t == "line", _grid(axis, o["series"], 8))
         .when((t == "pie") & (F.coalesce(F.size(F.coalesce(o["labels"], o["categories"])), F.lit(0)) > 0), F.filter(pie, lambda x: x["x"] != "").cast(_POINT))
         .when(t == "scatter", F.filter(scatter, lambda x: x["x"].isNotNull() & x["y"].isNotNull()).cast(_POINT))
+        .when(t == "heatmap", _cells(o["matrix"], o["x_labels"], o["y_labels"]))
         .when(t == "radar", _grid(F.transform(o["indicator"], lambda x: x["name"]), o["series"], 10))
         .otherwise(_grid(F.coalesce(o["categories"], o["x"]), o["series"], 8))
     )
-    return rows.where(~t.isin("none", "sankey", "heatmap")).select(id, "chart_type", "title", F.explode(points).alias("p")).select(id, "chart_type", "title", "p.*")
+    return rows.where(~t.isin("none", "sankey")).select(id, "chart_type", "title", F.explode(points).alias("p")).select(id, "chart_type", "title", "p.*")
 
 
 def flat_records(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame:
@@ -163,6 +172,13 @@ def flat_records(df: DataFrame, json: str = "json", id: str = "chart_id") -> Dat
     return kept.where("y IS NOT NULL").select(id, "x", "series", "y")
 
 
+def table_cells(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame:
+    """id, position (of the row), column, value of table charts: their columns in order, the cells of each row by name."""
+    rows = parsed(df, json, id).where("chart_type = 'table' AND obj.columns IS NOT NULL").select(id, F.col("obj.columns").alias("columns"), F.posexplode("obj.rows").alias("position", "r"))
+    cells = rows.select(id, "position", "r", F.explode(F.filter(F.transform("columns", strip), lambda c: c != "")).alias("column"))
+    return cells.select(id, "position", "column", F.try_element_at("r", F.col("column")).alias("value"))
+
+
 def links(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame:
     """id, source, target, value (1 where it is no number) of flow charts; links without an end go."""
     rows = parsed(df, json, id).where("chart_type = 'sankey'").select(id, F.posexplode(F.col("obj.links")).alias("position", "l"))
@@ -188,12 +204,29 @@ def cycles(df: DataFrame, json: str = "json", id: str = "chart_id") -> DataFrame
     return rows.mapInArrow(run, f"`{id}` {rows.schema[id].dataType.simpleString()}, render_type string, links_count long, nodes_count long, cycle string")
 
 
-def layout_captions(df: DataFrame, layout: str) -> DataFrame:
-    """page and caption of the image blocks of nested layouts {"pages": [{"page", "blocks": [{"type", "caption"}]}]}; other columns stay."""
-    schema = "struct<pages:array<struct<page:int,blocks:array<struct<type:string,caption:string>>>>>"
-    others = [c for c in df.columns if c != layout]
-    pages = df.select(*others, F.inline(F.from_json(layout, schema)["pages"]))
-    return pages.select(*others, "page", F.inline("blocks")).where("type = 'image'").drop("type")
+_SPAN = "array<struct<content:string,text:string,image_path:string>>"
+LAYOUT = f"struct<pdf_info:array<struct<preproc_blocks:array<struct<type:string,blocks:array<struct<type:string,group_id:double,content:string,lines:array<struct<spans:{_SPAN}>>>>>>>>>"
+
+
+def layout_captions(df: DataFrame, layout: str, id: str = "doc_id") -> DataFrame:
+    """id, image_path, caption of each image in nested layouts (JSON): its first block counts.
+
+    A caption joins the different texts of the block's captions and titles that have the image's group number, or where
+    one of the two has none; null without one."""
+
+    def said(b: Column) -> Column:
+        spans = F.flatten(F.transform(F.filter(F.coalesce(b["lines"], F.array().cast(f"array<struct<spans:{_SPAN}>>")), lambda x: x["spans"].isNotNull()), lambda x: x["spans"]))
+        parts = F.transform(spans, lambda s: F.coalesce(F.nullif(strip(s["content"]), F.lit("")), F.nullif(strip(s["text"]), F.lit(""))))
+        return F.coalesce(F.nullif(strip(b["content"]), F.lit("")), F.array_join(F.filter(parts, lambda p: p.isNotNull()), " "))
+
+    pages = df.select(id, F.posexplode(F.from_json(layout, LAYOUT)["pdf_info"]).alias("page", "p"))
+    blocks = pages.select(id, "page", F.posexplode("p.preproc_blocks").alias("at", "b")).where("b.type = 'image' AND b.blocks IS NOT NULL").select(id, "page", "at", F.col("b.blocks").alias("parts"))
+    bodies = blocks.select("*", F.posexplode(F.filter("parts", lambda b: b["type"] == "image_body")).alias("n", "body"))
+    images = bodies.select(id, "page", "at", "n", "parts", F.col("body.group_id").alias("group"), F.explode("body.lines").alias("l")).select(id, "page", "at", "n", "parts", "group", F.explode("l.spans").alias("s"))
+    texts = F.transform(F.filter("parts", lambda b: b["type"].isin("image_caption", "image_title") & F.coalesce(b["group_id"] == F.col("group"), F.lit(True))), said)
+    caption = F.nullif(F.array_join(F.array_distinct(F.filter(texts, lambda t: t != "")), " "), F.lit(""))
+    named = images.select(id, strip(F.col("s.image_path")).alias("image_path"), F.struct("page", "at", "n", caption.alias("caption")).alias("c")).where("image_path != ''")
+    return named.groupBy(id, "image_path").agg(F.min("c").alias("c")).select(id, "image_path", "c.caption")
 
 
 def chart_name(layout: Column, described: Column, alt: Column, heading: Column, kind: Column) -> Column:

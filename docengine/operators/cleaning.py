@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from docengine.functions import sequential as S
 from docengine.functions import text as T
@@ -168,3 +168,40 @@ def remove_images(df: DataFrame, deleted: DataFrame, text: str = "text", id: str
         return F.when(F.array_contains("__gone", ref), F.regexp_replace(p, r"^!\[[^\]]*\]\([^)]+\)", "")).otherwise(p)
 
     return rows.select(id, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, part), "")).alias(text))
+
+
+def prune_references(df: DataFrame, removed: DataFrame, json: str = "json", id: str = "doc_id") -> DataFrame:
+    """df without references in `json` to the removed files (id, ref: relative paths) of its document, and changed.
+
+    A document meets only its own removed files, gathered as one set."""
+    gone = removed.groupBy(F.col(id).alias("__id")).agg(F.collect_set("ref").alias("__gone"))
+    rows = df.join(gone, F.col(id) == F.col("__id"), "left").drop("__id")
+
+    def apply(row: dict) -> list[tuple]:
+        text, held = S.prune_json(row[json], set(row["__gone"] or ()))
+        return [(text, held)]
+
+    return map_text(rows, json, apply, [StructField("changed", BooleanType())], ["__gone"]).drop("__gone")
+
+
+def clean_documents(df: DataFrame, model: Callable[[str], str] | None = None, text: str = "text", **rules) -> DataFrame:
+    """The whole cleaning: rules, then the model hook, statistics of both together.
+
+    Adds original_chars, cleaned_chars, removed_chars, success and error; a failure of the hook is a row with success
+    false, the error and the text as the rules left it, and a null text is one without text."""
+    original = "__original"
+    ruled = rule_clean(df.withColumn(original, F.col(text)), text, **rules)
+
+    def apply(row: dict) -> list[tuple]:
+        if row[original] is None:
+            return [(None, False, "no text")]
+        body = row[text]
+        try:
+            return [(model(body) if model and body.strip() else body, True, None)]
+        except Exception as e:  # noqa: BLE001  (the row carries it)
+            return [(body, False, str(e)[:400])]
+
+    out = map_text(ruled, text, apply, [StructField("success", BooleanType()), StructField("error", StringType())], [original])
+    stats = T.cleaning_stats(F.coalesce(original, F.lit("")), F.coalesce(text, F.lit("")))
+    counted = out.withColumn("__s", stats).select("*", *[F.col(f"__s.{n}").alias(n) for n in ("original_chars", "cleaned_chars", "removed_chars")])
+    return counted.drop("__s", original)

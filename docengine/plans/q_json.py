@@ -439,15 +439,60 @@ def jsn13(spark, sf_dir):
     return d.withColumns({"h": F.sha2("text", 256), "version": F.lit(1)}).join(done, ["doc_id", "h", "version"], "left_anti").select("doc_id")
 
 
-@query("jsn14_auto_charts", "WITH c AS (SELECT doc_id, min(CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END) AS priority FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR doc_id % 5 = 0 GROUP BY doc_id) SELECT doc_id, priority FROM c ORDER BY priority, doc_id LIMIT 100")
+@query(
+    "jsn14_auto_charts",
+    """WITH h AS (SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL),
+    f AS (SELECT query_id, doc_id AS doc, place, 'c' || k AS stem, min(rule) AS rule FROM (
+      SELECT *, doc_id % 7 AS k, 0 AS rule FROM h UNION ALL SELECT *, (doc_id + 1) % 7, 1 FROM h WHERE doc_id % 2 = 0 UNION ALL SELECT *, (doc_id + 2) % 7, 2 FROM h WHERE doc_id % 3 = 0 UNION ALL SELECT *, (doc_id * 3) % 5, 3 FROM h) WHERE k <> 3 GROUP BY ALL)
+    SELECT query_id, doc, stem, CASE rule WHEN 0 THEN 'image' WHEN 1 THEN 'ids' WHEN 2 THEN 'anchor' ELSE 'name' END AS reason, place FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY place, rule, doc, stem) <= 50""",
+)
 def jsn14(spark, sf_dir):
-    """Charts by the first rule that finds them, up to a cap."""
-    from functools import reduce
+    """Charts of the hits of each query by the first rule that finds them, up to a cap."""
+    from pyspark.sql import Window
+
+    from docengine.operators import chart_links
+    from docengine.plans.q_search import with_charts
+
+    docs, charts = with_charts(spark, sf_dir)
+    name = lambda n: F.concat(F.lit("c"), (n % 7).cast("string"))
+    k = F.col("doc_id")
+    hits = docs.where("source IS NOT NULL").select(F.col("source").alias("query_id"), "doc_id", F.concat("body", F.when(k % 3 == 0, F.concat(F.lit("\n[Chart: "), name(k + 2), F.lit("]"))).otherwise("")).alias("content"), F.when(k % 2 == 0, F.to_json(F.array(F.concat(F.lit("chart_"), name(k + 1))))).alias("chart_ids"))
+    hits = hits.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
+    return chart_links.resolve(hits, chart_links.usable(charts), 50).select("query_id", "doc", "stem", "reason", "place")
+
+
+@query(
+    "jsn6_heatmap_points",
+    """SELECT n_nationkey AS chart_id, CASE WHEN i = 2 THEN '2' ELSE ['low', 'high'][i + 1] END AS series, ['a', n_name][j + 1] AS x, CAST(i * 10 + j AS DOUBLE) AS y FROM nation, generate_series(0, 2) t(i), generate_series(0, 1) u(j)""",
+)
+def jsn6_heatmap(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    cells = F.lit("[[0,0,0],[1,0,1],[0,1,10],[1,1,\"11\"],[0,2,20],[1,2,21],[1],[\"x\",1,2]]")
+    json = F.concat(F.lit('{"is_chart": true, "chart_type": "heat_map", "description": "d", "chart_data": {"x_labels": ["a", "'), "n_name", F.lit('"], "y_labels": ["low", "high"], "matrix": '), cells, F.lit("}}"))
+    return C.series_points(n.select(F.col("n_nationkey").alias("chart_id"), F.replace(json, F.lit("heat_map"), F.lit("heatmap")).alias("json"))).select("chart_id", "series", "x", "y")
+
+
+@query("jsn6_scatter_points", "SELECT n_nationkey AS chart_id, '散点' AS series, '1.5' AS x, CAST(n_nationkey AS DOUBLE) AS y FROM nation UNION ALL SELECT n_nationkey, n_name, '2.0', 1200.0 FROM nation")
+def jsn6_scatter(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    json = F.concat(F.lit('{"is_chart": "yes", "chart_type": "scatter", "description": "d", "chart_data": {"points": [{"x": "1.5", "y": "'), F.col("n_nationkey").cast("string"), F.lit('"}, {"x": "none", "y": 1}, {"x": 2, "y": "1,200", "name": "'), "n_name", F.lit('"}]}}'))
+    return C.series_points(n.select(F.col("n_nationkey").alias("chart_id"), json.alias("json"))).select("chart_id", "series", "x", "y")
+
+
+@query("jsn6_radar_points", "SELECT n_nationkey AS chart_id, n_name AS series, x, CASE x WHEN 'speed' THEN CAST(n_nationkey AS DOUBLE) WHEN 'cost' THEN 7.0 END AS y FROM nation, (VALUES ('speed'), ('cost'), ('care')) v(x)")
+def jsn6_radar(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    json = F.concat(F.lit('{"is_chart": true, "chart_type": "radar", "description": "d", "chart_data": {"indicator": [{"name": "speed", "max": 9}, {"name": " cost "}, {"name": "care"}], "series": [{"name": "'), "n_name", F.lit('", "values": ['), F.col("n_nationkey").cast("string"), F.lit(', "7 %"]}]}}'))
+    return C.series_points(n.select(F.col("n_nationkey").alias("chart_id"), json.alias("json"))).select("chart_id", "series", "x", "y")
+
 
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    rules = [d.where(F.col("doc_id") % k == 0).withColumn("priority", F.lit(p)) for p, k in enumerate((2, 3, 5))]
-    found = reduce(lambda a, b: a.unionByName(b), rules).groupBy("doc_id").agg(F.min("priority").alias("priority"))
-    return found.orderBy("priority", "doc_id").limit(100)
+@query("jsn8_table_cells", "SELECT n_regionkey AS chart_id, position, c AS \"column\", CASE c WHEN 'name' THEN n_name WHEN 'key' THEN CAST(n_nationkey AS VARCHAR) END AS value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS position FROM nation), (VALUES ('name'), ('key'), ('none')) v(c)")
+def jsn8_table(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("l"))
+    rows = F.transform("l", lambda x: F.struct(x["n_name"].alias("name"), x["n_nationkey"].alias("key"), F.lit("unused").alias("other")))
+    data = F.struct(F.array(F.lit(" name"), F.lit("key"), F.lit(""), F.lit("none")).alias("columns"), rows.alias("rows"))
+    json = F.to_json(F.struct(F.lit(True).alias("is_chart"), F.lit("comparison_table").alias("chart_type"), F.lit("d").alias("description"), data.alias("chart_data")))
+    return C.table_cells(n.select(F.col("n_regionkey").alias("chart_id"), json.alias("json")))
 
 
 @query("jsn19_role_check", "SELECT conv_id, bool_and(role IN ('system', 'user', 'assistant') AND trim(text) <> '') AS ok FROM conversations GROUP BY conv_id")

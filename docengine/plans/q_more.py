@@ -34,7 +34,7 @@ def arr1(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.get(F.array(F.lit("a"), F.lit("b")), F.col("n_regionkey")).alias("v"))
 
 
-@query("chk2_blocks", "SELECT doc_id, 1 AS code, 1 AS tables FROM documents")
+@query("chk2_blocks", """SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS code, CASE WHEN text IS NULL THEN 0 ELSE 1 END AS tables FROM documents WHERE text IS NOT NULL""")
 def chk2(spark, sf_dir):
     """Code and table blocks of each document."""
     found = map_text(mixed(spark, sf_dir), "text", lambda r: S.blocks(r["text"]), [StructField("kind", StringType())])
@@ -93,13 +93,22 @@ def cln19(spark, sf_dir):
     return cleaning.remove_images(d, deleted, "text", "doc_id")
 
 
-@query("cln20_orchestration", "SELECT doc_id, true AS success FROM documents")
+@query(
+    "cln20_orchestration",
+    """SELECT doc_id, text IS NOT NULL AND doc_id % 5 <> 0 AS success, CASE WHEN text IS NULL THEN 'no text' WHEN doc_id % 5 = 0 THEN 'model failed' END AS error,
+    CASE WHEN text IS NULL THEN 0 ELSE length('Page ' || doc_id || chr(10) || 'Keep' || chr(10) || 'keep' || chr(10) || 'id ' || doc_id) END AS original_chars, CASE WHEN text IS NOT NULL THEN md5('Keep' || chr(10) || 'id ' || doc_id || CASE WHEN doc_id % 5 <> 0 THEN '!' ELSE '' END) END AS text FROM documents""",
+)
 def cln20(spark, sf_dir):
-    """Rule stage, statistics, model stage; failures are rows."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("original"))
-    cleaned = cleaning.model_clean(cleaning.rule_clean(d), None)
-    stats = T.cleaning_stats(F.col("original"), F.col("text"))
-    return cleaned.select("doc_id", stats.alias("s")).select("doc_id", (F.col("s.cleaned_chars") <= F.col("s.original_chars")).alias("success"))
+    """Rule stage, model stage, statistics; a failing model and a missing text are rows without success."""
+    name = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.concat(F.lit("Page "), name, F.lit("\nKeep\nkeep\nid "), name)).alias("text"))
+
+    def model(text: str) -> str:
+        if int(text.rsplit(" ", 1)[1]) % 5 == 0:
+            raise ValueError("model failed")
+        return f"{text}!"
+
+    return cleaning.clean_documents(d, model).select("doc_id", "success", "error", "original_chars", F.md5("text").alias("text"))
 
 
 @query("fts2_index", f"WITH {BM25} SELECT (SELECT count(*) FROM postings) AS postings, (SELECT count(*) FROM terms) AS terms, (SELECT CAST(sum(dl) AS BIGINT) FROM lengths) AS tokens")
@@ -185,12 +194,29 @@ def src11(spark, sf_dir):
     return found.select("item_id", F.when(F.col("title").startswith("Draft "), F.col("title")).alias("title"))
 
 
-@query("jsn10_layout_captions", "SELECT n_regionkey, n_nationkey AS page, n_name AS caption FROM nation WHERE n_nationkey % 2 = 0")
+@query(
+    "jsn10_layout_captions",
+    """SELECT p_partkey, image_path, CASE image_path WHEN 'a.png' THEN 'Figure ' || p_partkey || ' ' || p_name WHEN 'b.png' THEN p_brand END AS caption FROM part, (VALUES ('a.png'), ('b.png'), ('c.png')) v(image_path)""",
+)
 def jsn10(spark, sf_dir):
-    """Captions of image blocks in nested layouts; the first title of a layout."""
-    block = F.array(F.struct(F.when(F.col("n_nationkey") % 2 == 0, "image").otherwise("text").alias("type"), F.col("n_name").alias("caption")))
-    pages = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("n_nationkey").alias("page"), block.alias("blocks"))).alias("pages"))).alias("layout"))
-    return C.layout_captions(pages, "layout").select("n_regionkey", "page", "caption")
+    """Captions of images in nested layouts: by group number, repeated texts once, the first block of an image."""
+    body = lambda path, group: f'{{"type": "image_body", "group_id": {group}, "lines": [{{"spans": [{{"image_path": "{path}"}}]}}]}}'
+    head = '{"pdf_info": [{"preproc_blocks": [{"type": "text"}, {"type": "image", "blocks": [' + body("a.png", 1) + ", " + body("b.png", 2)
+    parts = [F.lit(head + ', {"type": "image_caption", "group_id": 1, "lines": [{"spans": [{"content": " Figure "}, {"text": "'), F.col("p_partkey").cast("string"), F.lit('"}]}]}, {"type": "image_title", "group_id": 1, "content": "'), F.col("p_name")]
+    parts += [F.lit('"}, {"type": "image_title", "group_id": 1, "content": "'), F.col("p_name"), F.lit('"}, {"type": "image_caption", "group_id": 2, "content": "'), F.col("p_brand"), F.lit('"}]}]}, {}, {"preproc_blocks": [{"type": "image", "blocks": [' + body(" c.png ", "null") + ']}, {"type": "image", "blocks": [' + body("a.png", "null") + ', {"type": "image_caption", "content": "later"}]}]}]}')]
+    return C.layout_captions(table(spark, sf_dir, "part").select("p_partkey", F.concat(*parts).alias("layout")), "layout", "p_partkey")
+
+
+@query(
+    "jn9_prune_references",
+    """SELECT p_partkey, p_size % 2 = 0 OR p_size % 3 = 0 AS changed, '{' || CASE WHEN p_size % 2 = 0 THEN '' ELSE '"cover": "images/a.png", ' END || '"pages": [' || CASE WHEN p_size % 3 = 0 THEN '' ELSE '{"n": 1, "img": ["./images/b.png"]}, ' END || '{"n": 2, "t": "' || p_name || '"}]}' AS json FROM part""",
+)
+def jn9_prune(spark, sf_dir):
+    """JSON of any depth without references to removed images."""
+    p = table(spark, sf_dir, "part")
+    text = F.concat(F.lit('{"cover": "images/a.png", "pages": [{"n": 1, "img": ["./images/b.png"]}, {"n": 2, "t": "'), "p_name", F.lit('"}]}'))
+    removed = p.where("p_size % 2 = 0").select("p_partkey", F.lit("images/a.png").alias("ref")).unionByName(p.where("p_size % 3 = 0").select("p_partkey", F.lit("images/b.png").alias("ref")))
+    return cleaning.prune_references(p.select("p_partkey", text.alias("json")), removed, "json", "p_partkey")
 
 
 @query("jsn11_chart_names", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand WHEN 2 THEN 'alt' ELSE 'chart' END AS name FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
-from docengine.operators import cleaning
+from docengine.operators import chunking, cleaning
 from docengine.plans.registry import query, table
 
 #: Documents with adverts, page numbers, speaker lines, rules and repeated lines around their text.
@@ -218,6 +218,19 @@ def ded2(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
+@query(
+    "win3_ded4_first_chunks",
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+    g AS (SELECT doc_id, i, CASE WHEN i % 10 = 3 THEN 'chart' ELSE 'paragraph' END AS kind, {_MARK} AS mark, text FROM l),
+    k AS (SELECT *, CASE WHEN mark = substr(md5(''), 1, 16) THEN '' ELSE kind || ':' || mark END AS gid FROM g)
+    SELECT doc_id, CAST(i AS INTEGER) AS chunk_index FROM k QUALIFY gid = '' OR kind = 'chart' OR row_number() OVER (PARTITION BY doc_id, gid ORDER BY i) = 1""",
+)
+def win3_chunks(spark, sf_dir):
+    """Lines as chunks: the first of each group in a document; charts and chunks without a group stay."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("chunk_index", "content"))
+    return chunking.dedup_in_document(lines.withColumn("chunk_type", F.when(F.col("chunk_index") % 10 == 3, "chart").otherwise("paragraph"))).select("doc_id", "chunk_index")
+
+
 @query(
     "ded3_group_id",
     f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'chart:' || source WHEN doc_id % 4 = 1 THEN 'chart:' || {_MARK} WHEN doc_id % 4 = 2 THEN 'table:' || {_MARK} ELSE {_MARK} END AS group_id FROM documents",
