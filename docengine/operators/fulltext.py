@@ -1,4 +1,7 @@
-"""BM25 over chunks: an index is four DataFrames; a search joins the query's terms with the postings."""
+"""BM25 over chunks: an index is four DataFrames; a search joins the query's terms with the postings.
+
+A posting carries the length of its row and the weights come with the query's terms, so a search is one join by term
+and one aggregate. For a few terms over texts without an index, `scan` reads the texts once for the terms asked."""
 
 from __future__ import annotations
 
@@ -10,11 +13,13 @@ from pyspark.sql import functions as F
 from docengine.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Different terms that `scan` looks for in texts at most; more go through an index.
+MOST_TERMS = 1000
 
 
 @dataclass
 class Index:
-    """postings (id, term, tf), lengths (id, dl), terms (term, df, idf), stats (one row: n, avgdl)."""
+    """postings (id, term, tf, dl), lengths (id, dl), terms (term, df, idf), stats (one row: n, avgdl)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -48,26 +53,49 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
+def _lengths(df: DataFrame, id: str, text: str) -> DataFrame:
+    return df.select(id, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+
+
 def build(df: DataFrame, id: str = "doc_id", text: str = "text") -> Index:
-    postings = term_frequencies(df, id, text)
-    lengths = df.select(id, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+    rows = df.select(id, T.tokens(F.col(text)).alias("t")).select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    lengths = _lengths(df, id, text)
     stats = corpus_stats(lengths)
     terms = document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
     return Index(postings, lengths, terms, stats)
 
 
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+
+
 def score(index: Index, queries: DataFrame, id: str = "doc_id", k1: float = K1, b: float = B, digits: int | None = None) -> DataFrame:
     """query_id, id, score > 0 of all matching rows. queries: query_id, query (distinct terms count once).
 
-    stats has one row, so its broadcast is bounded; the query's terms meet the postings first, so only their rows go on."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    hits = index.postings.join(wanted, "term").join(index.terms.select("term", "idf"), "term").join(index.lengths, id).crossJoin(F.broadcast(index.stats))
+    stats has one row, so its broadcast is bounded; the query's terms get their weights first, then meet the postings."""
+    weighted = _wanted(queries).join(index.terms.select("term", "idf"), "term")
+    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     total = F.sum(part)
     return hits.groupBy("query_id", id).agg((F.round(total, digits) if digits is not None else total).alias("score")).where("score > 0")
 
 
+def scan(df: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "text", digits: int | None = None) -> DataFrame:
+    """`score` without an index: only the asked terms leave the texts, so nothing else is counted or shuffled."""
+    terms = [r["term"] for r in _wanted(queries).select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS:
+        return score(build(df, id, text), queries, id, digits=digits)
+    found = T.let(T.tokens(F.col(text)), lambda t: F.struct(F.size(t).cast("long").alias("dl"), F.filter(t, lambda x: x.isin(terms)).alias("t")))
+    rows = df.select(id, found.alias("f")).select(id, "f.dl", F.explode("f.t").alias("term"))
+    postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    lengths = _lengths(df, id, text)
+    stats = corpus_stats(lengths)
+    weights = document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
+    return score(Index(postings, lengths, weights, stats), queries, id, digits=digits)
+
+
 def search(index: Index, queries: DataFrame, k: int, id: str = "doc_id", allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """query_id, id, score, score_norm, rank (from 0) of the k best rows of each query (ties: the smaller id).
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +34,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(bad, F.lit(0.0)).when(scale > 0, dot(a, b) / scale).otherwise(0.0)
 
 
+def _unit(rows: list, dim: int) -> np.ndarray:
+    """Vectors of `dim` components as rows of length one; null, other lengths, null components and zero vectors are zero rows."""
+    m = np.array([v if v is not None and len(v) == dim and None not in v else [0.0] * dim for v in rows], np.float64).reshape(len(rows), dim)
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vector: str = "embedding", where: Column | None = None, digits: int | None = None, bound: int = 10_000) -> DataFrame:
     """query_id, id, score, rank (from 0): the k rows of largest cosine for each query (query_id, query_vec).
 
-    Exact; every query reads the base once, in one pass for all. The queries are broadcast, after a check that
-    there are at most `bound` of them; more are taken in blocks of that size. Top-k is partial before it shuffles."""
-    rows = base if where is None else base.where(where)
+    Exact; ties go to the smaller id, and what has no cosine scores 0. The queries come to each task as a matrix, after a
+    check that there are at most `bound` of them; more are taken in blocks of that size. A task multiplies it with one
+    Arrow batch of rows at a time and passes on the k best of the batch for each query; a window picks the k best of all."""
+    spark = base.sparkSession
+    rows = (base if where is None else base.where(where)).select(id, F.col(vector).cast("array<double>").alias("vec"))
     n = queries.count()
     blocks = max(1, -(-n // bound))
+    key, of = queries.schema["query_id"].dataType.simpleString(), rows.schema[id].dataType.simpleString()
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        s = cosine(F.col(vector), F.col("query_vec"))
-        found = rows.crossJoin(F.broadcast(part)).select("query_id", id, (F.round(s, digits) if digits is not None else s).alias("score"))
+        asked = part.select("query_id", F.col("query_vec").cast("array<double>").alias("q")).toArrow()
+        by_length: dict[int, list[int]] = {}
+        vectors = asked.column("q").to_pylist()
+        for at, v in enumerate(vectors):
+            by_length.setdefault(len(v) if v is not None else 0, []).append(at)
+        held = spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), {dim: (at, _unit([vectors[i] for i in at], dim)) for dim, at in by_length.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            names, groups = held.value
+            for whole in batches:
+                for begin in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(begin, 2048)
+                    batch = batch.take(pc.sort_indices(batch.column(0)))  # places are then in the order of the ids
+                    given = batch.column(1).to_pylist()
+                    for dim, (at, matrix) in groups.items():
+                        unit = _unit(given, dim)
+                        for first in range(0, len(at), 512):
+                            score = matrix[first : first + 512] @ unit.T
+                            score = np.round(score, digits) + 0.0 if digits is not None else score
+                            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                            of_query = np.repeat(np.array(at[first : first + 512]), best.shape[1])
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(of_query)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", id, "score"])
+
+        found = rows.mapInArrow(run, f"query_id {key}, `{id}` {of}, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id)) - 1
         found = found.withColumn("rank", rank).where(F.col("rank") < k)
         out = found if out is None else out.unionByName(found)

@@ -28,7 +28,7 @@ def bm25_topk(spark, sf_dir):
     """The flagship: the 20 best documents for three words."""
     docs = table(spark, sf_dir, "documents")
     asked = spark.createDataFrame([(1, "the and of the")], "query_id int, query string")
-    found = fulltext.score(fulltext.build(docs), asked, digits=6)
+    found = fulltext.scan(docs, asked, digits=6)
     return found.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", "score", F.round(F.col("score") / (F.col("score") + 1), 6).alias("score_norm"))
 
 

@@ -196,3 +196,35 @@ def test_name_match_by_all_pairs(spark):
         equal = [k for k, b in right if a is not None and a == b]
         part = [k for k, b in right if a and b and (a in b or b in a)]
         assert got[i] == min(equal or part, default=None), a
+
+
+def test_nearest_by_all_pairs(spark):
+    import random
+
+    from docengine.operators import vectors
+
+    r = random.Random(3)
+    made = [(i, [float(r.randrange(-2, 3)) for _ in range(3)]) for i in range(50)] + [(50, None), (51, []), (52, [1.0]), (53, [0.0] * 3)]
+    asked = [(1, [1.0, 0.0, 1.0]), (2, [0.0, 0.0, 0.0]), (3, [2.0]), (4, None)]
+    base = spark.createDataFrame(made, "vec_id int, embedding array<double>")
+    got = {(x["query_id"], x["rank"]): (x["vec_id"], round(x["score"], 6)) for x in vectors.nearest(base, spark.createDataFrame(asked, "query_id int, query_vec array<double>"), 5, digits=6, bound=3).collect()}
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b):
+            return 0.0
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / size, 6) if size else 0.0
+
+    for q, v in asked:
+        best = sorted((-cosine(v, x), i) for i, x in made)[:5]
+        assert [got[q, n] for n in range(5)] == [(i, -s) for s, i in best]
+    assert vectors.nearest(base.limit(0), spark.createDataFrame(asked, "query_id int, query_vec array<double>"), 5).count() == 0
+
+
+def test_scan_equals_the_index(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "a dog"), (3, None), (4, "")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "the dog"), (2, "cat unknown"), (3, "")], "query_id int, query string")
+    expected = sorted(map(tuple, fulltext.score(fulltext.build(docs), asked, digits=9).collect()))
+    assert sorted(map(tuple, fulltext.scan(docs, asked, digits=9).collect())) == expected and len(expected) == 3
+    monkeypatch.setattr(fulltext, "MOST_TERMS", 1)
+    assert sorted(map(tuple, fulltext.scan(docs, asked, digits=9).collect())) == expected
