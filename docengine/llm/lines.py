@@ -26,6 +26,7 @@ All columns stay, whatever their names; `n_chars`, if there is one, is counted a
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -39,76 +40,95 @@ from docengine.llm.decontaminate import _HASHES, forget, mixed
 
 #: Words of the shortest run that counts as repeated.
 MIN_WORDS = 50
-_LAST = (1 << 63) - 1
-_BASES = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_LAST, _MASK = (1 << 63) - 1, (1 << 64) - 1
+_BASES = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
+
+
+class Powers:
+    """Powers of a base modulo 2^64 and of its inverse, for texts of any length met so far."""
+
+    def __init__(self, base: int):
+        self.factors = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) <= n:
+            size = max(1024, 1 << n.bit_length())
+            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, f))]) for f in self.factors)
+        return self.up, self.down
+
+
+_POWERS = [Powers(b) for b in _BASES]
 
 
 class Sequence:
-    """Lines with words of a text: their numbers and word counts, and digests of any words in a row."""
+    """Lines with words of a text: their numbers, word counts and hashes, and digests of words in a row."""
 
     def __init__(self, text: str):
-        self.at, counts, words = [], [], []
+        self.at, self.counts, self.words, self.lines = [], [], [], []
         for i, line in enumerate(text.split("\n")):
             if found := line.split():
                 self.at.append(i)
-                counts.append(len(found))
-                words += found
-        self.counts = np.array(counts, np.int64)
-        self.total = np.concatenate([[0], np.cumsum(self.counts)]).astype(np.int64)
-        self.hashes = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-        self.sums: dict[int, np.ndarray] = {}
+                self.counts.append(len(found))
+                self.words += found
+                self.lines.append(_joined(found))
+        self.hashes = [xxhash.xxh64_intdigest(x) for x in self.lines]
+        self.total = [0, *itertools.accumulate(self.counts)]
+        self.sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def whole(self) -> bytes:
+        """128-bit digest of all lines."""
+        return xxhash.xxh3_128_digest(b"\n".join(self.lines))
 
     def digest(self, start: np.ndarray, end: np.ndarray, half: int = 0) -> np.ndarray:
-        """64-bit digests (two different ones) of the words start to end: a polynomial of their mixed hashes, from prefix sums."""
-        base = _BASES[half]
+        """64-bit digests (two different ones) of the words start to end, for many of them: a polynomial of the words' hashes, from prefix sums."""
+        n = len(self.words)
         if half not in self.sums:
-            power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(self.hashes), base))])
-            self.sums[half] = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(self.hashes + np.uint64(half)) * power[:-1])])
+            up, down = _POWERS[half].upto(n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(mixed(np.fromiter(map(_HASHES.__getitem__, self.words), np.uint64, n) + np.uint64(half)) * up[:n], out=sums[1:])
+            self.sums[half] = sums, down
+        sums, down = self.sums[half]
         # Divided by the power of the first word's place, equal words agree wherever they stand.
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        return mixed((self.sums[half][end] - self.sums[half][start]) * _powers(inverse, start) ^ mixed((end - start).astype(np.uint64)))
-
-    def lines(self) -> np.ndarray:
-        return self.digest(self.total[:-1], self.total[1:])
+        return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def _powers(base: np.uint64, of: np.ndarray) -> np.ndarray:
-    """base ** of, modulo 2 ** 64."""
-    out, square, left = np.ones(len(of), np.uint64), np.array([base]), of.astype(np.uint64)
-    while left.any():
-        out = np.where(left & np.uint64(1), out * square, out)
-        square, left = square * square, left >> np.uint64(1)
-    return out
+def _joined(words: list[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "surrogatepass")
 
 
-def selected(lines: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
-    """Numbers of the lines that winnowing selects: minima of two neighbours, and lines that can be alone in a run."""
-    padded = np.concatenate([[0], counts, [0]])
-    chosen = padded[:-2] + counts + padded[2:] >= least
-    if len(lines) > 1:
-        earlier = lines[:-1] < lines[1:]  # equal neighbours: the later one
-        chosen[:-1] |= earlier
-        chosen[1:] |= ~earlier
-    return np.flatnonzero(chosen)
+def selected(hashes: list[int], counts: list[int], least: int) -> list[int]:
+    """Numbers of the lines that winnowing selects: minima of two neighbours (of equal ones the later), and lines that can be alone in a run."""
+    last, out = len(counts) - 1, []
+    for i, (h, c) in enumerate(zip(hashes, counts)):
+        around = c + (counts[i - 1] if i else 0) + (counts[i + 1] if i < last else 0)
+        if around >= least or i and h <= hashes[i - 1] or i < last and h < hashes[i + 1]:
+            out.append(i)
+    return out
 
 
-def fingerprints(text: Sequence, least: int) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(text: Sequence, least: int) -> tuple[list[int], list[int]]:
     """Numbers of selected lines and their fingerprints: each line with the words before it, and after it, where there are so many."""
-    at = selected(text.lines(), text.counts, least)
-    s, e, n = text.total[at], text.total[at + 1], int(text.total[-1])
-    half = np.maximum(0, -(-(least - (e - s)) // 2))
-    left, right = s >= half, e + half <= n
-    whole = half == 0
-    before = text.digest((s - half)[left], e[left])
-    after = text.digest(s[right & ~whole], (e + half)[right & ~whole])
-    return np.concatenate([at[left], at[right & ~whole]]), np.concatenate([before, after ^ np.uint64(1)])
-
-
-def window_starts(total: np.ndarray, live: np.ndarray, least: int) -> np.ndarray:
+    at, prints = [], []
+    for i in selected(text.hashes, text.counts, least):
+        s, e = text.total[i], text.total[i + 1]
+        half = -((e - s - least) // 2)
+        if half <= 0:
+            at.append(i)
+            prints.append(text.hashes[i])
+            continue
+        for begin, end, side in ((s - half, e, 1), (s, e + half, 2)):
+            if begin >= 0 and end <= text.total[-1]:
+                at.append(i)
+                prints.append(xxhash.xxh64_intdigest(_joined(text.words[begin:end]), side))
+    return at, prints
+
+
+def window_starts(total: list[int], live: list[int], least: int) -> np.ndarray:
     """First words of the windows that extend matches from the lines `live`: all that reach them or the `least` words around."""
-    wanted = np.zeros(max(0, int(total[-1]) - least + 1), bool)
-    for i in live.tolist():
-        s, e = int(total[i]), int(total[i + 1])
+    wanted = np.zeros(max(0, total[-1] - least + 1), bool)
+    for i in live:
+        s, e = total[i], total[i + 1]
         if e - s < least:
             wanted[max(0, e - 2 * least) : s + least + 1] = True
         else:
@@ -151,10 +171,9 @@ def _sequences(rows: DataFrame, least: int) -> DataFrame:
                 if text.total[-1] >= least:
                     kept.append(i)
                     lines.append(np.array(text.at, "<i4").tobytes())
-                    counts.append(text.counts.astype("<i4").tobytes())
-                    s, e = text.total[:-1], text.total[1:]
-                    digests.append(xxhash.xxh3_128_digest(np.concatenate([text.digest(s, e), text.digest(s, e, 1)]).tobytes()))
-                    values, n = np.unique(fingerprints(text, least)[1], return_counts=True)
+                    counts.append(np.array(text.counts, "<i4").tobytes())
+                    digests.append(text.whole())
+                    values, n = np.unique(np.array(fingerprints(text, least)[1], np.uint64), return_counts=True)
                     prints.append(np.concatenate([values, values[n > 1]]).view(np.int64))
             taken = batch.take(pa.array(kept, pa.int64()))
             return pa.RecordBatch.from_arrays(
@@ -176,7 +195,8 @@ def _windows(rows: DataFrame, least: int) -> DataFrame:
             for i in range(batch.num_rows):
                 text = Sequence(batch.column(2)[i].as_py())
                 at, prints = fingerprints(text, least)
-                live = np.unique(at[np.isin(prints.view(np.int64), np.array(batch.column(3)[i].as_py(), np.int64))])
+                shared = {x & _MASK for x in batch.column(3)[i].as_py()}
+                live = sorted({line for line, x in zip(at, prints) if x in shared})
                 starts = window_starts(text.total, live, least)
                 digests = np.stack([text.digest(starts, starts + least), text.digest(starts, starts + least, 1)], axis=1)
                 owner += [i] * len(starts)
