@@ -48,6 +48,7 @@ class Encoder:
         #: An id that no pair has; it stands between pre-tokens.
         self.barrier = max(ranks.values(), default=0) + 1
         self.bytes_as_ids = np.array([ranks.get(bytes([b]), self.barrier) for b in range(256)], np.int32)
+        self.missing = frozenset(b for b in range(256) if bytes([b]) not in ranks)
         self.memo: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
@@ -207,7 +208,10 @@ class Encoder:
         memo = self.memo
         pieces = [self.split(t) for t in texts]
         if new := list(set().union(*pieces).difference(memo)):
-            memo.update(zip(new, self.merge_many([x.encode("utf-8", "surrogatepass") for x in new])))
+            encoded = [x.encode("utf-8", "surrogatepass") for x in new]
+            if self.missing and any(not self.missing.isdisjoint(x) for x in encoded):
+                raise ValueError("the vocabulary has no token for a byte of the text")
+            memo.update(zip(new, self.merge_many(encoded)))
         out = [b"".join(map(memo.__getitem__, x)) for x in pieces]
         if len(memo) > MEMO_ENTRIES:
             memo.clear()

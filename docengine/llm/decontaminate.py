@@ -20,6 +20,9 @@ Texts stay where they are: no shuffle, so hot sources, repeated passages and ver
 (a text is worked on in regions). The benchmark is broadcast in parts of at most PART_ITEMS items and
 PART_BYTES bytes; more parts take more passes over the texts.
 
+An item of fewer than five words matches wherever its words stand in a row, so a one-word item is found in every text
+with that word: leave such items out of a benchmark that is to clean a corpus.
+
 Null and empty texts and items match nothing; null ids are kept as null; repeated rows are reported as often
 as they come. Of equally similar windows the first is reported. Other columns are not carried over.
 """

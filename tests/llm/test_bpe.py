@@ -59,3 +59,12 @@ def test_frames(spark):
     both = bpe.round_trip(df, PATH, public_tokenizers.PATTERN).collect()
     assert sorted(both, key=str) == sorted(found, key=str)
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_vocabulary_without_a_byte():
+    import pytest
+
+    encoder = bpe.Encoder({b"a": 0, b"b": 1, b"ab": 2}, r"\w+")
+    assert encoder.packed(["ab"]) == [b"\x02\0\0\0"]
+    with pytest.raises(ValueError):
+        encoder.packed(["abc"])
