@@ -61,9 +61,13 @@ def build(df: DataFrame, id: str = "doc_id", text: str = "text") -> Index:
     rows = df.select(id, T.tokens(F.col(text)).alias("t")).select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
     postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     lengths = _lengths(df, id, text)
+    return Index(postings, lengths, *weights(postings, lengths))
+
+
+def weights(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Terms with their weights, and the statistics (one row)."""
     stats = corpus_stats(lengths)
-    terms = document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return Index(postings, lengths, terms, stats)
+    return document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf")), stats
 
 
 def _wanted(queries: DataFrame) -> DataFrame:
@@ -91,9 +95,7 @@ def scan(df: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "tex
     rows = df.select(id, found.alias("f")).select(id, "f.dl", F.explode("f.t").alias("term"))
     postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     lengths = _lengths(df, id, text)
-    stats = corpus_stats(lengths)
-    weights = document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf"))
-    return score(Index(postings, lengths, weights, stats), queries, id, digits=digits)
+    return score(Index(postings, lengths, *weights(postings, lengths)), queries, id, digits=digits)
 
 
 def search(index: Index, queries: DataFrame, k: int, id: str = "doc_id", allowed: DataFrame | None = None, digits: int | None = None) -> DataFrame:

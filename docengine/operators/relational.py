@@ -90,3 +90,33 @@ def percentiles(df: DataFrame, key: str | None, value: str) -> DataFrame:
     p = F.expr(f"percentile({value}, array(0.5, 0.95, 1))")
     grouped = df.groupBy(key) if key else df.groupBy()
     return grouped.agg(p.alias("p")).select(*([key] if key else []), *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("p50", "p95", "max"))])
+
+
+def stale(rows: DataFrame, done: DataFrame, keys: list[str], files: str = "files_exist") -> DataFrame:
+    """Rows that have to be made (again): no entry in `done` with equal keys (id, hash, theme, version) whose files exist."""
+    kept = done.where(F.coalesce(F.col(files), F.lit(False))).select(*keys).distinct()
+    return rows.join(kept, keys, "left_anti")
+
+
+def apply_changes(table: DataFrame, changes: DataFrame, key: str, locked: str = "locked") -> DataFrame:
+    """table after one change for each key: changes has the table's columns, `op` (create, update, delete, lock, unlock) and `seq`; the last one counts.
+
+    An update takes the columns that are not null. A locked row takes no update and no delete; creating a key that is
+    there, or changing one that is not, does nothing."""
+    columns = table.columns
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))
+    last = changes.withColumn("__n", rank).where("__n = 1").select(F.col(key).alias("__key"), "op", *[F.col(c).alias(f"__{c}") for c in columns if c != key])
+    both = table.join(last, F.col(key) == F.col("__key"), "full")
+    there, lock = F.col(key).isNotNull(), F.coalesce(F.col(locked), F.lit(False))
+    op = F.coalesce(F.col("op"), F.lit(""))
+    kept = (there & ~((op == "delete") & ~lock)) | (~there & (op == "create"))
+    free = there & (op == "update") & ~lock
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.coalesce(F.col(key), F.col("__key")).alias(c)
+        if c == locked:
+            return F.when(there & (op == "lock"), True).when(there & (op == "unlock"), False).when(there, lock).otherwise(F.coalesce(F.col(f"__{c}"), F.lit(False))).alias(c)
+        return F.when(~there, F.col(f"__{c}")).when(free, F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
+
+    return both.where(kept).select(*[value(c) for c in columns])

@@ -51,3 +51,22 @@ def ctl3(spark, sf_dir):
 def cnt(spark, sf_dir):
     """The total that goes with a page (TOP-4)."""
     return table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).agg(F.count("*").alias("total"), F.min("o_orderkey").alias("first"))
+
+
+@query(
+    "ctl9_ctl12_row_changes",
+    """WITH t AS (SELECT p_partkey, p_name, p_size, p_size % 4 = 0 AS locked FROM part WHERE p_partkey % 10 <> 1)
+    SELECT p_partkey, CASE WHEN p_partkey % 10 = 2 AND NOT locked THEN 'changed' ELSE p_name END AS p_name, p_size, CASE p_partkey % 10 WHEN 4 THEN true WHEN 5 THEN false ELSE locked END AS locked FROM t WHERE NOT (p_partkey % 10 = 3 AND NOT locked)
+    UNION ALL SELECT p_partkey, 'new', p_size, false FROM part WHERE p_partkey % 10 = 1""",
+)
+def ctl9(spark, sf_dir):
+    """Templates created, updated, deleted, locked and unlocked; locked ones refuse updates and deletions."""
+    from docengine.operators import relational as R
+
+    p = table(spark, sf_dir, "part").withColumn("locked", F.col("p_size") % 4 == 0).select("p_partkey", "p_name", "p_size", "locked")
+    k = F.col("p_partkey") % 10
+    op = F.when(k.isin(0, 1), "create").when(k == 2, "update").when(k == 3, "delete").when(k == 4, "lock").when(k == 5, "unlock")
+    name = F.when(k == 1, "new").when(k == 2, "changed")
+    last = p.where(k < 6).select("p_partkey", name.alias("p_name"), F.when(k == 1, F.col("p_size")).alias("p_size"), F.lit(None).cast("boolean").alias("locked"), op.alias("op"), F.lit(2).alias("seq"))
+    earlier = p.where(k < 6).select("p_partkey", F.lit("never").alias("p_name"), F.lit(-1).alias("p_size"), F.lit(True).alias("locked"), F.lit("update").alias("op"), F.lit(1).alias("seq"))
+    return R.apply_changes(p.where(k != 1), last.unionByName(earlier), "p_partkey")

@@ -106,7 +106,7 @@ def str7_tail(spark, sf_dir):
 
 @query("str8_markdown_html")
 def str8(spark, sf_dir):
-    md = F.concat(F.lit("## "), "source", F.lit("\n\n**bold** & *it*\n- one\n- two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n"), F.substring("text", 1, 300))
+    md = F.concat(F.lit("## "), "source", F.lit("\n\n**bold** & *it*\n- one\n- two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n"), F.col("text"))
     return map_text(table(spark, sf_dir, "documents").select("doc_id", md.alias("html")), "html", lambda r: [(S.markdown_to_html(r["html"]),)], [])
 
 
@@ -431,12 +431,16 @@ def jsn12(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha1(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))), 1, 12).alias("id"), F.sha2("text", 256).alias("content"))
 
 
-@query("jsn13_unchanged_skip", "SELECT doc_id FROM documents WHERE NOT (doc_id % 2 = 0 AND n_chars % 5 <> 0)")
+@query("jsn13_unchanged_skip", "SELECT doc_id FROM documents WHERE NOT (doc_id % 2 = 0 AND n_chars % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0)")
 def jsn13(spark, sf_dir):
-    """Rows without an entry of the same hash and version."""
+    """Rows without an entry of the same hash, theme and version whose files exist."""
+    from docengine.operators import relational as R
+
     d = table(spark, sf_dir, "documents")
-    done = d.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("n_chars") % 5 != 0, F.sha2("text", 256)).otherwise("old").alias("h"), F.lit(1).alias("version"))
-    return d.withColumns({"h": F.sha2("text", 256), "version": F.lit(1)}).join(done, ["doc_id", "h", "version"], "left_anti").select("doc_id")
+    h = F.sha2(F.coalesce("text", F.lit("")), 256)
+    same = {"h": F.when(F.col("n_chars") % 5 != 0, h).otherwise("old"), "theme": F.when(F.col("doc_id") % 3 == 0, "dark").otherwise("light"), "version": F.lit(1), "files_exist": F.when(F.col("doc_id") % 7 != 0, True)}
+    done = d.where("doc_id % 2 = 0").withColumns(same)
+    return R.stale(d.withColumns({"h": h, "theme": F.lit("light"), "version": F.lit(1)}), done, ["doc_id", "h", "theme", "version"]).select("doc_id")
 
 
 @query(

@@ -367,6 +367,40 @@ def vec5(spark, sf_dir):
     return S.without(d, d.where(F.col("source").isin("src1", "src2")).select("doc_id"), "doc_id").select("doc_id")
 
 
+def line_base(spark, sf_dir):
+    """A knowledge base whose chunks are whole documents: what it holds, SQL can say."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    nodes = d.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("doc"), "source", F.when(F.col("doc_id") % 9 == 0, "table").otherwise("paragraph").alias("chunk_type"), F.col("source").alias("parent"), F.lit("").alias("group_id"), F.col("text").alias("content"))
+    parents = d.select(F.col("source").alias("parent"), "source").distinct()
+    return S.KnowledgeBase(nodes, parents, fulltext.build(nodes, "node", "content"), nodes.select("node", S.hashed_embedding(F.col("content")).alias("embedding")))
+
+
+@query("vec5_collection_info", "SELECT source, CASE WHEN doc_id % 9 = 0 THEN 'table' ELSE 'paragraph' END AS chunk_type, count(*) AS chunks, count(DISTINCT doc_id) AS documents, count(*) AS vectors FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY ALL")
+def vec5_info(spark, sf_dir):
+    return S.collection_info(line_base(spark, sf_dir))
+
+
+_LEFT = "(SELECT * FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND source NOT IN ('src1', 'src2'))"
+
+
+@query("vec5_delete_source_terms", f"WITH {BM25.replace('FROM documents', f'FROM {_LEFT}')} SELECT term, df, round(ln((n - df + 0.5) / (df + 0.5) + 1), 9) AS idf FROM terms, stats")
+def vec5_delete_terms(spark, sf_dir):
+    """Weights of the terms after the chunks of two sources are gone."""
+    gone = spark.createDataFrame([("src1",), ("src2",)], "source string")
+    return S.delete_by_source(line_base(spark, sf_dir), gone).index.terms.select("term", "df", F.round("idf", 9).alias("idf"))
+
+
+@query(
+    "vec5_delete_by_query",
+    f"""WITH {BM25.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)')}, scores AS (SELECT doc_id, {SCORE} AS score FROM postings JOIN terms USING (term) JOIN lengths USING (doc_id), stats WHERE term IN ('the', 'of') GROUP BY doc_id),
+    gone AS (SELECT doc_id FROM scores WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 1000) SELECT doc_id AS node FROM lengths WHERE doc_id NOT IN (SELECT doc_id FROM gone)""",
+)
+def vec5_delete_query(spark, sf_dir):
+    """Nodes that stay when the thousand best of a query are deleted."""
+    asked = spark.createDataFrame([(1, "the of")], "query_id int, query string")
+    return S.delete_by_query(line_base(spark, sf_dir), asked).chunks.select("node")
+
+
 @query(
     "agg16_coverage",
     f"""WITH {BM25}, q AS (SELECT item_id AS query_id, unnest(list_distinct({TOKENS})) AS term FROM benchmark),

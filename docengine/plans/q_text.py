@@ -143,13 +143,13 @@ def cln16(spark, sf_dir):
 
 @query("cln17_orphan_items")
 def cln17(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("- One\n\n# One\n"), F.substring("text", 1, 200), F.lit("\n- Two\n    inside")).alias("body"), F.lit("- One\n- Two").alias("skeleton"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("- One\n\n# One\n"), F.col("text"), F.lit("\n- Two\n    inside")).alias("body"), F.lit("- One\n- Two").alias("skeleton"))
     return cleaning.strip_outline_items(rows, "body", "skeleton", orphans=True).select("doc_id", F.md5("body").alias("body"), "removed")
 
 
 @query("cln18_empty_items")
 def cln18(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("- One\n\n- Two\n    "), F.substring("text", 1, 100), F.lit("\n- Three\n\n")).alias("body"), F.lit("- One\n- Two\n- Three").alias("skeleton"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("- One\n\n- Two\n    "), F.col("text"), F.lit("\n- Three\n\n")).alias("body"), F.lit("- One\n- Two\n- Three").alias("skeleton"))
     return cleaning.strip_outline_items(rows, "body", "skeleton", orphans=False).select("doc_id", F.md5("body").alias("body"), "removed")
 
 

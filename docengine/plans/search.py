@@ -112,3 +112,29 @@ def coverage(asked: DataFrame, hits: DataFrame, least: float) -> DataFrame:
     found = hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.max("score").alias("max_score"))
     rows = asked.join(found, "query_id", "left")
     return rows.select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), "max_score", (F.coalesce("max_score", F.lit(0.0)) < least).alias("uncovered"))
+
+
+def without_nodes(kb: KnowledgeBase, gone: DataFrame, parents: DataFrame | None = None) -> KnowledgeBase:
+    """The knowledge base without chunks (node) and parents (parent); terms and statistics are counted again."""
+    chunks = kb.chunks.join(gone.select("node"), "node", "left_anti")
+    postings = kb.index.postings.join(gone.select("node"), "node", "left_anti")
+    lengths = kb.index.lengths.join(gone.select("node"), "node", "left_anti")
+    left = kb.parents if parents is None else kb.parents.join(parents.select("parent"), "parent", "left_anti")
+    index = fulltext.Index(postings, lengths, *fulltext.weights(postings, lengths))
+    return KnowledgeBase(chunks, left, index, kb.vectors.join(gone.select("node"), "node", "left_anti"))
+
+
+def delete_by_source(kb: KnowledgeBase, sources: DataFrame) -> KnowledgeBase:
+    """Without the chunks and parents of the sources (source)."""
+    return without_nodes(kb, kb.chunks.join(sources.select("source"), "source", "left_semi"), kb.parents.join(sources.select("source"), "source", "left_semi"))
+
+
+def delete_by_query(kb: KnowledgeBase, queries: DataFrame, most: int = 1000) -> KnowledgeBase:
+    """Without the `most` best chunks of each query by words."""
+    return without_nodes(kb, fulltext.search(kb.index, queries, most, id="node").select("node").distinct())
+
+
+def collection_info(kb: KnowledgeBase) -> DataFrame:
+    """source, chunk_type, chunks, documents, vectors of a knowledge base."""
+    rows = kb.chunks.join(kb.vectors.select("node", F.lit(1).alias("v")), "node", "left")
+    return rows.groupBy("source", "chunk_type").agg(F.count("*").alias("chunks"), F.countDistinct("doc").alias("documents"), F.count("v").alias("vectors"))
