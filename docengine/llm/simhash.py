@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, map_slices, stored, unused
+from docengine.llm.common import discard, map_slices, meet, stored, unused
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in one tile, and about as many in one group (there are MIN_GROUPS groups at least).
@@ -227,14 +227,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """id, bits long, component_id long for each row of df (integer ids): the least id that its fingerprint's links reach."""
     marks, _ = stored(fingerprints(df.withColumn(id, F.col(id).cast("long")), text, id, width), "fingerprints")
-    distinct, _ = stored(marks.where(F.col(id).isNotNull()).groupBy("bits").agg(F.min(id).alias("node")), "distinct")
+    known = marks.where(F.col(id).isNotNull())
+    distinct, _ = stored(known.groupBy("bits").agg(F.min(id).alias("node"), F.count("*").alias("n")), "distinct")
     edges = links(distinct.select("node", "bits"), radius)
     # Rows of one id with several fingerprints join them: the id is then a link between their nodes.
-    several = marks.where(F.col(id).isNotNull()).groupBy(F.col(id).alias("same")).agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low != high").select("same")
+    several = known.groupBy(F.col(id).alias("same")).agg(F.min("bits").alias("low"), F.max("bits").alias("high")).where("low != high").select("same")
     shared = marks.join(several, F.col(id) == F.col("same"), "left_semi").join(distinct, "bits").select(F.col("node"), F.col(id).alias("near"))
     found = components(edges.unionByName(shared).where("node != near"))
-    mapped = distinct.join(found, "node", "left").select(F.col("bits").alias("mark"), F.coalesce("component", "node").alias("component_id"))
-    return marks.join(mapped, marks.bits == mapped.mark, "left").select(id, "bits", F.when(F.col(id).isNotNull(), F.col("component_id")).alias("component_id"))
+    mapped, _ = stored(distinct.join(found, "node", "left").select("bits", F.coalesce("component", "node").alias("component_id"), "n"), "mapped")
+    # A fingerprint that a large part of all rows has is broadcast, so its rows stay where they are.
+    none = marks.where(F.col(id).isNull()).select(id, "bits", F.lit(None).cast("long").alias("component_id"))
+    return meet(known, mapped, "bits").select(id, "bits", "component_id").unionByName(none)
 
 
 def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
