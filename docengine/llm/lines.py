@@ -12,7 +12,7 @@ words stay. Of lines without words those inside a run go. The first occurrence s
 3. A run that holds a selected line reaches, to its left or its right, half of the words that the line lacks of
    `least`. So each selected line has two fingerprints, itself with so many words before it and after it. They are
    counted (partial sums first); those that stand once go no further, nor do common lines in different surroundings.
-4. From the others matches are extended both ways, word by word, through all windows of `least` words around them. A
+4. From the others matches are extended both ways, word by word, through all windows of `least` words that hold them. A
    window joins its first occurrence (a partial minimum; the few very frequent ones are broadcast, so frequent
    passages are no burden); a run of any length is a union of its windows.
 5. Lines that lie in windows with an earlier occurrence are deleted by built-in expressions.
@@ -125,16 +125,15 @@ def fingerprints(text: Sequence, least: int) -> tuple[list[int], list[int]]:
 
 
 def window_starts(total: list[int], live: list[int], least: int) -> np.ndarray:
-    """First words of the windows that extend matches from the lines `live`: all that reach them or the `least` words around."""
+    """First words of the windows that extend matches from the lines `live`: all that hold one whole; of a line of `least` words or more, windows that cover it and one that leads on."""
     wanted = np.zeros(max(0, total[-1] - least + 1), bool)
     for i in live:
         s, e = total[i], total[i + 1]
         if e - s < least:
-            wanted[max(0, e - 2 * least) : s + least + 1] = True
+            wanted[max(0, e - least) : s + 1] = True
         else:
             wanted[s : e - least + 1 : least] = True
-            wanted[max(0, s - least) : s + 1] = True
-            wanted[e - least : e + 1] = True
+            wanted[e - least : e - least + 2] = True
     return np.flatnonzero(wanted)
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import discard, fits, map_slices, meet, stored, unused
+from docengine.llm.common import discard, fits, map_slices, meet, stored, trimmed, unused
 from docengine.llm.decontaminate import _HASHES, bits_of, forget, shingle_hashes
 from docengine.llm.simhash import TILE, Forest, components, dealt_by_band
 
@@ -161,7 +161,7 @@ def candidates(nodes: DataFrame, radius: int, least: float) -> DataFrame:
         out = [[s.node[a] for s, a in zip(sides, at)], [s.best[0][a] for s, a in zip(sides, at)], [s.best[1][a] for s, a in zip(sides, at)]]
         return pa.table({n: pa.array(np.concatenate(x) if x else [], t) for n, x, t in zip(("node", "distance", "near"), out, (pa.int64(), pa.int32(), pa.int64()))})
 
-    found = _dealt(nodes, least).applyInArrow(task, "node long, distance int, near long")
+    found = _dealt(nodes, least).applyInArrow(trimmed(task), "node long, distance int, near long")
     return found.groupBy("node").agg(F.min(F.struct("distance", "near")).alias("c")).select("node", "c.distance", "c.near")
 
 
@@ -213,7 +213,7 @@ def verified_in_tiles(nodes: DataFrame, radius: int, least: float) -> DataFrame:
         least_first = nodes_[order]
         return pa.table({"node": least_first[moved], "near": least_first[roots[moved]]})
 
-    return _dealt(nodes, least, most=GROUP_SHINGLES, weight="size").applyInArrow(task, "node long, near long")
+    return _dealt(nodes, least, most=GROUP_SHINGLES, weight="size").applyInArrow(trimmed(task), "node long, near long")
 
 
 def with_shingles(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
