@@ -77,7 +77,7 @@ def src12(spark, sf_dir):
 def snk1(spark, sf_dir):
     path = _place(spark, "bm25")
     fulltext.build(table(spark, sf_dir, "documents")).write(path)
-    return fulltext.Index.read(spark, path).postings.where("term = 'the'")
+    return fulltext.Index.read(spark, path).postings.where("term = 'the'").select("doc_id", "term", "tf")
 
 
 @query("snk2_vector_batches", "SELECT label AS collection, count(*) AS n FROM embeddings GROUP BY label")
