@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import map_slices
+from docengine.llm.common import SLICE_BYTES, map_slices
 
 #: Bits of one word of the lower bitmap level.
 WORD = 256
@@ -296,7 +296,7 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", id:
         return apply
 
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
-    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary", "body", 4 << 20, _forget).withColumnRenamed("key", id)
+    return map_slices(rows, make, f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary", "body", SLICE_BYTES, _forget).withColumnRenamed("key", id)
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -335,4 +335,4 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, text: str = "text",
 
     rows = df.select(F.col(id).alias("key"), F.col(text).alias("body"))
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n_tokens long, ids binary, decoded binary"
-    return map_slices(rows, make, schema, "body", 4 << 20, _forget).withColumnRenamed("key", id)
+    return map_slices(rows, make, schema, "body", SLICE_BYTES, _forget).withColumnRenamed("key", id)
