@@ -96,10 +96,10 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: later steps survive lost executors without running it again."""
+def stored(df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: later steps survive lost executors without running it again. by: a column to lay folders by."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

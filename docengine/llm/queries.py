@@ -95,6 +95,32 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a two-word model learnt from the documents that are not held out."""
+    from docengine.llm import lm
+    from docengine.llm.common import held_out
+
+    documents = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), of=7)
+    found = lm.score_texts(documents, ~out)
+    return found.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector, its distance, the inertia and the digest of its centroid."""
+    from docengine.llm import kmeans
+
+    found = kmeans.cluster(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", kmeans.digest(F.col("centroid")).alias("centroid_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes, in each part and order of the five filters."""
+    from docengine.llm import audit
+
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -106,13 +132,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_line_dedup": op9_line_dedup,
     "op10_main_text": op10_main_text,
+    "op11_lm_score": op11_lm_score,
+    "op12_sort_means": op12_sort_means,
+    "op13_filter_audit": op13_filter_audit,
 }
 
+
 def _oracles() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    from docengine.llm import licenses, secrets
+    from docengine.llm import audit, kmeans, licenses, secrets
 
-    return {"op3_licenses": licenses.scan_sql(), "op8_secrets": secrets.report_sql()}
+    return {"op3_licenses": licenses.scan_sql(), "op8_secrets": secrets.report_sql(), "op12_sort_means": kmeans.cluster_sql(), "op13_filter_audit": audit.interactions_sql()}
 
 
 ORACLES: dict[str, str] = _oracles()
