@@ -105,3 +105,57 @@ def test_pages_built_from_known_text():
         inside = r.choice(junk[2:6])()
         html = f"<!doctype html><html><head><title>{words(3)}</title></head><body>{around[0]}{around[1]}<article>{blocks[0]}{inside}{''.join(blocks[1:])}</article>{around[2]}{around[3]}</body></html>"
         assert pages.main_text(html) == "\n".join(expected), html
+
+
+@pytest.mark.parametrize("broken", ["<![foo[ x", "<![CDATA[ a < b ]]>", "<![if IE]>", "<!>", "<?php echo 1 ?>", "</>", "</ p>", "<!--->", "<!-- a > b -->", "<a href='x' =\"", "<p <b>", "<a b='c>d'>", "<script>if (a < b) '</p>'</script>", "<style>a > b {}</style>", "<\x00>"])
+def test_odd_markup_ends_no_page(broken):
+    """What stands behind it is read, as far as the construct itself ends."""
+    for html in (broken, ARTICLE + broken, f"<article><p>Some words before it, enough of them.</p>{broken}"):
+        pages.main_text(html)
+    assert pages.main_text(ARTICLE + broken).startswith(TEXT)
+    if broken.count("'") % 2 == 0 and broken.endswith(">"):
+        got = pages.main_text(f"{broken}{ARTICLE}")
+        assert got.endswith(TEXT)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<div>", "<!--", "<a '", "<a ='>'", "<a =\">\"", "<![x[", "<b>x", "</b>", "<p>x", "&", "&amp", "<", "<script>", "<i><p>x</p>", "<table><tr><td>x", "</p x='"])
+def test_a_long_page_of_anything(piece):
+    """Time grows with the page, not with its square."""
+    import time
+
+    def took(size, before, after):
+        html = before + piece * (size // len(piece)) + after
+        began = time.process_time()
+        pages.main_text(html)
+        return time.process_time() - began
+
+    for before, after in (("", ""), ("<b><article><p>", ""), ("", ">")):
+        took(1 << 12, before, after)
+        assert took(1 << 18, before, after) < 0.5 + 16 * took(1 << 15, before, after)
+
+
+def test_unmatched_end_tags_below_many_elements():
+    import time
+
+    began = time.process_time()
+    pages.main_text("<b><article>" + "<x>" * 10_000 + "</b>" * 10_000 + "<i>" * 10_000 + "</div>" * 10_000)
+    assert time.process_time() - began < 8
+
+
+def test_title_and_lead_before_the_clusters():
+    long = "".join(f"<p>A paragraph, number {k}, with plenty of words in it to be content, and then some more words.</p>" for k in range(6))
+    body = pages.main_text(f"<div>{long}</div>")
+    assert pages.main_text(f"<div><h1>TITLE</h1></div><div><p>Short lead.</p></div><div>{long}</div>") == f"TITLE\nShort lead.\n{body}"
+    assert pages.main_text(f"<nav>menu</nav><h1>TITLE</h1><div class=ad>Buy</div><article>{long}</article>") == f"TITLE\n{body}"
+    assert pages.main_text(f"<header><h1>Site</h1></header><article>{long}</article>") == body
+    assert pages.main_text(f"<h1>Site</h1><article><h2>Title</h2>{long}</article>") == f"Title\n{body}"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader_comments", "post-comments-area", "comments", "CommentList"])
+def test_reader_comments_in_an_article(name):
+    assert pages.main_text(ARTICLE.replace("</article>", f"<div class='{name}'><p>I disagree with all of it, said a reader.</p></div></article>")) == TEXT
+
+
+def test_quotations_stay():
+    assert pages.main_text(ARTICLE.replace("<p>Short.", "<blockquote class='comment'>Short.</blockquote>")) == TEXT
+    assert pages.main_text(ARTICLE.replace("<p>Short.", "<div class='no-comments'>Short.</div>")) == TEXT
