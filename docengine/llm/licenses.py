@@ -5,12 +5,12 @@ alone) out, lower case, list marks and quotes out, other punctuation (comment ma
 spellings as one, white space collapsed. The digests of four kinds of entire texts are hash-joined to the digests
 of known licence texts and notices: the document, runs of several blocks (between lines without content), single
 blocks and lines. Only units as long as some known text are hashed, and a run of blocks only if its first word
-begins a known text; both lose nothing. A run has at most one block for RUN_CHARS characters of the longest known
-text, and one block and the next in any case.
+begins a known text; both lose nothing. A run is as long as the longest known text at most.
 
 A licence is found in a larger text if it stands between lines without content there (blank lines, comment marks,
 copyright and title lines). Known notices are made by rule from licence names and notice forms; full texts and
-standard headers are fixed values; `known` can bring others (license string, body string). Up to MOST_BROADCAST
+standard headers are fixed values, of long licences only their digests are; who holds the rights in a BSD licence is a
+slot. `known` can bring others (license string, body string). Up to MOST_BROADCAST
 digests (counted first) are broadcast, more are shuffled; a unit is reported where it stands, so hot notices need
 no gathering.
 
@@ -27,8 +27,6 @@ from docengine.operators.vectors import let
 
 #: Digests (about 100 bytes each) that are broadcast.
 MOST_BROADCAST = 100_000
-#: Characters of the longest known text for each block that a run of blocks may have.
-RUN_CHARS = 40
 
 # Names of licences by identifier, forms of notices ({} is the name), equivalent spellings, full texts.
 NAMES = {
@@ -69,6 +67,11 @@ SPELLINGS = [
     (r"\b(?:owner|holder)s?\b", "holder"),
     (r"\bhttps\b", "http"),
     (r"\bnon ?(\n?) ?infring", "$1noninfring"),
+    (r"\band or distribute\b", "and distribute"),
+    # who holds the rights: up to 120 characters on a line, or on the end of one and the beginning of the next
+    (r"\b(neither\s+the\s+names?\s+of)\b[^\n]{0,120}?(\n?)[^\n]{0,120}?\s(\s*nor\s+the\s+names\s+of)\b", "$1 holder$2 $3"),
+    (r"\b(this\s+software\s+is\s+provided\s+by)\b[^\n]{0,120}?(\n?)[^\n]{0,120}?\s(\s*as\s+is\s+and\s+any\s+express)\b", "$1 holder$2 $3"),
+    (r"\b(in\s+no\s+event\s+shall)\b[^\n]{0,120}?(\n?)[^\n]{0,120}?\s(\s*be\s+liable\s+for\s+any\s+direct)\b", "$1 holder$2 $3"),
 ]
 TEXTS = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -125,6 +128,35 @@ GNU_ENDS = [
 ]
 GNU = {"GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3"), "AGPL-3.0": ("program", "Affero General Public License", "3")}
 
+# Long licences by the length, first word and SHA-256 of their canonical form (`made`), with and without their appendix.
+DIGESTS: list[tuple[str, int, str, str]] = [
+    ("Apache-2.0", 9785, "version", "9776f638b8b176bcece494505c719bddc37995af7b4beb457d2c16ca93c82c64"),
+    ("Apache-2.0", 8770, "version", "05df7626f78378517e2a4d09ae72278aea3f093e4833a3b6bd7042b425be9a68"),
+    ("Apache-2.0", 8742, "version", "5e268946417747c20076d1a45aa2abcb38ba3f754ed432a232a6178e89238b57"),
+    ("CC0-1.0", 6678, "creative", "bba148486c720ccd0153eb8a02dfb47618bd1a13b0bebb3726d3bcbe2755ed0d"),
+    ("GPL-1.0", 11720, "gnu", "94ee7905ce10195cb3b56cfc1426b4fe74ed89b624eda32834ef01185e9db035"),
+    ("GPL-1.0", 9372, "gnu", "494f8a4b06791904549b37b23f0956ed76753766e983ef8241d903bf80199873"),
+    ("GPL-1.0", 9344, "gnu", "81265bc636e41e4348b50146200652fbb25ce63a2ce47f15c58402dbda7cbec5"),
+    ("GPL-2.0", 17068, "gnu", "32dde62844914b9df8ac02df7242892c5763fd4e69971212bc4884d5a05c26a2"),
+    ("GPL-2.0", 14435, "gnu", "1e8833652da777c13cf4f8427deae9535a19651e24285ba1b21dea8778689ac5"),
+    ("GPL-2.0", 14407, "gnu", "23355ee7b35e7e9c0e7e457763f4fb10f4190632e25debc4f91f7f9139fbc11f"),
+    ("GPL-3.0", 33314, "gnu", "f4a8b9d183cb6736ae3c8755e441eaba157f996e9fd3ec30a0ca8ba60943b598"),
+    ("GPL-3.0", 30878, "gnu", "2499a507a6900dd7a0b7e79f2b6c02ebca367bd3db684bbdfe97b16d664f5f6a"),
+    ("GPL-3.0", 30850, "gnu", "b2152afc5b1219963e73606bd8a0939ff661f7eb55461ec072c96fc7ca04f138"),
+    ("LGPL-2.0", 24061, "gnu", "0df03c2b726ba87a8839f3d600e5633bca42f9f078fc235787ef18f4f0961c59"),
+    ("LGPL-2.0", 22210, "gnu", "9102fbdf5da98c43d0dca1c1341846ab7f0f70deb97a31c4923d468b25b7f159"),
+    ("LGPL-2.0", 22182, "gnu", "dee600d0f7b02f68638bc73c63e71e55d51ed44284e74535cf7e2313236fed27"),
+    ("LGPL-2.1", 25146, "gnu", "a1b4c3f6c63f2f4217de7705d1813e5dac6d51beda0e51bfd977d8be120ee64f"),
+    ("LGPL-2.1", 23296, "gnu", "ff43254caaebc24ded8c85f5fbc0d9a76c0c367bf8d63945eaa62dbc8fe9e2d8"),
+    ("LGPL-2.1", 23268, "gnu", "425f0e043e825f285992e63cb753cf3a01959f5680a39f2d44a33a503cd4a317"),
+    ("LGPL-3.0", 7062, "gnu", "3f491b55e24298bafe377f42facf48c8a16f555a7f6eb355ef84f059b7f60dda"),
+    ("MPL-1.1", 22246, "mozilla", "331c2266a1346b11671ff0a529f0e0bfa35d49d670ace982a799fd791daa5c05"),
+    ("MPL-2.0", 14190, "definitions", "3cad17e326fa9f37aad970a1d4a526c9c9dfe50970dd03301b8b55834253b2b8"),
+    ("Artistic-1.0-Perl", 5613, "the", "0d04a9d18471e44acea3aeda7d0fa534640f255e9431c7780c1d372388da671e"),
+    ("GFDL-1.2", 19552, "gnu", "291e4efeaa30869963db88d7a8b86a567ed0e642cecfc23d60a38c36c0da9bb1"),
+    ("GFDL-1.3", 21980, "gnu", "d3679fc944c2ab9a202091789a5369080178e0a681846eb5aaef986dceb77b00"),
+]
+
 #: Canonical form: SQL regular expressions that read the same in Spark and in other engines; line feeds stay.
 COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©]*(?:(?:(?i:copyright|copr)[^\p{L}\p{N}\n]*(?:(?i:c\b|by\b|year\b|yyyy\b)|[0-9]|[A-Z][a-z])|©|\((?i:c)\)|(?i:all rights reserved))[^\n]*|(?i:copyright)[^\p{L}\p{N}\n]*)$"
 MARKS = r"(?m)^[^\p{L}\p{N}\n]*(?:[0-9]{1,2}[.)]|[a-z]\))[ \t]+"
@@ -173,20 +205,23 @@ def canonical_sql(text: str) -> str:
 def scan_sql(table: str = "documents") -> str:
     """`scan` of the default texts as SQL (ids must be unique)."""
     values = ", ".join("({}, {})".format(*map(_quoted, pair)) for pair in known_texts())
+    listed = ", ".join(f"({_quoted(i)}, {size}, {_quoted(word)}, {_quoted(digest)})" for i, size, word, digest in DIGESTS)
     return f"""WITH raw(license, body) AS (VALUES {values}),
-    known AS (SELECT c, min(license) AS license FROM (SELECT license, array_to_string(list_filter({canonical_sql("body")}, lambda x: x <> ''), ' ') AS c FROM raw) WHERE c <> '' GROUP BY c),
+    listed(license, size, word, digest) AS (VALUES {listed}),
+    known AS (SELECT digest, min(license) AS license, max(size) AS size FROM (SELECT license, sha256(c) AS digest, length(c) AS size FROM (SELECT license, array_to_string(list_filter({canonical_sql("body")}, lambda x: x <> ''), ' ') AS c FROM raw) WHERE c <> ''
+      UNION ALL SELECT license, digest, size FROM listed) GROUP BY digest),
     d AS (SELECT doc_id, {canonical_sql("text")} AS l FROM {table} WHERE text IS NOT NULL),
     f AS (SELECT * FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d) WHERE x <> ''),
     b AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
     whole AS (SELECT doc_id, min(i) AS a, max(i) - min(i) + 1 AS n, string_agg(x, ' ' ORDER BY i) AS body, count(DISTINCT run) AS runs FROM b GROUP BY doc_id),
     runs AS (SELECT *, row_number() OVER w AS k, sum(length(body) + 1) OVER w AS upto FROM (SELECT doc_id, min(i) AS a, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS body FROM b GROUP BY doc_id, run) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
-    pairs AS (SELECT p.doc_id, p.a, q.a + q.n - p.a AS n, p.k AS first, q.k AS last FROM runs p JOIN whole w USING (doc_id) JOIN runs q ON q.doc_id = p.doc_id AND q.k > p.k AND q.k < p.k + (SELECT greatest(2, max(length(c)) // {RUN_CHARS}) FROM known)
-      WHERE q.upto - p.upto + length(p.body) IN (SELECT length(c) FROM known) AND q.k - p.k + 1 < w.runs),
+    pairs AS (SELECT p.doc_id, p.a, q.a + q.n - p.a AS n, p.k AS first, q.k AS last FROM runs p JOIN whole w USING (doc_id) JOIN runs q ON q.doc_id = p.doc_id AND q.k > p.k AND q.k < p.k + (SELECT greatest(2, max(size) // 2) FROM known)
+      WHERE q.upto - p.upto + length(p.body) IN (SELECT size FROM known) AND q.k - p.k + 1 < w.runs),
     u AS (SELECT doc_id, 'document' AS scope, a, n, body FROM whole
       UNION ALL SELECT s.doc_id, 'blocks', s.a, s.n, string_agg(r.body, ' ' ORDER BY r.k) FROM pairs s JOIN runs r ON r.doc_id = s.doc_id AND r.k BETWEEN s.first AND s.last GROUP BY s.doc_id, s.a, s.n, s.first, s.last
       UNION ALL SELECT r.doc_id, 'block', r.a, r.n, r.body FROM runs r JOIN whole w USING (doc_id) WHERE w.runs > 1 AND r.n > 1
       UNION ALL SELECT b.doc_id, 'line', b.i, 1, b.x FROM b JOIN whole w USING (doc_id) WHERE w.runs > 1 OR w.n > 1)
-    SELECT doc_id, license, scope, CAST(a AS INTEGER) AS first_line, CAST(n AS INTEGER) AS n_lines FROM u JOIN known ON c = body"""
+    SELECT doc_id, license, scope, CAST(a AS INTEGER) AS first_line, CAST(n AS INTEGER) AS n_lines FROM u JOIN known ON digest = sha256(body)"""
 
 
 def joined(lines: Column) -> Column:
@@ -198,8 +233,14 @@ def digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     rows = spark.createDataFrame(known_texts(), "license string, body string")
     if known is not None:
         rows = rows.unionByName(known.select("license", "body"))
-    canon = rows.select("license", joined(canonical_lines(F.col("body"))).alias("c")).where("c != ''")
-    return canon.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("size"), F.min(F.substring_index("c", " ", 1)).alias("word"))
+    listed = spark.createDataFrame(DIGESTS, "license string, size int, word string, digest string")
+    return made(rows).unionByName(listed).groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"), F.min("word").alias("word"))
+
+
+def made(texts: DataFrame) -> DataFrame:
+    """license, size, word, digest of texts (license, body): what DIGESTS lists of long ones."""
+    canon = texts.select("license", joined(canonical_lines(F.col("body"))).alias("c")).where("c != ''")
+    return canon.select("license", F.length("c").alias("size"), F.substring_index("c", " ", 1).alias("word"), F.sha2("c", 256).alias("digest"))
 
 
 def scan(df: DataFrame, text: str = "text", id: str = "doc_id", known: DataFrame | None = None) -> DataFrame:
@@ -241,7 +282,7 @@ def _units(lines: Column, spans: Column, low: int, high: int, sizes: list[int],
     whole = F.array(unit("document", first, last["a"] + last["n"] - first, joined(lines)))
     blocks = F.transform(F.filter(spans, lambda s: s["n"] > 1), lambda s: unit("block", s["a"], s["n"], joined(F.slice(lines, s["a"] + 1, s["n"]))))
     # Runs of blocks: from each block whose first word begins a known text, the following ones while they are not too long.
-    most = max(2, high // RUN_CHARS)
+    most = max(2, high // 2)
     begins = F.filter(F.transform(spans, lambda s, i: F.struct(s["a"].alias("a"), s["word"].alias("word"), i.alias("i"))), lambda s: s["word"].isin(words))
 
     def from_start(s: Column) -> Column:

@@ -1,6 +1,7 @@
 """The scan against known texts in their usual forms and against a plain version with patterns of its own."""
 
 import hashlib
+import os
 import re
 
 import pytest
@@ -129,3 +130,49 @@ def test_more_digests_than_are_broadcast(spark, monkeypatch):
     expected = {tuple(r) for r in L.scan(df).collect()}
     monkeypatch.setattr(L, "MOST_BROADCAST", 3)
     assert {tuple(r) for r in L.scan(df).collect()} == expected
+
+
+def found(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [sorted({(r["license"], r["scope"]) for r in rows}) for rows in (lambda got: [[r for r in got if r["doc_id"] == k] for k in range(len(texts))])(L.scan(df, **options).collect())]
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
+def test_slots_and_older_forms(spark):
+    bsd = "\n\n".join([L.BSD_ITEMS, L.BSD_THIRD, L.BSD_DISCLAIMER])
+    acme = bsd.replace("the copyright holder nor", "Acme Inc. nor").replace("THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "THE REGENTS AND CONTRIBUTORS").replace("THE COPYRIGHT HOLDER OR CONTRIBUTORS", "THE REGENTS OR CONTRIBUTORS")
+    assert acme.count("REGENTS") == 2
+    texts = [acme, *(f"Copyright (c) 2011, Acme Inc.\nAll rights reserved.\n\n{wrapped(acme, w)}" for w in (40, 60, 72, 79)), L.TEXTS["ISC"].replace("and/or", "and"), "code\n\n" + wrapped(L.TEXTS["ISC"].replace("and/or", "and"), 50) + "\n\nmore code"]
+    assert found(spark, texts) == [[("BSD-3-Clause", "document")]] * 5 + [[("ISC", "document")], [("ISC", "blocks")]]
+    # a slot is no wildcard: another disclaimer is another text
+    assert found(spark, [acme.replace("INCIDENTAL", "ACCIDENTAL")]) == [[]]
+
+
+def test_a_licence_with_a_blank_line_after_each_line(spark):
+    import textwrap
+
+    shapes = ("\n\n".join(textwrap.wrap(" ".join(L.TEXTS["MIT"].split()), w, break_long_words=False, break_on_hyphens=False)) for w in range(12, 30))
+    narrow = next(x for x in shapes if "\ncopyright" not in x.lower())  # a line that begins so is a copyright line
+    assert narrow.count("\n\n") > 45
+    assert found(spark, [f"some code\n\n{narrow}\n\nsome more"]) == [[("MIT", "blocks")]]
+
+
+FOLDER = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no licence files")
+def test_whole_licence_files(spark):
+    names = {"Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    names = {k: v for k, v in names.items() if os.path.exists(f"{FOLDER}/{k}")}
+    plain = [open(f"{FOLDER}/{k}", encoding="utf-8").read() for k in names]
+    commented = ["/*\n" + "".join(f" * {x.strip().upper()}\n" for x in t.split("\n")) + " */" for t in plain]
+    assert [(v, "document") in x for x, v in zip(found(spark, plain), names.values())] == [True] * len(names)
+    assert [(v, "document") in x for x, v in zip(found(spark, commented), names.values())] == [True] * len(names)
+    inside = [f"Notes on this program.\n\n{t}\n\nThe end of the notes." for t in plain]
+    assert [{i for i, _ in x} >= {v} for x, v in zip(found(spark, inside), names.values())] == [True] * len(names)
+    assert [r["digest"] for r in L.made(spark.createDataFrame([("x", t) for t in plain], "license string, body string")).collect() if r["digest"] in {d for *_, d in L.DIGESTS}] != []
