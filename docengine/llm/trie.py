@@ -22,6 +22,8 @@ import numpy as np
 STEPS = 2048
 #: Sequences that are selected from at a time.
 PIECE = 1 << 16
+#: Place of the k-th one in each byte (8 if there is none).
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8)
 
 
 def quantised(logs: np.ndarray) -> np.ndarray:
@@ -49,11 +51,8 @@ def read_bits(packed: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(places), np.int64)
     first = places * width
-    byte, shift = first >> 3, (first & 7).astype(np.uint64)
-    word = np.zeros(len(places), np.uint64)
-    for b in range(8):
-        word |= packed[byte + b].astype(np.uint64) << np.uint64(8 * b)
-    return ((word >> shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+    words = np.ndarray((len(packed) - 7,), "<u8", packed, strides=(1,))  # eight bytes from every byte on
+    return ((words[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
 
 class Monotone:
@@ -82,9 +81,13 @@ class Monotone:
         for at in range(0, len(k), PIECE):
             q = k[at : at + PIECE]
             word = np.searchsorted(before, q, side="right") - 1
-            held = self.high[word]
-            bits = np.unpackbits((~held if zeros else held).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[at : at + PIECE] = word * 64 + np.argmax(np.cumsum(bits, axis=1, dtype=np.uint8) > (q - before[word])[:, None], axis=1)
+            held, left = self.high[word], (q - before[word]).astype(np.uint8)
+            eight = (~held if zeros else held).astype("<u8").view(np.uint8).reshape(-1, 8)
+            upto = np.cumsum(np.bitwise_count(eight), axis=1, dtype=np.uint8)
+            byte = np.argmax(upto > left[:, None], axis=1)
+            row = np.arange(len(q))
+            left -= upto[row, byte] - np.bitwise_count(eight[row, byte])
+            out[at : at + PIECE] = word * 64 + byte * 8 + _IN_BYTE[eight[row, byte], left]
         return out
 
     def __getitem__(self, places: np.ndarray) -> np.ndarray:
@@ -151,8 +154,9 @@ class Trie:
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """The node of each row of word ids in its level, or -1."""
-        ranks, known = self.words.successor(grams.ravel())
-        ranks, known = ranks.reshape(grams.shape), known.reshape(grams.shape).all(axis=1)
+        different, place = np.unique(grams, return_inverse=True)
+        ranks, known = (x[place].reshape(grams.shape) for x in self.words.successor(different))
+        known = known.all(axis=1)
         node = np.full(len(grams), -1, np.int64)
         alive = np.flatnonzero(known)
         at = ranks[alive, 0]
