@@ -45,8 +45,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode) at both ends. A run inside is looked at once, from its beginning."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def lf(text: Column) -> Column:
@@ -62,13 +62,25 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+_LED = r"^\s*"
+
+
 def remove(text: Column, patterns: Iterable[str], flags: str) -> Column:
-    """Delete each pattern in turn."""
+    """Delete each pattern in turn.
+
+    Where a pattern begins with the white space from a line's beginning on, runs of white space that nothing follows match
+    too and are put back: the search goes on behind them, not on each of their lines again."""
     for p in patterns:
-        text = F.regexp_replace(text, f"(?{flags}){p}", "")
+        led = p.startswith(_LED)
+        text = F.regexp_replace(text, f"(?{flags})^\\s*+{p[len(_LED) :]}|^(?<run>\\s++)" if led else f"(?{flags}){p}", "${run}" if led else "")
     return text
 
 
+def found(text: Column, pattern: str, flags: str) -> Column:
+    """Whether a pattern stands in a text; white space that leads it is looked at on its own line alone, which finds the same."""
+    return text.rlike(f"(?{flags})" + (f"^[\\s&&[^\n]]*+{pattern[len(_LED) :]}" if pattern.startswith(_LED) else pattern))
+
+
 def remove_ads(text: Column) -> Column:
     return remove(text, AD_PATTERNS, "iu")
 
@@ -147,9 +159,10 @@ def is_noise(text: Column) -> Column:
         ad = ad | s.rlike(f"(?iu){p}")
     noise = F.lit(False)
     for p in NOISE_PATTERNS:
-        noise = noise | ((F.length(s) < 20) & s.rlike(f"(?mdU){p}")) | s.rlike(f"(?mdU)^(?:{p})$")
+        whole = found(s, p, "mdU") if p.startswith("^") and p.endswith("$") else s.rlike(f"(?mdU)^(?:{p})$")
+        noise = noise | ((F.length(s) < 20) & found(s, p, "mdU")) | whole
     for p in HEAD_NOISE_PATTERNS:
-        noise = noise | s.rlike(f"(?mdU){p}")
+        noise = noise | found(s, p, "mdU")
     return (s == "") | ad | noise
 
 

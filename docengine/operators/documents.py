@@ -13,8 +13,8 @@ SECTION = r"(?is)<section\b[^>]*>(.*?)</section>"
 SECTION_TITLE = r"(?is)<h2\b[^>]*class=['\"]section-title['\"][^>]*>(.*?)</h2>"
 SECTION_CONTENT = r"(?is)<div\b[^>]*class=['\"]section-content['\"][^>]*>(.*?)</div>"
 CONTAINER = r"(?i)<div\b[^>]*class=['\"]chart-container['\"][^>]*\bid=['\"]([^'\"]+)['\"][^>]*>"
-CONTAINER_CLASS = r"class=(?:'chart-container'|\"chart-container\")"
-PARAGRAPH_WITH_TEXT = r"(?is)<p>(?:\s|&nbsp;|<(?!/p>)[^>]*>)*(?!&nbsp;)[^\s<]"
+CONTAINER_CLASSES = ["class='chart-container'", 'class="chart-container"']
+PARAGRAPH_START, PARAGRAPH_END = "(?i)<p>", "(?i)</p>"
 SOURCES_TITLE = "参考来源"
 
 LAYOUT = "struct<pdf_info:array<struct<preproc_blocks:array<struct<type:string,lines:array<struct<spans:array<struct<type:string,content:string>>>>>>>>>"
@@ -90,13 +90,36 @@ def document_html(sections: DataFrame, key: str, position: str, title: Column, s
     return grouped.select(key, F.size("l").alias("n_sections"), F.concat(head, F.array_join(F.transform("l", lambda s: s["html"]), "\n"), F.lit("\n</div>\n</body>\n</html>")).alias("html"))
 
 
+def text_at(html: Column) -> Column:
+    """Place (from 1) of the first paragraph with a letter or digit in its text; 0 without one.
+
+    Each part that ends in a paragraph's end is looked at once, from where its first paragraph begins."""
+    parts = F.split(html, PARAGRAPH_END, -1)
+
+    def part(s: Column, x: Column) -> Column:
+        before = F.length(F.regexp_extract(x, f"(?s)^(.*?){PARAGRAPH_START}", 1))
+        body = F.regexp_replace(x, f"(?s)^.*?{PARAGRAPH_START}", "")
+        here = x.rlike(PARAGRAPH_START) & M.has_text(M.strip_tags(body))
+        then = F.struct((s["at"] + F.length(x) + 4).alias("at"), F.when(here, s["at"] + before + 1).otherwise(0).alias("found"))
+        return F.when(s["found"] > 0, s).otherwise(then)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("found"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), zero, part, lambda s: s["found"])
+
+
+def chart_at(html: Column) -> Column:
+    """Place (from 1) of the first chart container, one in single quotes before any other; 0 without one."""
+    single, double = (F.instr(html, x) for x in CONTAINER_CLASSES)
+    return F.when(single > 0, single).otherwise(double)
+
+
 def html_quality(html: Column) -> Column:
     """STRUCT of section_total, empty_sections, chart_containers, unresolved_anchors (distinct, sorted) and chart_before_text (titles of sections)."""
 
     def section(s: Column, i: Column) -> Column:
         content = F.regexp_extract(s, SECTION_CONTENT, 1)
         title = F.coalesce(F.nullif(M.strip_tags(F.regexp_extract(s, SECTION_TITLE, 1)), F.lit("")), F.concat(F.lit("SECTION_"), (i + 1).cast("string")))
-        return T.let(content, lambda c: F.struct(title.alias("title"), M.has_text(M.strip_tags(c)).alias("has_text"), F.regexp_instr(c, F.lit(CONTAINER_CLASS)).alias("chart_at"), F.regexp_instr(c, F.lit(PARAGRAPH_WITH_TEXT)).alias("text_at")))
+        return T.let(content, lambda c: F.struct(title.alias("title"), M.has_text(M.strip_tags(c)).alias("has_text"), chart_at(c).alias("chart_at"), text_at(c).alias("text_at")))
 
     def titles(rows: Column, where) -> Column:
         return F.transform(F.filter(rows, where), lambda s: s["title"])

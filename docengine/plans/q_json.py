@@ -144,16 +144,24 @@ def str11(spark, sf_dir):
 
 @query(
     "agg14_html_quality",
-    """SELECT doc_id, 3 AS section_total, CASE WHEN doc_id % 2 = 0 THEN 'Two' ELSE '' END AS empty_sections, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS chart_containers, CASE WHEN doc_id % 5 = 0 THEN 'a,z' ELSE 'z' END AS unresolved_anchors, CASE WHEN doc_id % 3 = 0 THEN 'SECTION_3' ELSE '' END AS chart_before_text FROM documents""",
+    """WITH d AS (SELECT doc_id, list_transform(string_split(replace(replace(COALESCE(text, ''), '<', ' '), '&', ' '), chr(10)), lambda x: x) AS l FROM documents),
+ shown AS (SELECT doc_id, len(list_filter(l, lambda x: regexp_matches(x, '[A-Za-z0-9一-鿿]'))) > 0 AS any_text FROM d)
+SELECT doc_id, 4 AS section_total, array_to_string(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'Two' END, CASE WHEN NOT any_text THEN 'Four' END], lambda x: x IS NOT NULL), ',') AS empty_sections,
+ CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 2 END AS chart_containers, CASE WHEN doc_id % 5 = 0 THEN 'a,z' ELSE 'z' END AS unresolved_anchors,
+ array_to_string(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'SECTION_3' END, CASE WHEN doc_id % 7 = 0 AND any_text THEN 'Four' END], lambda x: x IS NOT NULL), ',') AS chart_before_text FROM shown""",
 )
 def agg14(spark, sf_dir):
-    """A page of three sections for each document: text and a chart; text or none; a chart before or without text."""
+    """A page of four sections for each document: text and a chart; text or none; a chart before or without text; the document's lines as paragraphs, some without a letter or digit, before or behind a chart."""
     k = F.col("doc_id")
     box = "<div class='chart-container' id='{}'>"
     one = F.concat(F.lit("<section id='1'><h2 class='section-title'>One &amp; all</h2><div class='section-content'><p>first "), k.cast("string"), F.lit("</p>" + box.format("c1") + "</div></div></section>"))
-    two = F.concat(F.lit('<section><h2 class="section-title">Two</h2><div class="section-content">'), F.when(k % 2 == 0, "<p> &nbsp; </p>").otherwise("<p>words</p>"), F.lit("</div></section>"))
+    two = F.concat(F.lit('<section><h2 class="section-title">Two</h2><div class="section-content">'), F.when(k % 2 == 0, "<p> &nbsp; </p><p>...</p>").otherwise("<p>words</p>"), F.lit("</div></section>"))
     three = F.concat(F.lit("<section><div class='section-content'>"), F.when(k % 3 == 0, "<p></p>" + box.format("c2") + "<p>late [Chart: z]</p></div>").otherwise("<p>[Chart: z] text</p>"), F.when(k % 5 == 0, "<p>[chart:  a ]</p>").otherwise(""), F.lit("</div></section>"))
-    q = D.html_quality(F.concat(one, two, three))
+    bare = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit(" ")), F.lit("&"), F.lit(" "))
+    lines = F.concat(F.lit("<p>...</p><P>"), F.replace(bare, F.lit("\n"), F.lit("</P><p>")), F.lit("</p>"))
+    mark = F.lit("<div class=\"chart-container\" id='c4'>")
+    four = F.concat(F.lit("<section><h2 class='section-title'>Four</h2><div class='section-content'>"), F.when(k % 7 == 0, F.concat(F.lit("<p>--</p>"), mark, lines)).otherwise(F.concat(lines, mark)), F.lit("</div></section>"))
+    q = D.html_quality(F.concat(one, two, three, four))
     lists = [F.array_join(f"q.{n}", ",").alias(n) for n in ("empty_sections", "unresolved_anchors", "chart_before_text")]
     return table(spark, sf_dir, "documents").select("doc_id", q.alias("q")).select("doc_id", "q.section_total", "q.chart_containers", *lists)
 
