@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
+from docengine.sources.tables import kept
 
 K1, B = 1.2, 0.75
 #: Different terms that `scan` looks for in texts at most; more go through an index.
@@ -53,14 +54,26 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def _lengths(df: DataFrame, id: str, text: str) -> DataFrame:
-    return df.select(id, F.size(T.tokens(F.col(text))).cast("long").alias("dl"))
+def bag(tokens: Column) -> Column:
+    """ARRAY<STRUCT<term, tf>> of the different tokens, sorted: runs of equal ones in the sorted array."""
+
+    def runs(t: Column) -> Column:
+        begin = F.filter(F.transform(t, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.get(t, i - 1).alias("before"))), lambda s: s["before"].isNull() | (s["before"] != s["x"]))
+        return T.let(begin, lambda b: F.transform(b, lambda s, j: F.struct(s["x"].alias("term"), (F.coalesce(F.get(b, j + 1)["i"], F.size(t)) - s["i"]).cast("long").alias("tf"))))
+
+    return T.let(F.array_sort(tokens), runs)
+
+
+def bags(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, dl, bag of each row: its number of tokens and its different ones. Nothing is shuffled; a null text has none."""
+    tokens = T.tokens(F.coalesce(F.col(text), F.lit("")))
+    return df.select(id, T.let(tokens, lambda t: F.struct(F.size(t).cast("long").alias("dl"), bag(t).alias("bag"))).alias("b")).select(id, "b.dl", "b.bag")
 
 
 def build(df: DataFrame, id: str = "doc_id", text: str = "text") -> Index:
-    rows = df.select(id, T.tokens(F.col(text)).alias("t")).select(id, F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
-    postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    lengths = _lengths(df, id, text)
+    """The index of df. Texts are cut into terms once: the bags of terms are written to the shared folder and read for each part."""
+    held = kept(bags(df, id, text), "bags")
+    postings, lengths = held.select(id, "dl", F.explode("bag").alias("p")).select(id, "p.term", "p.tf", "dl"), held.select(id, "dl")
     return Index(postings, lengths, *weights(postings, lengths))
 
 
@@ -70,6 +83,15 @@ def weights(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFra
     return document_frequencies(postings).crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("n"), F.col("df")).alias("idf")), stats
 
 
+#: Rows of narrow columns that `small` lets be broadcast.
+MOST_ROWS = 200_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a stored table of narrow rows) for a join: broadcast where a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= MOST_ROWS else df
+
+
 def _wanted(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
 
@@ -78,7 +100,7 @@ def score(index: Index, queries: DataFrame, id: str = "doc_id", k1: float = K1,
     """query_id, id, score > 0 of all matching rows. queries: query_id, query (distinct terms count once).
 
     stats has one row, so its broadcast is bounded; the query's terms get their weights first, then meet the postings."""
-    weighted = _wanted(queries).join(index.terms.select("term", "idf"), "term")
+    weighted = small(kept(_wanted(queries).join(index.terms.select("term", "idf"), "term"), "asked"))
     hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
     avgdl = F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -91,10 +113,10 @@ def scan(df: DataFrame, queries: DataFrame, id: str = "doc_id", text: str = "tex
     terms = [r["term"] for r in _wanted(queries).select("term").distinct().limit(MOST_TERMS + 1).collect()]
     if len(terms) > MOST_TERMS:
         return score(build(df, id, text), queries, id, digits=digits)
-    found = T.let(T.tokens(F.col(text)), lambda t: F.struct(F.size(t).cast("long").alias("dl"), F.filter(t, lambda x: x.isin(terms)).alias("t")))
-    rows = df.select(id, found.alias("f")).select(id, "f.dl", F.explode("f.t").alias("term"))
-    postings = rows.groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    lengths = _lengths(df, id, text)
+    tokens = T.tokens(F.coalesce(F.col(text), F.lit("")))
+    found = T.let(tokens, lambda t: F.struct(F.size(t).cast("long").alias("dl"), bag(F.filter(t, lambda x: x.isin(terms))).alias("bag")))
+    held = kept(df.select(id, found.alias("f")).select(id, "f.dl", "f.bag"), "bags")
+    postings, lengths = held.select(id, "dl", F.explode("bag").alias("p")).select(id, "p.term", "p.tf", "dl"), held.select(id, "dl")
     return score(Index(postings, lengths, *weights(postings, lengths)), queries, id, digits=digits)
 
 
