@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from docengine.functions import markdown as M
 from docengine.functions import text as T
 from docengine.operators import charts as C
-from docengine.operators import chunking, hybrid
+from docengine.operators import chunking, hybrid, setjoin
+from docengine.sources.tables import kept
 
 # Forms of an image reference and of a chart's summary line.
 IMAGE = r"!\[[^\]]*\]\(([^)]+)\)"
@@ -104,10 +105,11 @@ def resolve(hits: DataFrame, charts: DataFrame, most: int, hints: DataFrame | No
     if hints is not None:
         open_ = hits.where(text.rlike(IMAGE) | text.rlike(SUMMARY)).select("query_id", "place", F.col("doc_id").alias("doc")).join(found.select("query_id", "place").distinct(), ["query_id", "place"], "left_anti")
         first = open_.groupBy("query_id", "doc").agg(F.min("place").alias("place")).join(hints, "query_id")
-        words = charts.select("doc", "stem", T.bigrams(F.concat_ws(" ", "name", "description")).alias("y"))
-        near = first.join(words, "doc").withColumn("s", T.jaccard(T.bigrams(F.col("hint")), F.col("y"))).where(F.col("s") >= WEAK)
-        best = near.groupBy("query_id", "doc", "place").agg(F.min(F.struct(-F.col("s"), F.col("stem"))).alias("b"))
-        found = found.unionByName(best.select("query_id", "doc", F.col("b.stem").alias("stem"), "place", F.lit(RULES.index("weak")).alias("rule"), F.lit(0).alias("at")))
+        first = kept(first, "open-hits")
+        named = setjoin.sets(charts, "stem", F.concat_ws(" ", "name", "description"), "doc")
+        best = setjoin.best(setjoin.sets(first, "query_id", F.col("hint"), "doc"), named, WEAK)
+        near = best.select(F.col("group").alias("doc"), F.col("a").alias("query_id"), F.col("b").alias("stem")).join(first.select("query_id", "doc", "place"), ["query_id", "doc"])
+        found = found.unionByName(near.select("query_id", "doc", "stem", "place", F.lit(RULES.index("weak")).alias("rule"), F.lit(0).alias("at")))
     once = found.groupBy("query_id", "doc", "stem").agg(F.min(F.struct("place", "rule", "at")).alias("f"))
     ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("f", "doc", "stem"))).where(F.col("n") <= most)
     reason = F.get(F.array(*[F.lit(r) for r in RULES]), F.col("f.rule"))

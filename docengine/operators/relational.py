@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.sources.tables import kept
+
 
 def latest(df: DataFrame, key: str, version: str, where: Column | None = None) -> DataFrame:
     """The row of the greatest version of each key, among those that `where` lets through."""
@@ -54,20 +60,46 @@ def ancestors(items: DataFrame, key: str, pos: str, depth: str, deepest: int = 6
     return items.withColumn("parent", F.greatest(*lasts))
 
 
-def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+#: Characters of short names that one pass looks for.
+PART_CHARS = 8 << 20
+
+
+def contained(short: DataFrame, long: DataFrame, most: int = PART_CHARS) -> DataFrame:
     """short, long: pairs of distinct names (each frame has one column `name`) where the first is part of the second.
 
-    An equal join: the long names give their substrings of the lengths that the short ones have."""
-    lengths = F.broadcast(short.select(F.length("name").alias("size")).distinct())  # as many rows as there are lengths of names
-    parts = long.join(lengths, F.col("size") <= F.length("name")).where("size > 0")
-    parts = parts.select(F.col("name").alias("long"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - F.col("size") + 1), lambda i: F.substring(F.col("name"), i, F.col("size"))))).alias("short"))
-    return parts.join(short.select(F.col("name").alias("short")), "short")
+    The short names, counted first, come to each task as one automaton (Aho and Corasick) that finds all of them in a
+    single look at a long name, so the work is linear in its length and in the pairs found; of more than `most` characters,
+    by parts. Empty and null names are in none."""
+    spark, held = short.sparkSession, kept(short.where("name <> ''").select("name").distinct(), "short-names")
+    chars = held.agg(F.coalesce(F.sum(F.length("name")), F.lit(0))).first()[0]
+    parts = max(1, -(-chars // most))
+    rows, out = long.where("name is not null").select("name"), None
+    for part in range(parts):
+        names = held if parts == 1 else held.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
+        known = spark.sparkContext.broadcast(names.toArrow().column(0).combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in known.value.to_pylist():
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            for batch in batches:
+                at, found = [], []
+                for i, name in enumerate(batch.column(0).to_pylist()):
+                    some = {x for _, x in automaton.iter(name)} if len(automaton) else ()
+                    at += [i] * len(some)
+                    found += some
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], ["short", "long"])
+
+        pairs = rows.mapInArrow(run, "short string, long string")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def name_match(left: DataFrame, right: DataFrame, name: str, key: str) -> DataFrame:
     """The right row of each left name: the equal one, else the first (by key) where either name contains the other.
 
-    Adds match (null for none). Names are matched once each, by equal joins; empty names match only their equals."""
+    Adds match (null for none). Names are matched once each; empty names match only their equals."""
     keys = right.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.min(key).alias("k"))
     asked = left.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
     rest = asked.join(keys, "name", "left_anti").where("name != ''")

@@ -99,16 +99,12 @@ def jn7(spark, sf_dir):
 )
 def jn8(spark, sf_dir):
     """The best bigram match of each part among parts of its size, if good enough."""
-    from pyspark.sql import Window
-
-    from docengine.functions import text as T
+    from docengine.operators import setjoin
 
     p = table(spark, sf_dir, "part")
-    g = p.select("p_partkey", "p_size", F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.lower(F.substring(F.col("p_name"), i, F.lit(2))))).alias("x"))
-    pairs = g.alias("a").join(g.alias("b"), (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
-    s = pairs.select(F.col("a.p_partkey").alias("p_partkey"), F.col("b.p_partkey").alias("match"), F.round(T.jaccard(F.col("a.x"), F.col("b.x")), 6).alias("jaccard"))
-    best = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("jaccard"), "match"))
-    return s.withColumn("n", best).where("n = 1 AND jaccard >= 0.22").drop("n")
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("p_name") - 1), lambda i: F.lower(F.substring(F.col("p_name"), i, F.lit(2)))))
+    x = p.select(F.col("p_size").alias("group"), F.col("p_partkey").alias("id"), pairs.alias("tokens"))
+    return setjoin.best(x, x, 0.22, apart=True).select(F.col("a").alias("p_partkey"), F.col("b").alias("match"), "jaccard")
 
 
 @query("agg8_version_rollup", "SELECT conv_id, max(turn) AS latest_version, max(CASE WHEN role = 'user' THEN turn END) AS active_version, count(*) AS versions, max(length(text)) AS updated FROM conversations GROUP BY conv_id")
