@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import sequential as S
 from docengine.functions import text as T
+from docengine.functions.names import unused
 
 SCHEMA = "chunk_index int, chunk_type string, content string, start_char int, end_char int, truncated boolean"
 
@@ -27,7 +28,8 @@ def chunk(df: DataFrame, strategy: str = "structure_aware", size: int = 1024, ov
         "sentence": lambda t: S.chunk_sentence(t, size),
     }
     split = strategies.get(strategy, lambda t: S.chunk_length(t, size, overlap))
-    rows = df.select(id, *keep, F.col(text).alias("__text"))
+    body, = unused([id, *keep], "text")
+    rows = df.select(id, *keep, F.col(text).alias(body))
     names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,26 +62,34 @@ def fixed_windows(df: DataFrame, size: int, stride: int, text: str = "text", id:
 def dedup_in_document(chunks: DataFrame, id: str = "doc_id") -> DataFrame:
     """Adds group_id; of each group in a document the first chunk stays. Charts and chunks without a group stay."""
     marked = chunks.withColumn("group_id", T.dedup_group_id(F.col("content"), F.col("chunk_type")))
-    first = F.row_number().over(Window.partitionBy(id, "group_id").orderBy("chunk_index"))
-    return marked.withColumn("__n", first).where((F.col("__n") == 1) | (F.col("group_id") == "") | (F.col("chunk_type") == "chart")).drop("__n")
+    first, n = F.row_number().over(Window.partitionBy(id, "group_id").orderBy("chunk_index")), unused(marked.columns, "n")[0]
+    return marked.withColumn(n, first).where((F.col(n) == 1) | (F.col("group_id") == "") | (F.col("chunk_type") == "chart")).drop(n)
 
 
 def parents(chunks: DataFrame, most: int = 2400, id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(chunks with parent, parents): neighbours of a document packed while at most `most` characters.
 
-    The fold runs over the lengths only (a document's chunk lengths, as an array), built in; chart chunks and blank
-    ones have no parent."""
-    used = chunks.where((F.col("chunk_type") != "chart") & (T.strip(F.col("content")) != "")).withColumn("__len", F.length(T.strip(F.col("content"))))
-    lengths = used.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "__len"))).alias("l"))
-    start = F.struct(F.lit(-1).alias("number"), F.lit(0).alias("size"), F.array().cast("array<struct<chunk_index:int,number:int>>").alias("out"))
+    Only the lengths of a document's chunks come together, as an array, and are numbered in one walk; chart chunks and
+    blank ones have no parent."""
+    size, = unused(chunks.columns, "size")
+    used = chunks.where((F.col("chunk_type") != "chart") & (T.strip(F.col("content")) != "")).withColumn(size, F.length(T.strip(F.col("content"))))
+    lengths = used.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col(size).alias("size")))).alias("l"))
+    kind = chunks.schema[id].dataType.simpleString()
 
-    def step(acc, x):
-        full = (acc["number"] < 0) | (acc["size"] + 2 + x["__len"] > most)
-        number = F.when(full, acc["number"] + 1).otherwise(acc["number"])
-        size = F.when(full, x["__len"]).otherwise(acc["size"] + 2 + x["__len"])
-        return F.struct(number.alias("number"), size.alias("size"), F.concat(acc["out"], F.array(F.struct(x["chunk_index"].alias("chunk_index"), number.alias("number")))).alias("out"))
-
-    numbers = lengths.select(id, F.explode(F.aggregate("l", start, step, lambda acc: acc["out"])).alias("o")).select(id, "o.chunk_index", "o.number")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, places, numbers = [], [], []
+            for i, row in enumerate(batch.column(1).to_pylist()):
+                number, held = -1, 0
+                for x in row:
+                    if number < 0 or held + 2 + x["size"] > most:
+                        number, held = number + 1, x["size"]
+                    else:
+                        held += 2 + x["size"]
+                    at.append(i), places.append(x["chunk_index"]), numbers.append(number)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(places, pa.int32()), pa.array(numbers, pa.int32())], [id, "chunk_index", "number"])
+
+    numbers = lengths.select(id, "l").mapInArrow(run, f"`{id}` {kind}, chunk_index int, number int")
     name = F.concat(F.lit("parent_"), F.col(id).cast("string"), F.lit("_"), F.col("number").cast("string"))
     placed = chunks.join(numbers, [id, "chunk_index"], "left").withColumn("parent", F.when(F.col("number").isNotNull(), name)).drop("number")
     grouped = placed.where("parent IS NOT NULL").groupBy("parent", id).agg(F.array_sort(F.collect_list(F.struct("chunk_index", T.strip(F.col("content")).alias("c")))).alias("l"), F.first("source").alias("source"))

@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField,
 
 from docengine.functions import sequential as S
 from docengine.functions import text as T
+from docengine.functions.names import unused
 
 
 _INT = IntegerType()
@@ -52,7 +53,7 @@ def rule_clean(df: DataFrame, text: str = "text", ads: bool = True, noise: bool
     """All rules in order; tables are taken out first and put back untouched.
 
     Python finds the table spans and puts tables back; between the two, the stages are column expressions."""
-    held = "__tables"
+    held, = unused(df.columns, "tables")
     rows = map_text(df, text, lambda r: [S.protect_tables(r[text] or "")], [StructField(held, StringType())])
     body = F.col(text)
     if ads:
@@ -74,8 +75,9 @@ def dedup_lines(df: DataFrame, text: str = "text") -> DataFrame:
     names = df.columns
     first = T.first_lines(F.col(text))
     pair = T.let(first, lambda kept: F.struct(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("t"), F.size(kept).cast("long").alias("n")))
-    rows = df.select(*names, F.when(F.col(text).isNotNull(), pair).alias("__kept"))
-    return rows.select(*[F.col("__kept.t").alias(c) if c == text else F.col(c) for c in names], F.coalesce("__kept.n", F.lit(0).cast("long")).alias("n_lines"))
+    held, = unused(names, "kept")
+    rows = df.select(*names, F.when(F.col(text).isNotNull(), pair).alias(held))
+    return rows.select(*[F.col(held)["t"].alias(c) if c == text else F.col(c) for c in names], F.coalesce(F.col(held)["n"], F.lit(0).cast("long")).alias("n_lines"))
 
 
 def duplicate_paragraphs(df: DataFrame, text: str = "text", top: int = 20) -> DataFrame:
@@ -158,30 +160,32 @@ def remove_images(df: DataFrame, deleted: DataFrame, text: str = "text", id: str
     """Without the Markdown images whose reference is among `deleted` (ref): id, text.
 
     References join the deleted ones as rows; a text only gathers its own."""
+    held, = unused([id, text], "gone")
     refs = df.select(id, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(([^)]+)\)"), F.lit(1)))).alias("ref"))
-    gone = refs.join(deleted.select("ref"), "ref", "left_semi").groupBy(id).agg(F.collect_set("ref").alias("__gone"))
+    gone = refs.join(deleted.select("ref"), "ref", "left_semi").groupBy(id).agg(F.collect_set("ref").alias(held))
     rows = df.select(id, text).join(gone, id, "left")
     parts = F.split(F.col(text), r"(?=!\[[^\]]*\]\([^)]+\))", -1)
 
     def part(p: Column) -> Column:
         ref = F.regexp_extract(p, r"^!\[[^\]]*\]\(([^)]+)\)", 1)
-        return F.when(F.array_contains("__gone", ref), F.regexp_replace(p, r"^!\[[^\]]*\]\([^)]+\)", "")).otherwise(p)
+        return F.when(F.array_contains(held, ref), F.regexp_replace(p, r"^!\[[^\]]*\]\([^)]+\)", "")).otherwise(p)
 
-    return rows.select(id, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, part), "")).alias(text))
+    return rows.select(id, F.when(F.col(held).isNull(), F.col(text)).otherwise(F.array_join(F.transform(parts, part), "")).alias(text))
 
 
 def prune_references(df: DataFrame, removed: DataFrame, json: str = "json", id: str = "doc_id") -> DataFrame:
     """df without references in `json` to the removed files (id, ref: relative paths) of its document, and changed.
 
     A document meets only its own removed files, gathered as one set."""
-    gone = removed.groupBy(F.col(id).alias("__id")).agg(F.collect_set("ref").alias("__gone"))
-    rows = df.join(gone, F.col(id) == F.col("__id"), "left").drop("__id")
+    key, names = unused(df.columns, "id", "gone")
+    gone = removed.groupBy(F.col(id).alias(key)).agg(F.collect_set("ref").alias(names))
+    rows = df.join(gone, F.col(id) == F.col(key), "left").drop(key)
 
     def apply(row: dict) -> list[tuple]:
-        text, held = S.prune_json(row[json], set(row["__gone"] or ()))
+        text, held = S.prune_json(row[json], set(row[names] or ()))
         return [(text, held)]
 
-    return map_text(rows, json, apply, [StructField("changed", BooleanType())], ["__gone"]).drop("__gone")
+    return map_text(rows, json, apply, [StructField("changed", BooleanType())], [names]).drop(names)
 
 
 def clean_documents(df: DataFrame, model: Callable[[str], str] | None = None, text: str = "text", **rules) -> DataFrame:
@@ -189,7 +193,7 @@ def clean_documents(df: DataFrame, model: Callable[[str], str] | None = None, te
 
     Adds original_chars, cleaned_chars, removed_chars, success and error; a failure of the hook is a row with success
     false, the error and the text as the rules left it, and a null text is one without text."""
-    original = "__original"
+    original, stat = unused(df.columns, "original", "stats")
     ruled = rule_clean(df.withColumn(original, F.col(text)), text, **rules)
 
     def apply(row: dict) -> list[tuple]:
@@ -203,5 +207,5 @@ def clean_documents(df: DataFrame, model: Callable[[str], str] | None = None, te
 
     out = map_text(ruled, text, apply, [StructField("success", BooleanType()), StructField("error", StringType())], [original])
     stats = T.cleaning_stats(F.coalesce(original, F.lit("")), F.coalesce(text, F.lit("")))
-    counted = out.withColumn("__s", stats).select("*", *[F.col(f"__s.{n}").alias(n) for n in ("original_chars", "cleaned_chars", "removed_chars")])
-    return counted.drop("__s", original)
+    counted = out.withColumn(stat, stats).select("*", *[F.col(stat)[n].alias(n) for n in ("original_chars", "cleaned_chars", "removed_chars")])
+    return counted.drop(stat, original)

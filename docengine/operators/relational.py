@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions.names import unused
 from docengine.sources.tables import kept
 
 
 def latest(df: DataFrame, key: str, version: str, where: Column | None = None) -> DataFrame:
     """The row of the greatest version of each key, among those that `where` lets through."""
     rows = df if where is None else df.where(where)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("__n = 1").drop("__n")
+    n, = unused(rows.columns, "n")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where(F.col(n) == 1).drop(n)
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
@@ -106,15 +108,17 @@ def name_match(left: DataFrame, right: DataFrame, name: str, key: str) -> DataFr
     names = keys.select("name").where("name != ''")
     pairs = contained(names, rest).select(F.col("long").alias("name"), F.col("short").alias("other")).unionByName(contained(rest, names).select(F.col("short").alias("name"), F.col("long").alias("other")))
     near = pairs.join(keys.withColumnRenamed("name", "other"), "other").groupBy("name").agg(F.min("k").alias("k"))
-    found = asked.join(keys, "name").unionByName(near).select(F.col("name").alias("__name"), F.col("k").alias("match"))
-    return left.join(found, F.col(name) == F.col("__name"), "left").drop("__name")
+    own, = unused([*left.columns, "match"], "own")
+    found = asked.join(keys, "name").unionByName(near).select(F.col("name").alias(own), F.col("k").alias("match"))
+    return left.join(found, F.col(name) == F.col(own), "left").drop(own)
 
 
 def resume(found: DataFrame, state: DataFrame, key: str, signature: str) -> DataFrame:
     """Rows whose key has no state yet or another signature in its last record (state: key, signature, offset)."""
-    last = state.groupBy(key).agg(F.max_by(signature, "offset").alias("__done"))
+    done, = unused(found.columns, "done")
+    last = state.groupBy(key).agg(F.max_by(signature, "offset").alias(done))
     rows = found.join(last, key, "left")
-    return rows.where(~F.col(signature).eqNullSafe(F.col("__done"))).drop("__done")
+    return rows.where(~F.col(signature).eqNullSafe(F.col(done))).drop(done)
 
 
 def percentiles(df: DataFrame, key: str | None, value: str) -> DataFrame:
