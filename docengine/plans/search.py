@@ -61,18 +61,19 @@ def knowledge_base(docs: DataFrame, size: int = 1024, embed: Callable[[Column],
 
 
 def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | None = None, threshold: float | None = None, where: Column | None = None,
-           embed: Callable[[Column], Column] = hashed_embedding, rerank: Callable[[DataFrame], DataFrame] | None = None, charts_per_parent: int = 2) -> DataFrame:
+           embed: Callable[[Column], Column] = hashed_embedding, rerank: Callable[[DataFrame], DataFrame] | None = None, charts_per_parent: int = 2, digits: int | None = None) -> DataFrame:
     """query_id, node, rank, score, hits, citations, chars, is_chart of the best parents for each query (query_id, query).
 
     Three times top_k candidates of both branches are fused; hits rise to their parents (charts as hits go); bonuses,
     group de-duplication and the optional rerank hook (rows -> rows with `rerank`) follow. Each row brings the charts
-    that it names, `charts_per_parent` at most; the final cut counts rows that are no charts."""
+    that it names, `charts_per_parent` at most; the final cut counts rows that are no charts. digits: scores of both
+    branches are rounded, so that equal ones rank by node."""
     wide = 3 * max(1, top_k)
     allowed = kb.chunks if where is None else kb.chunks.where(where)
     asked = queries.select("query_id", embed(F.col("query")).alias("query_vec"))
     base = kb.vectors if where is None else kb.vectors.join(allowed.select("node"), "node", "left_semi")
-    near = vectors.nearest(base, asked, wide, id="node")
-    words = fulltext.search(kb.index, queries, 2 * wide, id="node", allowed=None if where is None else allowed)
+    near = vectors.nearest(base, asked, wide, id="node", digits=digits)
+    words = fulltext.search(kb.index, queries, 2 * wide, id="node", allowed=None if where is None else allowed, digits=digits)
     fused = hybrid.ranked(hybrid.fuse(near, words)).where(F.col("rank") < wide)
     found = hybrid.aggregate(hybrid.promote(fused.select("query_id", "node", "score"), kb.chunks.select("node", "chunk_type", "parent"), kb.parents.select("parent")))
     info = kb.parents.select(F.col("parent").alias("node"), "content", "chart_ids", "group_id", "source").unionByName(kb.chunks.select("node", "content", F.lit(None).cast("string").alias("chart_ids"), "group_id", "source"))
