@@ -19,6 +19,7 @@ The driver holds only the codebooks, the sample and a count for each cell (at mo
 Vectors that are null, zero, of another length than the commonest (`dim`; ties: the longer) or that hold null or
 non-finite components take no part, nor do null ids. Of rows with one id the least vector takes part. With fewer
 candidates than k all of them return. Other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

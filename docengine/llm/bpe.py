@@ -11,6 +11,7 @@ megabyte is as safe as many short ones.
 
 Rows: a null text counts as empty (no ids); repeated rows and null ids are kept as they are; other
 columns of the input are not carried over. Ids are packed as little-endian unsigned 32-bit integers.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -25,6 +25,7 @@ with that word: leave such items out of a benchmark that is to clean a corpus.
 
 Null and empty texts and items match nothing; null ids are kept as null; repeated rows are reported as often
 as they come. Of equally similar windows the first is reported. Other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from __future__ import annotations
 import re
 import hashlib
 from collections import Counter, defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -264,22 +265,21 @@ def _held_shingles(rows: DataFrame) -> DataFrame:
     return map_slices(rows.select("words"), make, "text binary, shingle long", "words", finish=forget)
 
 
-def parts_of(benchmark: DataFrame, text: str, id: str) -> list[tuple[pa.Table, tuple | None]]:
-    """The benchmark in parts whose size is checked: items in order, and what `Items` takes as `spread` if there are several parts."""
+def parts_of(benchmark: DataFrame, text: str, id: str) -> Iterator[tuple[pa.Table, tuple | None]]:
+    """The benchmark in parts whose size is checked, one at a time: items in order, and what `Items` takes as `spread` if there are several parts."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(id).alias("item"), F.col(text).alias("words"))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0))).first()
     parts = max(1, -(-n // PART_ITEMS), -(-size // PART_BYTES))
     in_order = lambda part: part.toArrow().sort_by([("item", "ascending"), ("words", "ascending")])
     if parts == 1:
-        return [(in_order(rows), None)]
+        yield in_order(rows), None
+        return
     counts, _ = stored(_held_shingles(rows).distinct().groupBy("shingle").agg(F.count("*").alias("n")), "shingles")
     mean = counts.agg(F.avg(1 / F.col("n"))).first()[0] or 1.0
-    out = []
     for p in range(parts):
         part = rows.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == p)
         several = counts.where("n > 1").join(_held_shingles(part).select("shingle").distinct(), "shingle").toArrow()
-        out.append((in_order(part), (several.column("shingle").to_pylist(), several.column("n").to_pylist(), mean)))
-    return out
+        yield in_order(part), (several.column("shingle").to_pylist(), several.column("n").to_pylist(), mean)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -309,6 +309,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", id: st
             return apply
 
         one = map_slices(rows, make, f"key {key}, item_id {item}, similarity double, first_word long, n_words long", "body", finish=forget)
+        if spread is not None:  # written before the next part comes, so that the driver holds one part at a time
+            one, _ = stored(one, "contaminated")
+            held.destroy()
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("key", id)
 
@@ -330,4 +333,7 @@ def clean(df: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "do
             return apply
 
         rows = map_slices(rows, make, rows.schema, text, finish=forget)
+        if spread is not None:
+            rows, _ = stored(rows, "clean")
+            held.destroy()
     return rows

@@ -13,6 +13,7 @@ most languages x 2^BITS counts). Predictions use whole texts of all rows.
 A null text, or one without a letter, is `und` with score 0. Letters that no language has seen leave all
 languages equal. Without training rows every text is `und`. Null ids are allowed; repeated rows are scored
 one by one; other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

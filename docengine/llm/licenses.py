@@ -16,6 +16,7 @@ no gathering.
 
 A null or empty text has no licence. Null ids are kept; repeated rows are reported as often as they come. A
 document whose whole text is one line is reported at its widest scope only. Other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

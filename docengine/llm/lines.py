@@ -22,6 +22,7 @@ Windows and texts are compared by 128-bit digests of their words, fingerprints (
 A null text stays null and an empty one empty. Null ids come last in the order; rows with the same id come
 in the order of a hash of their texts; rows that repeat id and text are one text and are all treated alike.
 All columns stay, whatever their names; `n_chars`, if there is one, is counted again.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -12,6 +12,7 @@ Spans are code points, end exclusive. Regex offsets come from the lengths of the
 between them, so no shuffle takes place and each row is on its own: one hot source, repeated rows and null
 or repeated ids change nothing. The join looks each weak part up among the sorted starts and ends of the parts that
 complete it (halving), so a text costs n log n of its spans. A null text counts as empty: no spans. Other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@
 Null texts and texts without words have the fingerprint zero and link like any other. Rows with a null
 doc_id get no class (component_id null) and link nothing; repeated doc_ids count as one node with
 several fingerprints, which joins their components.
+An empty table gives an empty result; other columns are not carried over by `near_duplicates` and stay in `one_of_each`.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ what such links connect. Fingerprints only find candidates, every link is verifi
 
 Null texts and texts without words count as equal texts. Rows with a null id have no class and stay; rows that
 repeat id and text are one node. Ids are integers. Other columns, whatever their names, stay as they are.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ in a fixed order. Scores cover whole texts of all rows.
 A null, empty or wordless text gets the score of the bias alone. Labels other than 0 and 1, null labels and
 null ids teach nothing; repeated rows count as often as they come; with no labelled row or one class only,
 every score is that class's rate (0.0 without rows). Other columns are not carried over.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
