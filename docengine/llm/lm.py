@@ -39,9 +39,9 @@ from docengine.llm.trie import Trie, mapped
 #: Strength of the prior: so many tokens of p(w) are added to each context.
 PRIOR = 200.0
 #: Tokens and documents of a chunk; training tokens of a context in one shard.
-TOKENS, DOCUMENTS, SPLIT = 1 << 20, 1 << 14, 1 << 19
+TOKENS, DOCUMENTS, SPLIT = 1 << 19, 1 << 14, 1 << 19
 #: Characters of input for each shard of words and of pairs.
-WORD_SHARD, PAIR_SHARD = 1 << 25, 12 << 20
+WORD_SHARD, PAIR_SHARD = 1 << 25, 8 << 20
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
