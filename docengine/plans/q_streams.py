@@ -94,7 +94,7 @@ def chart_folder(spark, sf_dir):
         import json
         import os
 
-        at = folder.removeprefix("file://")
+        at = datasource.local(folder)
         os.makedirs(at, exist_ok=True)
         for r in rows:
             with open(f"{at}/c{r.p_partkey}.json", "w") as f:

@@ -18,6 +18,7 @@ from __future__ import annotations
 import glob
 import json
 import os
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -32,7 +33,7 @@ class Range(InputPartition):
 
 
 def local(path: str) -> str:
-    return path.removeprefix("file://")
+    return re.sub("^file:(//)?(?=/)", "", path)
 
 
 def files_of(path: str, ending: str = "*.jsonl") -> list[str]:

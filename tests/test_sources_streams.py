@@ -102,3 +102,7 @@ def test_work_goes_on_where_it_was_stopped(spark, tmp_path):
     assert one == [("b", 3, "bad", "error", "ValueError: no"), ("c", 5, "s1", "chart", None), ("c", 6, "s2", "chart", None)]
     two = go([("a", 8, "s2", None), ("c", 9, "s2", None), ("b", 10, "good", None)])
     assert sorted(set(two) - set(one)) == [("a", 8, "s2", "chart", None), ("b", 10, "good", "chart", None)] and len(two) == 5
+
+
+def test_paths_of_the_local_file_system():
+    assert [D.local(p) for p in ("/a/b", "file:/a/b", "file:///a/b", "file:x")] == ["/a/b", "/a/b", "/a/b", "file:x"]
