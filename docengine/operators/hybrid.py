@@ -49,12 +49,14 @@ def aggregate(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "node").agg(F.max("score").alias("score"), F.sum("score").alias("score_sum"), F.count("*").alias("hits"))
 
 
-def bonus(chart_ids: Column, text: Column, hits: Column) -> Column:
-    """0.03 with charts, 0.02 with an image or chart mark, 0.01 for each further hit up to 0.05."""
+def bonus(chart_ids: Column, text: Column, hits: Column, score: Column | None = None) -> Column:
+    """0.03 with charts, 0.02 with an image or chart mark, 0.01 for each further hit up to 0.05.
+
+    score: what they are added to, one after the other; the order of the sums decides which scores tie."""
     ids = F.trim(F.coalesce(chart_ids, F.lit("")))
     charts = F.when((ids != "") & ~ids.isin("[]", "{}"), F.lit(0.03)).otherwise(0.0)
     marks = F.when(F.contains(text, F.lit("images/")) | F.contains(text, F.lit(CHART_MARK)), F.lit(0.02)).otherwise(0.0)
-    return charts + marks + F.when(hits >= 2, F.least(F.lit(0.05), 0.01 * (hits - 1))).otherwise(0.0)
+    return (charts if score is None else score + charts) + marks + F.when(hits >= 2, F.least(F.lit(0.05), (hits - 1) / 100)).otherwise(0.0)
 
 
 def dedup_groups(rows: DataFrame, group: str = "group_id", source: str = "source", most: int = 5) -> DataFrame:

@@ -21,7 +21,7 @@ def one_hot(text):
 def knowledge(spark, sf_dir) -> S.KnowledgeBase:
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
     none = F.lit(None).cast("string")
-    chunks = d.select(F.format_string("d%08d", "doc_id").alias("node"), F.col("doc_id").alias("doc"), "source", F.lit("paragraph").alias("chunk_type"), F.col("source").alias("parent"), F.lit("").alias("group_id"), F.col("text").alias("content"))
+    chunks = d.select(F.format_string("d%019d", "doc_id").alias("node"), F.col("doc_id").alias("doc"), "source", F.lit("paragraph").alias("chunk_type"), F.col("source").alias("parent"), F.lit("").alias("group_id"), F.col("text").alias("content"))
     sources = d.select("source").distinct()
     charts = sources.select("source", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).select(F.concat(F.lit("chart_"), "source", F.lit("_"), "k").alias("node"), F.lit(None).cast("long").alias("doc"), "source", F.lit("chart").alias("chunk_type"), none.alias("parent"), F.lit("").alias("group_id"), F.concat(F.lit("no. "), "k").alias("content"))
     number = F.regexp_extract("source", "[0-9]+", 0).cast("int")

@@ -77,7 +77,7 @@ def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | N
     fused = hybrid.ranked(hybrid.fuse(near, words)).where(F.col("rank") < wide)
     found = hybrid.aggregate(hybrid.promote(fused.select("query_id", "node", "score"), kb.chunks.select("node", "chunk_type", "parent"), kb.parents.select("parent")))
     info = kb.parents.select(F.col("parent").alias("node"), "content", "chart_ids", "group_id", "source").unionByName(kb.chunks.select("node", "content", F.lit(None).cast("string").alias("chart_ids"), "group_id", "source"))
-    rows = found.join(info, "node").withColumn("score", F.col("score") + hybrid.bonus(F.col("chart_ids"), F.col("content"), F.col("hits")))
+    rows = found.join(info, "node").withColumn("score", hybrid.bonus(F.col("chart_ids"), F.col("content"), F.col("hits"), F.col("score")))
     rows = hybrid.dedup_groups(hybrid.ranked(rows))
     rows = hybrid.ranked(rows.drop("rank"))
     rows = rerank(rows) if rerank else rows.withColumn("rerank", F.lit(None).cast("double"))
