@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docengine.functions import text as T
 from docengine.operators import hybrid
 
 
@@ -12,3 +13,10 @@ def test_bonuses_are_added_one_after_the_other(spark):
     got = {r["node"]: r["s"] for r in df.select("node", hybrid.bonus(F.col("ids"), F.col("text"), F.col("hits"), F.col("best")).alias("s")).collect()}
     assert got == {"a": best + 0.03 + 0.02 + 0.0, "b": best + 0.0 + 0.02 + 0.03, "c": best + 0.03 + 0.0 + 0.02}
     assert got["a"] == got["c"] > got["b"]  # added as one sum, all three tie
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    texts = ["", None, "a", " \t\n\r\x0b\x0c\x85\xa0       　 ", "　a \n b\x85", "​a​", "\x1ca\x1f", " a\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip(F.col("t")).alias("s"))
+    assert df.where(~F.col("s").eqNullSafe(F.regexp_replace("t", r"(?U)^\s++|(?<!\s)\s++$", ""))).count() == 0
+    assert "regexp" not in df._jdf.queryExecution().toString()  # a pattern is tried at every character
