@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.operators.fulltext import B, K1, small
+from docengine.operators.fulltext import B, K1, first_of_each, small
 from docengine.sources.tables import kept
 
 #: Postings of a block and, about, of a shard of a term.
@@ -100,8 +100,7 @@ def search(held: DataFrame, bags: DataFrame, asked: DataFrame, avgdl: float, k:
     candidates = kept(left.select("query_id", *keys, "id"), "candidates")
     scores = scored(candidates)
     scored_rows = (scores.withColumn("score", F.round("score", digits)) if digits is not None else scores).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-    best = scored_rows.withColumn("rank", rank).where(F.col("rank") < k).select("query_id", F.col("id").alias(id), "score", "rank")
+    best = first_of_each(scored_rows, [F.desc("score"), "id"], k).select("query_id", F.col("id").alias(id), "score", "rank")
     read = met.groupBy("query_id").agg(F.count("*").alias("met")).join(first.groupBy("query_id").agg(F.count("*").alias("first")), "query_id", "full")
     counters = limits.select("query_id", "blocks").join(read, "query_id", "left").join(candidates.groupBy("query_id").agg(F.count("*").alias("candidates")), "query_id", "left")
     counters = counters.select("query_id", "blocks", (F.coalesce("met", F.lit(0)) + F.coalesce("first", F.lit(0))).alias("read"), F.coalesce("candidates", F.lit(0)).alias("candidates"))

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.functions.text import let
+from docengine.operators.fulltext import first_of_each
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,8 +80,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vec
                             yield pa.RecordBatch.from_arrays([names.take(pa.array(of_query)), batch.column(0).take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", id, "score"])
 
         found = rows.mapInArrow(run, f"query_id {key}, `{id}` {of}, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), id)) - 1
-        found = found.withColumn("rank", rank).where(F.col("rank") < k)
+        found = first_of_each(found, [F.desc("score"), id], k)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -74,7 +74,7 @@ def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | N
     base = kb.vectors if where is None else kb.vectors.join(allowed.select("node"), "node", "left_semi")
     near = vectors.nearest(base, asked, wide, id="node", digits=digits)
     words = fulltext.search(kb.index, queries, 2 * wide, id="node", allowed=None if where is None else allowed, digits=digits)
-    fused = hybrid.ranked(hybrid.fuse(near, words)).where(F.col("rank") < wide)
+    fused = fulltext.first_of_each(hybrid.fuse(near, words), [F.desc("score"), "node"], wide)
     found = hybrid.aggregate(hybrid.promote(fused.select("query_id", "node", "score"), kb.chunks.select("node", "chunk_type", "parent"), kb.parents.select("parent")))
     info = kb.parents.select(F.col("parent").alias("node"), "content", "chart_ids", "group_id", "source").unionByName(kb.chunks.select("node", "content", F.lit(None).cast("string").alias("chart_ids"), "group_id", "source"))
     rows = found.join(info, "node").withColumn("score", hybrid.bonus(F.col("chart_ids"), F.col("content"), F.col("hits"), F.col("score")))

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from docengine.functions import text as T
-from docengine.operators import bands, hybrid, setjoin
+from docengine.operators import bands, fulltext, hybrid, setjoin
 from tests.test_similar_joins import close, vectors
 
 
@@ -64,3 +64,11 @@ def test_links_and_first_of_close_without_pairs(spark, monkeypatch):
             if not any((j, i) in pairs for j in stays):
                 stays.append(i)
         assert sorted(r["vec_id"] for r in bands.first_of_close(df, 0.9).collect()) == stays
+
+
+def test_tasks_drop_rows_beyond_k_before_the_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"common word {i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "common"), (2, "word 7")], "query_id int, query string")
+    found = fulltext.search(fulltext.build(docs), asked, 3)
+    assert found._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2  # in part, then finally
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 0, 7), (2, 1, 0), (2, 2, 1)]
