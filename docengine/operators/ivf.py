@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.operators import vectors
+from docengine.operators.fulltext import first_of_each
 
-#: Rows that the centroids are fit on at most, about; rounds; queries of a pass.
-SAMPLE, ROUNDS, QUERIES = 20_000, 8, 10_000
+#: Rows that the centroids are fit on at most, about; rounds; queries of a pass, and their probes together.
+SAMPLE, ROUNDS, QUERIES, PLACES = 20_000, 8, 10_000, 1 << 22
 
 
 def _fit(x: np.ndarray, k: int) -> np.ndarray:
@@ -99,18 +100,31 @@ class InvertedFile:
     def search(self, queries: DataFrame, k: int, probes: int = 8, where: Column | None = None, id: str = "vec_id", digits: int | None = None) -> DataFrame:
         """query_id, id, score, rank (from 0) of the k nearest rows in the probed lists of each query (query_id, query_vec); ties to the smaller id.
 
-        Queries are taken in passes of QUERIES, one matrix for each list."""
+        Queries are taken in passes of QUERIES, fewer if they probe more than PLACES lists together; a pass holds each vector once."""
+        probes = min(probes, len(self.centroids))
+        each = max(1, min(QUERIES, PLACES // probes))
         n, out = queries.count(), None
-        for part in range(max(1, -(-n // QUERIES))):
-            some = queries if n <= QUERIES else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUERIES))) == part)
-            asked = self.placed(some.select("query_id", "query_vec"), "query_vec", probes).select("query_id", "v", "list").toArrow()
-            of = asked.column("list").to_numpy()
-            x = asked.column("v").combine_chunks().flatten().to_numpy().reshape(len(of), self.centroids.shape[1])
-            held = self.spark.sparkContext.broadcast((asked.column("query_id").combine_chunks(), {int(c): np.flatnonzero(of == c) for c in np.unique(of)}, x))
-            found = self._met(self.scan(sorted(set(of.tolist())), where).select("id", "v", "list"), held, k, queries.schema["query_id"].dataType.simpleString(), digits)
+        parts = max(1, -(-n // each))
+        for part in range(parts):
+            some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+            x, names, places = self._asked(some, probes)
+            held = self.spark.sparkContext.broadcast((names, places, x))
+            found = self._met(self.scan(sorted(places), where).select("id", "v", "list"), held, k, queries.schema["query_id"].dataType.simpleString(), digits)
             out = found if out is None else out.unionByName(found)
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")) - 1
-        return out.withColumn("rank", rank).where(F.col("rank") < k).select("query_id", F.col("id").alias(id), "score", "rank")
+        return first_of_each(out, [F.desc("score"), "id"], k).select("query_id", F.col("id").alias(id), "score", "rank")
+
+    def _asked(self, queries: DataFrame, probes: int) -> tuple[np.ndarray, pa.Array, dict[int, np.ndarray]]:
+        """Unit vectors of the usable queries, their ids, and the places of those that probe each list."""
+        usable = queries.where(_usable("query_vec") & (F.size("query_vec") == self.centroids.shape[1]))
+        asked = usable.select("query_id", vectors.normalize(F.col("query_vec")).alias("v")).toArrow()
+        x = asked.column("v").combine_chunks().flatten().to_numpy().reshape(asked.num_rows, -1) if asked.num_rows else np.zeros((0, self.centroids.shape[1]))
+        every = np.arange(len(x), dtype=np.int32)
+        if probes >= len(self.centroids):
+            return x, asked.column("query_id").combine_chunks(), {c: every for c in range(len(self.centroids))} if len(x) else {}
+        best = np.argsort(-(x @ self.centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+        order = np.argsort(best, axis=None, kind="stable")
+        cuts = np.flatnonzero(np.diff(best.ravel()[order])) + 1
+        return x, asked.column("query_id").combine_chunks(), {int(best.ravel()[p[0]]): (p // probes).astype(np.int32) for p in np.split(order, cuts) if len(p)}
 
     @staticmethod
     def _met(rows: DataFrame, held, k: int, key: str, digits: int | None) -> DataFrame:
@@ -123,10 +137,11 @@ class InvertedFile:
                     for c in np.unique(lists).tolist():
                         own = batch.filter(pa.array(lists == c)).sort_by("id")
                         v = own.column("v").flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
-                        at = places[c]
-                        score = x[at] @ v.T
-                        score = np.round(score, digits) + 0.0 if digits is not None else score
-                        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(at, best.shape[1]))), own.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", "id", "score"])
+                        for first in range(0, len(places[c]), 512):
+                            at = places[c][first : first + 512]
+                            score = x[at] @ v.T
+                            score = np.round(score, digits) + 0.0 if digits is not None else score
+                            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(at, best.shape[1]))), own.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", "id", "score"])
 
         return rows.mapInArrow(run, f"query_id {key}, id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import bands, fulltext, hybrid, setjoin
+from docengine.operators.ivf import InvertedFile
 from tests.test_similar_joins import close, vectors
 
 
@@ -72,3 +73,13 @@ def test_tasks_drop_rows_beyond_k_before_the_shuffle(spark):
     found = fulltext.search(fulltext.build(docs), asked, 3)
     assert found._jdf.queryExecution().toString().count("WindowGroupLimit") >= 2  # in part, then finally
     assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in found.collect()) == [(1, 0, 0), (1, 1, 1), (1, 2, 2), (2, 0, 7), (2, 1, 0), (2, 2, 1)]
+
+
+def test_queries_of_a_stored_inverted_file_come_once(spark, tmp_path):
+    base = spark.createDataFrame(vectors(200, 6), "vec_id long, embedding array<double>")
+    lists = InvertedFile.build(base, str(tmp_path / "lists"), lists=9)
+    asked = base.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    x, names, places = lists._asked(asked, 9)
+    assert len(x) == len(names) == asked.where("query_id <> 905").count()  # not once for each list
+    few = lists._asked(asked, 3)[2]
+    assert sum(map(len, few.values())) == 3 * len(x) and len(places) == 9
