@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.operators.fulltext import B, K1, first_of_each, small
+from docengine.operators.fulltext import B, K1, MOST_ROWS, first_of_each, small
 from docengine.sources.tables import kept
 
 #: Postings of a block and, about, of a shard of a term.
@@ -70,9 +70,15 @@ def search(held: DataFrame, bags: DataFrame, asked: DataFrame, avgdl: float, k:
     total = F.sum(F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.lit(avgdl)))
 
     def scored(candidates: DataFrame) -> DataFrame:
-        """query_id, keys, id, score of stored candidates, from their bags."""
-        rows = bags.join(small(candidates), [*keys, "id"]).select("query_id", *keys, "id", "dl", F.explode("bag").alias("p")).select("query_id", *keys, "id", "dl", "p.term", "p.tf")
-        return rows.join(wanted, ["query_id", "term"]).groupBy("query_id", *keys, "id").agg(total.alias("score"))
+        """query_id, keys, id, score of stored candidates, from their bags.
+
+        A bag's terms meet the queries once, however many queries its row is a candidate of; no bag is copied or shuffled."""
+        rows = kept(candidates.select(*keys, "id").distinct(), "rows")
+        few = rows.count() <= MOST_ROWS
+        texts = bags.join(F.broadcast(rows), [*keys, "id"], "left_semi") if few else bags
+        each = texts.select(*keys, "id", "dl", F.explode("bag").alias("p")).select(*keys, "id", "dl", "p.term", "p.tf")
+        sums = each.join(wanted, "term").groupBy("query_id", *keys, "id").agg(total.alias("score"))  # in part before the shuffle: a row's terms are together
+        return sums.join(small(candidates), ["query_id", *keys, "id"])
 
     def threshold(sums: DataFrame, by: str) -> DataFrame:
         """query_id, least: what the k-th score can't be below, from the rows with the largest sums."""

@@ -74,3 +74,25 @@ def test_paragraphs_with_and_without_text(spark):
     single, double = "<div class='chart-container'>", '<div class="chart-container">'
     assert places(double + single)[1] == len(double) + 6
     assert places("é😀<p>" + double + "x</p>") == (3, 3 + 3 + 5)
+
+
+def test_bags_of_candidates_are_read_once(spark, monkeypatch, tmp_path):
+    from docengine.operators import blockmax
+    from docengine.operators.segments import Segments
+
+    docs = spark.createDataFrame([(i, f"common word{i % 7} other{i % 3} " * (1 + i % 4)) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common word{q} other{q % 3}") for q in range(6)], "query_id int, query string")
+    index = Segments(spark, str(tmp_path / "index"))
+    index.append(docs)
+    want = None
+    for most in (blockmax.MOST_ROWS, 1):  # few candidates, many
+        monkeypatch.setattr(blockmax, "MOST_ROWS", most)
+        best = index.search(asked, 5, digits=6)[0]
+        plan = best._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+        at = next(i for i, x in enumerate(plan) if "Generate explode(bag" in x)
+        below = plan[at + 1 : next((i for i in range(at + 1, len(plan)) if depth(plan[i]) <= depth(plan[at])), len(plan))]
+        assert below and not any("query_id" in x for x in below)  # a bag is not copied for each query
+        got = sorted(map(tuple, best.collect()))
+        want = got if want is None else want
+        assert got == want and len(got) == 30
