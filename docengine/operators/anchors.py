@@ -29,14 +29,16 @@ def charts(ids: Column, hints: Column | None = None) -> Column:
 
 def strip_anchors(md: Column) -> Column:
     """Without anchors; the gaps that they leave close."""
-    s = T.lf(F.coalesce(md, F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, ANY_ANCHOR, ""), "[ \t]{2,}", " "), "\n{3,}", "\n\n")
-    return F.when(T.strip(s) == "", s).otherwise(F.concat(T.strip(bare), F.lit("\n")))
+
+    def bare(s: Column) -> Column:
+        return T.strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, ANY_ANCHOR, ""), "[ \t]{2,}", " "), "\n{3,}", "\n\n"))
+
+    return let(T.lf(F.coalesce(md, F.lit(""))), lambda s: F.when(T.strip(s) == "", s).otherwise(F.concat(bare(s), F.lit("\n"))))
 
 
 def paragraphs(md: Column) -> Column:
     """ARRAY<STRUCT<i, text, body, heading>>: blocks between blank lines, and each with white space collapsed."""
-    blocks = F.filter(F.transform(F.split(T.lf(md), "\n{2,}", -1), lambda p: F.regexp_replace(p, r"^\n+|\n+$", "")), lambda p: T.strip(p) != "")
+    blocks = F.filter(F.transform(F.split(T.lf(md), "\n{2,}", -1), lambda p: F.btrim(p, F.lit("\n"))), lambda p: T.strip(p) != "")
     return F.transform(blocks, lambda p, i: F.struct(i.alias("i"), p.alias("text"), T.collapse(p).alias("body"), p.rlike(r"(?U)^\s*#{1,6}\s+\S").alias("heading")))
 
 
@@ -53,7 +55,7 @@ def _best(rows: Column, score) -> Column:
 
 def _assembled(rows: Column, placed: Column, between: str) -> Column:
     """Paragraphs in order, each followed by its charts (STRUCT<i, n, text>) after `between`."""
-    own = F.transform(rows, lambda p: F.struct(p["i"].alias("i"), F.lit(-1).alias("n"), F.concat(F.when(p["i"] > 0, F.lit("\n\n")).otherwise(F.lit("")), F.regexp_replace(p["text"], r"(?U)\s+$", "")).alias("text")))
+    own = F.transform(rows, lambda p: F.struct(p["i"].alias("i"), F.lit(-1).alias("n"), F.concat(F.when(p["i"] > 0, F.lit("\n\n")).otherwise(F.lit("")), T.rstrip(p["text"])).alias("text")))
     put = F.transform(placed, lambda c: F.struct(c["i"].alias("i"), c["n"].alias("n"), F.concat(F.lit(between), c["text"]).alias("text")))
     return F.concat(T.strip(F.array_join(F.transform(F.array_sort(F.concat(own, put)), lambda x: x["text"]), "")), F.lit("\n"))
 
@@ -64,6 +66,11 @@ def _mark(id: Column) -> Column:
 
 def place_anchors(md: Column, wanted: Column, first: int = 1) -> Column:
     """Each chart once, behind the paragraph (no heading) that suits its hint best; weak matches not before paragraph `first`."""
+    return F.get(place_each(md, [wanted], first), F.lit(0))
+
+
+def place_each(md: Column, each: list[Column], first: int = 1) -> Column:
+    """`place_anchors` for several lists of charts, as an array of texts; the text is taken apart once."""
 
     def place(c: Column, plain: Column) -> Column:
         def score(p: Column) -> Column:
@@ -74,12 +81,12 @@ def place_anchors(md: Column, wanted: Column, first: int = 1) -> Column:
         fallback = F.coalesce(later, F.element_at(plain, -1)["i"])
         return let(_best(plain, score), lambda b: F.when(b.isNull(), 0).when((b["i"] < first) & (b["score"] < 1.0), fallback).otherwise(b["i"]))
 
-    def put(rows: Column, text: Column) -> Column:
+    def put(wanted: Column, rows: Column, text: Column) -> Column:
         alone = F.concat(F.array_join(F.transform(wanted, lambda c: _mark(c["id"])), "\n\n"), F.lit("\n"))
         placed = let(F.filter(rows, lambda p: ~p["heading"]), lambda plain: F.transform(wanted, lambda c, n: F.struct(place(c, plain).alias("i"), n.alias("n"), _mark(c["id"]).alias("text"))))
         return F.when(F.size(wanted) == 0, text).when(F.size(rows) == 0, alone).otherwise(_assembled(rows, placed, "\n\n"))
 
-    return let(strip_anchors(md), lambda text: let(paragraphs(text), lambda rows: put(rows, text)))
+    return let(strip_anchors(md), lambda text: let(paragraphs(text), lambda rows: F.array(*[put(w, rows, text) for w in each])))
 
 
 def ensure_anchors(md: Column, wanted: Column) -> Column:

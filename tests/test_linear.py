@@ -96,3 +96,18 @@ def test_bags_of_candidates_are_read_once(spark, monkeypatch, tmp_path):
         got = sorted(map(tuple, best.collect()))
         want = got if want is None else want
         assert got == want and len(got) == 30
+
+
+def test_collapse_and_anchors_take_a_text_apart_once(spark):
+    from docengine.operators import anchors as A
+
+    texts = ["", None, " ", "a b", "a  b", "a \t b\n\nc", "\x85a\xa0b　 c", "a\x1cb​c \n", "　a  b  "] + ["x".join(w) for w in zip(T.WHITE, T.WHITE[1:] + " ")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = df.select(T.collapse(F.col("t")).alias("a"), F.trim(F.regexp_replace("t", r"(?U)\s+", " ")).alias("b"))
+    assert same.where("NOT (a <=> b)").count() == 0
+    md = F.concat(F.lit("intro [Chart: c1]\n\n"), "t", F.lit("\n\nlast words \n"))
+    some = [A.charts(F.array(F.lit("c1")), F.create_map(F.lit("c1"), F.lit("last words"))), A.charts(F.array(F.lit("c2"), F.lit("c3")))]
+    both = df.select(A.place_each(md, some).alias("p"), *[A.place_anchors(md, w).alias(f"p{i}") for i, w in enumerate(some)])
+    assert both.where("NOT (p[0] <=> p0 AND p[1] <=> p1)").count() == 0 and both.where("p[0] LIKE '%last words%c1%'").count() == len(texts) - 1
+    plan = df.select(A.place_each(md, some).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#{1,6}") == 1 and "(?U)\\s+" not in plan
