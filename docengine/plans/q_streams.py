@@ -94,12 +94,16 @@ def chart_folder(spark, sf_dir):
         import json
         import os
 
-        at = datasource.local(folder)
-        os.makedirs(at, exist_ok=True)
+        made = None
         for r in rows:
+            at = f"{datasource.local(folder)}/{r.p_partkey // 1000}"  # a folder of a million files is slow to list, and one task's
+            if at != made:
+                os.makedirs(at, exist_ok=True)
+                made = at
             with open(f"{at}/c{r.p_partkey}.json", "w") as f:
                 json.dump({"is_chart": r.p_size % 3 == 0, "chart_type": r.p_brand, "_source_image": f"images/{r.p_partkey}.png"}, f)
 
-    p.foreachPartition(write)
+    # a table of one file would be written by one task
+    p.repartition(4 * spark.sparkContext.defaultParallelism, F.floor(F.col("p_partkey") / 1000)).foreachPartition(write)
     datasource.register(spark)
     return spark.read.format("chart_folder").load(folder).select("chart_id", "chart_type", "source_image")

@@ -25,6 +25,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 RANGE_BYTES = 8 << 20
+#: Chart files of a task.
+FILES = 2000
 
 
 class Range(InputPartition):
@@ -167,13 +169,36 @@ class ChartReader(DataSourceReader):
             else:
                 yield f
 
+    def _names(self, entries) -> list[str]:
+        return sorted(n for n in entries if n.endswith(".json") and not n.startswith(".") and (self.wanted is None or n[:-5] in self.wanted))
+
+    def _folders(self) -> Iterator[tuple[str, list[str]]]:
+        """Each folder with its files. A folder is listed once, and no file is looked at; hidden ones are left out."""
+        root = local(self.path)
+        if not os.path.isdir(root) and os.path.exists(root):
+            file = os.path.basename(root)
+            yield os.path.dirname(root), [file] if self.wanted is None or file[:-5] in self.wanted else []
+        for at, inner, files in os.walk(root, followlinks=True):
+            inner[:] = sorted(d for d in inner if not d.startswith("."))
+            if not self.folder or f"/{os.path.relpath(at, root)}".endswith(f"/{self.folder}"):
+                yield at, self._names(files)
+
     def partitions(self) -> list[InputPartition]:
-        inside = f"{self.folder}/*.json" if self.folder else "*.json"
-        files = [f for f in files_of(self.path, inside) if self.wanted is None or os.path.basename(f)[:-5] in self.wanted]
-        return [InputPartition(files[at : at + 256]) for at in range(0, len(files), 256)] or [InputPartition([])]
+        """About FILES files each: whole folders, which the task lists itself, and named files of larger ones."""
+        parts, some, n = [], [], 0
+        for folder, names in self._folders():
+            for begin in range(0, len(names), FILES):
+                named = names[begin : begin + FILES]
+                whole = len(names) <= FILES and os.path.isdir(local(self.path))
+                if n and n + len(named) > FILES:
+                    parts.append(InputPartition(some))
+                    some, n = [], 0
+                some.append((folder, None if whole else named))
+                n += len(named)
+        return parts + [InputPartition(some)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for file in partition.value:
+        for file in (f"{folder}/{n}" for folder, named in partition.value for n in (self._names(os.listdir(folder)) if named is None else named)):
             with open(file, "rb") as f:
                 text = f.read().decode("utf-8-sig", "replace")
             try:

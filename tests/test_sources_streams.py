@@ -106,3 +106,24 @@ def test_work_goes_on_where_it_was_stopped(spark, tmp_path):
 
 def test_paths_of_the_local_file_system():
     assert [D.local(p) for p in ("/a/b", "file:/a/b", "file:///a/b", "file:x")] == ["/a/b", "/a/b", "/a/b", "file:x"]
+
+
+def test_chart_folders_are_listed_by_tasks(tmp_path, monkeypatch):
+    from docengine.sources import datasource as S
+
+    monkeypatch.setattr(S, "FILES", 4)
+    for folder, n in (("a", 3), ("a/charts", 2), ("b/charts", 9), (".hidden", 2), ("c", 0)):
+        (tmp_path / folder).mkdir(parents=True)
+        for i in range(n):
+            (tmp_path / folder / f"{folder[-1]}{folder[0]}{i}.json").write_text('{"is_chart": true}')
+    (tmp_path / "a" / ".x.json").write_text('{"is_chart": true}')
+    for folder, want in (("", 14), ("charts", 11)):
+        reader = S.ChartReader(f"file:{tmp_path}", folder)
+        parts = reader.partitions()
+        found = [r[0] for p in parts for r in reader.read(p)]
+        assert sorted(found) == [f for f in S.files_of(str(tmp_path), f"{folder}/*.json" if folder else "*.json")] and len(found) == want
+        assert any(named is None for p in parts for _, named in p.value) and all(len(named or []) <= 4 for p in parts for _, named in p.value)
+    one = S.ChartReader(str(tmp_path / "a" / "aa0.json"), "")
+    assert [r[1] for p in one.partitions() for r in one.read(p)] == ["aa0"]
+    one.wanted = {"other"}
+    assert not [r for p in one.partitions() for r in one.read(p)]
