@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docengine.functions.text import lf, lines, strip
+from docengine.functions.text import WHITE, lf, lines, strip
 
 # Forms of outline lines and of chart anchors.
 LIST_ITEM = r"^(\s*)(?:[-*]\s+|\d+[.)]\s+)(.*)$"
@@ -60,11 +60,11 @@ def item_heading(shown: Column, depth: Column) -> Column:
     return strip(F.concat(F.lit("###"), F.repeat(F.lit("#"), F.greatest(F.lit(0), depth - 1)), F.lit(" "), strip(shown)))
 
 
-def source_block(shown: Column, content: Column, most: int) -> Column:
-    """【来源】 heading and the content, shortened with an ellipsis."""
-    body = strip(content)
+def source_block(shown: Column, content: Column, most: int, ends: str = WHITE) -> Column:
+    """【来源】 heading and the content, shortened with an ellipsis; neither has characters of `ends` at its ends."""
+    body = F.btrim(content, F.lit(ends))
     cut = F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)
-    return strip(F.concat(F.lit("【来源】"), F.coalesce(shown, F.lit("")), F.lit("\n"), cut))
+    return F.btrim(F.concat(F.lit("【来源】"), F.coalesce(shown, F.lit("")), F.lit("\n"), cut), F.lit(ends))
 
 
 def outline_query(section: Column, above: Column, item: Column) -> Column:

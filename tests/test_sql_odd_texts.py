@@ -30,7 +30,7 @@ def odd(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["ded2_fingerprint", "ded_exact_groups", "ded3_group_id"])
+@pytest.mark.parametrize("name", ["ded2_fingerprint", "ded_exact_groups", "ded3_group_id", "str6_blocks"])
 def test_query_equals_sql(spark, odd, name):
     con = duckdb.connect()
     for f in glob.glob(f"{odd}/*.parquet"):
