@@ -92,8 +92,13 @@ def parents(chunks: DataFrame, most: int = 2400, id: str = "doc_id") -> tuple[Da
     numbers = lengths.select(id, "l").mapInArrow(run, f"`{id}` {kind}, chunk_index int, number int")
     name = F.concat(F.lit("parent_"), F.col(id).cast("string"), F.lit("_"), F.col("number").cast("string"))
     placed = chunks.join(numbers, [id, "chunk_index"], "left").withColumn("parent", F.when(F.col("number").isNotNull(), name)).drop("number")
+    return placed, passages(placed, id)
+
+
+def passages(placed: DataFrame, id: str = "doc_id") -> DataFrame:
+    """parent, id, source, content, n_chunks of chunks with their parent."""
     grouped = placed.where("parent IS NOT NULL").groupBy("parent", id).agg(F.array_sort(F.collect_list(F.struct("chunk_index", T.strip(F.col("content")).alias("c")))).alias("l"), F.first("source").alias("source"))
-    return placed, grouped.select("parent", id, "source", F.array_join(F.transform("l", lambda x: x["c"]), "\n\n").alias("content"), F.size("l").alias("n_chunks"))
+    return grouped.select("parent", id, "source", F.array_join(F.transform("l", lambda x: x["c"]), "\n\n").alias("content"), F.size("l").alias("n_chunks"))
 
 
 def statistics(chunks: DataFrame) -> DataFrame:

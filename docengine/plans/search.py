@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import text as T
 from docengine.operators import chart_links, chunking, fulltext, hybrid, vectors
-from docengine.sources.tables import kept
+from docengine.sources.tables import discard, kept, stored
 
 
 def hashed_embedding(text: Column, dim: int = 32) -> Column:
@@ -35,29 +35,33 @@ def knowledge_base(docs: DataFrame, size: int = 1024, embed: Callable[[Column],
     """Chunks without repeats inside their document, their parents, a BM25 index and vectors, each written once.
 
     charts (doc_id, stem, json): their summaries stand below their images before texts are cut, each chart is a chunk
-    of its own, and parents know the charts that they name."""
-    known = None
+    of its own, and parents know the charts that they name. What is written on the way is deleted."""
+    known, spark, whole = None, docs.sparkSession, docs
     if charts is not None:
         known = kept(chart_links.usable(charts), "charts")
         docs = chart_links.inject_summaries(docs, known).drop("n_injected")
-    chunks = kept(chunking.dedup_in_document(chunking.chunk(docs, "structure_aware", size=size)), "chunks")
-    chunks, parents = chunking.parents(chunks)
-    chunks, parents = kept(chunks, "nodes"), kept(parents, "parents")
+    chunks, first = stored(chunking.dedup_in_document(chunking.chunk(docs, "structure_aware", size=size)), "chunks")
+    chunks = kept(chunking.parents(chunks)[0], "nodes")
+    discard(spark, first)
     nodes = chunks.select(F.col("chunk_id").alias("node"), F.col("doc_id").alias("doc"), "source", "chunk_type", "parent", "group_id", "content")
-    ids = F.lit(None).cast("string")
+    parents, ids, second = chunking.passages(chunks), F.lit(None).cast("string"), None
     if known is not None:
+        parents, second = stored(parents, "parents")
         named = chart_links.chart_ids(parents, known, "parent")
         parents, ids = parents.join(named, "parent", "left"), F.to_json("chart_ids")
-        sources = docs.groupBy(F.col("doc_id").alias("doc")).agg(F.min("source").alias("source"))
+        sources = whole.groupBy(F.col("doc_id").alias("doc")).agg(F.min("source").alias("source"))
         content = chunking.chart_chunk(F.col("node"), F.col("name"), F.col("kind"), F.col("description"), F.col("data"))
         # A stem may stand in several documents: its chunk is the one of the first.
         rows = known.join(sources, "doc").groupBy("node").agg(F.min(F.struct("doc", "source", content.alias("content"))).alias("c"))
-        nodes = nodes.unionByName(rows.select("node", "c.doc", "c.source", F.lit("chart").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), T.dedup_group_id(F.col("c.content"), F.lit("chart"), F.col("node")).alias("group_id"), "c.content"))
-        nodes = kept(nodes, "all-nodes")
-    up = parents.select("parent", "content", ids.alias("chart_ids"), T.dedup_group_id(F.col("content"), F.lit("parent")).alias("group_id"), "source")
+        rows = rows.select("node", "c.doc", "c.source", F.lit("chart").alias("chunk_type"), F.lit(None).cast("string").alias("parent"), T.dedup_group_id(F.col("c.content"), F.lit("chart"), F.col("node")).alias("group_id"), "c.content")
+        nodes = nodes.unionByName(kept(rows, "chart-nodes"))
+    up = kept(parents.select("parent", "content", ids.alias("chart_ids"), T.dedup_group_id(F.col("content"), F.lit("parent")).alias("group_id"), "source"), "passages")
+    if second is not None:
+        discard(spark, second)
     index = fulltext.build(nodes, "node", "content")
-    index = fulltext.Index(*(kept(getattr(index, name), name) for name in ("postings", "lengths", "terms", "stats")))
-    return KnowledgeBase(nodes, kept(up, "passages"), index, kept(nodes.select("node", embed(F.col("content")).alias("embedding")), "vectors"))
+    # Postings and lengths are read from the stored bags of terms.
+    index = fulltext.Index(index.postings, index.lengths, kept(index.terms, "terms"), kept(index.stats, "stats"), index.bags)
+    return KnowledgeBase(nodes, up, index, kept(nodes.select("node", embed(F.col("content")).alias("embedding")), "vectors"))
 
 
 def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | None = None, threshold: float | None = None, where: Column | None = None,
@@ -74,8 +78,11 @@ def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | N
     base = kb.vectors if where is None else kb.vectors.join(allowed.select("node"), "node", "left_semi")
     near = vectors.nearest(base, asked, wide, id="node", digits=digits)
     words = fulltext.search(kb.index, queries, 2 * wide, id="node", allowed=None if where is None else allowed, digits=digits)
-    fused = fulltext.first_of_each(hybrid.fuse(near, words), [F.desc("score"), "node"], wide)
-    found = hybrid.aggregate(hybrid.promote(fused.select("query_id", "node", "score"), kb.chunks.select("node", "chunk_type", "parent"), kb.parents.select("parent")))
+    fused = kept(fulltext.first_of_each(hybrid.fuse(near, words), [F.desc("score"), "node"], wide).select("query_id", "node", "score"), "fused")
+    # What was found is small beside the base: the base's rows are looked up where they lie, their contents are not shuffled.
+    met = kept(kb.chunks.select("node", "chunk_type", "parent").join(fulltext.small(kept(fused.select("node").distinct(), "met")), "node", "left_semi"), "met")
+    above = kb.parents.select("parent").join(fulltext.small(kept(met.select("parent").distinct(), "above")), "parent", "left_semi")
+    found = fulltext.small(kept(hybrid.aggregate(hybrid.promote(fused, met, above)), "found"))
     info = kb.parents.select(F.col("parent").alias("node"), "content", "chart_ids", "group_id", "source").unionByName(kb.chunks.select("node", "content", F.lit(None).cast("string").alias("chart_ids"), "group_id", "source"))
     rows = found.join(info, "node").withColumn("score", hybrid.bonus(F.col("chart_ids"), F.col("content"), F.col("hits"), F.col("score")))
     rows = hybrid.dedup_groups(hybrid.ranked(rows))
@@ -86,7 +93,7 @@ def search(kb: KnowledgeBase, queries: DataFrame, top_k: int = 10, pool: int | N
     total = min(12, max(3, top_k))
     placed = hybrid.expand_charts(rows, charts, total, charts_per_parent)
     known = rows.select("query_id", "node", "group_id", "hits", "citations", F.length("content").alias("chars"))
-    known = known.unionByName(placed.where("is_chart").select("query_id", "node").join(kb.chunks.select("node", "group_id", F.lit(0).cast("long").alias("hits"), F.array().cast("array<string>").alias("citations"), F.length("content").alias("chars")), "node").distinct())
+    known = known.unionByName(placed.where("is_chart").select("query_id", "node").join(kb.chunks.where("chunk_type = 'chart'").select("node", "group_id", F.lit(0).cast("long").alias("hits"), F.array().cast("array<string>").alias("citations"), F.length("content").alias("chars")), "node").distinct())
     cut = hybrid.final_cut(placed.join(known, ["query_id", "node"]), top_k, threshold)
     return cut.select("query_id", "node", "rank", F.round("score", 6).alias("score"), "hits", F.array_join("citations", ",").alias("citations"), "chars", "is_chart")
 

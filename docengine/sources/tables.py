@@ -19,8 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back."""
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back."""
+    return stored(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table written by `stored` that nothing reads any more."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
