@@ -2,10 +2,12 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from docengine.functions import text as T
 from docengine.operators import fulltext
 from docengine.plans import search
 
@@ -63,3 +65,13 @@ def test_texts_are_stored_once(spark, tmp_path, monkeypatch):
         assert best.count() >= 2
     left = {f.rsplit("-", 1)[0] for f in os.listdir(tmp_path)}
     assert {"nodes", "passages", "bags"} <= left and not left & {"chunks", "parents", "all-nodes", "postings"}
+
+
+def test_texts_are_normalized_without_patterns_for_each_character(spark):
+    r = random.Random(1)
+    letters = "aB é\t\n\r\x0b\x0c\x85\xa0 　，。；：、,.!?:;\"'“”‘’（）()【】[]{}<>\\-^&_中"
+    texts = ["".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(500)] + ["", " ", "。，!"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", T.normalize_for_fingerprint(F.col("t")).alias("n"))
+    want = lambda t: re.sub(r"\s+", " ", re.sub("[，。；：、,.!?:;\"'“”‘’（）()【】\\[\\]{}<>]+", " ", re.sub(r"\s+", " ", (t or "").strip().lower()))).strip()
+    assert all(x["n"] == want(x["t"]) for x in rows.collect())
+    assert "translate" in rows._jdf.queryExecution().executedPlan().toString()
